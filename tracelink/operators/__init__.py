@@ -1 +1,58 @@
+"""Operators as SQL templates over named views, and how to run them.
 
+`apply(spark, "g10_recurrence", mentions=df)` runs one operator on a user's own DataFrames; names in braces are its inputs.
+"""
+
+from __future__ import annotations
+
+import re
+from string import Formatter
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracelink.operators.catalog import OPERATORS
+from tracelink.sources import BINDINGS, TABLES
+
+
+def inputs(template: str) -> list[str]:
+    return sorted({n for _, n, _, _ in Formatter().parse(template) if n})
+
+
+def dialect(text: str, spark: bool) -> str:
+    """A template in Spark's spelling or the oracle's."""
+    text = re.sub(r"<<(.*?) ## (.*?)>>", r"\1" if spark else r"\2", text, flags=re.S)
+    if spark:
+        text = re.sub(r"(regexp_replace\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*), 'g'\)", r"\1)", text)
+    return text.replace("EXPLODE(", "explode(" if spark else "unnest(")
+
+
+def apply(spark: SparkSession, name: str, **views: DataFrame) -> DataFrame:
+    """One operator on DataFrames given for its inputs."""
+    return spark.sql(dialect(OPERATORS[name], True), **views)
+
+
+def bound(spark: SparkSession, sf_dir: str, template: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A template over the domain views of the tables in sf_dir."""
+    made = {} if made is None else made
+    for name in inputs(template):
+        if name not in made:
+            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else bound(spark, sf_dir, BINDINGS[name], made)
+    return spark.sql(dialect(template, True), **{n: made[n] for n in inputs(template)})
+
+
+def oracle(template: str) -> str:
+    """The same query for the oracle: the views it needs come first as common table expressions."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in TABLES and name not in order:
+            for n in inputs(BINDINGS[name]):
+                visit(n)
+            order.append(name)
+
+    for n in inputs(template):
+        visit(n)
+    names = {n: n for n in [*TABLES, *BINDINGS]}
+    ctes = ",\n".join(f"{n} AS ({dialect(BINDINGS[n], False).format(**names)})" for n in order)
+    body = dialect(template, False).format(**names)
+    return f"WITH {ctes}\n{body}" if ctes and not body.lstrip().startswith("WITH") else body if not ctes else f"WITH {ctes}, {body.lstrip()[4:]}"

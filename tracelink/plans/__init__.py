@@ -1,4 +1,7 @@
-"""Registered queries of the link-analysis operators, by category."""
+"""Registered queries of the link-analysis operators: each template over the domain views of sf_dir, and its oracle."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tracelink.operators import bound, oracle
+from tracelink.operators.catalog import OPERATORS
+
+QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()}
+ORACLE_SQL = {name: oracle(template) for name, template in OPERATORS.items()}

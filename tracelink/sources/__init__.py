@@ -1 +1,74 @@
+"""Domain views over the driver's tables. Each is one projection that Spark and any SQL engine can write alike.
 
+A template names its inputs in braces; `<<a ## b>>` holds Spark's spelling and the other engine's.
+"""
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+FIRST = "'Rajesh Priya  Amit   Neha   Vikram Anita  Suresh Kavita Arjun  Meera  Rohan  Divya  Karan  Pooja  Nitin  Sunita Manish Rekha  Ashok  Geeta  '"
+LAST = "'Kumar  Sharma Verma  Singh  Patel  Gupta  Reddy  Nair   Iyer   Mehta  Joshi  Rao    Das    Bose   Khan   Shaikh Pillai Menon  Kapoor Malik  Saxena Bhatt  Chopra Sinha  Thakur '"
+
+BINDINGS = {
+    "persons": f"""
+        SELECT 'P' || CAST(c_custkey AS STRING) AS person_id,
+               trim(substr({FIRST}, CAST(1 + (c_custkey % 20) * 7 AS INT), 7)) || ' ' || trim(substr({LAST}, CAST(1 + (CAST(floor(c_custkey / 20) AS BIGINT) % 25) * 7 AS INT), 7)) AS name,
+               '+91-90000-' || lpad(CAST(10000 + c_custkey % 1200 AS STRING), 5, '0') AS phone,
+               'DL11AB' || lpad(CAST(c_custkey % 1400 AS STRING), 4, '0') AS vehicle_no,
+               'ACC' || lpad(CAST(100000 + c_custkey % 1450 AS STRING), 6, '0') AS bank_account,
+               'user_' || CAST(c_custkey AS STRING) AS social_id, n_name AS home_city, c_mktsegment AS risk_group, c_custkey AS ord
+        FROM {{customer}} JOIN {{nation}} ON c_nationkey = n_nationkey""",
+    "vehicles": "SELECT person_id, vehicle_no, home_city AS registered_city, CASE WHEN ord % 2 = 0 THEN 'Car' ELSE 'Motorcycle' END AS vehicle_type FROM {persons}",
+    "calls_base": "SELECT event_id, ts, value, event_type, 'P' || CAST(user_id AS STRING) AS a, 'P' || regexp_extract(props, '([0-9]+)', 1) AS b, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}",
+    "cdr": "SELECT event_id, a AS caller_id, b AS receiver_id, ts AS timestamp, CAST(floor(value) AS BIGINT) AS duration_sec, CASE WHEN event_id % 2 = 0 THEN 'voice' ELSE 'sms' END AS call_type FROM {calls_base} WHERE event_type = 'click'",
+    "finance": "SELECT event_id, a AS sender_id, b AS receiver_id, CAST(ts AS DATE) AS date, value AS amount FROM {calls_base} WHERE event_type = 'purchase'",
+    "social": "SELECT event_id, a AS user_id, b AS connected_user_id, CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 'reply' WHEN event_id % 3 = 1 THEN 'retweet' ELSE 'mention' END AS interaction_type, CAST(ts AS DATE) AS date FROM {calls_base} WHERE event_type = 'view'",
+    "surveillance": "SELECT 'S' || CAST(event_id AS STRING) AS event_id, a AS person_id, n_name AS location, ts AS timestamp, CASE event_id % 4 WHEN 0 THEN 'vehicle movement' WHEN 1 THEN 'meeting' WHEN 2 THEN 'atm visit' ELSE 'border crossing' END AS event_type, event_id AS ord FROM {calls_base} c JOIN {nation} n ON c.k % 25 = n.n_nationkey WHERE c.event_type = 'error'",
+    "fir": "SELECT 'FIR' || CAST(event_id AS STRING) AS fir_id, a AS person_id, CASE k % 5 WHEN 0 THEN 'Fraud' WHEN 1 THEN 'Theft' WHEN 2 THEN 'Cyber Crime' WHEN 3 THEN 'Assault' ELSE 'Smuggling' END AS crime, CAST(ts AS DATE) AS date, n_name AS location, event_id AS ord FROM {calls_base} c JOIN {nation} n ON c.k % 25 = n.n_nationkey WHERE c.event_type = 'signup'",
+    "cases": "SELECT 'FIR' || CAST(o_orderkey AS STRING) AS fir_id, 'P' || CAST(o_custkey AS STRING) AS person_id, CASE o_orderkey % 4 WHEN 0 THEN 'Cyber Crime' WHEN 1 THEN 'cyber-crime' WHEN 2 THEN 'cybercrime' ELSE lower(o_orderpriority) END AS crime, CAST(o_orderdate AS DATE) AS date, n_name AS location, o_orderkey AS ord FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
+    "narratives": "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, CAST(c.date AS STRING) AS event_date, c.ord, CASE WHEN c.ord % 7 = 0 THEN 'Case No. ' || substr(p.phone, 5, 5) || substr(p.phone, 11, 5) || ' was registered.' ELSE 'Suspect called from ' || p.phone || ' near the toll.' END || ' Vehicle ' || p.vehicle_no || ' was seen; paid via HDFC0001234 from account ' || p.bank_account || '.' AS text FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id",
+    "entity_mapping": "SELECT person_id AS entity_id, 'phone' AS entity_type, phone AS source_id, 'crm' AS source, ord FROM {persons} UNION ALL SELECT person_id, 'vehicle', vehicle_no, 'rto', ord FROM {persons} UNION ALL SELECT person_id, 'bank_account', bank_account, 'bank', ord FROM {persons} UNION ALL SELECT 'P' || CAST(ord + 1 AS STRING), 'phone', phone, 'crm', ord + 1000000000 FROM {persons} WHERE ord % 11 = 0",
+    "edges": """
+        SELECT src_rank * 1000000000000 + ord AS edge_id, source, target, relationship, seen_at, amount, duration FROM (
+          SELECT 1 AS src_rank, p.ord, p.person_id AS source, p.vehicle_no AS target, 'OWNS' AS relationship, CAST(NULL AS TIMESTAMP) AS seen_at, CAST(NULL AS DOUBLE) AS amount, CAST(NULL AS BIGINT) AS duration FROM {persons} p
+          UNION ALL SELECT 2, event_id, caller_id, receiver_id, 'CALLED', CAST(timestamp AS TIMESTAMP), CAST(NULL AS DOUBLE), duration_sec FROM {cdr}
+          UNION ALL SELECT 3, event_id, sender_id, receiver_id, 'TRANSFERRED_MONEY', CAST(date AS TIMESTAMP), amount, CAST(NULL AS BIGINT) FROM {finance}
+          UNION ALL SELECT 4, ord, person_id, fir_id, 'INVOLVED_IN', CAST(date AS TIMESTAMP), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {fir}
+          UNION ALL SELECT 5, event_id, user_id, connected_user_id, 'SOCIAL_' || upper(coalesce(interaction_type, 'unknown')), CAST(date AS TIMESTAMP), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {social}
+          UNION ALL SELECT 6, ord, person_id, event_id, 'OBSERVED_AT', CAST(timestamp AS TIMESTAMP), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT) FROM {surveillance}) e
+        WHERE source IS NOT NULL AND target IS NOT NULL""",
+    "nodes": """
+        SELECT id, max(entity_type) AS entity_type FROM (
+          SELECT person_id AS id, 'person' AS entity_type FROM {persons} UNION ALL SELECT vehicle_no, 'vehicle' FROM {vehicles}
+          UNION ALL SELECT fir_id, 'crime_event' FROM {fir} UNION ALL SELECT event_id, 'surveillance_event' FROM {surveillance}
+          UNION ALL SELECT source, CAST(NULL AS STRING) FROM {edges} UNION ALL SELECT target, CAST(NULL AS STRING) FROM {edges}) n GROUP BY id""",
+    "ends": "SELECT source AS id, target AS other, relationship, edge_id, seen_at, amount, duration FROM {edges} UNION ALL SELECT target, source, relationship, edge_id, seen_at, amount, duration FROM {edges}",
+    "person_edges": "SELECT edge_id, source, target, relationship, seen_at FROM {edges} WHERE relationship IN ('CALLED', 'TRANSFERRED_MONEY') OR relationship LIKE 'SOCIAL_%'",
+    "activity": "SELECT id AS person_id, count_if(relationship = 'CALLED') AS communications, count_if(relationship = 'TRANSFERRED_MONEY') AS transfers, count_if(relationship LIKE 'SOCIAL_%') AS social, count_if(relationship = 'OBSERVED_AT') AS observations, count_if(relationship = 'INVOLVED_IN') AS cases FROM {ends} WHERE id LIKE 'P%' GROUP BY id",
+    "mentions": """
+        SELECT source_ref, jurisdiction, event_date, entity_type, value FROM (
+          SELECT source_ref, jurisdiction, event_date, 'phone' AS entity_type, '+91' || regexp_replace(substr(v, 4, 12), '[^0-9]', '', 'g') AS value FROM (SELECT source_ref, jurisdiction, event_date, EXPLODE(regexp_extract_all(text, '([+]91-[0-9]{{5}}-[0-9]{{5}})', 1)) AS v FROM {narratives}) p
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'vehicle', EXPLODE(regexp_extract_all(text, '([A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) FROM {narratives}
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'bank_account', EXPLODE(regexp_extract_all(text, '(ACC[0-9]{{6,}})', 1)) FROM {narratives}
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'ifsc', EXPLODE(regexp_extract_all(text, '([A-Z]{{4}}0[A-Z0-9]{{6}})', 1)) FROM {narratives}) m
+        GROUP BY source_ref, jurisdiction, event_date, entity_type, value""",
+    "registry": "SELECT DISTINCT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, entity_id FROM {entity_mapping}",
+    "resolved": "SELECT m.source_ref, m.jurisdiction, m.event_date, m.entity_type, m.value, r.owners, CASE WHEN m.entity_type = 'ifsc' OR r.owners IS NULL THEN 'unresolved' WHEN r.owners = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN r.owners = 1 THEN r.entity_id END AS entity_id, CASE WHEN r.owners IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM {mentions} m LEFT JOIN (SELECT entity_type, value, count(*) AS owners, min(entity_id) AS entity_id FROM {registry} GROUP BY entity_type, value) r ON m.entity_type = r.entity_type AND m.value = r.value",
+    "anomaly": """
+        SELECT person_id, communications, transfers, social, observations, s1, s2, s3, s4,
+               CAST(<<bround ## round_even>>(100 * (.25 * s1 + .30 * s2 + .20 * s3 + .25 * s4), 0) AS BIGINT) AS anomaly_score
+        FROM (SELECT a.*, round(CASE WHEN communications <= m1 THEN 0 WHEN d1 > 0 THEN least(1, .6745 * (communications - m1) / d1 / 3.5) ELSE (communications - m1) / (x1 - m1) END, 4) AS s1,
+                     round(CASE WHEN transfers <= m2 THEN 0 WHEN d2 > 0 THEN least(1, .6745 * (transfers - m2) / d2 / 3.5) ELSE (transfers - m2) / (x2 - m2) END, 4) AS s2,
+                     round(CASE WHEN social <= m3 THEN 0 WHEN d3 > 0 THEN least(1, .6745 * (social - m3) / d3 / 3.5) ELSE (social - m3) / (x3 - m3) END, 4) AS s3,
+                     round(CASE WHEN observations <= m4 THEN 0 WHEN d4 > 0 THEN least(1, .6745 * (observations - m4) / d4 / 3.5) ELSE (observations - m4) / (x4 - m4) END, 4) AS s4
+              FROM {activity} a CROSS JOIN (
+                SELECT max(m1) AS m1, max(m2) AS m2, max(m3) AS m3, max(m4) AS m4, max(communications) AS x1, max(transfers) AS x2, max(social) AS x3, max(observations) AS x4,
+                       median(abs(communications - m1)) AS d1, median(abs(transfers - m2)) AS d2, median(abs(social - m3)) AS d3, median(abs(observations - m4)) AS d4
+                FROM {activity} CROSS JOIN (SELECT median(communications) AS m1, median(transfers) AS m2, median(social) AS m3, median(observations) AS m4 FROM {activity}) m) d) z""",
+    "uploads": "SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN 'FIR' || CAST(o_orderkey - 1 AS STRING) ELSE ' FIR-N' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) || ' ' END AS fir_id, CASE WHEN o_orderkey % 10 = 0 THEN 'nan' ELSE c_name END AS name, CASE WHEN o_orderkey % 8 = 0 THEN 'not-a-phone' ELSE '9' || lpad(CAST(o_custkey AS STRING), 9, '0') END AS phone, CASE o_orderkey % 3 WHEN 0 THEN <<date_format(o_orderdate, 'dd/MM/yyyy') ## strftime(o_orderdate, '%d/%m/%Y')>> WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE 'unknown' END AS date, n_name AS jurisdiction FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
+    "clean_uploads": "SELECT row_no, CASE WHEN lower(trim(fir_id)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(fir_id) END AS fir_id, CASE WHEN lower(trim(name)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(name) END AS name, CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) = 10 THEN '+91' || phone END AS phone_norm, phone, date, coalesce(<<try_to_date(date, 'yyyy-MM-dd') ## CAST(try_strptime(date, '%Y-%m-%d') AS DATE)>>, <<try_to_date(date, 'dd/MM/yyyy') ## CAST(try_strptime(date, '%d/%m/%Y') AS DATE)>>) AS date_parsed, jurisdiction FROM {uploads}",
+    "assessed": """
+        SELECT u.row_no, u.fir_id, u.name, u.phone, u.jurisdiction, u.date_parsed,
+               CASE WHEN u.fir_id IS NULL AND u.name IS NULL THEN 'invalid' WHEN u.phone_norm IS NULL THEN 'invalid' WHEN k.fir_id IS NOT NULL THEN 'duplicate' WHEN u.n > 1 THEN 'duplicate' WHEN u.date_parsed IS NULL OR u.name IS NULL THEN 'incomplete' ELSE 'ready' END AS status
+        FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(fir_id, ''), coalesce(name, ''), coalesce(phone_norm, '') ORDER BY row_no) AS n FROM {clean_uploads}) u LEFT JOIN (SELECT DISTINCT fir_id FROM {cases}) k ON u.fir_id = k.fir_id""",
+    "audit": "SELECT event_id, ts, 'user' || CAST(user_id AS STRING) AS user_id, event_type AS action, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'denied' ELSE 'failure' END AS result, CASE WHEN k % 10 = 0 THEN NULL ELSE 'J' || CAST(k % 9 AS STRING) END AS jurisdiction FROM (SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) e",
+}
