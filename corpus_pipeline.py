@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tracelink.llm import packing, quality_classifier, quality_rules, secret_scan, simhash
 from tracelink.llm.common import materialise
 
-#: 256-bit fingerprints of five-word shingles; 38 differing bits (15 %) stand for a Jaccard similarity of 0.8.
-SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 5, 4, 38
+#: 512-bit fingerprints of five-word shingles; 77 differing bits (15 %) stand for a Jaccard similarity of 0.8.
+SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 5, 8, 77
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
