@@ -1 +1,27 @@
+"""Helpers that the link-analysis operators share."""
 
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN_FOLDER: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder named by spark.checkpoint.dir; in a temporary one only where it is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tracelink-"))
+        root = _OWN_FOLDER[0]
+    return f"{root.rstrip('/')}/tracelink-graph/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df below the shared folder and reads it back: cuts the lineage of iterative jobs and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@
 
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS
+from tracelink.plans import graph
 
-QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()}
-ORACLE_SQL = {name: oracle(template) for name, template in OPERATORS.items()}
+QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()} | graph.QUERIES
+ORACLE_SQL = {name: oracle(template) for name, template in OPERATORS.items()} | graph.ORACLE_SQL
