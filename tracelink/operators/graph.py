@@ -106,10 +106,10 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None) -
     return nodes.join(total, nodes.id == total.node, "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 8, levels: int = 3) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 12, levels: int = 3) -> DataFrame:
     """id, community: Louvain on the undirected graph, an edge's weight being the number of parallel edges.
 
-    In each sweep one half of the nodes (by hash, halves alternating) moves to the neighbouring community of greatest
+    In each sweep one half of the nodes (by a hash that differs from sweep to sweep) moves to the neighbouring community of greatest
     modularity gain, ties to the least name; then communities become nodes. Every node comes back once; a community is
     named by its least id.
     """
@@ -119,7 +119,7 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 8, levels: int
     m2 = links.agg(F.sum("w")).first()[0]
     for _ in range(levels if m2 else 0):
         degree = stored(links.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")), "degrees")
-        state, idle, moved_at_all = degree.withColumn("c", F.col("v")), 0, False
+        state, moved_at_all = degree.withColumn("c", F.col("v")), False
         for sweep in range(sweeps):
             tot = state.groupBy("c").agg(F.sum("k").alias("tot"))
             to = links.where("a <> b").join(state.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v"), "c").agg(F.sum("w").alias("w"))
@@ -131,12 +131,12 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 8, levels: int
                 F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("stay"), F.first("home").alias("home"), F.first("k").alias("k"),
             )
             ties = choice.join(best.select("v", "top"), "v").where("gain = top").groupBy("v").agg(F.min("c").alias("least"))
-            turn = F.pmod(F.xxhash64("v"), F.lit(2)) == sweep % 2
-            new = best.join(ties, "v").select("v", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("least")).otherwise(F.col("home")).alias("c"), "home")
+            turn = F.pmod(F.xxhash64("v", F.lit(sweep)), F.lit(2)) == 0
+            new = best.join(ties, "v").select("v", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("least")).otherwise(F.col("home")).alias("c"), "home", (F.col("top") > F.col("stay")).alias("wants"))
             new = stored(new, "community-state")
-            moved = new.where("c <> home").count()
-            state, idle, moved_at_all = new.select("v", "k", "c"), 0 if moved else idle + 1, moved_at_all or moved > 0
-            if idle == 2:
+            wanted, moved = new.agg(F.count_if("wants"), F.count_if(F.col("c") != F.col("home"))).first()
+            state, moved_at_all = new.select("v", "k", "c"), moved_at_all or moved > 0
+            if not wanted:
                 break
         if not moved_at_all:
             break
