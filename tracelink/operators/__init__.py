@@ -10,6 +10,7 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracelink.functions import jaro_winkler
 from tracelink.operators.catalog import OPERATORS
 from tracelink.sources import BINDINGS, TABLES
 
@@ -28,6 +29,7 @@ def dialect(text: str, spark: bool) -> str:
 
 def apply(spark: SparkSession, name: str, **views: DataFrame) -> DataFrame:
     """One operator on DataFrames given for its inputs."""
+    spark.udf.register("jaro_winkler", jaro_winkler)
     return spark.sql(dialect(OPERATORS[name], True), **views)
 
 
@@ -37,6 +39,8 @@ def bound(spark: SparkSession, sf_dir: str, template: str, made: dict[str, DataF
     for name in inputs(template):
         if name not in made:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else bound(spark, sf_dir, BINDINGS[name], made)
+    if "jaro_winkler(" in template:
+        spark.udf.register("jaro_winkler", jaro_winkler)
     return spark.sql(dialect(template, True), **{n: made[n] for n in inputs(template)})
 
 

@@ -132,4 +132,19 @@ OPERATORS = {
     "i25_relevant_reviews": "SELECT DISTINCT r.entity_type, r.value FROM {resolved} r JOIN {registry} g ON r.entity_type = g.entity_type AND r.value = g.value WHERE r.status = 'ambiguous'",
     "i26_evidence": "SELECT 'case' AS kind, fir_id AS ref FROM {fir} UNION ALL SELECT 'mapping', entity_id || ':' || source_id FROM {entity_mapping}",
     "i29_entry_options": "SELECT 'crime' AS kind, crime AS option FROM {cases} GROUP BY crime UNION ALL SELECT 'jurisdiction', location FROM {cases} GROUP BY location",
+    # entity extractor, span fusion, fuzzy names, decisions
+    "c6_rule_entities": "SELECT source_ref, kind, value, starts, ends FROM {ner_spans}",
+    "c8_span_fusion": "SELECT s.source_ref, s.kind, s.value FROM {ner_spans} s WHERE NOT EXISTS (SELECT 1 FROM {identifier_spans} i WHERE i.source_ref = s.source_ref AND i.starts < s.ends AND s.starts < i.ends)",
+    "d4_name_scores": "SELECT mention, name, score FROM {name_scores}",
+    "d5_name_decision": "SELECT m.mention, CASE WHEN r.score IS NULL OR r.score < 92 THEN 'unresolved' WHEN r.score - r.next_score < 3 THEN 'ambiguous' ELSE 'resolved' END AS status, r.score, CASE WHEN r.score >= 92 THEN r.name END AS name FROM {name_mentions} m LEFT JOIN (SELECT * FROM {name_ranked} WHERE k = 1) r ON m.mention = r.mention",
+    "d7_cascade": "SELECT r.source_ref, r.entity_type, r.value, CASE WHEN r.value = '' THEN 'unresolved' WHEN c.entity_id IS NOT NULL THEN 'exact' WHEN r.entity_type IN ('location', 'organisation', 'event') THEN 'unresolved' ELSE r.status END AS status, coalesce(c.entity_id, r.entity_id) AS entity_id FROM {resolved} r LEFT JOIN {confirmed} c ON r.entity_type = c.entity_type AND r.value = c.value",
+    "d11_apply_decisions": "SELECT d.entity_type, d.value, d.entity_id, CASE WHEN q.value IS NULL THEN 'not pending' WHEN g.entity_id IS NULL THEN 'not proposed' ELSE 'accepted' END AS outcome FROM {confirmed} d LEFT JOIN (SELECT DISTINCT entity_type, value FROM {resolved} WHERE status = 'ambiguous') q ON d.entity_type = q.entity_type AND d.value = q.value LEFT JOIN {registry} g ON d.entity_type = g.entity_type AND d.value = g.value AND d.entity_id = g.entity_id",
+    "d13_candidate_list": "SELECT mention, name, score, k FROM {name_ranked} WHERE k <= 3",
+    "e10_narrative_graph": "SELECT DISTINCT source, relationship, target FROM (SELECT entity_id AS source, CASE entity_type WHEN 'phone' THEN 'HAS_PHONE' WHEN 'vehicle' THEN 'OWNS' ELSE 'HAS_ACCOUNT' END AS relationship, value AS target FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT entity_id, 'INVOLVED_IN', source_ref FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT source_ref, 'USES', value FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT entity_id, 'CO_ACCUSED_IN', source_ref FROM {resolved} WHERE status = 'resolved') e",
+    "f13_relationship_whitelist": "SELECT e.edge_id, e.relationship FROM {edges} e WHERE e.relationship IN ('CALLED', 'NO_SUCH_TYPE') OR NOT EXISTS (SELECT 1 FROM {edges} k WHERE k.relationship IN ('CALLED', 'NO_SUCH_TYPE'))",
+    "f21_path_edges": "SELECT p.sender_id AS source, p.receiver_id AS target, x.edge_id AS exact_edge, coalesce(x.edge_id, y.edge_id) AS edge_id FROM (SELECT DISTINCT sender_id, receiver_id FROM {finance}) p LEFT JOIN (SELECT source, target, min(edge_id) AS edge_id FROM {edges} WHERE relationship = 'CALLED' GROUP BY source, target) x ON x.source = p.sender_id AND x.target = p.receiver_id LEFT JOIN (SELECT id, other, min(edge_id) AS edge_id FROM {ends} GROUP BY id, other) y ON y.id = p.sender_id AND y.other = p.receiver_id",
+    "h8_possible_duplicates": "SELECT u.row_no, min(p.person_id) AS person_id, count(*) AS owners FROM {clean_uploads} u JOIN (SELECT person_id, '+91' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone FROM {persons}) p ON u.phone_norm = p.phone GROUP BY u.row_no UNION ALL SELECT u.row_no, min('P' || CAST(c.c_custkey AS STRING)), count(*) FROM {clean_uploads} u JOIN {customer} c ON lower(u.name) = lower(c.c_name) GROUP BY u.row_no",
+    "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND user_id = 'user7' ORDER BY ts DESC, event_id DESC",
+    "i24_report_analytics": f"SELECT section, person_id, score, k FROM (SELECT section, person_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, person_id) AS k FROM (SELECT 'risk' AS section, person_id, {RISK} AS score FROM {{activity}} UNION ALL SELECT 'anomaly', person_id, anomaly_score FROM {{anomaly}}) a) r WHERE k <= 50",
+    "i28_investigations": "SELECT fir_id, date, location FROM {cases} WHERE location IN ('NATION_1', 'NATION_2', 'NATION_3') ORDER BY date DESC, fir_id",
 }

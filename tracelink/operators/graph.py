@@ -71,6 +71,22 @@ def hop_paths(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
     return reduce(DataFrame.unionAll, levels)
 
 
+def hop_expansion(ends: DataFrame, start: DataFrame, most: tuple[int, ...] = (48, 24, 16)) -> DataFrame:
+    """id, hop: from start (id), at each hop the `most` new neighbours of greatest degree, ties to the lesser id.
+
+    ends has each edge both ways as (id, other); degree counts different neighbours. The frontier never exceeds most.
+    """
+    pairs = stored(ends.where("id <> other").select("id", "other").distinct(), "neighbours")
+    degree = pairs.groupBy("id").agg(F.count("*").alias("d"))
+    levels = [stored(start.select("id", F.lit(0).alias("hop")), "expansion")]
+    for hop, cap in enumerate(most, 1):
+        seen = reduce(DataFrame.unionAll, levels)
+        new = pairs.join(levels[-1].select("id"), "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = new.join(degree, "id").orderBy(F.desc("d"), "id").limit(cap)
+        levels.append(stored(new.select("id", F.lit(hop).alias("hop")), "expansion"))
+    return reduce(DataFrame.unionAll, levels)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None) -> DataFrame:
     """id, betweenness: directed, unweighted, divided by (n - 1)(n - 2); parallel edges count once.
 

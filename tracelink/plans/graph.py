@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS, RISK
-from tracelink.operators.graph import betweenness, communities, hop_paths, pagerank
+from tracelink.operators.graph import betweenness, communities, hop_expansion, hop_paths, pagerank
 
 ROUNDS, DAMPING, DEPTH = 20, 0.85, 6
 PIVOTS = 32
@@ -115,6 +115,10 @@ def f14_evidence_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.join(found.hint("shuffle_hash"), ["seed", "person_id"], "left").select("seed", "person_id", kind.alias("kind"), "hops", "path")
 
 
+def f15_hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hop_expansion(bound(spark, sf_dir, "SELECT id, other FROM {ends}"), _seeds(spark, SEEDS[:1]))
+
+
 def f22_hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, EITHER_WAY, SEEDS[:1]).select("id", "hops")
 
@@ -135,6 +139,8 @@ _GLOBAL = pagerank_sql(ALL_NODES, ALL_EDGES, True)
 _PERSONAL = pagerank_sql(PERSON_NODES, PERSON_EDGES, False, SEEDS)
 _LAST = f"SELECT id, round(rank, 6) AS pagerank FROM r{ROUNDS}"
 _TOP = f"{_LAST} ORDER BY 2 DESC, 1 LIMIT 10"
+_HOPS = [f"h{k} AS MATERIALIZED (SELECT id, {k} AS hop FROM (SELECT DISTINCT e.other AS id, d.d FROM h{k - 1} h JOIN {{ends}} e ON h.id = e.id JOIN deg d ON d.id = e.other WHERE e.other NOT IN ({' UNION ALL '.join(f'SELECT id FROM h{j}' for j in range(k))})) n ORDER BY d DESC, id LIMIT {most})" for k, most in ((1, 48), (2, 24), (3, 16))]
+_EXPANSION = "WITH deg AS (SELECT id, count(DISTINCT other) AS d FROM {ends} WHERE id <> other GROUP BY id), h0 AS (SELECT 'P1' AS id, 0 AS hop), " + ", ".join(_HOPS)
 _SEEDED = " UNION ALL ".join(f"SELECT '{s}' AS seed" for s in SEEDS)
 
 _TEMPLATES = {
@@ -145,10 +151,11 @@ _TEMPLATES = {
     "f10_shortest_paths": paths_sql(ALL_EDGES, SEEDS[:1]) + "SELECT * FROM h",
     "f11_bounded_paths": paths_sql(TALKS, SEEDS) + "SELECT * FROM h",
     "f14_evidence_chains": paths_sql(TALKS, SEEDS) + f"SELECT p.seed, p.person_id, CASE WHEN hops = 0 THEN 'self' WHEN hops > 0 THEN 'path' ELSE 'missing' END AS kind, hops, path FROM (SELECT person_id, seed FROM {{persons}} CROSS JOIN ({_SEEDED}) s) p LEFT JOIN h ON h.seed = p.seed AND h.id = p.person_id",
+    "f15_hop_expansion": _EXPANSION + " SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3",
     "f22_hop_distance": paths_sql(EITHER_WAY, SEEDS[:1]) + "SELECT id, hops FROM h",
     "g3_propagated_risk": _PERSONAL + f"SELECT person_id, base, propagated, round(least(100.0, base + propagated), 2) AS risk_score FROM (SELECT person_id, base, coalesce(least(10.0, round(rank * 100, 2)), 0.0) AS propagated FROM (SELECT person_id, {RISK} AS base FROM {{activity}}) a LEFT JOIN r{ROUNDS} ON person_id = id) z",
     "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{activity}}) a ON id = person_id",
 }
 
-QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f22_hop_distance, g3_propagated_risk, g14_priorities)}
+QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f22_hop_distance, g3_propagated_risk, g14_priorities)}
 ORACLE_SQL = {name: oracle(t) for name, t in _TEMPLATES.items()}

@@ -71,4 +71,18 @@ BINDINGS = {
                CASE WHEN u.fir_id IS NULL AND u.name IS NULL THEN 'invalid' WHEN u.phone_norm IS NULL THEN 'invalid' WHEN k.fir_id IS NOT NULL THEN 'duplicate' WHEN u.n > 1 THEN 'duplicate' WHEN u.date_parsed IS NULL OR u.name IS NULL THEN 'incomplete' ELSE 'ready' END AS status
         FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(fir_id, ''), coalesce(name, ''), coalesce(phone_norm, '') ORDER BY row_no) AS n FROM {clean_uploads}) u LEFT JOIN (SELECT DISTINCT fir_id FROM {cases}) k ON u.fir_id = k.fir_id""",
     "audit": "SELECT event_id, ts, 'user' || CAST(user_id AS STRING) AS user_id, event_type AS action, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'denied' ELSE 'failure' END AS result, CASE WHEN k % 10 = 0 THEN NULL ELSE 'J' || CAST(k % 9 AS STRING) END AS jurisdiction FROM (SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) e",
+    "statements": "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, 'Complainant ' || p.name || ' reported cyber crime near ' || p.home_city || '. Suspect sent money from ' || p.bank_account || ' to Northern Logistics. See ' || c.fir_id || ' and ' || p.vehicle_no || '.' AS text FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id",
+    "ner_values": """
+        SELECT source_ref, text, 'person' AS kind, EXPLODE(regexp_extract_all(text, '(?:Complainant|Accused|Witness|Suspect|named|states[ ]+that)[ ]+([A-Z][a-z]+(?:[ ]+[A-Z][a-z]+)+)', 1)) AS value FROM {statements}
+        UNION ALL SELECT source_ref, text, 'location', EXPLODE(regexp_extract_all(text, '(?:^|[^A-Za-z])(?:in|at|near|from)[ ]+([A-Z][A-Za-z0-9][A-Za-z0-9 -]{{1,38}}[A-Za-z0-9])', 1)) FROM {statements}
+        UNION ALL SELECT source_ref, text, 'organisation', EXPLODE(regexp_extract_all(text, '([A-Z][A-Za-z]+(?:[ ]+[A-Z][A-Za-z]+)*[ ]+(?:Police|Logistics|Bank|Corporation|Limited|Ltd[.]?))', 1)) FROM {statements}
+        UNION ALL SELECT source_ref, text, 'event', EXPLODE(regexp_extract_all(lower(text), '(robbery event|robbery|cyber crime|organized crime|organised crime|theft|fraud|murder|assault|extortion)', 1)) FROM {statements}
+        UNION ALL SELECT source_ref, text, 'case', EXPLODE(regexp_extract_all(text, '(FIR[0-9]{{5,}})', 1)) FROM {statements}""",
+    "ner_spans": "SELECT DISTINCT source_ref, kind, value, <<instr(lower(text), lower(value)) ## strpos(lower(text), lower(value))>> - 1 AS starts, <<instr(lower(text), lower(value)) ## strpos(lower(text), lower(value))>> - 1 + length(value) AS ends FROM {ner_values}",
+    "identifier_spans": "SELECT source_ref, value, <<instr(text, value) ## strpos(text, value)>> - 1 AS starts, <<instr(text, value) ## strpos(text, value)>> - 1 + length(value) AS ends FROM (SELECT source_ref, text, EXPLODE(regexp_extract_all(text, '(ACC[0-9]{{6,}}|[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) AS value FROM {statements}) v",
+    "confirmed": "SELECT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, max_by(entity_id, ord) AS entity_id FROM {entity_mapping} GROUP BY 1, 2",
+    "name_mentions": "SELECT DISTINCT CASE ord % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, 'ee', 'i') ELSE substr(name, 1, length(name) - 1) END AS mention FROM {persons}",
+    "name_blocks": "SELECT DISTINCT m.mention, n.name FROM (SELECT mention, EXPLODE(split(mention, ' ')) AS token FROM {name_mentions}) m JOIN (SELECT name, EXPLODE(split(name, ' ')) AS token FROM {persons} GROUP BY name) n ON substr(m.token, 1, 3) = substr(n.token, 1, 3)",
+    "name_scores": "SELECT mention, name, CASE WHEN mention = name OR contains(' ' || name || ' ', ' ' || mention || ' ') OR contains(' ' || mention || ' ', ' ' || name || ' ') THEN 100.0 ELSE round(100 * <<jaro_winkler(mention, name) ## jaro_winkler_similarity(mention, name)>>, 4) END AS score FROM {name_blocks}",
+    "name_ranked": "SELECT mention, name, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name) AS k, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, name) AS next_score FROM {name_scores} WHERE score >= 85",
 }
