@@ -48,3 +48,13 @@ def test_ranks_sum_to_one_and_empty_graphs_give_none(spark):
     assert sum(r.rank for r in pagerank(nodes, edges, 5).collect()) == pytest.approx(1)
     assert pagerank(nodes.limit(0), edges.limit(0)).count() == 0
     assert communities(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["j1_incremental_ingest", "d5_name_decision", "c8_span_fusion"])
+def test_stream_and_entity_queries_match_oracle(spark, name):
+    db = duckdb.connect()
+    for t in ("customer", "nation", "orders", "events"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    mine = QUERIES[name](spark, SF)
+    columns = sorted(mine.columns)
+    assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) q").fetchall())

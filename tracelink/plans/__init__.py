@@ -1,8 +1,11 @@
 """Registered queries of the link-analysis operators: each template over the domain views of sf_dir, and its oracle."""
 
+from tracelink import streaming
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS
 from tracelink.plans import graph
 
 QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()} | graph.QUERIES
+QUERIES |= {"j1_incremental_ingest": streaming.j1_incremental_ingest, "j2_incremental_recurrence": streaming.j2_incremental_recurrence}
 ORACLE_SQL = {name: oracle(template) for name, template in OPERATORS.items()} | graph.ORACLE_SQL
+ORACLE_SQL |= {"j1_incremental_ingest": oracle("SELECT DISTINCT user_id, props, event_type FROM {events}"), "j2_incremental_recurrence": ORACLE_SQL["g10_recurrence"]}
