@@ -69,6 +69,38 @@ def test_kneser_ney_is_a_distribution(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_kneser_ney_against_brute_force(spark):
+    """The Spark-counted arrays give the textbook recursion's probabilities, with grams told apart by their characters."""
+    rng = random.Random(9)
+    some = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
+    model = quality_rules.fit(spark.createDataFrame([(" ".join(some[i : i + 7]),) for i in range(0, 300, 7)], "text string"))
+    top, n = quality_rules.ORDER, [Counter() for _ in range(quality_rules.ORDER + 1)]
+    for w in some:
+        s = f"<{w}>"
+        for end in range(2, len(s) + 1):
+            for k in range(1, min(top, end) + 1):
+                n[k][s[end - k : end]] += 1
+    adjusted = [Counter() for _ in n]
+    for k in range(1, top + 1):
+        for g, c in n[k].items():
+            adjusted[k][g] = c if k == top or g[0] == "<" else sum(x[1:] == g for x in n[k + 1])
+    cut = [None] + [quality_rules.discounts(tuple(sum(v == i for v in adjusted[k].values()) for i in range(1, 5))) for k in range(1, top + 1)]
+
+    def p(gram):
+        if not gram:
+            return 1 / (len(n[1]) + 1)
+        k, same = len(gram), [v for g, v in adjusted[len(gram)].items() if g[:-1] == gram[:-1]]
+        if not same:
+            return p(gram[1:])
+        own = adjusted[k][gram]
+        share = (own - cut[k][min(own, 3) - 1]) / sum(same) if own else 0
+        return share + sum(cut[k][min(v, 3) - 1] for v in same) / sum(same) * p(gram[1:])
+
+    asked = ["abc", "dddd", "a", "xyz", "abcdabcd"]
+    want = [sum(math.log10(p(f"<{w}>"[max(0, e - top) : e])) for e in range(2, len(w) + 3)) for w in asked]
+    assert model.score(asked) == pytest.approx(want, rel=1e-4)
+
+
 def test_ppm_against_brute_force(spark, docs, monkeypatch):
     monkeypatch.setattr(ppm, "RUN_WORDS", 17)
     monkeypatch.setattr(ppm, "FREQUENT", 5)
