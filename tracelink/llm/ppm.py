@@ -1,15 +1,15 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
 Texts are read as tokens (A-Z lower-cased words, then one end), each spelt as its bytes and a terminator. The context
-of a byte is, from longest to shortest: the token's whole prefix (up to DEPTH bytes), its last four bytes, three, two,
+of a byte is, from longest to shortest: the token's whole prefix (up to DEPTH bytes), its last two bytes, the last
 one, none, and at last all 257 symbols alike. Escapes from a prefix are estimated from the corpus by leaving occurrences out
 (class Escapes); one from a shorter context costs U / (T + U) (T occurrences, U different symbols in it). Symbols that a longer context could have coded are excluded from the shorter ones. As contexts end at the
 token's start, a token always has the same code length, so each distinct token is scored once.
 
 The trie of prefixes is never in one place. Distinct tokens are range-partitioned in byte order, so a trie node is a
 run of rows; nodes that neighbouring runs share are few (RUNS bounds the runs), and their counts are exchanged in a
-small table first. The shorter contexts are sent to all tasks; the longest of them are left out, for all texts alike,
-as far as that keeps their number to SHORT_COUNTS (contexts of two bytes always stay below 17 million counts).
+small table first. The shorter contexts are sent to all tasks: those of two bytes have at most 65,536 * 257 counts,
+however large the corpus is.
 
 `adaptive_bits` is the adaptive form: one text is coded by what came before in it.
 """
@@ -32,9 +32,8 @@ STOP = 256  # the terminator; as first symbol of a token: the text's end
 SYMBOLS = 257
 RUN_WORDS, RUNS = 150_000, 2000
 FREQUENT = 50_000
-#: Bits of the code of the last bytes by context length: the third and fourth last count by their low five bits.
-BITS = (0, 8, 16, 21, 26)
-SHORT_COUNTS = 6_000_000
+#: Bits of the code of the last bytes by context length.
+BITS = (0, 8, 16)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -69,21 +68,21 @@ def count_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every symbol of the words with their terminators: its word's index, the symbol, and the code of the bytes before it."""
-    joined = np.frombuffer(b"".join([b"\x00\x00\x00 " + w + b"\x00" for w in words]), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 5
+    joined = np.frombuffer(b"".join([b"\x00 " + w + b"\x00" for w in words]), np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
     ends = np.cumsum(lengths)
     keep = np.ones(len(joined), bool)
-    for k in range(4):
+    for k in range(2):
         keep[ends - lengths + k] = False
     at = np.flatnonzero(keep)
     symbols = joined.copy()
     symbols[ends - 1] = STOP
-    code = joined[at - 1] | joined[at - 2] << 8 | (joined[at - 3] & 31) << 16 | (joined[at - 4] & 31) << 21
-    return np.repeat(np.arange(len(words)), lengths - 4), symbols[at], code
+    code = joined[at - 1] | joined[at - 2] << 8
+    return np.repeat(np.arange(len(words)), lengths - 2), symbols[at], code
 
 
 def count_short_contexts(words: DataFrame) -> DataFrame:
-    """k (context length 0 to 4), key (context * 257 + symbol), n."""
+    """k (context length 0 to 2), key (context * 257 + symbol), n."""
 
     def run(batches):
         for batch in batches:
@@ -101,7 +100,7 @@ def count_short_contexts(words: DataFrame) -> DataFrame:
 
 
 class ShortContexts:
-    """Counts after up to four bytes: by order the sorted keys, and of each context its occurrences, its different symbols and
+    """Counts after up to two bytes: by order the sorted keys, and of each context its occurrences, its different symbols and
     how often the next shorter context has these symbols."""
 
     def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray):
@@ -316,11 +315,7 @@ def score_tokens(counted: DataFrame) -> DataFrame:
     width = max(RUN_WORDS, -(-n // RUNS))
     runs = counted.repartitionByRange(max(1, -(-n // width)), "word").sortWithinPartitions("word")
     runs = materialise(runs.select(F.spark_partition_id().alias("run"), "word", "c"), "sorted-tokens")
-    contexts = materialise(count_short_contexts(counted), "short-contexts")
-    sizes, top = dict(contexts.groupBy("k").count().collect()), len(BITS) - 1
-    while top > 2 and sum(sizes.get(k, 0) for k in range(top + 1)) > SHORT_COUNTS:
-        top -= 1
-    table = contexts.where(F.col("k") <= top).toArrow()
+    table = count_short_contexts(counted).toArrow()
     short = spark.sparkContext.broadcast(ShortContexts(*(table.column(x).to_numpy() for x in ("k", "key", "n"))))
 
     def ends(batches):
