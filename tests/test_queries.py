@@ -8,7 +8,7 @@ from tracelink.operators import apply
 from tracelink.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
-SOME = ["a16_contract_export", "b5_phone", "b9_crime_canonical", "d12_shared_identifiers", "e2_edges", "f1_degree_centrality", "g7_anomaly_profile", "g10_recurrence", "h11_validation_summary", "i17_strongest_neighbours"]
+SOME = ["a16_contract_export", "b5_phone", "b9_crime_canonical", "d12_shared_identifiers", "e2_edges", "f1_degree_centrality", "g7_anomaly_profile", "g10_recurrence", "h11_validation_summary", "i17_strongest_neighbours", "a5_overlay_append", "b17_metadata_redaction", "h1_header_alias", "h3_mapping_override", "i27_report_row"]
 
 
 def flat(rows):

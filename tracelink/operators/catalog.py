@@ -147,4 +147,17 @@ OPERATORS = {
     "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND user_id = 'user7' ORDER BY ts DESC, event_id DESC",
     "i24_report_analytics": f"SELECT section, person_id, score, k FROM (SELECT section, person_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, person_id) AS k FROM (SELECT 'risk' AS section, person_id, {RISK} AS score FROM {{activity}} UNION ALL SELECT 'anomaly', person_id, anomaly_score FROM {{anomaly}}) a) r WHERE k <= 50",
     "i28_investigations": "SELECT fir_id, date, location FROM {cases} WHERE location IN ('NATION_1', 'NATION_2', 'NATION_3') ORDER BY date DESC, fir_id",
+    # redaction, header matching, report rows
+    "b17_metadata_redaction": "SELECT event_id, <<to_json(map_filter(map('user', user_id, 'result', result, CASE event_id % 3 WHEN 0 THEN ' Token ' WHEN 1 THEN 'PASSWORD' ELSE 'note' END, action), (k, v) -> lower(trim(k)) NOT IN ('password', 'password_hash', 'access_token', 'token', 'jwt', 'secret', 'authorization', 'credentials', 'bearer'))) ## '{{\"user\":\"' || user_id || '\",\"result\":\"' || result || '\"' || CASE WHEN event_id % 3 = 2 THEN ',\"note\":\"' || action || '\"' ELSE '' END || '}}'>> AS metadata FROM {audit}",
+    "h1_header_alias": "SELECT file_id, pos, header, field, field IS NOT NULL AS mapped FROM {header_fields}",
+    "h3_mapping_override": """
+        SELECT file_id, pos, header, CASE WHEN choice IS NULL AND taken = 1 THEN NULL ELSE target END AS field, CASE WHEN choice IS NULL THEN 'alias' ELSE 'user' END AS method
+        FROM (SELECT file_id, pos, header, choice, target, max(CASE WHEN choice IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY file_id, coalesce(target, header) ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS taken
+              FROM (SELECT f.file_id, f.pos, f.header, c.choice, CASE WHEN c.choice IS NULL THEN f.field WHEN c.choice IN (SELECT field FROM {aliases}) THEN c.choice END AS target
+                    FROM {header_fields} f LEFT JOIN {header_choices} c ON f.file_id = c.file_id AND f.pos = c.pos) t) w""",
+    "i27_report_row": f"""
+        SELECT r.person_id, r.cases, r.case_refs, coalesce(a.score, 0) AS risk_score, {LIMITS} AS limits
+        FROM (SELECT person_id, count(*) AS cases, <<array_join(transform(array_sort(collect_list(CASE WHEN k <= 80 THEN struct(k, fir_id) END)), x -> x.fir_id), ',') ## string_agg(fir_id, ',' ORDER BY k) FILTER (WHERE k <= 80)>> AS case_refs
+              FROM (SELECT person_id, fir_id, row_number() OVER (PARTITION BY person_id ORDER BY date DESC, fir_id) AS k FROM {{cases}}) c GROUP BY person_id) r
+        LEFT JOIN (SELECT person_id, {RISK} AS score FROM {{activity}}) a ON r.person_id = a.person_id""",
 }

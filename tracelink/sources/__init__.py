@@ -8,6 +8,21 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIRST = "'Rajesh Priya  Amit   Neha   Vikram Anita  Suresh Kavita Arjun  Meera  Rohan  Divya  Karan  Pooja  Nitin  Sunita Manish Rekha  Ashok  Geeta  '"
 LAST = "'Kumar  Sharma Verma  Singh  Patel  Gupta  Reddy  Nair   Iyer   Mehta  Joshi  Rao    Das    Bose   Khan   Shaikh Pillai Menon  Kapoor Malik  Saxena Bhatt  Chopra Sinha  Thakur '"
 
+# Spellings of a column's header and the field that each stands for.
+ALIASES = """
+    fir fir_id, fir no fir_id, fir number fir_id, case number fir_id, case no fir_id, case id fir_id, crime number fir_id, person id person_id,
+    name name, person name, person name name, suspect name name, suspect name, accused name, accused name name, full name name,
+    phone phone, phone number phone, mobile phone, mobile no phone, mobile number phone, contact phone, contact no phone, msisdn phone,
+    vehicle no vehicle_no, vehicle number vehicle_no, vehicle registration vehicle_no, registration no vehicle_no, registration number vehicle_no, reg no vehicle_no, vahan vehicle_no, vehicle vehicle_no,
+    bank account bank_account, account bank_account, account no bank_account, social social_id, handle social_id,
+    jurisdiction jurisdiction, district jurisdiction, ps jurisdiction, police station jurisdiction, home city home_city, city home_city,
+    location location, place location, scene location, incident location location,
+    date date, incident date date, event date date, fir date date, occurrence date date,
+    crime crime, offence crime, offense crime, ipc crime, charge crime, vehicle type vehicle_type, registered city registered_city,
+    risk group risk_group, risk risk_group, narrative narrative_text, text narrative_text, statement narrative_text,
+    source ref source_ref, source source_ref, document id source_ref"""
+_PAIRS = sorted({(a.rpartition(" ")[0].replace(" ", ""), a.rpartition(" ")[2]) for a in (x.strip() for x in ALIASES.split(","))})
+
 BINDINGS = {
     "persons": f"""
         SELECT 'P' || CAST(c_custkey AS STRING) AS person_id,
@@ -85,4 +100,15 @@ BINDINGS = {
     "name_blocks": "SELECT DISTINCT m.mention, n.name FROM (SELECT mention, EXPLODE(split(mention, ' ')) AS token FROM {name_mentions}) m JOIN (SELECT name, EXPLODE(split(name, ' ')) AS token FROM {persons} GROUP BY name) n ON substr(m.token, 1, 3) = substr(n.token, 1, 3)",
     "name_scores": "SELECT mention, name, CASE WHEN mention = name OR contains(' ' || name || ' ', ' ' || mention || ' ') OR contains(' ' || mention || ' ', ' ' || name || ' ') THEN 100.0 ELSE round(100 * <<jaro_winkler(mention, name) ## jaro_winkler_similarity(mention, name)>>, 4) END AS score FROM {name_blocks}",
     "name_ranked": "SELECT mention, name, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name) AS k, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, name) AS next_score FROM {name_scores} WHERE score >= 85",
+    "aliases": f"SELECT * FROM (VALUES {', '.join(map(str, _PAIRS))}) AS a(compact, field)",
+    "headers": """
+        SELECT c_custkey AS file_id, 1 AS pos, CASE c_custkey % 4 WHEN 0 THEN 'FIR No.' WHEN 1 THEN ' Case-Number ' WHEN 2 THEN 'CaseNo' ELSE 'Ref & Page' END AS header FROM {customer}
+        UNION ALL SELECT c_custkey, 2, CASE c_custkey % 3 WHEN 0 THEN 'Suspect Name' WHEN 1 THEN 'FULL_NAME' ELSE 'accused' END FROM {customer}
+        UNION ALL SELECT c_custkey, 3, CASE c_custkey % 5 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Phone Number' WHEN 2 THEN 'contact no' WHEN 3 THEN 'Person' ELSE 'MSISDN' END FROM {customer}
+        UNION ALL SELECT c_custkey, 4, CASE c_custkey % 2 WHEN 0 THEN 'Police Station' ELSE c_mktsegment END FROM {customer}""",
+    "header_fields": """
+        SELECT file_id, pos, header, CASE WHEN k = 1 THEN field END AS field
+        FROM (SELECT h.file_id, h.pos, h.header, a.field, row_number() OVER (PARTITION BY h.file_id, coalesce(a.field, h.header) ORDER BY h.pos) AS k
+              FROM (SELECT file_id, pos, header, regexp_replace(replace(lower(header), '&', 'and'), '[^a-z0-9]+', '', 'g') AS compact FROM {headers}) h LEFT JOIN {aliases} a ON h.compact = a.compact) r""",
+    "header_choices": "SELECT file_id, pos, CASE file_id % 6 WHEN 0 THEN 'unmapped' WHEN 1 THEN 'location' WHEN 2 THEN 'no_such_field' ELSE 'phone' END AS choice FROM {headers} WHERE pos = 1 + file_id % 4 AND file_id % 6 < 4",
 }
