@@ -62,6 +62,17 @@ def test_quality_rules_base_counts(spark, docs):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_rules_copies_do_not_narrow_the_band(spark):
+    rng = random.Random(3)
+    some = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = [" ".join(rng.sample(some, 120)) for _ in range(30)]
+    rows = [(i, t, "en") for i, t in enumerate(texts + [texts[0]] * 60)] + [(i, "junk " * 9, "en") for i in range(200, 400)]
+    rows += [(500 + i, texts[1], "aa") for i in range(4)] + [(504, texts[2], "aa"), (505, texts[3], "bb"), (506, texts[3], "bb")]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert all(r.kept for r in got if not 200 <= r.doc_id < 400)
+    assert not any(r.kept for r in got if 200 <= r.doc_id < 400)
+
+
 def test_kneser_ney_is_a_distribution(spark, docs):
     model = quality_rules.fit(docs)
     p = 10 ** model.score(["the", "thx", "zzzz"])

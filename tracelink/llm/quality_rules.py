@@ -8,7 +8,8 @@ sorts the finished shares and weights into one hash array for each order.
 
 Every text is scored word by word from a cache, so its cost is one dictionary lookup a word. The bands are
 [q1 - width * (q3 - q1), q3 + width * (q3 - q1)] of log10 perplexity, with the quartiles of each language
-over all of its documents; a document outside its language's band is rejected.
+over its distinct texts that pass the base rules, so copies and junk do not move them, and q3 - q1 counted as
+LEAST_IQR at least; a document outside its language's band is rejected.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ MAX_REPEATED_PERCENT = 50
 #: Width of the band beyond the quartiles, in interquartile ranges. Words' log probabilities average out
 #: over a document, so documents of ordinary prose lie well within it.
 BAND_WIDTH = 2.5
+#: Least interquartile range of a band, in log10 perplexity, so that a language of few or much alike texts keeps a band.
+LEAST_IQR = 0.005
+#: A text with at least this share of its language's rows (and two) is a hot copy, which the model counts once.
+HOT_SHARE = 0.01
 CACHE_WORDS = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -82,6 +88,19 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def without_hot_copies(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """text: all rows, but each hot copy once, so that a much copied text does not bend the model to itself.
+
+    Each language has at most 1 / HOT_SHARE hot texts, so their hashes are broadcast (at most 18,253 * 100 numbers).
+    """
+    rows = docs.select(F.col(text).alias("text"), language(lang).alias("lang_code"), F.xxhash64(text).alias("hash"))
+    counts = rows.groupBy("lang_code", "hash").count()
+    totals = rows.groupBy("lang_code").count().select("lang_code", F.greatest(F.lit(2.0), HOT_SHARE * F.col("count")).alias("least"))
+    hot = materialise(counts.where("count > 1").join(F.broadcast(totals), "lang_code").where("count >= least").select("hash").distinct(), "hot-copies")
+    cold = rows.join(F.broadcast(hot), "hash", "left_anti").select("text")
+    return cold.union(rows.join(F.broadcast(hot), "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")).select("text"))
+
+
 def count_grams(words: DataFrame) -> DataFrame:
     """ord, cell, ctx, suf, at_start, n: the grams of all words with the cells of their context and suffix."""
 
@@ -212,11 +231,11 @@ def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, in
     return len(words), chars, len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes)
 
 
-DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log10_perplexity double"
+DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log10_perplexity double, text_hash_ long"
 
 
 def digest(docs: DataFrame, model: KneserNey, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the base counts and the log10 perplexity a character (null for a text without words)."""
+    """docs with the base counts, the log10 perplexity a character (null for a text without words) and a hash of the text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     token = id(shared), shared.id if hasattr(shared, "id") else 0, model.floor
 
@@ -241,8 +260,8 @@ def digest(docs: DataFrame, model: KneserNey, text: str = "text", drop: tuple[st
                 counts = base_counts(t, words)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED_PERCENT * counts[0]
                 lp = -sum(map(known.__getitem__, words)) / (counts[1] + counts[0]) if words else None
-                rows.append((*counts, failed, lp))
-        return list(zip(*rows)) if rows else [[]] * 7
+                rows.append((*counts, failed, lp, xxhash.xxh64_intdigest(t) - 2**63))
+        return list(zip(*rows)) if rows else [[]] * 8
 
     return add_columns(docs, [text], run, DIGEST, drop)
 
@@ -254,11 +273,14 @@ def language(column: str):
 
 
 def bands(scored: DataFrame, lang: str = "lang", width: float = BAND_WIDTH) -> DataFrame:
-    """lang_code, low, high: the band of log10 perplexity of each language, from all of its documents with words."""
+    """lang_code, low, high: the band of log10 perplexity of each language, from its distinct texts that passed the base rules."""
+    passed = scored.where("log10_perplexity is not null and not base_failed")
+    distinct = passed.groupBy(language(lang).alias("lang_code"), "text_hash_").agg(F.min("log10_perplexity").alias("log10_perplexity"))
     quartiles = F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    found = scored.where("log10_perplexity is not null").groupBy(language(lang).alias("lang_code")).agg(quartiles.alias("q"))
+    found = distinct.groupBy("lang_code").agg(quartiles.alias("q"))
     q1, q3 = F.element_at("q", 1), F.element_at("q", 2)
-    return found.select("lang_code", (q1 - width * (q3 - q1) - 1e-9).alias("low"), (q3 + width * (q3 - q1) + 1e-9).alias("high"))
+    reach = width * F.greatest(q3 - q1, F.lit(LEAST_IQR))
+    return found.select("lang_code", (q1 - reach).alias("low"), (q3 + reach).alias("high"))
 
 
 def judge(scored: DataFrame, lang: str = "lang", width: float = BAND_WIDTH) -> DataFrame:
@@ -270,7 +292,7 @@ def judge(scored: DataFrame, lang: str = "lang", width: float = BAND_WIDTH) -> D
     band = F.broadcast(bands(scored, lang, width))
     joined = scored.withColumn("lang_code", language(lang)).join(band, "lang_code", "left")
     inside = F.col("log10_perplexity").between(F.col("low"), F.col("high"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("text_hash_")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = BAND_WIDTH, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -278,7 +300,8 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width
 
     Null texts count as empty (no words: base_failed). Repeated rows are judged each. An empty table gives none.
     """
-    scored = materialise(digest(docs, fit(docs, text), text, drop), "quality-rules")
+    model = fit(without_hot_copies(docs, text, lang))
+    scored = materialise(digest(docs, model, text, drop), "quality-rules")
     return judge(scored, lang, width)
 
 
