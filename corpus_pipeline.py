@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tracelink.llm import packing, quality_classifier, quality_rules, secret_scan, simhash
 from tracelink.llm.common import materialise
 
-#: 512-bit fingerprints of five-word shingles; 77 differing bits (15 %) stand for a Jaccard similarity of 0.8.
-SHINGLE, FINGERPRINT_WORDS, MOST_BITS = 5, 8, 77
+#: Sets of five-word shingles with a Jaccard similarity of LEAST_SIMILAR are near-duplicates. Their 512-bit fingerprints
+#: differ in 78 bits on average (standard deviation 8), so candidates with up to 110 are compared.
+SHINGLE, FINGERPRINT_WORDS, MOST_BITS, LEAST_SIMILAR = 5, 8, 110, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the first row. Rows are told apart by their place, so null or equal ids do no harm."""
     rows = docs.withColumn("place_of_row", F.monotonically_increasing_id())
-    groups = simhash.near_duplicates(rows, "place_of_row", "text", SHINGLE, FINGERPRINT_WORDS, MOST_BITS)
+    groups = simhash.similar_groups(rows, "place_of_row", "text", SHINGLE, FINGERPRINT_WORDS, MOST_BITS, LEAST_SIMILAR)
     first = materialise(groups.where("place_of_row = component_id").select("place_of_row"), "kept-rows")
     return rows.join(first.hint("merge"), "place_of_row", "left_semi").select(*docs.columns)
 

@@ -1,6 +1,9 @@
 """The pipeline's stages on the smallest tables."""
 
+import random
+
 import corpus_pipeline
+from tracelink.llm import simhash
 from tracelink.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +29,38 @@ def test_near_duplicates_leave_one(spark):
     docs = materialise(docs, "few")
     kept = corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()
     assert len(kept) == 3
+
+
+def similar_pairs(n_pairs: int = 60):
+    """Texts in pairs (2 * i, 2 * i + 1) of 0.70 to 0.90 similarity, and their exact similarity."""
+    rng, texts, exact = random.Random(11), [], []
+    for i in range(n_pairs):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(500)]
+        other = list(words)
+        for at in rng.sample(range(5, 490, 6), 5 + i * 13 // n_pairs):
+            other[at] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(other)]
+        a, b = (set(simhash.shingle_hashes(t.encode(), corpus_pipeline.SHINGLE).tolist()) for t in texts[-2:])
+        exact.append(len(a & b) / len(a | b))
+    return texts, exact
+
+
+def test_near_duplicates_are_decided_on_shingles(spark):
+    texts, exact = similar_pairs()
+    assert sum(x >= 0.8 for x in exact) > 10 and sum(x < 0.8 for x in exact) > 10
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "pairs")
+    kept = {r.doc_id for r in corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()}
+    got = [not {2 * i, 2 * i + 1} <= kept for i in range(len(exact))]
+    assert not any(g for g, x in zip(got, exact) if x < 0.8)
+    near = [g for g, x in zip(got, exact) if x >= 0.8]
+    assert sum(near) >= 0.95 * len(near)
+
+
+def test_verified_links_of_a_group_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 1500)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[:at], "new", *base[at + 1 :]]) for at in range(20, 380, 20)]
+    rows = materialise(spark.createDataFrame(list(enumerate(texts)), "place long, text string"), "tiles")
+    got = simhash.similar_groups(rows, "place", "text", 5, 8, 110, 0.8).collect()
+    assert len(got) == len(texts) and {r.component_id for r in got} == {0}

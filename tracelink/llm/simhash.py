@@ -23,6 +23,8 @@ from tracelink.llm.common import add_columns, materialise, utf8
 TILE = 4096
 SMALL = 48
 SEED = 42
+#: Shingles in a tile of the exact comparison; two tiles (eight bytes a shingle) meet in a task.
+TILE_SHINGLES = 4_000_000
 MAX_ROUNDS = 60
 
 
@@ -118,16 +120,21 @@ def _links(group: np.ndarray, bits: np.ndarray, most: int) -> tuple[list[int], l
     return a, b
 
 
-def near_links(distinct: DataFrame, most: int = 3) -> DataFrame:
+def near_links(distinct: DataFrame, most: int = 3, cuts: int = 1) -> DataFrame:
     """a, b: fingerprints with at most `most` differing bits, enough of them to connect every linked group.
 
+    cuts: how many ways the bytes are paired to blocks; cut c pairs byte i with the byte 2 * c + 1 further on.
+
     distinct has one row for each fp. Every link lies inside one component of the result if the fingerprints
     have more 16-bit blocks than `most`; otherwise links that share no block are missed.
     """
     spark = distinct.sparkSession
     n_blocks = F.length("fp") / 2
-    value = F.expr("cast(conv(hex(substring(fp, 2 * block + 1, 2)), 16, 10) as int)")
-    blocks = distinct.select("fp", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("int"))).alias("block")).withColumn("value", value)
+    # block // n_blocks is the cut
+    second = "(2 * (block % n) + 1 + 2 * cast(block / n as int)) % (2 * n) + 1"
+    value = F.expr(f"cast(conv(concat(hex(substring(fp, 2 * (block % n) + 1, 1)), hex(substring(fp, {second}, 1))), 16, 10) as int)")
+    blocks = distinct.select("fp", n_blocks.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), (cuts * n_blocks - 1).cast("int"))).alias("block"))
+    blocks = blocks.withColumn("value", value).drop("n")
     # at most 65,536 buckets a block, and only those over a tile
     hot = blocks.groupBy("block", "value").count().where(F.col("count") > TILE).select("block", "value", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
     dealt = blocks.join(F.broadcast(hot), ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
@@ -210,5 +217,97 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(named.hint("merge"), marked.fp == named.own).select(doc_id, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def similar_forest(sets: list[np.ndarray], bits: np.ndarray, most: int, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sorted sets with a Jaccard similarity of at least `least`.
+
+    Pairs with over `most` differing bits or too unlike sizes are not compared.
+    """
+    sizes = np.array(list(map(len, sets)), float)
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            own, n = sets[at], sizes[at]
+            near = (_distance(bits[left], bits[at]) <= most) & (np.minimum(sizes[left], n) >= least * np.maximum(sizes[left], n))
+            for i in np.flatnonzero(near):
+                other = sets[left[i]]
+                if n and len(other):
+                    found = np.searchsorted(own, other)
+                    both = int((own[np.minimum(found, len(own) - 1)] == other).sum())
+                    near[i] = both >= least * (n + len(other) - both)
+            if near.any():
+                reached = left[near].tolist()
+                out += [(at, x) for x in reached]
+                todo += reached
+                left = left[~near]
+    return out
+
+
+def verified_links(sets: DataFrame, most: int, least: float) -> DataFrame:
+    """a, b: a spanning forest of the similar pairs in each group of sets(node, root, fp, shingles).
+
+    A group of over TILE_SHINGLES shingles is dealt to tiles that meet pairwise.
+    """
+    groups = sets.groupBy("root").agg(F.sum(F.length("shingles") / 8).alias("total")).where(F.col("total") > TILE_SHINGLES)
+    hot = materialise(groups.select("root", F.ceil(F.col("total") / TILE_SHINGLES).cast("int").alias("tiles")), "hot-groups")
+    dealt = sets.join(F.broadcast(hot), "root", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keys = ["root", "low", "high"]
+    dealt = dealt.select("root", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "node", "fp", "shingles")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        key, nodes, fps, held = None, [], [], []
+
+        def flush():
+            pairs = similar_forest(held, _as_words(fps), most, least) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = [batch.column(k)[i].as_py() for k in range(6)]
+                if row[:3] != key:
+                    yield flush()
+                    key, nodes, fps, held = row[:3], [], [], []
+                nodes.append(row[3])
+                fps.append(row[4])
+                held.append(np.frombuffer(row[5], np.uint64))
+        yield flush()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, doc_id: str, text: str, width: int, words: int, most: int, least: float, cuts: int = 2) -> DataFrame:
+    """doc_id, component_id: groups of rows linked by a Jaccard similarity of their shingle sets of at least `least`.
+
+    docs must be a written table with distinct long ids. Fingerprints of the sets, in `cuts` cuts, only find the candidates
+    (at most `most` differing bits); every link is decided on the sets themselves.
+    """
+
+    def sketch(column):
+        rows = []
+        for t in utf8(column):
+            own = np.unique(shingle_hashes(t, width))
+            rows.append((fingerprint(own, words), xxhash.xxh3_128_digest(own.tobytes())))
+        return list(zip(*rows)) if rows else [[]] * 2
+
+    marked = materialise(add_columns(docs.select(doc_id, text), [text], sketch, "fp binary, same binary", (text,)), "sketches")
+    distinct = materialise(marked.groupBy("fp", "same").agg(F.min(doc_id).alias("node")), "distinct-sketches")
+    links = components(near_links(distinct.select("fp").distinct(), most, cuts))
+    rooted = distinct.join(links.hint("merge"), distinct.fp == links.node, "left").select(distinct.node, "fp", "same", F.coalesce("root", "fp").alias("root"))
+    rooted = materialise(rooted, "rooted-sketches")
+    several = rooted.groupBy("root").count().where("count > 1").select("root")
+    asked = materialise(rooted.join(several.hint("shuffle_hash"), "root").select("node", "root", "fp"), "candidates")
+    found = docs.select(F.col(doc_id).alias("node"), text).join(asked.hint("shuffle_hash"), "node")
+    sets = add_columns(found, [text], lambda c: [[np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(c)]], "shingles binary", (text,))
+    sets = materialise(sets.select("node", "root", "fp", "shingles"), "shingle-sets")
+    linked = components(verified_links(sets, most, least)).withColumnRenamed("node", "own")
+    named = distinct.join(linked.hint("merge"), distinct.node == linked.own, "left")
+    named = materialise(named.select("fp", "same", F.coalesce("root", distinct.node).alias("component_id")), "named-sketches")
+    return marked.join(named.hint("merge"), ["fp", "same"]).select(doc_id, "component_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
