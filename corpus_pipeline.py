@@ -29,8 +29,11 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the first row. Rows are told apart by their place, so null or equal ids do no harm."""
-    rows = docs.withColumn("place_of_row", F.monotonically_increasing_id())
+    """One document of each group of near-duplicates: the first row. Rows are told apart by their place, so null or equal ids do no harm.
+
+    Places are written once, since another scan may split the files otherwise and number the rows anew.
+    """
+    rows = materialise(docs.withColumn("place_of_row", F.monotonically_increasing_id()), "placed-rows")
     groups = simhash.similar_groups(rows, "place_of_row", "text", SHINGLE, FINGERPRINT_WORDS, MOST_BITS, LEAST_SIMILAR)
     first = materialise(groups.where("place_of_row = component_id").select("place_of_row"), "kept-rows")
     return rows.join(first.hint("merge"), "place_of_row", "left_semi").select(*docs.columns)

@@ -64,3 +64,23 @@ def test_verified_links_of_a_group_in_tiles(spark, monkeypatch):
     rows = materialise(spark.createDataFrame(list(enumerate(texts)), "place long, text string"), "tiles")
     got = simhash.similar_groups(rows, "place", "text", 5, 8, 110, 0.8).collect()
     assert len(got) == len(texts) and {r.component_id for r in got} == {0}
+
+
+def test_near_duplicates_when_files_are_split_anew(spark, monkeypatch):
+    texts = [" ".join(f"w{i // 2}x{k}" for k in range(300)) for i in range(80)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    docs = materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8), "split")
+    groups, name = simhash.similar_groups, "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+
+    def and_split(*args):
+        found = materialise(groups(*args), "groups")
+        spark.conf.set(name, "2000")
+        return found
+
+    monkeypatch.setattr(simhash, "similar_groups", and_split)
+    try:
+        kept = [r.doc_id // 2 for r in corpus_pipeline.remove_near_duplicates(spark, docs, SF).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(kept) == list(range(40))
