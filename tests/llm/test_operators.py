@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracelink.llm import ann, byte_bpe, packing, ppm, quality_classifier, quality_rules, secret_scan, simhash, token_counts, url_filter
+from tracelink.llm import ann, byte_bpe, packing, quality_classifier, quality_rules, secret_scan, simhash, token_counts, url_filter
 
 DOCS = "doc_id long, text string, lang string, extra string, score double, fp string, kept string"
 PROSE = "the quick brown fox jumps over the lazy dog and then it sleeps under a warm tree near the old river bank . "
@@ -73,75 +73,6 @@ def test_quality_rules_copies_do_not_narrow_the_band(spark):
     assert not any(r.kept for r in got if 200 <= r.doc_id < 400)
 
 
-def test_kneser_ney_is_a_distribution(spark, docs):
-    model = quality_rules.fit(docs)
-    p = 10 ** model.score(["the", "thx", "zzzz"])
-    assert p[0] > p[1] > p[2] > 0
-    assert quality_rules.quality_rules(docs.limit(0)).count() == 0
-
-
-def test_kneser_ney_against_brute_force(spark):
-    """The Spark-counted arrays give the textbook recursion's probabilities, with grams told apart by their characters."""
-    rng = random.Random(9)
-    some = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 8))) for _ in range(300)]
-    model = quality_rules.fit(spark.createDataFrame([(" ".join(some[i : i + 7]),) for i in range(0, 300, 7)], "text string"))
-    top, n = quality_rules.ORDER, [Counter() for _ in range(quality_rules.ORDER + 1)]
-    for w in some:
-        s = f"<{w}>"
-        for end in range(2, len(s) + 1):
-            for k in range(1, min(top, end) + 1):
-                n[k][s[end - k : end]] += 1
-    adjusted = [Counter() for _ in n]
-    for k in range(1, top + 1):
-        for g, c in n[k].items():
-            adjusted[k][g] = c if k == top or g[0] == "<" else sum(x[1:] == g for x in n[k + 1])
-    cut = [None] + [quality_rules.discounts(tuple(sum(v == i for v in adjusted[k].values()) for i in range(1, 5))) for k in range(1, top + 1)]
-
-    def p(gram):
-        if not gram:
-            return 1 / (len(n[1]) + 1)
-        k, same = len(gram), [v for g, v in adjusted[len(gram)].items() if g[:-1] == gram[:-1]]
-        if not same:
-            return p(gram[1:])
-        own = adjusted[k][gram]
-        share = (own - cut[k][min(own, 3) - 1]) / sum(same) if own else 0
-        return share + sum(cut[k][min(v, 3) - 1] for v in same) / sum(same) * p(gram[1:])
-
-    asked = ["abc", "dddd", "a", "xyz", "abcdabcd"]
-    want = [sum(math.log10(p(f"<{w}>"[max(0, e - top) : e])) for e in range(2, len(w) + 3)) for w in asked]
-    assert model.score(asked) == pytest.approx(want, rel=1e-4)
-
-
-def test_ppm_against_brute_force(spark, docs, monkeypatch):
-    monkeypatch.setattr(ppm, "RUN_WORDS", 17)
-    monkeypatch.setattr(ppm, "FREQUENT", 5)
-    got = ppm.score_documents(docs)
-    rows = docs.select("doc_id", "text").collect()
-    train = Counter()
-    for i, t in rows:
-        if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
-            train.update(words(lower(t)))
-            train[""] += 1
-    n, v = sum(train.values()), len(train)
-    assert got.count() == len(rows)
-    by_id = {r.doc_id: r for r in got.collect()}
-    for i, t in rows:
-        tokens, r = words(lower(t)) + [""], by_id[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(tokens), sum(train[w] > 0 for w in tokens), n)
-        assert r.base_score == pytest.approx(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
-        assert r.score < 0 and math.isfinite(r.score)
-
-
-def test_ppm_probabilities_sum_to_one():
-    contexts = [(k, c * 257 + s, n) for k, c, s, n in ((0, 0, 97, 3), (0, 0, 98, 1), (1, 32, 97, 2), (2, 32, 97, 2))]
-    k, key, n = (np.array(x) for x in zip(*contexts))
-    short = ppm.ShortContexts(k, key, n)
-    every = np.arange(257)
-    p = 10 ** short.log10(np.full(257, 32), every, np.zeros(257), np.zeros(257))
-    assert p.sum() == pytest.approx(1)
-    assert ppm.adaptive_bits(b"abababababab") < ppm.adaptive_bits(b"qzjxkvwpyfgh")
-
-
 def test_nearest_recall_and_edges(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 8)).round(1).astype(float)

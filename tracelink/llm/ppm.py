@@ -1,17 +1,13 @@
 """Language-model scoring by prediction by partial matching over bytes.
 
-Texts are read as tokens (A-Z lower-cased words, then one end), each spelt as its bytes and a terminator. The context
-of a byte is, from longest to shortest: the token's whole prefix (up to DEPTH bytes), its last two bytes, the last
-one, none, and at last all 257 symbols alike. Escapes from a prefix are estimated from the corpus by leaving occurrences out
-(class Escapes); one from a shorter context costs U / (T + U) (T occurrences, U different symbols in it). Symbols that a longer context could have coded are excluded from the shorter ones. As contexts end at the
-token's start, a token always has the same code length, so each distinct token is scored once.
-
-The trie of prefixes is never in one place. Distinct tokens are range-partitioned in byte order, so a trie node is a
-run of rows; nodes that neighbouring runs share are few (RUNS bounds the runs), and their counts are exchanged in a
-small table first. The shorter contexts are sent to all tasks: those of two bytes have at most 65,536 * 257 counts,
-however large the corpus is.
-
-`adaptive_bits` is the adaptive form: one text is coded by what came before in it.
+A text is read as its bytes (A-Z lower-cased) and an end. The context of a byte is the ORDER bytes before it, whatever
+they are, white space among them; from there it backs off to four, three, two, one and no bytes and at last to all
+257 symbols alike. Each context that does not hold the symbol costs its escape, and its symbols are excluded from the
+shorter ones. The escape from a longest context is estimated from the corpus by leaving out each occurrence in turn
+(class Escapes); that from a shorter one costs U / (T + U), with T occurrences and U different symbols left in it.
+
+The trie of contexts and how texts are scored by it is told in byte_grams.py: it is never in one place and grows with
+the corpus. `adaptive_bits` is the adaptive form: one text is coded by what came before in it.
 """
 
 from __future__ import annotations
@@ -25,15 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.common import materialise, utf8
+from tracelink.llm.byte_grams import BITS, END, SYMBOLS, count_grams, frequent, group, in_groups, low, text_scores
+from tracelink.llm.common import add_columns, materialise, utf8
 
-DEPTH = 12
-STOP = 256  # the terminator; as first symbol of a token: the text's end
-SYMBOLS = 257
-RUN_WORDS, RUNS = 150_000, 2000
-FREQUENT = 50_000
-#: Bits of the code of the last bytes by context length.
-BITS = (0, 8, 16)
+#: Tokens whose counts go to every task.
+FREQUENT = 200_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -46,307 +38,137 @@ def held_out(doc_id: str):
 
 
 def count_tokens(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """word (binary; empty: the end), c: occurrences in the training texts, 0 for words that only other texts hold."""
+    """word (binary; empty: the end), c: occurrences in the training texts, n: in all."""
 
     def run(batches):
         for batch in batches:
             seen: Counter = Counter()
-            other: set[bytes] = set()
+            other: Counter = Counter()
             for t, out in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                if out:
-                    other.update(tokens(t))
-                else:
-                    seen.update(tokens(t))
-                    seen[b""] += 1
-            other.difference_update(seen)
-            words = [*seen, *other]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([*seen.values(), *[0] * len(other)], pa.int64())], names=["word", "c"])
-
-    made = docs.select(F.col(text).alias("t"), held_out(doc_id).alias("o")).mapInArrow(run, "word binary, c long")
-    return made.groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every symbol of the words with their terminators: its word's index, the symbol, and the code of the bytes before it."""
-    joined = np.frombuffer(b"".join([b"\x00 " + w + b"\x00" for w in words]), np.uint8).astype(np.int64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
-    ends = np.cumsum(lengths)
-    keep = np.ones(len(joined), bool)
-    for k in range(2):
-        keep[ends - lengths + k] = False
-    at = np.flatnonzero(keep)
-    symbols = joined.copy()
-    symbols[ends - 1] = STOP
-    code = joined[at - 1] | joined[at - 2] << 8
-    return np.repeat(np.arange(len(words)), lengths - 2), symbols[at], code
-
-
-def count_short_contexts(words: DataFrame) -> DataFrame:
-    """k (context length 0 to 2), key (context * 257 + symbol), n."""
+                counts = other if out else seen
+                counts.update(tokens(t))
+                counts[b""] += 1
+            words = [*(seen | other)]
+            c = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+            n = c + np.fromiter(map(other.__getitem__, words), np.int64, len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c), pa.array(n)], names=["word", "c", "n"])
 
-    def run(batches):
-        for batch in batches:
-            c = batch.column(1).to_numpy(zero_copy_only=False)
-            some = np.flatnonzero(c > 0)
-            if not len(some):
-                continue
-            index, symbol, pair = spelt(batch.column(0).take(pa.array(some)).to_pylist())
-            for k, bits in enumerate(BITS):
-                key, back = np.unique((pair & (1 << bits) - 1) * SYMBOLS + symbol, return_inverse=True)
-                n = np.bincount(back, c[some][index].astype(float)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array(key), pa.array(n)], names=["k", "key", "n"])
-
-    return words.select("word", "c").mapInArrow(run, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
-
-
-class ShortContexts:
-    """Counts after up to two bytes: by order the sorted keys, and of each context its occurrences, its different symbols and
-    how often the next shorter context has these symbols."""
-
-    def __init__(self, k: np.ndarray, key: np.ndarray, n: np.ndarray):
-        self.top = int(k.max(initial=0))
-        self.orders: list[tuple[np.ndarray, ...]] = []
-        for order in range(self.top + 1):
-            own, times = key[k == order], n[k == order].astype(float)
-            by_key = np.argsort(own)
-            own, times = own[by_key], times[by_key]
-            contexts, back = np.unique(own // SYMBOLS, return_inverse=True)
-            shorter = self.count(order - 1, own // SYMBOLS, own % SYMBOLS) if order else np.zeros(len(own))
-            sums = (np.bincount(back, x, len(contexts)) for x in (times, np.ones(len(own)), shorter))
-            self.orders.append((own, times, contexts, *sums))
-
-    def count(self, order: int, code: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        keys, counts = self.orders[order][:2]
-        if not len(keys):
-            return np.zeros(len(symbol))
-        key = (code & (1 << BITS[order]) - 1) * SYMBOLS + symbol
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where(keys[at] == key, counts[at], 0.0)
-
-    def log10(self, code: np.ndarray, symbol: np.ndarray, over: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-        """Log probability after an escape from a context whose symbols occur `over` times in the longest one here and are of `kinds` kinds."""
-        out = np.zeros(len(symbol))
-        open_ = np.arange(len(symbol))
-        for order in range(self.top, -1, -1):
-            contexts, totals, different, overs = self.orders[order][2:]
-            if not len(contexts):
-                continue
-            here = code[open_] & (1 << BITS[order]) - 1
-            at = np.minimum(np.searchsorted(contexts, here), len(contexts) - 1)
-            there = contexts[at] == here
-            c = self.count(order, here, symbol[open_])
-            fresh = np.where(there, different[at], 0) - kinds[open_]
-            base = np.where(there, totals[at], 0) - over[open_] + fresh
-            hit = c > 0
-            value = np.where(hit, c, fresh)
-            usable = (base > 0) & (value > 0)
-            out[open_[usable]] += np.log10(value[usable] / base[usable])
-            over[open_], kinds[open_] = np.where(there, overs[at], 0), np.where(there, different[at], 0)
-            open_ = open_[~hit]
-        out[open_] -= np.log10(SYMBOLS - kinds[open_])
-        return out
-
-
-def _prefixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    deep = min(int(lengths.max(initial=0)), DEPTH)
-    grid = np.zeros((len(words), deep + 1), np.int16)
-    cut = np.minimum(lengths, deep)
-    grid[np.arange(deep + 1) < cut[:, None]] = np.frombuffer(b"".join([w[:deep] for w in words]), np.uint8)
-    return grid, lengths
-
-
-def _levels(words: list[bytes]):
-    """For each depth: rows with so long a prefix, whether each begins a node, and its next symbol (STOP where it ends)."""
-    grid, lengths = _prefixes(words)
-    same = np.ones(max(len(words) - 1, 0), bool)
-    for depth in range(DEPTH):
-        rows = np.flatnonzero(lengths >= depth)
-        if not len(rows):
-            return
-        if depth:
-            same &= grid[1:, depth - 1] == grid[:-1, depth - 1]
-            same &= (lengths[1:] >= depth) & (lengths[:-1] >= depth)
-        begins = np.append(True, ~same)[rows]
-        begins[0] = True
-        yield depth, rows, begins, np.where(lengths[rows] == depth, STOP, grid[rows, depth])
-
-
-def shared_nodes(words: list[bytes], c: np.ndarray) -> list[tuple[bytes, int, int]]:
-    """prefix, symbol, count of the nodes that hold the first or last word, which neighbouring runs may share."""
-    out = []
-    for depth, rows, begins, symbol in _levels(words):
-        starts = np.flatnonzero(begins)
-        of_first = {(0, int(starts[1]) if len(starts) > 1 else len(rows))} if rows[0] == 0 else set()
-        of_last = {(int(starts[-1]), len(rows))} if rows[-1] == len(words) - 1 else set()
-        for a, b in of_first | of_last:
-            kinds, back = np.unique(symbol[a:b], return_inverse=True)
-            n = np.bincount(back, c[rows[a:b]].astype(float)).astype(int)
-            out += [(words[rows[a]][:depth], int(s), int(x)) for s, x in zip(kinds, n)]
-    return out
+    made = docs.select(F.col(text).alias("t"), held_out(doc_id).alias("o")).mapInArrow(run, "word binary, c long, n long")
+    return made.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 class Escapes:
-    """How often a context is left for a shorter one, by the class of a trie node: its occurrences (as a power of two), its
-    different symbols (up to 4) and whether its parent has occurred as often. Estimated by leaving out each occurrence in
-    turn: a symbol that a node has once is then new there."""
+    """How often a longest context is left, by its occurrences (as a power of two) and different symbols (up to 7), estimated
+    by leaving out each occurrence in turn: a symbol that a context has once is then new there."""
 
-    SHAPE = (24, 5, 2)
+    SHAPE = (40, 8)
+    SIZE = 320
 
     def __init__(self, fresh: np.ndarray, events: np.ndarray):
         self.rate = (fresh + 1) / (events + 2)
 
     @staticmethod
-    def classes(total: np.ndarray, kinds: np.ndarray, lone: np.ndarray) -> np.ndarray:
-        power = np.minimum(np.frexp(np.maximum(total, 1))[1], Escapes.SHAPE[0] - 1)
-        return np.ravel_multi_index((power, np.minimum(kinds, 4).astype(int), lone.astype(int)), Escapes.SHAPE)
+    def classes(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        power = np.minimum(np.frexp(np.maximum(total, 1).astype(float))[1], Escapes.SHAPE[0] - 1)
+        return power * Escapes.SHAPE[1] + np.minimum(kinds, Escapes.SHAPE[1] - 1).astype(int)
+
+    def of(self, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return self.rate[self.classes(total, kinds)]
+
+
+class Contexts:
+    """Counts of the contexts of one length: by gram, and by context its occurrences, its different symbols and how often the
+    next shorter context has these symbols."""
+
+    def __init__(self, grams: np.ndarray, c: np.ndarray, shorter: np.ndarray):
+        self.grams, self.c = grams, c
+        self.contexts, back = group(grams >> BITS)
+        n = len(self.contexts)
+        seen = c > 0
+        self.total = np.bincount(back, c, n)
+        self.kinds = np.bincount(back, seen, n)
+        self.over = np.bincount(back, np.where(seen, shorter, 0), n)
+
+    def of(self, grams: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The grams' count, and their context's occurrences, different symbols and excess for the next shorter one."""
+        return (_look(self.grams, self.c, grams), *(_look(self.contexts, x, grams >> BITS) for x in (self.total, self.kinds, self.over)))
+
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0.0)
+
+
+def context_orders(grams: np.ndarray, c: np.ndarray, n_symbols: int, shorter: list[Contexts]) -> list[Contexts]:
+    """The contexts of grams of n_symbols and of all shorter ones down to those that `shorter` (by context length) has."""
+    sums = []
+    for k in range(n_symbols, len(shorter), -1):
+        own, back = group(grams & low(k))
+        sums.append((own, np.bincount(back, c, len(own))))
+    out = list(shorter)
+    for own, times in reversed(sums):
+        k = len(out)
+        out.append(Contexts(own, times, _look(out[-1].grams, out[-1].c, own & low(k)) if out else np.zeros(len(own))))
+    return out
 
-    def of(self, total: np.ndarray, kinds: np.ndarray, lone: np.ndarray) -> np.ndarray:
-        return self.rate[self.classes(total, kinds, lone)]
 
-    @staticmethod
-    def tally(total: np.ndarray, kinds: np.ndarray, lone: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Events of nodes (with `single` symbols that occurred once) when each occurrence is left out: those new, and all."""
-        size = int(np.prod(Escapes.SHAPE))
-        some = total > 1
-        total, kinds, lone, single = total[some], kinds[some], lone[some], single[some]
-        fresh = np.bincount(Escapes.classes(total - 1, kinds - 1, lone), single, size)
-        return fresh, fresh + np.bincount(Escapes.classes(total - 1, kinds, lone), total - single, size)
-
-
-def _nodes(words: list[bytes], c: np.ndarray, shared: dict[bytes, dict[int, int]]):
-    """For each depth: rows, edge of each row, node, symbol and count of each edge, totals and kinds of each node, whether the
-    parent has occurred as often, and the nodes that may go on in other runs with their whole counts."""
-    totals_above = row_above = None
-    for depth, rows, begins, symbol in _levels(words):
-        node = np.cumsum(begins) - 1
-        edge_begins = begins.copy()
-        edge_begins[1:] |= symbol[1:] != symbol[:-1]
-        edges = np.flatnonzero(edge_begins)
-        count = np.add.reduceat(c[rows].astype(float), edges)
-        of, sym = node[edges], symbol[edges].astype(np.int64)
-        starts = np.flatnonzero(begins)
-        n = len(starts)
-        whole = {k: x for k in {0, n - 1} if (x := shared.get(words[rows[starts[k]]][:depth]))}
-        for k, x in whole.items():
-            mine = np.flatnonzero(of == k)
-            count[mine] = [x.get(int(s), 0) for s in sym[mine]]
-        total, kinds = np.bincount(of, count, n), np.bincount(of, count > 0, n)
-        for k, x in whole.items():
-            total[k], kinds[k] = sum(x.values()), sum(v > 0 for v in x.values())
-        lone = totals_above[row_above[rows[starts]]] == total if depth else np.zeros(n, bool)
-        totals_above, row_above = total, np.zeros(len(words), np.int64)
-        row_above[rows] = node
-        yield depth, rows, np.cumsum(edge_begins) - 1, of, sym, count, total, kinds, lone, rows[starts], whole
-
-
-def tally_run(words: list[bytes], c: np.ndarray, shared: dict[bytes, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The events of the nodes that lie in this run alone."""
-    size = int(np.prod(Escapes.SHAPE))
-    fresh, events = np.zeros(size), np.zeros(size)
-    for _, _, _, of, _, count, total, kinds, lone, _, whole in _nodes(words, c, shared):
-        single = np.bincount(of, count == 1, len(total)).astype(float)
-        own = np.ones(len(total), bool)
-        own[list(whole)] = False
-        f, e = Escapes.tally(total[own], kinds[own], lone[own], single[own])
-        fresh += f
-        events += e
-    return fresh, events
-
-
-def tally_shared(shared: dict[bytes, dict[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """The events of the nodes that runs may share; the parents of such nodes are among them."""
-    total = {p: sum(x.values()) for p, x in shared.items()}
-    columns = [(total[p], sum(v > 0 for v in x.values()), bool(p) and total.get(p[:-1]) == total[p], sum(v == 1 for v in x.values())) for p, x in shared.items()]
-    t, k, lone, single = (np.array(x, float) for x in zip(*columns)) if columns else (np.zeros(0),) * 4
-    return Escapes.tally(t, k, lone, single)
-
-
-def score_run(words: list[bytes], c: np.ndarray, short: ShortContexts, shared: dict[bytes, dict[int, int]], escapes: Escapes) -> np.ndarray:
-    """log10 probability of each word of a sorted run with its terminator."""
-    out = np.zeros(len(words))
-    index, symbols, pairs = spelt(words)
-    first = np.flatnonzero(np.append(True, np.diff(index) != 0))
-    for depth, rows, edge_of_row, of, sym, count, total, kinds, lone, begins, whole in _nodes(words, c, shared):
-        pair = pairs[first[begins] + depth][of]
-        seen = count > 0
-        over = np.bincount(of, np.where(seen, short.count(short.top, pair, sym), 0.0), len(total))
-        for k, x in whole.items():
-            s = np.array([y for y, v in x.items() if v > 0], np.int64)
-            over[k] = short.count(short.top, np.full(len(s), pairs[first[begins[k]] + depth]), s).sum()
-        leave = escapes.of(total, kinds, lone)
-        value = np.zeros(len(sym))
-        value[seen] = np.log10(count[seen] / total[of[seen]] * (1 - leave[of[seen]]))
-        rest = np.flatnonzero(~seen)
-        known = total[of[rest]] > 0
-        escape = np.where(known, np.log10(leave[of[rest]]), 0.0)
-        value[rest] = escape + short.log10(pair[rest], sym[rest], np.where(known, over[of[rest]], 0.0), np.where(known, kinds[of[rest]], 0.0))
-        out[rows] += value[edge_of_row]
-    place = np.arange(len(index)) - first[index]
-    tail = np.flatnonzero(place >= DEPTH)
-    if len(tail):
-        out += np.bincount(index[tail], short.log10(pairs[tail], symbols[tail], np.zeros(len(tail)), np.zeros(len(tail))), len(words))
+def gram_scores(grams: np.ndarray, orders: list[Contexts], escapes: Escapes) -> np.ndarray:
+    """log10 probability of the last symbol of each gram after the others; orders are the contexts by length."""
+    out = np.zeros(len(grams))
+    open_ = np.arange(len(grams))
+    over, kinds = np.zeros(len(grams)), np.zeros(len(grams))
+    for length in range(len(orders) - 1, -1, -1):
+        count, total, different, above = orders[length].of(grams[open_] & low(length + 1))
+        left, fresh = total - over[open_], different - kinds[open_]
+        hit = (count > 0) & (left > 0)
+        if length == len(orders) - 1:
+            leave = escapes.of(total, different)
+        else:
+            leave = fresh / np.maximum(left + fresh, 1)
+        out[open_[hit]] += np.log10(count[hit] / left[hit] * (1 - leave[hit]))
+        escaped = ~hit & (left > 0)
+        out[open_[escaped]] += np.log10(leave[escaped])
+        over[open_], kinds[open_] = above, different
+        open_ = open_[~hit]
+    out[open_] -= np.log10(SYMBOLS - kinds[open_])
     return out
 
 
-def _by_run(batches):
-    """The sorted runs of a stream: (words, counts)."""
-    run, words, counts = None, [], []
-    for batch in batches:
-        runs = batch.column(0).to_numpy(zero_copy_only=False)
-        edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
-        w, c = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        for a, b in zip(edges, edges[1:]):
-            if b > a:
-                if runs[a] != run and words:
-                    yield words, np.array(counts)
-                    words, counts = [], []
-                run = runs[a]
-                words += w[a:b]
-                counts += c[a:b]
-    if words:
-        yield words, np.array(counts)
-
-
-def score_tokens(counted: DataFrame) -> DataFrame:
-    """word, c, lp: the log10 probability of every token of a written count table."""
+def score_grams(counted: DataFrame) -> DataFrame:
+    """gram, n, lp: the log10 probability of every gram of a written count table gram, c, n."""
     spark = counted.sparkSession
-    n = counted.count()
-    width = max(RUN_WORDS, -(-n // RUNS))
-    runs = counted.repartitionByRange(max(1, -(-n // width)), "word").sortWithinPartitions("word")
-    runs = materialise(runs.select(F.spark_partition_id().alias("run"), "word", "c"), "sorted-tokens")
-    table = count_short_contexts(counted).toArrow()
-    short = spark.sparkContext.broadcast(ShortContexts(*(table.column(x).to_numpy() for x in ("k", "key", "n"))))
-
-    def ends(batches):
-        for words, c in _by_run(batches):
-            rows = shared_nodes(words, c)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64()))], names=["prefix", "symbol", "n"])
-
-    met = runs.mapInArrow(ends, "prefix binary, symbol int, n long").groupBy("prefix", "symbol").agg(F.sum("n").alias("n"), F.count("*").alias("times"))
-    shared: dict[bytes, dict[int, int]] = {}
-    for prefix, symbol, k in zip(*(met.toArrow().column(x).to_pylist() for x in ("prefix", "symbol", "n"))):
-        shared.setdefault(prefix, {})[symbol] = k
-    nodes = spark.sparkContext.broadcast(shared)
-
-    def tally(batches):
-        for words, c in _by_run(batches):
-            fresh, events = tally_run(words, c, nodes.value)
-            some = np.flatnonzero(events)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(fresh[some]), pa.array(events[some])], names=["class", "fresh", "events"])
-
-    told = runs.mapInArrow(tally, "class long, fresh double, events double").groupBy("class").agg(F.sum("fresh").alias("fresh"), F.sum("events").alias("events")).toArrow()
-    fresh, events = tally_shared(shared)
-    np.add.at(fresh, told.column("class").to_numpy(), told.column("fresh").to_numpy())
-    np.add.at(events, told.column("class").to_numpy(), told.column("events").to_numpy())
+    # at most 258**2 * 257 rows
+    table = counted.groupBy(F.col("gram").bitwiseAND(low(3)).alias("gram")).agg(F.sum("c").alias("c")).where("c > 0").toArrow()
+    short = context_orders(table.column("gram").to_numpy(), table.column("c").to_numpy().astype(float), 3, [])
+    shared = spark.sparkContext.broadcast(short)
+
+    def tally(part: pa.Table) -> pa.Table:
+        """Events of the longest contexts when each occurrence is left out: those new, and all."""
+        grams, c = part.column("gram").to_numpy(), part.column("c").to_numpy()
+        grams, c = grams[c > 0], c[c > 0]
+        contexts, back = group(grams >> BITS)
+        total, kinds, once = (np.bincount(back, x, len(contexts)) for x in (c, np.ones(len(c)), c == 1))
+        some = total > 1
+        total, kinds, once = total[some], kinds[some], once[some]
+        fresh = np.bincount(Escapes.classes(total - 1, kinds - 1), once, Escapes.SIZE)
+        events = fresh + np.bincount(Escapes.classes(total - 1, kinds), total - once, Escapes.SIZE)
+        at = np.flatnonzero(events)
+        return pa.table([pa.array(at), pa.array(fresh[at].astype(float)), pa.array(events[at].astype(float))], names=["class", "fresh", "events"])
+
+    told = in_groups(counted, tally, "class long, fresh double, events double").groupBy("class").agg(F.sum("fresh").alias("fresh"), F.sum("events").alias("events")).toArrow()
+    fresh, events = np.zeros(Escapes.SIZE), np.zeros(Escapes.SIZE)
+    fresh[told.column("class").to_numpy()] = told.column("fresh").to_numpy()
+    events[told.column("class").to_numpy()] = told.column("events").to_numpy()
     escapes = Escapes(fresh, events)
 
-    def score(batches):
-        for words, c in _by_run(batches):
-            lp = score_run(words, c, short.value, nodes.value, escapes)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(lp)], names=["word", "c", "lp"])
+    def score(part: pa.Table) -> pa.Table:
+        grams, c = part.column("gram").to_numpy(), part.column("c").to_numpy().astype(float)
+        lp = gram_scores(grams, context_orders(grams, c, 6, shared.value), escapes)
+        return pa.table([part.column("gram"), part.column("n"), pa.array(lp)], names=["gram", "n", "lp"])
 
-    return runs.mapInArrow(score, "word binary, c long, lp double")
+    return in_groups(counted, score, "gram long, n long, lp double")
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,63 +180,67 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     counted = materialise(count_tokens(docs, doc_id, text), "tokens")
     train, kinds = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scored = materialise(score_tokens(counted), "scored-tokens")
     norm = math.log10(train + 0.5 * (kinds + 1))
-    top = scored.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
-    frequent = dict(zip(top.column("word").to_pylist(), zip(top.column("c").to_pylist(), top.column("lp").to_pylist())))
-    shared = spark.sparkContext.broadcast(frequent)
+    grams = materialise(count_grams(docs, F.col(text), ~held_out(doc_id), bytes.lower), "grams")
+    scored = materialise(score_grams(grams), "scored-grams")
+    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    often = dict(zip(top.column("word").to_pylist(), [(float(c > 0), math.log10(c + 0.5)) for c in top.column("c").to_pylist()]))
+    shared = spark.sparkContext.broadcast((often, frequent(scored)))
 
     def run(batches):
-        often = {w: (float(c > 0), lp, math.log10(c + 0.5)) for w, (c, lp) in shared.value.items()}
-        names = ["doc_id", "tag", "word", "tf", "n_tokens", "n_known", "lp", "lc", "rows"]
+        """A row for each text with what the frequent tokens and grams give, and one for each other term: a token, or a blank
+        and a gram (tokens hold no blank)."""
+        often, known = shared.value
+        names = ["doc_id", "tag", "term", "tf", "n_tokens", "n_known", "lp", "lc", "rows"]
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                which, word, tf, head = [], [], [], []
-                tags = []
-                for k, t in enumerate(utf8(part.column(1))):
-                    words = tokens(t)
-                    counts = Counter(words)
+                texts = [t.lower() for t in utf8(part.column(1))]
+                sums, who, rest = text_scores(texts, known)
+                which, term, tf = [], [], []
+                odd: Counter = Counter(zip(who.tolist(), rest.tolist()))
+                for (k, gram), n in odd.items():
+                    which.append(k)
+                    term.append(b" %d" % gram)
+                    tf.append(n)
+                n_rare = len(term)
+                head = []
+                for k, t in enumerate(texts):
+                    counts = Counter(t.split())
                     counts[b""] += 1
-                    known = lp = lc = 0.0
-                    rare = 0
+                    known_here = lc = 0.0
                     for w, n in counts.items():
                         x = often.get(w)
                         if x is None:
-                            word.append(w)
+                            which.append(k)
+                            term.append(w)
                             tf.append(n)
-                            rare += 1
                         else:
-                            known += n * x[0]
-                            lp += n * x[1]
-                            lc += n * x[2]
-                    which += [k] * (rare + 1)
-                    tag = xxhash.xxh64_intdigest(t, 11) - (1 << 63)
-                    tags += [tag] * (rare + 1)
-                    word.append(b"\x00 %d" % (tag & 0xFFFFFFFF))  # never a token: it holds a space
-                    tf.append(0)
-                    head.append((len(word) - 1, len(words) + 1, int(known), lp, lc))
-                at = np.array([h[0] for h in head])
-                columns = []
-                for j, kind in ((1, np.int64), (2, np.int64), (3, float), (4, float)):
-                    x = np.zeros(len(word), kind)
-                    x[at] = [h[j] for h in head]
-                    columns.append(pa.array(x))
-                rows = np.zeros(len(word), np.int64)
-                rows[at] = 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(which)), pa.array(tags, pa.int64()), pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *columns, pa.array(rows)], names=names)
+                            known_here += n * x[0]
+                            lc += n * x[1]
+                    head.append((counts.total(), int(known_here), lc))
+                n_rare = len(term)
+                tags = np.array([xxhash.xxh64_intdigest(t, 11) - (1 << 63) for t in texts], np.int64)
+                n_texts = len(texts)
+                which += range(n_texts)
+                term += [b" t%d" % (x & 0xFFFFFFFF) for x in tags.tolist()]
+                pad = [np.zeros(n_rare, np.int64)]
+                tokens_, known_, lc_ = (np.array(x) for x in zip(*head))
+                columns = [np.array(tf + [0] * n_texts, np.int64), *(np.concatenate([*pad, x]) for x in (tokens_, known_, sums, lc_)), np.concatenate([*pad, np.ones(n_texts, np.int64)])]
+                at = np.array(which)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), pa.array(tags[at]), pa.array(term, pa.binary()), *map(pa.array, columns)], names=names)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    made = docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, tag long, word binary, tf long, n_tokens long, n_known long, lp double, lc double, rows long")
-    rare = scored.select(F.col("word").alias("own"), "c", F.col("lp").alias("own_lp"))
-    met = made.join(rare.hint("shuffle_hash"), F.col("word") == F.col("own"), "left")
-    c = F.coalesce("c", F.lit(0))
-    of_rare = lambda x: F.when(F.col("tf") > 0, F.col("tf") * x).otherwise(F.lit(0))
+    made = docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, tag long, term binary, tf long, n_tokens long, n_known long, lp double, lc double, rows long")
+    of_tokens = counted.select(F.col("word").alias("own"), F.when(F.col("c") > 0, 1).otherwise(0).alias("own_known"), F.lit(0.0).alias("own_lp"), F.log10(F.col("c") + 0.5).alias("own_lc"))
+    of_grams = scored.select(F.concat(F.lit(" "), F.col("gram").cast("string")).cast("binary"), F.lit(0), "lp", F.lit(0.0))
+    met = made.join(of_tokens.union(of_grams).hint("merge"), F.col("term") == F.col("own"), "left")
+    of_rare = lambda x: F.col("tf") * F.coalesce(x, F.lit(0))
     sums = met.groupBy("doc_id", "tag").agg(
         F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + of_rare(F.when(c > 0, 1).otherwise(0))).alias("n_known"),
-        F.sum(F.col("lp") + of_rare(F.col("own_lp"))).alias("lp"),
-        F.sum(F.col("lc") + of_rare(F.log10(c + 0.5))).alias("lc"),
+        F.sum(F.col("n_known") + of_rare("own_known")).alias("n_known"),
+        F.sum(F.col("lp") + of_rare("own_lp")).alias("lp"),
+        F.sum(F.col("lc") + of_rare("own_lc")).alias("lc"),
         F.sum("rows").alias("rows"),
     )
     one = lambda x: (F.col(x) / F.col("rows")).cast("long").alias(x)
@@ -428,7 +254,7 @@ def adaptive_bits(text: bytes, order: int = 3) -> float:
     nodes: dict[bytes, dict[int, int]] = {}
     bits = 0.0
     for i in range(len(text) + 1):
-        symbol = text[i] if i < len(text) else STOP
+        symbol = text[i] if i < len(text) else END
         out: set[int] = set()
         chain = [text[max(0, i - k) : i] for k in range(min(order, i), -1, -1)]
         for context in chain:
@@ -450,8 +276,6 @@ def adaptive_bits(text: bytes, order: int = 3) -> float:
 
 def adaptive_code_length(docs: DataFrame, text: str = "text", order: int = 3, drop: tuple[str, ...] = ()) -> DataFrame:
     """docs with adaptive_bits of each whole text; null texts count as empty (the end alone)."""
-    from tracelink.llm.common import add_columns
-
     return add_columns(docs, [text], lambda c: [[adaptive_bits(t, order) for t in utf8(c)]], "adaptive_bits double", drop)
 
 

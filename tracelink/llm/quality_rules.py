@@ -1,20 +1,19 @@
-"""Quality rules: character n-gram perplexity under a modified Kneser-Ney model, with bands per language.
+"""Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands per language.
 
-The model is over the characters of words (start and end of a word are characters too; contexts stay
-inside the word). That keeps it small enough to send to every task whatever the corpus: a gram is known
-by 22 bits of its hash, so no order holds more than 2**22 entries. Spark counts the distinct words of all
-documents, then the grams of those words, discounts them and divides by their contexts' totals; the driver only
-sorts the finished shares and weights into one hash array for each order.
+The model is over the bytes of a text, its words lower-cased and joined by single blanks, with grams of six symbols that
+run on across word borders (byte_grams.py): Spark counts them, the counts of counts and of different left neighbours give
+the discounts and the lower orders, and each gram's interpolated probability is worked out once, group by group. Frequent
+grams go to every task as a sorted hash array, the others are joined, so the model grows with the corpus and no gram is
+left out or mistaken for another.
 
-Every text is scored word by word from a cache, so its cost is one dictionary lookup a word. The bands are
-[q1 - width * (q3 - q1), q3 + width * (q3 - q1)] of log10 perplexity, with the quartiles of each language
+The bands are [q1 - LOWER * (q3 - q1), q3 + UPPER * (q3 - q1)] of log10 perplexity a word, with the quartiles of each language
 over its distinct texts that pass the base rules, so copies and junk do not move them, and q3 - q1 counted as
 LEAST_IQR at least; a document outside its language's band is rejected.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -22,70 +21,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelink.llm.byte_grams import BITS, SYMBOLS, count_grams, frequent, group, in_groups, low, text_scores
 from tracelink.llm.common import add_columns, materialise, utf8
 
-ORDER = 5
-CELL_BITS = 22
-START, END = 2, 3
-SYMBOLS = b"#*$%&|<>"
+SIGNS = b"#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-#: Width of the band beyond the quartiles, in interquartile ranges. Words' log probabilities average out
-#: over a document, so documents of ordinary prose lie well within it.
-BAND_WIDTH = 2.5
-#: Least interquartile range of a band, in log10 perplexity, so that a language of few or much alike texts keeps a band.
-LEAST_IQR = 0.005
+#: Reach of the band below and above the quartiles, in interquartile ranges. Words' log probabilities average out over a
+#: document, so ordinary prose lies well within it. Copies and near copies make a text easy to predict without making it
+#: bad, so the reach below is the greater.
+LOWER, UPPER = 6.0, 3.0
+#: Least interquartile range of a band, in log10 perplexity a word, so that a language of few or much alike texts keeps a band.
+LEAST_IQR = 0.03
 #: A text with at least this share of its language's rows (and two) is a hot copy, which the model counts once.
 HOT_SHARE = 0.01
-CACHE_WORDS = 400_000
 
 _P = np.uint64(0x9E3779B97F4A7C15)
-_CACHE: dict = {}
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every character of start + word + end: its word's index, how many characters of the word stand before
-    it (the start included), and by order 0..ORDER the cell of the gram that ends there. Grams that would pass
-    the word's start are void; callers leave them out by the second array.
-    """
-    text = "\x02" + "\x03\x02".join(words) + "\x03"
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    ends = np.cumsum(lengths)
-    index = np.repeat(np.arange(len(words)), lengths)
-    depth = np.arange(len(code)) - np.repeat(ends - lengths, lengths)
-    mixed = _mix(code + np.uint64(0x632BE59BD9B4E019))
-    rolled = [np.zeros(len(code), np.uint64)]
-    for _ in range(ORDER):
-        before = np.empty_like(rolled[-1])
-        before[0], before[1:] = 0, rolled[-1][:-1]
-        rolled.append(mixed + _P * before)
-    cells = [(_mix(h + np.uint64(n)) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for n, h in enumerate(rolled)]
-    return index, depth, cells
-
-
-def _count_words(column: pa.Array) -> tuple[list[bytes], list[int]]:
-    seen: Counter = Counter()
-    for text in utf8(column):
-        seen.update(text.split())
-    return list(seen), list(seen.values())
-
-
-def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n: how often each word stands in all texts. Each batch sends a word once."""
-
-    def run(batches):
-        for batch in batches:
-            words, n = _count_words(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
-
-    return docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def normal(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
 
 
 def without_hot_copies(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -101,103 +56,87 @@ def without_hot_copies(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return cold.union(rows.join(F.broadcast(hot), "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text")).select("text"))
 
 
-def count_grams(words: DataFrame) -> DataFrame:
-    """ord, cell, ctx, suf, at_start, n: the grams of all words with the cells of their context and suffix."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n = batch.column(1).to_numpy(zero_copy_only=False)
-            index, depth, cells = grams(batch.column(0).to_pylist())
-            for k in range(1, ORDER + 1):
-                at = np.flatnonzero((depth >= 1) & (depth >= k - 1))
-                key = (cells[k][at] << 1) | (depth[at] == k - 1)
-                ctx, suf = cells[k - 1][at - 1], cells[k - 1][at]
-                key, first, back = np.unique(key, return_index=True, return_inverse=True)
-                total = np.bincount(back, n[index[at]].astype(float)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), k, np.int32)), pa.array(key >> 1), pa.array(ctx[first]), pa.array(suf[first]), pa.array((key & 1).astype(bool)), pa.array(total)],
-                    names=["ord", "cell", "ctx", "suf", "at_start", "n"],
-                )
-
-    made = words.select("word", "n").mapInArrow(run, "ord int, cell long, ctx long, suf long, at_start boolean, n long")
-    return made.groupBy("ord", "cell").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("at_start").alias("at_start"), F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """Sorted hash arrays by order: gram cells with their discounted share, context cells with their back-off weight."""
-
-    def __init__(self, shares: dict[int, tuple[np.ndarray, np.ndarray]], weights: dict[int, tuple[np.ndarray, np.ndarray]]):
-        none = np.zeros(0, np.int32), np.zeros(0, np.float32)
-        self.shares = [shares.get(k, none) for k in range(1, ORDER + 1)]
-        self.weights = [weights.get(k, none) for k in range(1, ORDER + 1)]
-        self.floor = 1.0 / (len(self.shares[0][0]) + 1)
-
-    @staticmethod
-    def _look(arrays: tuple[np.ndarray, np.ndarray], cells: np.ndarray, other: float) -> np.ndarray:
-        keys, values = arrays
-        if not len(keys):
-            return np.full(len(cells), other, np.float32)
-        at = np.minimum(np.searchsorted(keys, cells.astype(np.int32)), len(keys) - 1)
-        return np.where(keys[at] == cells, values[at], np.float32(other))
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """log10 probability of each word with its end."""
-        index, depth, cells = grams(words)
-        at = np.flatnonzero(depth >= 1)
-        p = np.full(len(at), self.floor)
-        for k in range(1, ORDER + 1):
-            here = np.flatnonzero(depth[at] >= k - 1)
-            own = self._look(self.shares[k - 1], cells[k][at[here]], 0.0)
-            rest = self._look(self.weights[k - 1], cells[k - 1][at[here] - 1], 1.0)
-            p[here] = own + rest * p[here]
-        return np.bincount(index[at], np.log10(p), len(words))
-
-
-def adjusted_counts(grams: DataFrame) -> DataFrame:
-    """ord, cell, ctx, adjusted: below the longest order a gram counts by its different left neighbours, unless it begins a word."""
-    left = grams.where("ord > 1").groupBy((F.col("ord") - 1).alias("ord"), F.col("suf").alias("cell")).agg(F.count("*").alias("left"))
-    own = F.when(F.col("at_start"), F.col("n")).otherwise(F.coalesce("left", "n"))
-    return grams.join(left.hint("merge"), ["ord", "cell"], "left").select("ord", "cell", "ctx", own.alias("adjusted"))
-
-
 def discounts(of: tuple[int, ...]) -> list[float]:
-    """The discounts of counts 1, 2 and 3 or more, from how many grams have the counts 1 to 4."""
+    """The discounts of counts 0 to 3 or more, from how many grams have the counts 1 to 4."""
     y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
-    return [min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.1 * i), 0.95 * i) if of[i - 1] else 0.5 * i for i in (1, 2, 3)]
-
-
-def _arrays(table: DataFrame, key: str, value: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By order: the sorted keys and their values."""
-    made = table.select(F.col("ord").cast("byte"), F.col(key).cast("int").alias("key"), F.col(value).cast("float").alias("value")).toArrow()
-    order, keys, values = (made.column(c).to_numpy() for c in ("ord", "key", "value"))
-    out = {}
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero(order == k)
-        if len(at):
-            at = at[np.argsort(keys[at], kind="stable")]
-            out[k] = keys[at], values[at]
+    return [0.0, *(min(max(i - (i + 1) * y * of[i] / of[i - 1], 0.1 * i), 0.95 * i) if of[i - 1] else 0.5 * i for i in (1, 2, 3))]
+
+
+def interpolated(grams: np.ndarray, adjusted: np.ndarray, cuts: list[float], lower: np.ndarray) -> np.ndarray:
+    """Probabilities of distinct grams from their adjusted counts and the probabilities of their suffixes."""
+    contexts, back = group(grams >> BITS)
+    cut = np.array(cuts)[np.minimum(adjusted, 3).astype(int)]
+    total = np.bincount(back, adjusted, len(contexts))
+    weight = np.bincount(back, cut, len(contexts)) / total
+    return (adjusted - cut) / total[back] + weight[back] * lower
+
+
+def left_neighbours(grams: np.ndarray, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of n_symbols of distinct grams one symbol longer, and how many of these each has."""
+    own, back = group(grams & low(n_symbols))
+    return own, np.bincount(back, minlength=len(own))
+
+
+def _orders(grams: np.ndarray, counts: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length 6, 5 and 4: the distinct grams of a group and their adjusted counts (left neighbours below the longest)."""
+    by_gram = np.argsort(grams)
+    out = {6: (grams[by_gram], counts[by_gram])}
+    for k in (5, 4):
+        out[k] = left_neighbours(out[k + 1][0], k)
     return out
 
 
-def fit(docs: DataFrame, text: str = "text") -> KneserNey:
-    """The model of all texts. Spark counts, discounts and divides; what reaches the driver are the finished arrays.
+def _times(adjusted: np.ndarray) -> np.ndarray:
+    return np.bincount(adjusted[adjusted <= 4].astype(int), minlength=5)[1:]
 
-    Cells have CELL_BITS bits, so these are at most 2 * ORDER * 2**22 entries of nine bytes, however large the corpus is.
-    """
-    grams = materialise(count_grams(count_words(docs, text)), "grams")
-    counts = materialise(adjusted_counts(grams), "adjusted-counts")
-    found = counts.groupBy("ord").agg(*[F.count_if(F.col("adjusted") == i).alias(f"n{i}") for i in range(1, 5)]).collect()
-    cut = F.lit(0.0)
-    for row in found:
-        for i, d in enumerate(discounts(row[1:]), 1):
-            cut = F.when((F.col("ord") == row[0]) & (F.least("adjusted", F.lit(3)) == i), F.lit(d)).otherwise(cut)
-    counts = counts.withColumn("cut", cut)
-    totals = materialise(counts.groupBy("ord", "ctx").agg(F.sum("adjusted").alias("total"), F.sum("cut").alias("cut_total")), "contexts")
-    shares = counts.join(totals.hint("merge"), ["ord", "ctx"]).withColumn("share", (F.col("adjusted") - F.col("cut")) / F.col("total"))
-    weights = totals.withColumn("weight", F.col("cut_total") / F.col("total"))
-    return KneserNey(_arrays(shares, "cell", "share"), _arrays(weights, "ctx", "weight"))
+
+def score_grams(counted: DataFrame) -> DataFrame:
+    """gram, n, lp: the modified Kneser-Ney log10 probability of every gram of a written count table gram, c, n (c > 0)."""
+    spark = counted.sparkSession
+
+    def shapes(part: pa.Table) -> pa.Table:
+        """ord, key, n: by length how many grams have the count key (1 to 4); for length 3 the left neighbours of the gram key."""
+        rows = []
+        orders = _orders(part.column("gram").to_numpy(), part.column("c").to_numpy())
+        for k, (_, adjusted) in orders.items():
+            rows.append((np.full(4, k), np.arange(1, 5), _times(adjusted)))
+        own, n = left_neighbours(orders[4][0], 3)
+        rows.append((np.full(len(own), 3), own, n))
+        return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows)], names=["ord", "key", "n"])
+
+    # at most 258**2 * 257 grams of length 3 and twelve counts
+    told = in_groups(counted, shapes, "ord long, key long, n long").groupBy("ord", "key").agg(F.sum("n").alias("n")).toArrow()
+    order, key, n = (told.column(x).to_numpy() for x in ("ord", "key", "n"))
+    of = {k: np.zeros(4, int) for k in range(1, 7)}
+    for k in (4, 5, 6):
+        of[k][key[order == k] - 1] = n[order == k]
+    short = {3: (key[order == 3], n[order == 3])}
+    for k in (2, 1):
+        short[k] = left_neighbours(short[k + 1][0], k)
+    for k in (1, 2, 3):
+        of[k] = _times(short[k][1])
+    cuts = {k: discounts(tuple(of[k].tolist())) for k in of}
+    lower, p = None, None
+    for k in (1, 2, 3):
+        grams, adjusted = short[k]
+        by_gram = np.argsort(grams)
+        grams, adjusted = grams[by_gram], adjusted[by_gram]
+        below = np.full(len(grams), 1 / SYMBOLS) if k == 1 else p[np.searchsorted(lower, grams & low(k - 1))]
+        lower, p = grams, interpolated(grams, adjusted, cuts[k], below)
+    shared = spark.sparkContext.broadcast((lower, p))
+
+    def score(part: pa.Table) -> pa.Table:
+        grams, known = shared.value
+        orders = _orders(part.column("gram").to_numpy(), part.column("c").to_numpy())
+        own = known[np.searchsorted(grams, orders[4][0] & low(3))]
+        for k in (4, 5, 6):
+            if k > 4:
+                own = own[np.searchsorted(orders[k - 1][0], orders[k][0] & low(k - 1))]
+            own = interpolated(*orders[k], cuts[k], own)
+        back = np.searchsorted(orders[6][0], part.column("gram").to_numpy())
+        return pa.table([part.column("gram"), part.column("n"), pa.array(np.log10(own)[back])], names=["gram", "n", "lp"])
+
+    return in_groups(counted, score, "gram long, n long, lp double")
 
 
 def repeated_words(hashes: np.ndarray) -> int:
@@ -223,45 +162,35 @@ def repeated_words(hashes: np.ndarray) -> int:
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
     if not words:
-        return 0, 0, len(text) - len(text.translate(None, SYMBOLS)), 0, 0
+        return 0, 0, len(text) - len(text.translate(None, SIGNS)), 0, 0
     solid = text.translate(None, b" \t\n\r\x0b\x0c")
     chars = len(solid) if solid.isascii() else len(solid.decode("utf-8", "surrogatepass"))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    return len(words), chars, len(solid) - len(solid.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(hashes)
+    return len(words), chars, len(solid) - len(solid.translate(None, SIGNS)), len(lines) - len(set(lines)), repeated_words(hashes)
 
 
-DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log10_perplexity double, text_hash_ long"
+DIGEST = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lp_sum_ double, rare_grams_ array<long>, text_hash_ long"
 
 
-def digest(docs: DataFrame, model: KneserNey, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the base counts, the log10 perplexity a character (null for a text without words) and a hash of the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    token = id(shared), shared.id if hasattr(shared, "id") else 0, model.floor
+def digest(docs: DataFrame, scored: DataFrame, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the base counts, the log10 probability of the text's frequent grams, the other grams and a hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(scored))
 
     def run(column):
-        if _CACHE.get("token") != token:
-            _CACHE.clear()
-            _CACHE.update(token=token, words={})
-        known: dict[bytes, float] = _CACHE["words"]
         rows = []
-        texts = utf8(column)
-        for start in range(0, len(texts), 500):
-            part = [(t, t.split()) for t in texts[start : start + 500]]
-            fresh = set().union(*[w for _, w in part]).difference(known)
-            if len(known) + len(fresh) > CACHE_WORDS:
-                known.clear()
-                fresh = set().union(*[w for _, w in part])
-            new = list(fresh)
-            for i in range(0, len(new), 50_000):
-                some = new[i : i + 50_000]
-                known.update(zip(some, shared.value.score([w.decode("utf-8", "replace") for w in some]).tolist()))
-            for t, words in part:
+        for start in range(0, len(column), 1000):
+            texts = utf8(column.slice(start, 1000))
+            split = [t.split() for t in texts]
+            sums, who, rest = text_scores([b" ".join(w).lower() for w in split], shared.value)
+            rare: list[list[int]] = [[] for _ in texts]
+            for i, gram in zip(who.tolist(), rest.tolist()):
+                rare[i].append(gram)
+            for t, words, lp, grams in zip(texts, split, sums.tolist(), rare):
                 counts = base_counts(t, words)
                 failed = counts[0] < MIN_WORDS or 100 * counts[4] > MAX_REPEATED_PERCENT * counts[0]
-                lp = -sum(map(known.__getitem__, words)) / (counts[1] + counts[0]) if words else None
-                rows.append((*counts, failed, lp, xxhash.xxh64_intdigest(t) - 2**63))
-        return list(zip(*rows)) if rows else [[]] * 8
+                rows.append((*counts, failed, lp, grams, xxhash.xxh64_intdigest(t) - 2**63))
+        return list(zip(*rows)) if rows else [[]] * 9
 
     return add_columns(docs, [text], run, DIGEST, drop)
 
@@ -272,37 +201,38 @@ def language(column: str):
     return F.when(code.rlike("^[a-z]{2,3}$"), code).otherwise(F.lit("und"))
 
 
-def bands(scored: DataFrame, lang: str = "lang", width: float = BAND_WIDTH) -> DataFrame:
+def bands(scored: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """lang_code, low, high: the band of log10 perplexity of each language, from its distinct texts that passed the base rules."""
     passed = scored.where("log10_perplexity is not null and not base_failed")
-    distinct = passed.groupBy(language(lang).alias("lang_code"), "text_hash_").agg(F.min("log10_perplexity").alias("log10_perplexity"))
+    distinct = passed.groupBy("lang_code", "text_hash_").agg(F.min("log10_perplexity").alias("log10_perplexity"))
     quartiles = F.percentile_approx("log10_perplexity", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
     found = distinct.groupBy("lang_code").agg(quartiles.alias("q"))
     q1, q3 = F.element_at("q", 1), F.element_at("q", 2)
-    reach = width * F.greatest(q3 - q1, F.lit(LEAST_IQR))
-    return found.select("lang_code", (q1 - reach).alias("low"), (q3 + reach).alias("high"))
+    iqr = F.greatest(q3 - q1, F.lit(LEAST_IQR))
+    return found.select("lang_code", (q1 - lower * iqr).alias("low"), (q3 + upper * iqr).alias("high"))
 
 
-def judge(scored: DataFrame, lang: str = "lang", width: float = BAND_WIDTH) -> DataFrame:
-    """A written table of digest() with kept: false if base_failed, else whether the perplexity is in the band.
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", lower: float = LOWER, upper: float = UPPER, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs with the base counts, lang_code, log10_perplexity a word, the band (low, high) and kept; one row for each row of docs.
 
-    A text without words fails the base rules; a null or odd language is judged with the others of that kind.
-    The bands have at most 18,253 short rows, so they are broadcast.
+    kept is false if base_failed, else whether the perplexity is in the band. Null texts count as empty (no words:
+    base_failed, no perplexity); a null or odd language is judged with the others of that kind. Repeated rows are judged
+    each. An empty table gives none. A column of docs with one of these names is replaced.
     """
-    band = F.broadcast(bands(scored, lang, width))
-    joined = scored.withColumn("lang_code", language(lang)).join(band, "lang_code", "left")
+    model = materialise(score_grams(materialise(count_grams(without_hot_copies(docs, text, lang), F.col("text"), F.lit(True), normal), "grams")), "scored-grams")
+    made = ["lang_code", "log10_perplexity", "low", "high", "kept", "row_of_rules_"]
+    digested = digest(docs.withColumn("lang_code", language(lang)), model, text, tuple(x for x in (*drop, *made[1:]) if x != text or text in drop))
+    rows = materialise(digested.withColumn("row_of_rules_", F.monotonically_increasing_id()), "quality-rules")
+    others = rows.select("row_of_rules_", F.explode("rare_grams_").alias("gram")).join(model.select("gram", "lp").hint("merge"), "gram", "left")
+    added = others.groupBy("row_of_rules_").agg(F.sum(F.coalesce("lp", F.lit(-math.log10(SYMBOLS)))).alias("added"))
+    narrow = rows.select("row_of_rules_", "lang_code", "text_hash_", "base_failed", "n_words", "lp_sum_").join(added.hint("merge"), "row_of_rules_", "left")
+    perplexity = F.when(F.col("n_words") > 0, -(F.col("lp_sum_") + F.coalesce("added", F.lit(0.0))) / F.col("n_words"))
+    narrow = materialise(narrow.select("row_of_rules_", "lang_code", "text_hash_", "base_failed", perplexity.alias("log10_perplexity")), "perplexities")
+    # the bands have at most 18,253 short rows
+    banded = narrow.join(F.broadcast(bands(narrow, lower, upper)), "lang_code", "left")
     inside = F.col("log10_perplexity").between(F.col("low"), F.col("high"))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("text_hash_")
-
-
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", width: float = BAND_WIDTH, drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with the base counts, log10_perplexity, the band and kept; one row for each row of docs.
-
-    Null texts count as empty (no words: base_failed). Repeated rows are judged each. An empty table gives none.
-    """
-    model = fit(without_hot_copies(docs, text, lang))
-    scored = materialise(digest(docs, model, text, drop), "quality-rules")
-    return judge(scored, lang, width)
+    verdict = banded.select("row_of_rules_", "log10_perplexity", "low", "high", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+    return rows.drop("lp_sum_", "rare_grams_", "text_hash_").join(verdict.hint("merge"), "row_of_rules_").drop("row_of_rules_")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
