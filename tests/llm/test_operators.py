@@ -198,13 +198,57 @@ def test_packing_is_gapless_and_whole(spark, docs):
     assert packing.best_fit_packing(docs.limit(0), path).count() == 0
 
 
-def test_genetic_rounds_do_not_lose_items():
+def test_packing_ids_are_the_tokenizers():
+    """Special tokens, letters that normalisation takes apart, final sigma and the like, beside 20,000 random strings."""
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tokenizer, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    rng = random.Random(7)
+    parts = ["a", "B", "The", " ", "\n", "\t", "é", "É", "'s", "'S", "'re", "1", "23", "...", ".", ",", "\x1f", "\xa0", "日本", "\r\n", "_", "😀"]
+    parts += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "ड़", "ख़", "फ़.", "e\u0301", "\u0301", "ß", "ẞ", "İ", "Σ", "ΑΣ", "ς", "²", "½", "µ", "ª", "×", "ÿ", "ﬁ", "Ⅷ", "#$%", "\0", "ǅ", "</w>", "</", "’s"]
+    some = ["a <|endoftext|> b", "ड़.", "फ़,"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(20_000)]
+    for text, packed in zip(some, cache.encode_many(some)):
+        assert list(array("I", packed)) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_generations_of_the_word_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    path = public_tokenizers.path(packing.VOCABULARY)
+    tokenizer, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    for text in [PROSE, "the lazy cat's 3 tails.", PROSE, "naïve 日本 the"] * 3:
+        assert list(array("I", cache.encode_many([text])[0])) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(cache.words) < 50 and len(cache.older) < 50
+
+
+def test_genetic_rounds_beat_best_fit_and_lose_nothing():
     rng = random.Random(1)
-    lengths = [rng.randrange(300, 1200) for _ in range(120)]
-    first = packing.evolve(lengths, [], 2048, 1)
-    assert sorted(i for b in first[0] for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 2048 for b in first[0])
-    again = packing.evolve(lengths, first, 2048, 2)
-    assert packing.cost(lengths, again[0], 2048) <= packing.cost(lengths, first[0], 2048)
+    for low, high in ((500, 900), (300, 1200)):
+        lengths = [rng.randrange(low, high) for _ in range(1200)]
+        fitted = packing.best_fit(lengths, packing.longest_first(lengths, range(1200)), [], 2048)
+        population, accepted, costs = [], 0, []
+        for seed in range(3):
+            population, more = packing.evolve(lengths, population, 2048, seed)
+            accepted += more
+            costs.append(packing.cost(lengths, population[0], 2048))
+        assert sorted(i for b in population[0] for i in b) == list(range(1200)) and all(sum(lengths[i] for i in b) <= 2048 for b in population[0])
+        assert accepted > 0 and costs == sorted(costs, reverse=True) and len(population[0]) < len(fitted)
+
+
+def test_islands_accept_crossovers_and_tails_meet(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 200)
+    rng = random.Random(3)
+    lengths = [rng.randrange(500, 900) for _ in range(1500)] + [2048] * 5
+    table = spark.createDataFrame(list(enumerate(lengths)), "doc_id long, length long").repartition(3)
+    small = table.where("length < 2048").withColumnRenamed("doc_id", "packed_row")
+    islands = packing.evolved_islands(small, 2048).collect()
+    assert all(r.accepted > 0 or r.bins == math.ceil(sum(r.lengths) / 2048) for r in islands) and sum(r.accepted for r in islands) > 10
+    rows = packing.pack(table).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    fitted = packing.best_fit(lengths, packing.longest_first(lengths, range(1505)), [], 2048)
+    assert max(ends.values()) <= 2048 and len(ends) < len(fitted)
 
 
 def test_url_filter(spark):

@@ -157,9 +157,23 @@ def in_groups(grams: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str)
     return grams.groupBy(F.pmod(F.xxhash64(node), F.lit(groups))).applyInArrow(fn, schema)
 
 
+def most_frequent(table: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of a written table with the greatest n, at most `most` of them: those above a level that a histogram of n finds
+    (64 levels for each doubling), so nothing is sorted or gathered."""
+    level = F.floor(F.log2(F.col(n).cast("double")) * 64).cast("int")
+    sizes = table.where(F.col(n) > 0).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    total, least = 0, 1 << 20
+    for row in sizes:
+        total += row["count"]
+        if total > most:
+            break
+        least = row["level"]
+    return table.where((F.col(n) > 0) & (level >= least))
+
+
 def frequent(scored: DataFrame) -> HashArray:
-    """The log probabilities of the FREQUENT most frequent grams (of as many, the least) of a written table gram, n, lp."""
-    top = scored.orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram", F.col("lp").cast("float")).toArrow()
+    """The log probabilities of at most FREQUENT grams, the most frequent, of a written table gram, n, lp."""
+    top = most_frequent(scored, "n", FREQUENT).select("gram", F.col("lp").cast("float")).toArrow()
     return HashArray(top.column("gram").to_numpy(), top.column("lp").to_numpy().astype(np.float64))
 
 

@@ -3,15 +3,18 @@
 Documents become token pieces of at most `limit` tokens. Full pieces are sequences of their own. The others are dealt
 evenly to shards of about SHARD pieces; each shard's packing evolves on several islands at once. A solution is a list
 of bins. Crossover injects the well-filled bins of one parent whole into the other, drops the bins there that hold any
-of the same pieces and puts the displaced pieces back by best fit, longest first. After each round an island's elite
-migrates to the next island of its shard. A shard stops as soon as it needs no more bins than its tokens demand.
-Islands are rows of a table, so every round is one parallel pass, and each shard loses less than one bin to rounding.
+of the same pieces and puts the displaced pieces back by best fit, longest first. The first solutions are best fit of the
+pieces in random orders. After each round an island's elite migrates to the next island of its shard. A shard stops as
+soon as it needs no more bins than its tokens demand. Islands are rows of a table, so every round is one parallel pass.
+Selection favours uneven fills, so what is left over gathers in few bins; these are opened at the end, and their pieces
+are dealt to new shards, which evolve in the same way.
 """
 
 from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from array import array
 
@@ -27,49 +30,72 @@ from tracelink.llm.common import materialise
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 END_ID = 0
-SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4000, 2, 2, 3, 4
-CACHE_WORDS = 700_000
+SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4000, 2, 2, 3, 6
+#: Bins filled less than this are opened again, and their pieces meet those of other shards.
+TAIL_FILL = 0.9
+CACHE_WORDS = 500_000
+
+
+#: Words of these characters only have the pre-tokens that SPLIT finds in their lower-case form: no other character joins,
+#: splits or changes when such a word is normalised. The last line of the file's pre-tokeniser, for these characters.
+PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordCache:
-    """Packed ids of texts, word by word. The tokenizer drops white space and never joins what stands on both sides of it."""
+    """Packed ids of texts, word by word: the tokenizer drops white space and never joins what stands on both sides of it.
+
+    A plain word's ids are those of its pre-tokens, which many words share; any other word, also one that holds a special
+    token, is encoded by itself. At most two generations of CACHE_WORDS words and pre-tokens are held.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True  # a pre-token's last id, and no other
         self.words: dict[str, bytes] = {"": b""}
-
-        self.mark = next(c for c in "☃★♠✓♥" if len(self._ids(c)) == 1)
-        self.mark_id = self._ids(self.mark)[0]
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 5000):
+            some = parts[i : i + 5000]
+            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                packed = ids.tobytes()
+                self.parts.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(some, [0, *stops.tolist()], stops.tolist()))
+            else:
+                self.parts.update((w, array("I", x).tobytes()) for w, x in zip(some, self._ids(some)))
 
     def _learn(self, fresh: list[str]) -> None:
-        """Packed ids of new words: many in one text, a one-id mark after each. A full stop or comma after a letter is
-        always a token of its own, so such words share the ids of what stands before it."""
-        ends = {w: w[:-1] for w in fresh if len(w) > 1 and w[-1] in ".," and w[-2].isalpha()}
-        todo = list({ends.get(w, w) for w in fresh}.difference(self.words))
-        odd = [w for w in todo if self.mark in w]
-        plain = [w for w in todo if self.mark not in w] if odd else todo
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self._ids("".join([f"{w} {self.mark} " for w in some])), "<u4")
-            stops = np.flatnonzero(ids == self.mark_id)
-            packed = ids.tobytes()
-            begin = 0
-            for w, stop in zip(some, stops.tolist()):
-                self.words[w] = packed[begin : 4 * stop]
-                begin = 4 * stop + 4
-        for w in odd:
-            self.words[w] = array("I", self._ids(w)).tobytes()
-        point, comma = (array("I", self._ids(c)).tobytes() for c in ".,")
-        self.words.update((w, self.words[base] + (point if w[-1] == "." else comma)) for w, base in ends.items())
+        split, odd = [], []
+        for w in fresh:
+            known = self.older.get(w)
+            if known is not None:
+                self.words[w] = known
+            elif PLAIN.fullmatch(w):
+                split.append((w, SPLIT.findall(w.lower())))
+            else:
+                odd.append(w)
+        wanted = set().union(*[x for _, x in split])
+        if len(self.parts) + len(wanted) > CACHE_WORDS:
+            self.parts = {}
+        self._learn_parts(list(wanted.difference(self.parts)))
+        parts = self.parts
+        self.words.update((w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split)
+        for i in range(0, len(odd), 1000):
+            some = odd[i : i + 1000]
+            self.words.update((w, array("I", x).tobytes()) for w, x in zip(some, self._ids(some)))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > CACHE_WORDS:
-            self.words = {"": b""}
+            self.older, self.words = self.words, {"": b""}
         out, missing, fresh = [], [], set()
         get = self.words.get
         for k, text in enumerate(texts):
@@ -121,14 +147,14 @@ Bins = list[list[int]]
 
 
 def best_fit(lengths: list[int], items: list[int], bins: Bins, limit: int) -> Bins:
-    """bins with the items added, longest first, each to the fullest bin with room."""
+    """bins with the items added in their order, each to the fullest bin with room."""
     by_room: dict[int, list[int]] = {}
     rooms = 0
     for b, bin_ in enumerate(bins):
-        room = limit - sum(lengths[i] for i in bin_)
+        room = limit - sum([lengths[i] for i in bin_])
         by_room.setdefault(room, []).append(b)
         rooms |= 1 << room
-    for i in sorted(items, key=lengths.__getitem__, reverse=True):
+    for i in items:
         n = lengths[i]
         fitting = rooms >> n
         if fitting:
@@ -145,14 +171,19 @@ def best_fit(lengths: list[int], items: list[int], bins: Bins, limit: int) -> Bi
     return bins
 
 
+def longest_first(lengths: list[int], items) -> list[int]:
+    return sorted(items, key=lengths.__getitem__, reverse=True)
+
+
 def cost(lengths: list[int], bins: Bins, limit: int) -> tuple[int, float]:
     """Fewer bins are better; of as many, those with less even fills."""
     return len(bins), -sum((sum(lengths[i] for i in b) / limit) ** 2 for b in bins)
 
 
 def crossover(lengths: list[int], giver: Bins, taker: Bins, limit: int, rng: random.Random) -> Bins:
-    fills = [sum(lengths[i] for i in b) for b in giver]
-    good = sorted(range(len(giver)), key=fills.__getitem__, reverse=True)[: max(1, len(giver) // 2)]
+    """The giver's well-filled bins whole, the taker's bins that share no piece with them, and best fit for what is displaced."""
+    fills = [sum([lengths[i] for i in b]) for b in giver]
+    good = sorted(range(len(giver)), key=fills.__getitem__, reverse=True)[: max(1, 2 * len(giver) // 3)]
     injected = [giver[b] for b in good if rng.random() < 0.7]
     have = {i for b in injected for i in b}
     kept, displaced = [], []
@@ -161,45 +192,44 @@ def crossover(lengths: list[int], giver: Bins, taker: Bins, limit: int, rng: ran
             kept.append(list(b))
         else:
             displaced += [i for i in b if i not in have]
-    return best_fit(lengths, displaced, [list(b) for b in injected] + kept, limit)
+    return best_fit(lengths, longest_first(lengths, displaced), [list(b) for b in injected] + kept, limit)
 
 
 def mutate(lengths: list[int], bins: Bins, limit: int, rng: random.Random) -> Bins:
     """Empties the least filled bins and some others, and puts their pieces back."""
-    order = sorted(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
+    order = sorted(range(len(bins)), key=lambda b: sum([lengths[i] for i in bins[b]]))
     out = set(order[:2]) | {b for b in order if rng.random() < 0.05}
-    loose = [i for b in out for i in bins[b]]
-    rng.shuffle(loose)
-    return best_fit(lengths, loose, [list(b) for b in order_kept(bins, out)], limit)
+    loose = [i for b in sorted(out) for i in bins[b]]
+    return best_fit(lengths, longest_first(lengths, loose), [list(b) for k, b in enumerate(bins) if k not in out], limit)
 
 
-def order_kept(bins: Bins, out: set[int]) -> Bins:
-    return [b for k, b in enumerate(bins) if k not in out]
+def evolve(lengths: list[int], population: list[Bins], limit: int, seed: int) -> tuple[list[Bins], int]:
+    """The population after GENERATIONS more, best first, and how many children of crossovers entered it.
 
-
-def evolve(lengths: list[int], population: list[Bins], limit: int, seed: int) -> list[Bins]:
-    """The population after GENERATIONS more, best first."""
+    A new population is best fit of the pieces in random orders, so what is good comes from crossover and selection.
+    """
     rng = random.Random(seed)
     least = -(-sum(lengths) // limit)
-    everything = range(len(lengths))
-    if not population:
-        population = [best_fit(lengths, list(everything), [], limit)]
-    ranked = sorted(population, key=lambda p: cost(lengths, p, limit))
-    while len(ranked) < POPULATION and len(ranked[0]) > least:
-        first = rng.sample(everything, len(lengths) // 4)
-        start = best_fit(lengths, first, [], limit)
-        ranked.append(best_fit(lengths, sorted(set(everything).difference(first)), start, limit))
-    ranked.sort(key=lambda p: cost(lengths, p, limit))
-    for _ in range(GENERATIONS):
-        if len(ranked[0]) <= least:
+    order = list(range(len(lengths)))
+    population = list(population)
+    while len(population) < POPULATION:
+        rng.shuffle(order)
+        population.append(best_fit(lengths, order, [], limit))
+    ranked = sorted(((cost(lengths, p, limit), k, p) for k, p in enumerate(population)))
+    accepted = 0
+    for generation in range(GENERATIONS):
+        if ranked[0][0][0] <= least:
             break
         born = []
-        for _ in range(POPULATION):
-            a, b = rng.choices(ranked, weights=range(len(ranked), 0, -1), k=2)
-            child = crossover(lengths, a, b, limit, rng)
-            born.append(mutate(lengths, child, limit, rng) if rng.random() < 0.6 else child)
-        ranked = sorted(ranked + born, key=lambda p: cost(lengths, p, limit))[:POPULATION]
-    return ranked
+        for child in range(POPULATION):
+            a, b = rng.sample(range(len(ranked)), 2)
+            made = crossover(lengths, ranked[min(a, b)][2], ranked[max(a, b)][2], limit, rng)
+            if rng.random() < 0.6:
+                made = mutate(lengths, made, limit, rng)
+            born.append((cost(lengths, made, limit), POPULATION * (generation + 2) + child, made))
+        ranked = sorted(ranked + born)[:POPULATION]
+        accepted += sum(x in ranked for x in born)
+    return [p for _, _, p in ranked[:POPULATION]], accepted
 
 
 def _freeze(bins: Bins, n: int) -> bytes:
@@ -223,21 +253,25 @@ def _round(islands: DataFrame, number: int, limit: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             x = batch.to_pydict()
-            people, costs, fills = [], [], []
-            for shard, island, lengths, population, migrant in zip(x["shard"], x["island"], x["lengths"], x["population"], x["migrant"]):
+            people, costs, fills, entered = [], [], [], []
+            for shard, island, lengths, population, migrant, accepted in zip(x["shard"], x["island"], x["lengths"], x["population"], x["migrant"], x["accepted"]):
                 start = [_thaw(p) for p in [*population, *([migrant] if migrant is not None else [])]]
-                ranked = evolve(lengths, start, limit, shard * 1009 + island * 31 + number)
+                ranked, more = evolve(lengths, start, limit, shard * 1009 + island * 31 + number)
                 people.append([_freeze(p, len(lengths)) for p in ranked])
                 n, fill = cost(lengths, ranked[0], limit)
                 costs.append(n)
                 fills.append(fill)
+                entered.append(accepted + more)
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("shard", "island", "rows", "lengths")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(people, pa.list_(pa.binary())), pa.array(costs, pa.int32()), pa.array(fills, pa.float64())], names=["shard", "island", "rows", "lengths", "population", "bins", "fill"])
+            made = [pa.array(people, pa.list_(pa.binary())), pa.array(costs, pa.int32()), pa.array(fills, pa.float64()), pa.array(entered, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=["shard", "island", "rows", "lengths", "population", "bins", "fill", "accepted"])
+
+    return islands.mapInArrow(run, "shard long, island int, rows array<long>, lengths array<int>, population array<binary>, bins int, fill double, accepted int")
 
-    return islands.mapInArrow(run, "shard long, island int, rows array<long>, lengths array<int>, population array<binary>, bins int, fill double")
 
+def _places(best: DataFrame, limit: int) -> DataFrame:
+    """packed_row, sequence_id, offset, length, tail (whether its bin is filled less than TAIL_FILL) of every piece."""
 
-def _places(best: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             x = batch.to_pydict()
@@ -249,28 +283,42 @@ def _places(best: DataFrame) -> DataFrame:
                     offsets.append(used.get(b, 0))
                     used[b] = offsets[-1] + n
                 ids = np.frombuffer(bins, np.int32).astype(np.int64) + shard * (SHARD * 8)
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(2 * ids), pa.array(offsets, pa.int64())], names=["packed_row", "sequence_id", "offset"])
+                tail = [used[b] < TAIL_FILL * limit for b in bins]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32()), pa.array(tail)], names=["packed_row", "sequence_id", "offset", "length", "tail"])
 
-    return best.mapInArrow(run, "packed_row long, sequence_id long, offset long")
+    return best.mapInArrow(run, "packed_row long, sequence_id long, offset long, length int, tail boolean")
 
 
-def pack(table: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """table (a written one, with a column length of 1 to limit) with sequence_id and offset; an empty table stays empty."""
-    numbered = materialise(table.withColumn("packed_row", F.monotonically_increasing_id()), "pieces")
-    small = numbered.where(F.col("length") < limit)
+def evolved_islands(small: DataFrame, limit: int) -> DataFrame:
+    """The islands of a written table packed_row, length after all rounds, one row each with its population and the number of
+    accepted crossovers."""
     shards = -(-small.count() // SHARD) or 1
     dealt = small.select(F.pmod(F.xxhash64("packed_row"), F.lit(shards)).alias("shard"), F.struct(F.col("packed_row"), F.col("length").cast("int").alias("length")).alias("x"))
     gathered = dealt.groupBy("shard").agg(F.array_sort(F.collect_list("x")).alias("x"))  # about SHARD pieces each, by a uniform hash
     islands = gathered.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("x.packed_row").alias("rows"), F.col("x.length").alias("lengths"))
-    islands = islands.repartition("shard", "island").withColumn("population", F.array().cast("array<binary>")).withColumn("migrant", F.lit(None).cast("binary"))
+    islands = islands.repartition("shard", "island").withColumn("population", F.array().cast("array<binary>")).withColumn("migrant", F.lit(None).cast("binary")).withColumn("accepted", F.lit(0))
     for number in range(ROUNDS):
         evolved = materialise(_round(islands, number, limit), "islands")
         elite = evolved.select(F.col("shard").alias("to_shard"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("to_island"), F.element_at("population", 1).alias("migrant"))
-        islands = evolved.join(elite.hint("shuffle_hash"), (F.col("shard") == F.col("to_shard")) & (F.col("island") == F.col("to_island"))).drop("to_shard", "to_island")
+        islands = evolved.join(elite.hint("merge"), (F.col("shard") == F.col("to_shard")) & (F.col("island") == F.col("to_island"))).drop("to_shard", "to_island")
+    return evolved
+
+
+def _packed(small: DataFrame, limit: int, name: str) -> DataFrame:
     key = F.struct("bins", "fill", "island")
-    best = evolved.groupBy("shard").agg(F.min_by(F.struct("rows", "lengths", F.element_at("population", 1).alias("solution")), key).alias("b")).select("shard", "b.*")
-    places = materialise(_places(best), "places")
-    full = numbered.where(F.col("length") >= limit).withColumn("sequence_id", 2 * F.col("packed_row") + 1).withColumn("offset", F.lit(0).cast("long"))
+    best = evolved_islands(small, limit).groupBy("shard").agg(F.min_by(F.struct("rows", "lengths", F.element_at("population", 1).alias("solution")), key).alias("b"))
+    return materialise(_places(best.select("shard", "b.*"), limit), name)
+
+
+def pack(table: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """table (a written one, with a column length of 1 to limit) with sequence_id and offset; an empty table stays empty."""
+    numbered = materialise(table.withColumn("packed_row", F.monotonically_increasing_id()), "pieces")
+    small = numbered.where(F.col("length") < limit)
+    first = _packed(small.select("packed_row", "length"), limit, "places")
+    again = _packed(first.where("tail").select("packed_row", "length"), limit, "tail-places")
+    told = lambda df, k: df.select("packed_row", (3 * F.col("sequence_id") + k).alias("sequence_id"), "offset")
+    places = told(first.where("not tail"), 0).union(told(again, 1))
+    full = numbered.where(F.col("length") >= limit).withColumn("sequence_id", 3 * F.col("packed_row") + 2).withColumn("offset", F.lit(0).cast("long"))
     return small.join(places.hint("merge"), "packed_row").unionByName(full).drop("packed_row")
 
 

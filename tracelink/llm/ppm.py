@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.llm.byte_grams import BITS, END, SYMBOLS, count_grams, frequent, group, in_groups, low, text_scores
+from tracelink.llm.byte_grams import BITS, END, SYMBOLS, count_grams, frequent, group, in_groups, low, most_frequent, text_scores
 from tracelink.llm.common import add_columns, materialise, utf8
 
 #: Tokens whose counts go to every task.
@@ -183,7 +183,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     norm = math.log10(train + 0.5 * (kinds + 1))
     grams = materialise(count_grams(docs, F.col(text), ~held_out(doc_id), bytes.lower), "grams")
     scored = materialise(score_grams(grams), "scored-grams")
-    top = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    top = most_frequent(counted, "n", FREQUENT).toArrow()
     often = dict(zip(top.column("word").to_pylist(), [(float(c > 0), math.log10(c + 0.5)) for c in top.column("c").to_pylist()]))
     shared = spark.sparkContext.broadcast((often, frequent(scored)))
 
