@@ -201,7 +201,7 @@ def test_packing_is_gapless_and_whole(spark, docs):
 def test_packing_ids_are_the_tokenizers():
     """Special tokens, letters that normalisation takes apart, final sigma and the like, beside 20,000 random strings."""
     path = public_tokenizers.path(packing.VOCABULARY)
-    tokenizer, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    tokenizer, cache = Tokenizer.from_file(path), packing.UnitCache(path)
     rng = random.Random(7)
     parts = ["a", "B", "The", " ", "\n", "\t", "é", "É", "'s", "'S", "'re", "1", "23", "...", ".", ",", "\x1f", "\xa0", "日本", "\r\n", "_", "😀"]
     parts += ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "ड़", "ख़", "फ़.", "e\u0301", "\u0301", "ß", "ẞ", "İ", "Σ", "ΑΣ", "ς", "²", "½", "µ", "ª", "×", "ÿ", "ﬁ", "Ⅷ", "#$%", "\0", "ǅ", "</w>", "</", "’s"]
@@ -210,13 +210,13 @@ def test_packing_ids_are_the_tokenizers():
         assert list(array("I", packed)) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_generations_of_the_word_cache(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+def test_generations_of_the_unit_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_UNITS", 5)
     path = public_tokenizers.path(packing.VOCABULARY)
-    tokenizer, cache = Tokenizer.from_file(path), packing.WordCache(path)
+    tokenizer, cache = Tokenizer.from_file(path), packing.UnitCache(path)
     for text in [PROSE, "the lazy cat's 3 tails.", PROSE, "naïve 日本 the"] * 3:
         assert list(array("I", cache.encode_many([text])[0])) == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(cache.words) < 50 and len(cache.older) < 50
+        assert len(cache.hashes) < 50
 
 
 def test_genetic_rounds_beat_best_fit_and_lose_nothing():

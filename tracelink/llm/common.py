@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -67,3 +69,14 @@ def add_columns(df: DataFrame, inputs: list[str], fn: Callable[..., list], added
             yield pa.RecordBatch.from_arrays(columns, names=[*names, *new.names])
 
     return df.mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, text: int, most_rows: int = 1000, most_bytes: int = 1 << 22):
+    """A batch in slices of at most most_rows rows and about most_bytes of its text column (a longer text comes by itself)."""
+    sizes = np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        done = sizes[begin - 1] if begin else 0
+        end = min(begin + most_rows, max(begin + 1, int(np.searchsorted(sizes, done + most_bytes, side="right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end

@@ -17,15 +17,17 @@ import random
 import re
 import zlib
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from tracelink.llm.common import materialise
+from tracelink.llm.byte_grams import mix
+from tracelink.llm.common import materialise, slices
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -33,89 +35,179 @@ END_ID = 0
 SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4000, 2, 2, 3, 6
 #: Bins filled less than this are opened again, and their pieces meet those of other shards.
 TAIL_FILL = 0.9
-CACHE_WORDS = 500_000
-
-
-#: Words of these characters only have the pre-tokens that SPLIT finds in their lower-case form: no other character joins,
-#: splits or changes when such a word is normalised. The last line of the file's pre-tokeniser, for these characters.
-PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
-SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-
-
-class WordCache:
-    """Packed ids of texts, word by word: the tokenizer drops white space and never joins what stands on both sides of it.
-
-    A plain word's ids are those of its pre-tokens, which many words share; any other word, also one that holds a special
-    token, is encoded by itself. At most two generations of CACHE_WORDS words and pre-tokens are held.
+CACHE_UNITS = 1_000_000
+
+
+#: Texts of these characters only have the pre-tokens that Pretokens
+#: finds: no other character joins, splits or changes when such a text is normalised.
+PLAIN = re.compile(r"[ \n\r\t!-~À-ÖØ-öø-ÿ]*")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+CLASS = np.full(256, OTHER, np.uint8)
+CLASS[[ord(c) for c in " \n\r\t"]] = SPACE
+CLASS[[*range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = LETTER
+CLASS[ord("0") : ord("9") + 1] = DIGIT
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER[0x80:0x9F] += 32  # the second byte of the letters À to Þ
+#: Endings after an apostrophe that are pre-tokens with it.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Pre-tokens of up to so many bytes are known by their bytes as three numbers.
+SHORT = 24
+_MASK = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(9)], np.uint64)
+
+
+def pretokens(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the pre-tokens in the lower-case bytes of plain texts, each of which ends with a line end.
+
+    These are runs of letters, single digits, runs of other signs, and an apostrophe that begins such a run with its ending.
+    """
+    kind = CLASS[raw]
+    before = np.append(np.uint8(SPACE), kind[:-1])
+    begin = (kind != SPACE) & ((kind != before) | (kind == DIGIT))
+    marks = np.flatnonzero(begin & (raw == ord("'")) & (np.append(kind[1:], np.uint8(SPACE)) == LETTER))
+    if len(marks):
+        first, second = raw[marks + 1], raw[np.minimum(marks + 2, len(raw) - 1)]
+        length = np.zeros(len(marks), np.int64)
+        for ending in ENDINGS:
+            fits = first == ord(ending[0])
+            if len(ending) > 1:
+                fits &= second == ord(ending[1])
+            length[fits] = len(ending)
+        marks, length = marks[length > 0], length[length > 0]
+        begin[marks + 1] = False
+        after = marks + 1 + length
+        begin[after[kind[after] == LETTER]] = True
+    edge = np.flatnonzero(begin | ((kind == SPACE) & (before != SPACE)))
+    at = np.flatnonzero(begin[edge])
+    return edge[at], edge[at + 1]
+
+
+class UnitCache:
+    """Ids of texts, pre-token by pre-token; a text that is not plain is encoded by the tokenizer as a whole.
+
+    Pre-tokens that were met stand in arrays sorted by a hash of their bytes, with the bytes themselves, so that each is
+    compared and none mistaken. At most CACHE_UNITS are kept from slice to slice, those used last.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_blanks = Tokenizer.from_file(path)  # for pre-tokens of plain texts, which only blanks divide
+        self.by_blanks.normalizer = normalizers.Sequence([])
+        self.by_blanks.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True  # a pre-token's last id, and no other
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 5000):
-            some = parts[i : i + 5000]
-            ids = np.array(self._ids([" ".join(some)])[0], "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                packed = ids.tobytes()
-                self.parts.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(some, [0, *stops.tolist()], stops.tolist()))
-            else:
-                self.parts.update((w, array("I", x).tobytes()) for w, x in zip(some, self._ids(some)))
-
-    def _learn(self, fresh: list[str]) -> None:
-        split, odd = [], []
-        for w in fresh:
-            known = self.older.get(w)
-            if known is not None:
-                self.words[w] = known
-            elif PLAIN.fullmatch(w):
-                split.append((w, SPLIT.findall(w.lower())))
-            else:
-                odd.append(w)
-        wanted = set().union(*[x for _, x in split])
-        if len(self.parts) + len(wanted) > CACHE_WORDS:
-            self.parts = {}
-        self._learn_parts(list(wanted.difference(self.parts)))
-        parts = self.parts
-        self.words.update((w, parts[x[0]] if len(x) == 1 else b"".join([parts[p] for p in x])) for w, x in split)
-        for i in range(0, len(odd), 1000):
-            some = odd[i : i + 1000]
-            self.words.update((w, array("I", x).tobytes()) for w, x in zip(some, self._ids(some)))
+        self.hashes = np.zeros(0, np.uint64)
+        self.bytes = np.zeros((0, 3), np.uint64)
+        self.place, self.count, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.slice = 0
+        self._arrange()
+
+
+    def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units, and how many each has."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(units), 5000):
+            some = units[i : i + 5000]
+            made = np.array(self.by_blanks.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ids.append(made)
+            counts.append(np.diff(np.flatnonzero(self.ends[made]) + 1, prepend=0))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _arrange(self) -> None:
+        order = np.argsort(self.hashes)
+        self.hashes, self.bytes, self.place, self.count, self.used = (x[order] for x in (self.hashes, self.bytes, self.place, self.count, self.used))
+        bits = max(1, len(order).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.sorted = np.append(self.hashes, np.uint64(2**64 - 1))
+
+    def _find(self, hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Places in the arrays; -1 for what is not there."""
+        at = self.first[(hashes >> self.shift).astype(np.int64)]
+        behind = np.flatnonzero(self.sorted[at] < hashes)
+        while len(behind):
+            at[behind] += 1
+            behind = behind[self.sorted[at[behind]] < hashes[behind]]
+        at[at >= len(self.hashes)] = -1
+        if len(self.hashes):
+            at[(self.bytes[at] != keys).any(1)] = -1
+        return at
+
+    def _learn(self, hashes: np.ndarray, keys: np.ndarray, texts: Callable[[np.ndarray], list[str]]) -> None:
+        """Adds pre-tokens; of different ones with equal hashes only one, ever."""
+        _, once = np.unique(hashes, return_index=True)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[once]), len(self.hashes) - 1)
+            once = once[self.hashes[at] != hashes[once]]
+        if not len(once):
+            return
+        if len(self.hashes) > CACHE_UNITS:
+            kept = np.flatnonzero(self.used > np.median(self.used))
+            size = self.count[kept]
+            self.ids = self.ids[np.repeat(self.place[kept] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            self.hashes, self.bytes, self.count, self.used, self.place = self.hashes[kept], self.bytes[kept], size, self.used[kept], np.cumsum(size) - size
+        ids, counts = self._encode_units(texts(once))
+        self.place = np.append(self.place, len(self.ids) + np.cumsum(counts) - counts)
+        self.ids = np.append(self.ids, ids)
+        self.hashes, self.bytes = np.append(self.hashes, hashes[once]), np.concatenate([self.bytes, keys[once]])
+        self.count, self.used = np.append(self.count, counts), np.append(self.used, np.full(len(once), self.slice))
+        self._arrange()
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        self.slice += 1
+        raw = LOWER[np.frombuffer(("\n".join(texts) + "\n").encode() + bytes(SHORT), np.uint8)]
+        text_bytes = raw[: len(raw) - SHORT]
+        begins, ends = pretokens(text_bytes)
+        lengths = ends - begins
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw.data, strides=(1,))
+        keys = np.empty((len(begins), 3), np.uint64)
+        hashes = np.zeros(len(begins), np.uint64)
+        for k in range(3):
+            keys[:, k] = eight[begins + 8 * k] & _MASK[np.clip(lengths - 8 * k, 0, 8)]
+            hashes = mix(hashes + keys[:, k])
+        data = text_bytes.tobytes()
+        read = lambda which: [data[a:b].decode() for a, b in zip(begins[which].tolist(), ends[which].tolist())]
+        short = np.flatnonzero(lengths <= SHORT)
+        at = np.full(len(begins), -1)
+        at[short] = self._find(hashes[short], keys[short])
+        new = short[at[short] < 0]
+        if len(new):
+            self._learn(hashes[new], keys[new], lambda once: read(new[once]))
+            at[short] = self._find(hashes[short], keys[short])
+        known = np.flatnonzero(at >= 0)
+        self.used[at[known]] = self.slice
+        place, count = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        place[known], count[known] = self.place[at[known]], self.count[at[known]]
+        others = np.flatnonzero(at < 0)
+        pool = self.ids
+        if len(others):  # long ones, and those whose hash another has
+            units, back = np.unique(read(others), return_inverse=True)
+            ids, counts = self._encode_units(units.tolist())
+            place[others], count[others] = len(pool) + (np.cumsum(counts) - counts)[back], counts[back]
+            pool = np.append(pool, ids)
+        total = np.cumsum(count)
+        ids = pool[np.repeat(place - (total - count), count) + np.arange(total[-1] if len(total) else 0)].astype("<u4").tobytes()
+        stops = np.flatnonzero(text_bytes == ord("\n")) if not any("\n" in t for t in texts) else np.cumsum([len(t.encode()) + 1 for t in texts]) - 1
+        ids_before = np.append(0, total)[np.searchsorted(begins, stops)] * 4
+        return [ids[a:b] for a, b in zip([0, *ids_before.tolist()], ids_before.tolist())]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {"": b""}
-        out, missing, fresh = [], [], set()
-        get = self.words.get
-        for k, text in enumerate(texts):
-            words = text.replace("\n", " ").split(" ")
-            found = list(map(get, words))
-            if None in found:
-                fresh.update([w for w, x in zip(words, found) if x is None])
-                missing.append(k)
-                out.append(words)
-            else:
-                out.append(b"".join(found))
-        if fresh:
-            self._learn(list(fresh))
-            get = self.words.__getitem__
-            for k in missing:
-                out[k] = b"".join(map(get, out[k]))
+        """The packed ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [k for k, t in enumerate(texts) if "<|" not in t and PLAIN.fullmatch(t)]
+        if plain:
+            for k, packed in zip(plain, self._encode_plain([texts[k] for k in plain])):
+                out[k] = packed
+        odd = [k for k, t in enumerate(texts) if "<|" in t or not PLAIN.fullmatch(t)]
+        for k, made in zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
+            out[k] = array("I", made.ids).tobytes()
         return out
 
 
-_CACHES: dict[str, WordCache] = {}
+_CACHES: dict[str, UnitCache] = {}
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -123,11 +215,10 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         if path not in _CACHES:
-            _CACHES[path] = WordCache(path)
+            _CACHES[path] = UnitCache(path)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+            for part in slices(batch, 1, 4000, 1 << 23):
                 which, rows = [], []
                 for k, packed in enumerate(_CACHES[path].encode_many([t or "" for t in part.column(1).to_pylist()])):
                     packed += end
