@@ -194,12 +194,32 @@ def test_byte_bpe_matches_tiktoken(spark, docs):
         assert list(array("I", packed)) == other.encode_ordinary(text)
 
 
+def plain_spans(k, text):
+    """A rule's spans by Python's own expressions."""
+    _, head, body, least = secret_scan.RULES[k]
+    head = re.sub("<(.*?)>", r"(?i:\1)", head)
+    return [m.span() for m in re.finditer(f"(?:{head})({body})".encode(), text) if m.end() - m.start(m.lastindex) >= least]
+
+
+def test_secret_scan_against_plain_expressions(monkeypatch):
+    """Random strings of what rules are made of, in many slices, and long ones without a byte that resets the automaton."""
+    rng = random.Random(8)
+    parts = ["password", "Secret", "token", "API_KEY", "apikey", '"', "'", " ", "  ", ":", "=", "==", "\n", "(", "é", "AKIA", "AKIAABCD1234567890", "deadbeef", "0123456789abcdef", "gh", "ghp_", "xoxb-", "AIza", "rk_live_"]
+    parts += ["eyJabc", ".", "eyJ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "A" * 20, "b" * 12, "x" * 36, "-", "_", "+/", "7"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))).encode() for _ in range(4000)]
+    texts += [b"token= " + b"x" * 50_000, b"eyJ" * 20_000, b"deadbeef " * 9000 + b"token: " + b"Ab1" * 9, b"", b"secret=token=secret: abcdefghijklmn"]
+    monkeypatch.setattr(secret_scan, "SLICE", 5000)
+    found = secret_scan.find_spans(texts)
+    for i, t in enumerate(texts):
+        assert found.get(i, []) == sorted((a, k, b) for k in range(len(secret_scan.RULES)) for a, b in plain_spans(k, t)), t[:200]
+
+
 def test_secret_scan_spans(spark, docs):
     got = {r.doc_id: r for r in secret_scan.secret_scan(docs).collect()}
     for r in docs.collect():
         t, spans = r.text or "", []
-        for k, (_, _, exact, group, least) in enumerate(secret_scan.RULES):
-            spans += [(m.start(), k, m.end()) for m in re.finditer(exact, t.encode()) if m.end(group) - m.start(group) >= least]
+        for k in range(len(secret_scan.RULES)):
+            spans += [(a, k, b) for a, b in plain_spans(k, t.encode())]
         place = lambda i: len(t.encode()[:i].decode())  # noqa: E731, B023
         told = lambda some: ",".join(f"{secret_scan.KINDS[k]}:{place(a)}:{place(b)}" for a, k, b in sorted(some))  # noqa: E731, B023
         base = [s for s in spans if s[1] < 3]
