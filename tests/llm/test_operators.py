@@ -322,10 +322,35 @@ def test_url_filter(spark):
     assert url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string")).count() == len(rows)
 
 
-def test_token_counts_against_single_words(spark, docs):
+def brute_unigram(model, word):
+    """Count and score of one pre-token, character by character."""
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        at = best[end - 1][0] + model.unknown, best[end - 1][1] - len(word[end - 1].encode("utf-8", "surrogatepass"))
+        for start in range(max(0, end - model.longest), end):
+            score = model.scores.get(word[start:end])
+            if score is not None:
+                at = max(at, (best[start][0] + score, best[start][1] - 1))
+        best.append(at)
+    return -best[-1][1], best[-1][0]
+
+
+def test_token_counts_against_single_words(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_counts, "CELLS", 3000)
     path = public_tokenizers.path(token_counts.VOCABULARY)
     model = token_counts.Unigram(path)
     for r in token_counts.token_counts(docs, path).collect():
-        found = [model.one(token_counts.MARK + w) for w in words(r.text)]
+        found = [brute_unigram(model, token_counts.MARK + w) for w in words(r.text)]
         assert (r.n_words, r.n_tokens) == (len(found), sum(n for n, _ in found))
         assert r.score == pytest.approx(sum(s for _, s in found))
+    assert token_counts.token_counts(docs.limit(0), path).count() == 0
+
+
+def test_token_counts_of_long_words():
+    model = token_counts.Unigram(public_tokenizers.path(token_counts.VOCABULARY))
+    rng = random.Random(5)
+    some = {"".join(rng.choice(["the", "ing", "日本", "é", "a", "zx", "😀", "0"]) for _ in range(rng.choice([1, 2, 5, 30, 90, 4000]))) for _ in range(60)} | {"a" * 30_000, "é" * 47, "x" * 48}
+    model.learn(some)
+    for w in some:
+        n, score = brute_unigram(model, token_counts.MARK + w)
+        assert model.words[w][0] == n and model.words[w][1] == pytest.approx(score)

@@ -1,9 +1,11 @@
 """Unigram token counts by dynamic programming over a trie of the distinct pre-tokens.
 
-The new pre-tokens of a batch are sorted, which lays out their trie: a prefix is a run of rows. The forward score of
-a prefix (the best sum of log probabilities of pieces that spell it, and how many pieces that takes) is computed once
-for each trie node, depth by depth for all nodes at once, from its ancestors' scores; a pre-token's count is its
-terminal node's. Texts then only look their pre-tokens up, so the work needs no shuffle and grows with the input.
+The new pre-tokens of a slice are sorted, which lays out their trie: a cell (row, depth) is a node where its prefix is not
+the row's before. Pieces that end at a node are looked up once for it, by hash and then by their characters, whatever the
+pre-token's length. The forward score of a node (the best sum of log probabilities of pieces that spell the prefix, and how
+many pieces that takes) follows depth by depth, for all nodes of a depth at once, from its ancestors' scores; a
+pre-token's count is its terminal node's. Texts then only look their pre-tokens up, so the work needs no shuffle and
+grows with the input.
 
 Pieces and their order come from a public vocabulary file; a piece's probability falls with its rank (1 / (rank + 1)).
 Characters that no piece covers cost PENALTY below the least piece and count as their UTF-8 bytes.
@@ -15,16 +17,19 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm.common import add_columns
+from tracelink.llm.common import add_columns, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 PENALTY = 10.0
-CACHE_WORDS, DEEP, ROWS = 500_000, 48, 40_000
+#: Pre-tokens held, and cells (pre-tokens times their greatest length) of one trie.
+CACHE_WORDS, CELLS = 500_000, 1 << 20
 _M = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_M), -1, 1 << 64))
 
 
 def _mix(code: np.ndarray) -> np.ndarray:
@@ -49,82 +54,89 @@ class Unigram:
                 self.scores.setdefault(model.id_to_piece(i), -math.log(i + 1) - total)
         self.unknown = min(self.scores.values()) - PENALTY
         self.longest = max(map(len, self.scores))
-        self.tables = []  # by length: sorted hashes and scores
-        for n in range(1, self.longest + 1):
-            some = [(p, s) for p, s in self.scores.items() if len(p) == n]
-            hashes = np.zeros(len(some), np.uint64)
-            if some:
-                for column in _mix(_codes("".join(p for p, _ in some))).reshape(-1, n).T:
-                    hashes = hashes * _M + column
-            order = np.argsort(hashes)
-            self.tables.append((hashes[order], np.array([s for _, s in some])[order] if some else np.zeros(0)))
+        pieces = list(self.scores)
+        self.sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.codes = np.zeros((len(pieces), self.longest), np.uint32)
+        self.codes[np.arange(self.longest) < self.sizes[:, None]] = _codes("".join(pieces))
+        self.power = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(self.longest, _M))])
+        inside = np.where(np.arange(self.longest) < self.sizes[:, None], _mix(self.codes) * self.power[: self.longest], np.uint64(0))
+        hashes = inside.sum(1, dtype=np.uint64) + self.power[self.sizes]
+        order = np.argsort(hashes)
+        self.hashes, self.codes = hashes[order], self.codes[order]
+        self.values = np.fromiter(self.scores.values(), float, len(pieces))[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
         self.words: dict[str, tuple[int, float]] = {}
 
-    def one(self, word: str) -> tuple[int, float]:
-        """Count and score of one pre-token, character by character."""
-        best = [(0.0, 0)] + [(-math.inf, 0)] * len(word)
-        for end in range(1, len(word) + 1):
-            at = best[end - 1][0] + self.unknown, best[end - 1][1] - len(word[end - 1].encode("utf-8", "surrogatepass"))
-            for start in range(max(0, end - self.longest), end):
-                score = self.scores.get(word[start:end])
-                if score is not None:
-                    at = max(at, (best[start][0] + score, best[start][1] - 1))
-            best[end] = at
-        return -best[-1][1], best[-1][0]
+    def _pieces_at(self, code: np.ndarray, sums: np.ndarray, row: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Nodes (row, depth) and the pieces that end there: the node's number, the piece's length, its score."""
+        out = []
+        back = np.multiply.accumulate(np.full(sums.shape[1], _INVERSE)) * _M  # powers that undo a place's own
+        for n in range(1, self.longest + 1):
+            some = np.flatnonzero(depth >= n)
+            start = depth[some] - n
+            hashes = (sums[row[some], depth[some]] - sums[row[some], start]) * back[start] + self.power[n]
+            hit = np.flatnonzero(self.seen[(hashes >> np.uint64(44)).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, hashes[hit]), len(self.hashes) - 1)
+            same = self.hashes[at] == hashes[hit]
+            hit, at = hit[same], at[same]
+            spelt = code[row[some[hit]][:, None], start[hit][:, None] + np.arange(n)]
+            same = (spelt == self.codes[at, :n]).all(1)
+            out.append((some[hit[same]], np.full(int(same.sum()), n), self.values[at[same]]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
     def many(self, words: list[str]) -> list[tuple[int, float]]:
-        """Counts and scores of sorted distinct pre-tokens of at most DEEP characters."""
+        """Counts and scores of sorted distinct pre-tokens."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         deep = int(lengths.max())
+        inside = np.arange(deep) < lengths[:, None]
         code = np.zeros((len(words), deep), np.uint32)
-        code[np.arange(deep) < lengths[:, None]] = _codes("".join(words))
-        same = np.ones(len(words) - 1, bool)
-        rows = np.arange(len(words))
-        begins = [np.zeros(len(words), np.int64)]  # by depth: the first row of each row's prefix
-        prefix = [np.zeros(len(words), np.uint64)]
-        score, count = [np.zeros(len(words))], [np.zeros(len(words), np.int64)]
-        power = [np.uint64(1)]
-        n, s = np.zeros(len(words), np.int64), np.zeros(len(words))
-        for d in range(1, deep + 1):
-            column = code[:, d - 1]
-            same &= column[1:] == column[:-1]
-            begin = np.maximum.accumulate(np.where(np.append(True, ~same), rows, 0))
-            nodes = np.flatnonzero((begin == rows) & (lengths >= d))
-            begins.append(begin)
-            hashes = np.zeros(len(words), np.uint64)
-            hashes[nodes] = prefix[d - 1][begins[d - 1][nodes]] * _M + _mix(column[nodes])
-            prefix.append(hashes)
-            power.append(np.uint64(int(power[-1]) * int(_M) & (1 << 64) - 1))
-            up = begins[d - 1][nodes]
-            c = column[nodes]
-            best, used = score[d - 1][up] + self.unknown, count[d - 1][up] + 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
-            for n_chars in range(1, min(self.longest, d) + 1):
-                keys, values = self.tables[n_chars - 1]
-                if not len(keys):
-                    continue
-                up = begins[d - n_chars][nodes]
-                piece = hashes[nodes] - prefix[d - n_chars][up] * power[n_chars]
-                at = np.minimum(np.searchsorted(keys, piece), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == piece)
-                new, more = score[d - n_chars][up[hit]] + values[at[hit]], count[d - n_chars][up[hit]] + 1
-                better = (new > best[hit]) | ((new == best[hit]) & (more < used[hit]))
-                best[hit[better]], used[hit[better]] = new[better], more[better]
-            full, many = np.zeros(len(words)), np.zeros(len(words), np.int64)
-            full[nodes], many[nodes] = best, used
-            score.append(full)
-            count.append(many)
-            ended = np.flatnonzero(lengths == d)
-            n[ended], s[ended] = many[begin[ended]], full[begin[ended]]
-        return list(zip(n.tolist(), s.tolist()))
+        code[inside] = _codes("".join(words))
+        new = inside.copy()
+        new[1:] &= ~np.logical_and.accumulate((code[1:] == code[:-1]) & inside[:-1], axis=1)
+        owner = np.maximum.accumulate(np.where(new, np.arange(len(words), dtype=np.int32)[:, None], 0), axis=0)
+        sums = np.zeros((len(words), deep + 1), np.uint64)
+        np.cumsum(_mix(code) * (np.multiply.accumulate(np.full(deep, _M)) * _INVERSE), axis=1, out=sums[:, 1:])
+        depth, row = np.nonzero(new.T)  # nodes, depth by depth
+        depth += 1
+        n_nodes = len(row)
+        number = np.full((len(words), deep + 1), n_nodes, np.int64)  # the root has the last number
+        number[row, depth] = np.arange(n_nodes)
+        node, size, value = self._pieces_at(code, sums, row, depth)
+        c = code[row, depth - 1]
+        node = np.concatenate([np.arange(n_nodes), node])
+        size = np.concatenate([np.ones(n_nodes, np.int64), size])
+        value = np.concatenate([np.full(n_nodes, self.unknown), value])
+        more = np.concatenate([1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF), np.ones(len(node) - n_nodes, np.int64)])
+        order = np.argsort(node, kind="stable")
+        node, size, value, more = node[order], size[order], value[order], more[order]
+        above = depth[node] - size
+        up = np.where(above > 0, number[owner[row[node], np.maximum(above - 1, 0)], above], n_nodes)
+        score, count = np.zeros(n_nodes + 1), np.zeros(n_nodes + 1, np.int64)
+        begins = np.searchsorted(node, np.arange(n_nodes + 1))
+        levels = np.searchsorted(depth, np.arange(1, deep + 2)).tolist()
+        for first, last in zip(levels, levels[1:]):
+            a, b = begins[first], begins[last]
+            at = begins[first:last] - a
+            given = score[up[a:b]] + value[a:b]
+            best = np.maximum.reduceat(given, at)
+            taken = np.where(given == best[node[a:b] - first], count[up[a:b]] + more[a:b], 1 << 60)
+            score[first:last], count[first:last] = best, np.minimum.reduceat(taken, at)
+        ends = number[owner[np.arange(len(words)), lengths - 1], lengths]
+        return list(zip(count[ends].tolist(), score[ends].tolist()))
 
     def learn(self, words: set[str]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words = {}
-        short = sorted(w for w in words if len(w) < DEEP)
-        for i in range(0, len(short), ROWS):
-            some = short[i : i + ROWS]
-            self.words.update(zip(some, self.many([MARK + w for w in some])))
-        self.words.update((w, self.one(MARK + w)) for w in words if len(w) >= DEEP)
+        ordered = sorted(words)
+        lengths = np.fromiter(map(len, ordered), np.int64, len(ordered)) + 1
+        power = np.frexp(np.maximum(lengths, 32).astype(float))[1]  # words of like length together, so that tries are full
+        for k in np.unique(power):
+            alike = np.flatnonzero(power == k).tolist()
+            rows = max(1, CELLS >> int(k))
+            for i in range(0, len(alike), rows):
+                some = [ordered[x] for x in alike[i : i + rows]]
+                self.words.update(zip(some, self.many([MARK + w for w in some])))
 
 
 _MODELS: dict[str, Unigram] = {}
@@ -141,8 +153,8 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", drop: tuple[str
         if path not in _MODELS:
             _MODELS[path] = Unigram(path)
         model, rows = _MODELS[path], []
-        for i in range(0, len(column), 2000):
-            split = [(t or "").translate(SPACES).split(" ") for t in column.slice(i, 2000).to_pylist()]
+        for part in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 0, 2000, 1 << 23):
+            split = [(t or "").translate(SPACES).split(" ") for t in part.column(0).to_pylist()]
             wanted = set().union(*split)
             wanted.discard("")
             fresh = wanted.difference(model.words)
