@@ -84,3 +84,33 @@ def test_near_duplicates_when_files_are_split_anew(spark, monkeypatch):
     finally:
         spark.conf.set(name, before)
     assert sorted(kept) == list(range(40))
+
+
+def odd_documents(spark):
+    """Clashing names, nulls in every column, repeated rows, empty and very long texts, a language of copies."""
+    rng = random.Random(2)
+    common = [f"{a}{b}" for a in ("re", "in", "con", "de", "per") for b in ("form", "tain", "sult", "act", "vert", "pose", "cede")]
+    prose = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [prose(120) for _ in range(60)] + [None, "", " \n ", "x" * 300_000, prose(40_000), "token = abcdefgh12345678 " + prose(100)]
+    texts += [texts[0]] * 20 + ["junk " * 200] * 3
+    rows = [(i, t, "en", "s", None if t is None else len(t), f"note {i}", i, "kept?", i / 2) for i, t in enumerate(texts)]
+    rows += [(None, None, None, None, None, None, None, None, None), rows[1], rows[1]]
+    return materialise(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string, place_of_row long, kept string, fp double").repartition(3), "odd")
+
+
+def test_stages_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    by_id = {r.doc_id: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        kept = out.collect()
+        if name == "simhash_near_dedup":
+            assert len(kept) == len({r.text if (r.text or "").split() else "" for r in by_id.values()})
+        if name == "secret_scan":
+            assert len(kept) == docs.count() and any("[assign]" in (r.text or "") for r in kept)
+        else:
+            assert all(r == by_id[r.doc_id] for r in kept)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert packed.where("piece = 0").count() == docs.count() and corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0

@@ -14,16 +14,17 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.llm.common import add_columns
+from tracelink.llm.common import add_columns, slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_PARTS, CACHE_LENGTH = 500_000, 100
 #: Bytes of new pre-tokens that are merged together (a longer pre-token goes alone).
 MERGE_BYTES = 4_000_000
-SLICE = 4000
+SLICE, SLICE_BYTES = 4000, 1 << 24
 
 
 class RankQueue:
@@ -260,8 +261,8 @@ def codec(path: str) -> Codec:
 
 def encoded_slices(column, path: str):
     """Packed ids of a string column's texts, a bounded slice of it at a time."""
-    for i in range(0, len(column), SLICE):
-        yield from codec(path).encode_many([t or "" for t in column.slice(i, SLICE).to_pylist()])
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["t"]), 0, SLICE, SLICE_BYTES):
+        yield from codec(path).encode_many([t or "" for t in part.column(0).to_pylist()])
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:

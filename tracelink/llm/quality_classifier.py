@@ -145,11 +145,15 @@ def held_out(doc_id: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Additive:
-    """The model of at most `sample` labelled rows that are not held out; rows without a label don't count."""
+    """The model of at most `sample` labelled rows that are not held out; rows without a label don't count.
+
+    An id that several documents or labels have gives a row for each pair of them, of at most `sample` in all.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("labelled_id"), F.col(label).cast("double").alias("label_of_it"))
     some = known.orderBy(F.xxhash64("labelled_id"), "labelled_id").limit(sample)
     texts = docs.select(doc_id, text).join(F.broadcast(some), F.col(doc_id) == F.col("labelled_id"))
-    made = add_columns(texts.select("labelled_id", "label_of_it", text), [text], lambda c: [_vector(c).tolist()], "x array<double>", drop=(text,)).toArrow()
+    made = add_columns(texts.select("labelled_id", "label_of_it", text), [text], lambda c: [_vector(c).tolist()], "x array<double>", drop=(text,))
+    made = made.orderBy(F.xxhash64("labelled_id"), "labelled_id", "x").limit(sample).toArrow()  # an id may stand in many rows
     y = made.column("label_of_it").to_numpy()
     x = np.array(made.column("x").combine_chunks().flatten().to_numpy()).reshape(len(y), len(FEATURES))
     order = np.lexsort((*x.T, y, made.column("labelled_id").to_numpy()))  # the same model whatever order rows come in

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-Fingerprints are cut into 16-bit blocks; two fingerprints that differ in fewer bits than there are blocks share at
-least one. Distinct fingerprints are joined on their blocks by sorting them together, and each bucket yields only a
+Fingerprints of 64 bits are cut into six blocks; two that differ in three bits or fewer agree in three blocks at least, so
+every three blocks are a key. Distinct fingerprints are joined on their keys by sorting them together, and each bucket yields only a
 spanning forest of its links (at most one edge for each member), never its pairs: a bucket is walked breadth first,
 and members that are reached are not compared again. A bucket of more than TILE fingerprints is cut into tiles that
 meet pairwise, so no task holds more than two tiles. Links then become components by alternating large-star and
@@ -10,12 +10,12 @@ small-star rounds on the edge table, each round written to the shared folder.
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.llm.common import add_columns, materialise, utf8
@@ -25,7 +25,8 @@ SMALL = 48
 SEED = 42
 #: Shingles in a tile of the exact comparison; two tiles (eight bytes a shingle) meet in a task.
 TILE_SHINGLES = 4_000_000
-MAX_ROUNDS = 60
+#: Hot buckets up to this many are broadcast.
+MOST_HOT = 100_000
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -120,29 +121,43 @@ def _links(group: np.ndarray, bits: np.ndarray, most: int) -> tuple[list[int], l
     return a, b
 
 
-def near_links(distinct: DataFrame, most: int = 3, cuts: int = 1) -> DataFrame:
-    """a, b: fingerprints with at most `most` differing bits, enough of them to connect every linked group.
+def triples() -> Column:
+    """The 20 keys of a 64-bit fingerprint: every three of its six blocks of ten or eleven bits.
+
+    Fingerprints with three differing bits or fewer agree in three blocks at least, so they share a key. A key has 31 to 33
+    bits, so buckets stay small where fingerprints are many.
+    """
+    half = [F.conv(F.hex(F.substring("fp", at, 4)), 16, 10).cast("long") for at in (1, 5)]
+    block = [F.shiftright(h, by).bitwiseAND((1 << n) - 1) for h in half for by, n in ((21, 11), (10, 11), (0, 10))]
+    return F.array(*[a + F.shiftleft(b, 11) + F.shiftleft(c, 22) for a, b, c in combinations(block, 3)])
+
+
+def byte_pairs(n_blocks: int, cuts: int) -> Column:
+    """The keys of a fingerprint of n_blocks * 16 bits: two bytes each; cut c pairs byte 2 * i with the byte 2 * c + 1 further on."""
+    two = lambda i, j: F.conv(F.concat(F.hex(F.substring("fp", i + 1, 1)), F.hex(F.substring("fp", j + 1, 1))), 16, 10).cast("long")
+    return F.array(*[two(2 * i, (2 * i + 2 * c + 1) % (2 * n_blocks)) for c in range(cuts) for i in range(n_blocks)])
 
-    cuts: how many ways the bytes are paired to blocks; cut c pairs byte i with the byte 2 * c + 1 further on.
 
-    distinct has one row for each fp. Every link lies inside one component of the result if the fingerprints
-    have more 16-bit blocks than `most`; otherwise links that share no block are missed.
+def near_links(distinct: DataFrame, most: int = 3, keys: Column | None = None) -> DataFrame:
+    """a, b: fingerprints with at most `most` differing bits, enough of them to connect every linked group.
+
+    distinct has one row for each fp; keys is an array of longs, the triples() of a 64-bit fingerprint by default. Links
+    between fingerprints that share no key are missed; with the triples and three bits there are none.
     """
-    spark = distinct.sparkSession
-    n_blocks = F.length("fp") / 2
-    # block // n_blocks is the cut
-    second = "(2 * (block % n) + 1 + 2 * cast(block / n as int)) % (2 * n) + 1"
-    value = F.expr(f"cast(conv(concat(hex(substring(fp, 2 * (block % n) + 1, 1)), hex(substring(fp, {second}, 1))), 16, 10) as int)")
-    blocks = distinct.select("fp", n_blocks.cast("int").alias("n"), F.explode(F.sequence(F.lit(0), (cuts * n_blocks - 1).cast("int"))).alias("block"))
-    blocks = blocks.withColumn("value", value).drop("n")
-    # at most 65,536 buckets a block, and only those over a tile
+    if keys is None and most > 3:
+        raise ValueError("the triples find all links of at most three bits")
+    keys = triples() if keys is None else keys
+    blocks = distinct.select("fp", F.posexplode(keys).alias("block", "value"))
+    # only buckets over a tile
     hot = blocks.groupBy("block", "value").count().where(F.col("count") > TILE).select("block", "value", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    dealt = blocks.join(F.broadcast(hot), ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    hot = materialise(hot, "hot-buckets")
+    hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot.hint("merge")
+    dealt = blocks.join(hot, ["block", "value"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("tiles") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))))
     dealt = dealt.select("block", "value", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "fp")
-    keys = ["block", "value", "low", "high"]
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    parts = ["block", "value", "low", "high"]
+    dealt = dealt.repartition(*parts).sortWithinPartitions(*parts)
 
     def run(batches):
         held_key, held = [], []
@@ -155,7 +170,7 @@ def near_links(distinct: DataFrame, most: int = 3, cuts: int = 1) -> DataFrame:
 
         for batch in batches:
             columns = batch.to_pydict()
-            held_key += zip(*[columns[k] for k in keys])
+            held_key += zip(*[columns[k] for k in parts])
             held += columns["fp"]
             if held and len(held) >= 20_000:  # all but the last bucket, which may go on in the next batch
                 cut = len(held) - 1
@@ -179,7 +194,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = table.select("a", "b")
         both = both.union(table.select("b", "a")) if large else both
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = both.join(least.hint("shuffle_hash"), both.a == least.u)
+        # written, so that both sides of the join are plain exchanges, which Spark splits where one node has many edges
+        least = materialise(least, "least")
+        met = both.join(least.hint("merge"), both.a == least.u)
         if large:
             out = met.where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -190,9 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
         return table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     before = mark(edges)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:  # until a round changes nothing: then all edges are stars
         edges = materialise(star(star(edges, True), False), "edges")
         now = mark(edges)
         if now == before:
@@ -208,11 +223,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = materialise(fingerprints(docs.select(doc_id, text), text, width, words, drop=(text,)), "fingerprints")
     distinct = materialise(marked.groupBy("fp").agg(F.min(doc_id).alias("first")), "distinct-fingerprints")
-    links = components(near_links(distinct.select("fp"), most))
+    links = components(near_links(distinct.select("fp"), most, None if words == 1 else byte_pairs(4 * words, 1)))
     rooted = distinct.join(links.hint("merge"), distinct.fp == links.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted-fingerprints")
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.select("fp", "root").join(lowest.hint("shuffle_hash"), "root").select(F.col("fp").alias("own"), "component_id")
+    lowest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
+    named = rooted.select("fp", "root").join(lowest.hint("merge"), "root").select(F.col("fp").alias("own"), "component_id")
     named = materialise(named, "named-fingerprints")
     return marked.join(named.hint("merge"), marked.fp == named.own).select(doc_id, F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
@@ -295,12 +310,12 @@ def similar_groups(docs: DataFrame, doc_id: str, text: str, width: int, words: i
 
     marked = materialise(add_columns(docs.select(doc_id, text), [text], sketch, "fp binary, same binary", (text,)), "sketches")
     distinct = materialise(marked.groupBy("fp", "same").agg(F.min(doc_id).alias("node")), "distinct-sketches")
-    links = components(near_links(distinct.select("fp").distinct(), most, cuts))
+    links = components(near_links(distinct.select("fp").distinct(), most, byte_pairs(4 * words, cuts)))
     rooted = distinct.join(links.hint("merge"), distinct.fp == links.node, "left").select(distinct.node, "fp", "same", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted-sketches")
-    several = rooted.groupBy("root").count().where("count > 1").select("root")
-    asked = materialise(rooted.join(several.hint("shuffle_hash"), "root").select("node", "root", "fp"), "candidates")
-    found = docs.select(F.col(doc_id).alias("node"), text).join(asked.hint("shuffle_hash"), "node")
+    several = materialise(rooted.groupBy("root").count().where("count > 1").select("root"), "several")
+    asked = materialise(rooted.join(several.hint("merge"), "root").select("node", "root", "fp"), "candidates")
+    found = docs.select(F.col(doc_id).alias("node"), text).join(asked.hint("merge"), "node")
     sets = add_columns(found, [text], lambda c: [[np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(c)]], "shingles binary", (text,))
     sets = materialise(sets.select("node", "root", "fp", "shingles"), "shingle-sets")
     linked = components(verified_links(sets, most, least)).withColumnRenamed("node", "own")

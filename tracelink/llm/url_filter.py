@@ -76,7 +76,7 @@ def endpoints(spark: SparkSession, rules=RULES) -> DataFrame:
 def url_filter(pages: DataFrame, rules=RULES, url: str = "url", default: str = DEFAULT_VERDICT, salts: int | None = None) -> DataFrame:
     """pages with host, path, rule (null if none fits) and verdict; one row for each row of pages.
 
-    The longest fitting rule wins: most host labels, then the longest path; of equal rules block wins. A url
+    The longest fitting rule wins, host and path together; of equally long ones block. A url
     that is null or has no :// has an empty host and path, and gets the default verdict as any url that no rule fits.
     Columns of pages with these four names are replaced.
     """
@@ -99,7 +99,8 @@ def url_filter(pages: DataFrame, rules=RULES, url: str = "url", default: str = D
         top = F.last(f"e{n}", ignorenulls=True).over(order)
         swept = swept.withColumn(f"t{n}", top).withColumn(f"f{n}", F.when(F.col(f"k{n}").isNotNull() & (F.col(f"t{n}.length") >= 0), F.col(f"t{n}")))
         found.insert(0, F.col(f"f{n}"))
-    best = F.coalesce(*found)
+    ranked = [F.when(x.isNotNull(), F.struct(F.length(x["rule"]).alias("length"), x["verdict"].alias("verdict"), x["rule"].alias("rule"))) for x in found]
+    best = F.greatest(*ranked, F.lit(None)) if len(ranked) > 1 else ranked[0]
     return swept.where("row is not null").select("row.*", "host", "path", best["rule"].alias("rule"), F.coalesce(best["verdict"], F.lit(default)).alias("verdict"))
 
 
@@ -110,14 +111,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH p AS (
-  SELECT page_id,
+  SELECT page_id, row_number() OVER () AS row_of_page,
          translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
   FROM pages),
 r(rhost, rpath, rverdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 m AS (
   SELECT p.*, rhost || rpath AS rule, rverdict,
-         row_number() OVER (PARTITION BY page_id, host, path ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
+         row_number() OVER (PARTITION BY row_of_page ORDER BY length(rhost || rpath) DESC NULLS LAST, rverdict DESC) AS k
   FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM m WHERE k = 1
 """
