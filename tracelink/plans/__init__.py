@@ -3,7 +3,7 @@
 from tracelink import streaming
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS
-from tracelink.plans import graph
+from tracelink.plans import graph, rules
 from tracelink.sources import files
 
 QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()} | graph.QUERIES
@@ -12,3 +12,5 @@ ORACLE_SQL = {name: oracle(template) for name, template in OPERATORS.items()} |
 ORACLE_SQL |= {"j1_incremental_ingest": oracle("SELECT DISTINCT user_id, props, event_type FROM {events}"), "j2_incremental_recurrence": ORACLE_SQL["g10_recurrence"]}
 QUERIES |= files.QUERIES
 ORACLE_SQL |= {name: oracle(template) for name, template in files.ORACLE.items()}
+QUERIES |= rules.QUERIES
+ORACLE_SQL |= rules.ORACLE_SQL

@@ -111,4 +111,13 @@ BINDINGS = {
         FROM (SELECT h.file_id, h.pos, h.header, a.field, row_number() OVER (PARTITION BY h.file_id, coalesce(a.field, h.header) ORDER BY h.pos) AS k
               FROM (SELECT file_id, pos, header, regexp_replace(replace(lower(header), '&', 'and'), '[^a-z0-9]+', '', 'g') AS compact FROM {headers}) h LEFT JOIN {aliases} a ON h.compact = a.compact) r""",
     "header_choices": "SELECT file_id, pos, CASE file_id % 6 WHEN 0 THEN 'unmapped' WHEN 1 THEN 'location' WHEN 2 THEN 'no_such_field' ELSE 'phone' END AS choice FROM {headers} WHERE pos = 1 + file_id % 4 AND file_id % 6 < 4",
+    # spellings of values, so that the rules meet every form
+    "phone_spellings": "SELECT c_custkey AS row_no, CASE c_custkey % 7 WHEN 0 THEN '+91 9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 1 THEN '9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 2 THEN '091-9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 3 THEN 'not-a-phone' WHEN 4 THEN '12' || lpad(CAST(c_custkey AS STRING), 10, '0') WHEN 5 THEN CAST(c_custkey AS STRING) ELSE '+91-9' || lpad(CAST(c_custkey AS STRING), 9, '0') || ' ext 2' END AS phone FROM {customer}",
+    "place_spellings": "SELECT c_custkey AS row_no, CASE c_custkey % 9 WHEN 0 THEN ' New Delhi' WHEN 1 THEN 'BOMBAY' WHEN 2 THEN 'Ban-ga lore' WHEN 3 THEN 'pune ' WHEN 4 THEN '  ' WHEN 5 THEN 'goa' WHEN 6 THEN 'N.C.T.' WHEN 7 THEN 'None' ELSE n_name END AS place FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
+    "date_spellings": "SELECT o_orderkey AS row_no, CASE o_orderkey % 9 WHEN 0 THEN <<date_format(o_orderdate, 'dd/MM/yyyy') ## strftime(o_orderdate, '%d/%m/%Y')>> WHEN 1 THEN <<date_format(o_orderdate, 'yyyy-MM-dd') ## strftime(o_orderdate, '%Y-%m-%d')>> WHEN 2 THEN <<date_format(o_orderdate, 'dd-MM-yyyy') ## strftime(o_orderdate, '%d-%m-%Y')>> WHEN 3 THEN <<date_format(o_orderdate, 'MM/dd/yyyy') ## strftime(o_orderdate, '%m/%d/%Y')>> WHEN 4 THEN <<date_format(o_orderdate, ' yyyy/MM/dd') ## strftime(o_orderdate, ' %Y/%m/%d')>> WHEN 5 THEN 'unknown' WHEN 6 THEN '2024-02-31' WHEN 7 THEN ' ' ELSE <<date_format(o_orderdate, 'dd.MM.yyyy') ## strftime(o_orderdate, '%d.%m.%Y')>> END AS spelt FROM {orders}",
+    "time_spellings": "SELECT o_orderkey AS row_no, CASE o_orderkey % 6 WHEN 0 THEN <<date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") ## strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ')>> WHEN 1 THEN <<date_format(o_orderdate, 'yyyy-MM-dd') ## strftime(o_orderdate, '%Y-%m-%d')>> WHEN 2 THEN <<date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') ## strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')>> WHEN 3 THEN <<date_format(o_orderdate, \"yyyy-MM-dd'T'HH:mm:ss'+05:30'\") ## strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+05:30')>> WHEN 4 THEN 'nan' ELSE 'some day' END AS spelt FROM {orders}",
+    "dated_notes": "SELECT 'FIR' || CAST(row_no AS STRING) AS source_ref, CASE row_no % 4 WHEN 0 THEN spelt WHEN 1 THEN '' END AS m_event_date, CASE row_no % 5 WHEN 0 THEN spelt END AS m_valid_from, CASE row_no % 3 WHEN 0 THEN spelt END AS m_event_end, CASE row_no % 7 WHEN 0 THEN spelt WHEN 1 THEN '' END AS date, 'It was DATED ' || spelt || ' and occurred on 03/04/2024.' AS text FROM {date_spellings}",
+    "prose": "SELECT 'FIR' || CAST(o_orderkey AS STRING) AS source_ref, CASE o_orderkey % 6 WHEN 0 THEN 'Case No. 98' || lpad(CAST(o_custkey AS STRING), 8, '0') || ' was registered; later he called +91-98' || lpad(CAST(o_custkey % 1000 AS STRING), 3, '0') || '-' || lpad(CAST(o_orderkey % 100000 AS STRING), 5, '0') || ' from home.' WHEN 1 THEN 'Call 7' || lpad(CAST(o_custkey AS STRING), 9, '0') || ' or +91 8' || lpad(CAST(o_orderkey AS STRING), 9, '0') || '.' WHEN 2 THEN 'Paid from account 12345' || lpad(CAST(o_custkey AS STRING), 7, '0') || ' to acc' || lpad(CAST(o_orderkey AS STRING), 6, '0') || '.' WHEN 3 THEN 'Reference number 12345' || lpad(CAST(o_custkey AS STRING), 7, '0') || ' was noted.' WHEN 4 THEN 'The a/c 99' || lpad(CAST(o_orderkey AS STRING), 9, '0') || '; a long time later, after many a word, 88' || lpad(CAST(o_orderkey AS STRING), 9, '0') || '.' ELSE 'No identifier here, +91-12.' END AS text FROM {orders}",
+    "model_spans": "SELECT o_orderkey AS row_no, CASE o_orderkey % 7 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' WHEN 2 THEN 'GPE' WHEN 3 THEN 'LOC' WHEN 4 THEN 'FAC' WHEN 5 THEN 'EVENT' ELSE 'MISC' END AS label, o_orderkey % 50 AS starts, o_orderkey % 50 + o_custkey % 9 AS ends FROM {orders}",
+    "reviews": "SELECT entity_type, value, jurisdiction, 'exact' AS method, CASE min(ord) % 4 WHEN 0 THEN 'rejected' WHEN 1 THEN 'confirmed' ELSE 'pending' END AS status FROM (SELECT r.entity_type, r.value, r.jurisdiction, CAST(length(r.jurisdiction) + ascii(right(r.value, 1)) AS BIGINT) AS ord FROM {resolved} r WHERE r.status = 'ambiguous') x WHERE ord % 3 > 0 GROUP BY entity_type, value, jurisdiction",
 }
