@@ -10,11 +10,15 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.functions import jaro_winkler
+from tracelink.functions import jaro_winkler, stored
 from tracelink.operators.catalog import OPERATORS
 from tracelink.sources import BINDINGS, TABLES
 
 
+#: Views that others read several times or join after an explode: written once, so that their sizes are known.
+STORED = ("activity", "mentions")
+
+
 def inputs(template: str) -> list[str]:
     return sorted({n for _, n, _, _ in Formatter().parse(template) if n})
 
@@ -39,6 +43,8 @@ def bound(spark: SparkSession, sf_dir: str, template: str, made: dict[str, DataF
     for name in inputs(template):
         if name not in made:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else bound(spark, sf_dir, BINDINGS[name], made)
+            if name in STORED:
+                made[name] = stored(made[name], name)
     if "jaro_winkler(" in template:
         spark.udf.register("jaro_winkler", jaro_winkler)
     return spark.sql(dialect(template, True), **{n: made[n] for n in inputs(template)})

@@ -4,6 +4,11 @@ _BAND = "CASE WHEN {0} >= 75 THEN '{1}' WHEN {0} >= 50 THEN '{2}' WHEN {0} >= 25
 RISK_BAND = _BAND.format("risk_score", "CRITICAL", "HIGH", "MEDIUM", "LOW")
 ANOMALY_BAND = _BAND.format("anomaly_score", "EXTREME", "HIGH", "ELEVATED", "NORMAL")
 RISK = "least(20, 2 * communications) + least(20, 4 * transfers) + least(15, 3 * social) + least(20, 10 * cases)"
+_TOP = "greatest(s1, s2, s3, s4)"
+# above the lowest band: every score of a half or more, else the strongest one
+REASONS = f"""CASE WHEN anomaly_score < 25 THEN ''
+    WHEN {_TOP} >= .5 THEN CASE WHEN s1 >= .5 THEN 'communications ' ELSE '' END || CASE WHEN s2 >= .5 THEN 'transfers ' ELSE '' END || CASE WHEN s3 >= .5 THEN 'social ' ELSE '' END || CASE WHEN s4 >= .5 THEN 'observations ' ELSE '' END
+    WHEN s1 > 0 AND s1 = {_TOP} THEN 'communications ' WHEN s2 > 0 AND s2 = {_TOP} THEN 'transfers ' WHEN s3 > 0 AND s3 = {_TOP} THEN 'social ' WHEN s4 > 0 THEN 'observations ' ELSE '' END"""
 LIMITS = "'Recurrence of an identifier is not proof of common ownership.'"
 
 OPERATORS = {
@@ -55,9 +60,9 @@ OPERATORS = {
     "d1_registry": "SELECT entity_type, value, entity_id FROM {registry}",
     "d2_confirmed": "SELECT entity_type, source_id, max_by(entity_id, ord) AS entity_id FROM {entity_mapping} GROUP BY entity_type, source_id",
     "d3_exact_match": "SELECT source_ref, entity_type, value, status, entity_id, confidence FROM {resolved}",
-    "d6_rejection_guard": "SELECT source_ref, value, CASE WHEN right(value, 1) = '7' AND status = 'ambiguous' THEN 'unresolved' ELSE status END AS status FROM {resolved}",
+    "d6_rejection_guard": "SELECT r.source_ref, r.entity_type, r.value, CASE WHEN j.value IS NOT NULL AND r.status <> 'unresolved' THEN 'unresolved' ELSE r.status END AS status, CASE WHEN j.value IS NOT NULL AND r.status <> 'unresolved' THEN 'rejected by a reviewer' END AS note FROM {resolved} r LEFT JOIN (SELECT DISTINCT entity_type, value, jurisdiction FROM {reviews} WHERE status = 'rejected' AND method = 'exact') j ON r.entity_type = j.entity_type AND lower(trim(r.value)) = lower(trim(j.value)) AND upper(r.jurisdiction) = upper(j.jurisdiction)",
     "d8_status_summary": "SELECT entity_type, status, count(*) AS n FROM {resolved} GROUP BY entity_type, status",
-    "d9_review_queue": "SELECT entity_type, value, max(owners) AS proposed, count(*) AS mentions FROM {resolved} WHERE status = 'ambiguous' AND right(value, 1) <> '7' GROUP BY entity_type, value",
+    "d9_review_queue": "SELECT r.entity_type, r.value, r.jurisdiction, max(r.owners) AS proposed, count(*) AS mentions FROM {resolved} r LEFT JOIN (SELECT DISTINCT entity_type, value, jurisdiction FROM {reviews} WHERE status <> 'pending' AND method = 'exact') j ON r.entity_type = j.entity_type AND r.value = j.value AND r.jurisdiction = j.jurisdiction WHERE r.status = 'ambiguous' AND j.value IS NULL GROUP BY r.entity_type, r.value, r.jurisdiction",
     "d10_pending": "SELECT entity_type, value, min(event_date) AS created_at FROM {resolved} WHERE status = 'ambiguous' GROUP BY entity_type, value",
     "d12_shared_identifiers": "SELECT kind, value, l, r, 0.95 AS confidence FROM (SELECT 'phone' AS kind, a.phone AS value, a.person_id AS l, b.person_id AS r FROM {persons} a JOIN {persons} b ON a.phone = b.phone AND a.ord < b.ord UNION ALL SELECT 'vehicle', a.vehicle_no, a.person_id, b.person_id FROM {persons} a JOIN {persons} b ON a.vehicle_no = b.vehicle_no AND a.ord < b.ord UNION ALL SELECT 'bank_account', a.bank_account, a.person_id, b.person_id FROM {persons} a JOIN {persons} b ON a.bank_account = b.bank_account AND a.ord < b.ord) s",
     "d14_mention_validation": "SELECT row_no, CASE WHEN fir_id IS NULL THEN 'fir_id ' ELSE '' END || CASE WHEN name IS NULL THEN 'name ' ELSE '' END AS missing FROM {clean_uploads} WHERE fir_id IS NULL OR name IS NULL",
@@ -86,7 +91,7 @@ OPERATORS = {
     "g4_risk_signals": "SELECT person_id, round(least(20, 2 * communications) / 20, 2) AS communication, round(least(20, 4 * transfers) / 20, 2) AS financial, round(least(15, 3 * social) / 15, 2) AS social, round(least(20, 10 * cases) / 20, 2) AS fir, 'rule_based' AS scoring_method FROM {activity}",
     "g5_anomaly_activity": "SELECT person_id, communications, transfers, social, observations FROM {activity}",
     "g6_robust_scores": "SELECT person_id, s1, s2, s3, s4 FROM {anomaly}",
-    "g7_anomaly_profile": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band, CASE WHEN s1 >= .5 THEN 'communications ' ELSE '' END || CASE WHEN s2 >= .5 THEN 'transfers ' ELSE '' END || CASE WHEN s3 >= .5 THEN 'social ' ELSE '' END || CASE WHEN s4 >= .5 THEN 'observations ' ELSE '' END AS reasons, 'Activity outlier; not a criminality classifier.' AS limits FROM {{anomaly}}",
+    "g7_anomaly_profile": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band, {REASONS} AS reasons, 'Activity outlier; not a criminality classifier.' AS limits FROM {{anomaly}}",
     "g8_anomaly_distribution": f"SELECT b.band, coalesce(n, 0) AS n FROM (SELECT 'EXTREME' AS band UNION ALL SELECT 'HIGH' UNION ALL SELECT 'ELEVATED' UNION ALL SELECT 'NORMAL') b LEFT JOIN (SELECT {ANOMALY_BAND} AS band, count(*) AS n FROM {{anomaly}} GROUP BY 1) a ON a.band = b.band",
     "g9_composition": "SELECT coalesce(entity_type, 'untyped') AS entity_type, round(count(*) / (SELECT count(*) FROM {nodes}), 6) AS share FROM {nodes} GROUP BY entity_type",
     "g10_recurrence": "SELECT entity_type, value, count(DISTINCT source_ref) AS cases, count(DISTINCT jurisdiction) AS jurisdictions FROM {mentions} GROUP BY entity_type, value HAVING count(DISTINCT source_ref) >= 3 AND count(DISTINCT jurisdiction) >= 2",

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelink.functions import stored
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS, RISK
 from tracelink.operators.graph import betweenness, communities, hop_expansion, hop_paths, pagerank
@@ -86,8 +87,42 @@ def f5_key_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f3_pagerank(spark, sf_dir).orderBy(F.desc("pagerank"), "id").limit(10)
 
 
+def sized(found: DataFrame) -> DataFrame:
+    """Communities with their size and a display id: 1 for the largest, of equal ones that of the least community first.
+
+    Ranks come from a count by size, so no task sorts all communities but those of one size.
+    """
+    sizes = stored(found.groupBy("community").agg(F.count("*").alias("size")), "community-sizes")
+    by_size = sizes.groupBy(F.col("size").alias("of")).count()
+    larger = by_size.select(F.col("of").alias("size"), (F.sum("count").over(Window.orderBy(F.desc("of"))) - F.col("count")).alias("larger"))
+    rank = F.row_number().over(Window.partitionBy("size").orderBy("community"))
+    shown = sizes.withColumn("place", rank).join(larger.hint("merge"), "size").select("community", "size", (F.col("larger") + F.col("place")).alias("display_id"))
+    return found.join(shown.hint("merge"), "community").select("id", "community", "size", "display_id")
+
+
 def f6_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(bound(spark, sf_dir, PERSON_NODES), bound(spark, sf_dir, "SELECT source, target FROM {person_edges}"))
+    return sized(communities(bound(spark, sf_dir, PERSON_NODES), bound(spark, sf_dir, "SELECT source, target FROM {person_edges}")))
+
+
+def f8_projected_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Communities of the person projection within a window of time, each pair of persons once for each of its relations."""
+    edges = bound(spark, sf_dir, "SELECT source, target, seen_at, relationship FROM {person_edges}")
+    return projected_communities(bound(spark, sf_dir, PERSON_NODES), edges)
+
+
+def projected_communities(persons: DataFrame, edges: DataFrame, begin: str | None = None, end: str | None = None) -> DataFrame:
+    """id, community, size, display_id on edges(source, target, relationship, seen_at) between begin and end (both included).
+
+    Edges without a time count in every window; begin after end is an error.
+    """
+    if begin and end and begin > end:
+        raise ValueError("begin after end")
+    if begin:
+        edges = edges.where(F.col("seen_at").isNull() | (F.col("seen_at") >= F.lit(begin).cast("timestamp")))
+    if end:
+        edges = edges.where(F.col("seen_at").isNull() | (F.col("seen_at") <= F.lit(end).cast("timestamp")))
+    once = edges.where("source <> target").select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "relationship").distinct()
+    return sized(communities(persons, once.select("source", "target")))
 
 
 def f7_projected_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,5 +192,5 @@ _TEMPLATES = {
     "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{activity}}) a ON id = person_id",
 }
 
-QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f22_hop_distance, g3_propagated_risk, g14_priorities)}
+QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f22_hop_distance, g3_propagated_risk, g14_priorities)}
 ORACLE_SQL = {name: oracle(t) for name, t in _TEMPLATES.items()}

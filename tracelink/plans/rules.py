@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.functions import rules
+from tracelink.functions.extract import extracted, transformer
+from tracelink.functions.headers import header_mapping
 from tracelink.operators import bound, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +47,18 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def h2_header_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return header_mapping(bound(spark, sf_dir, "SELECT * FROM {headers}"))
+
+
+def c9_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the installed pipeline, else by rules."""
+    return extracted(bound(spark, sf_dir, "SELECT source_ref, text FROM {statements}"), transformer)
+
+
+QUERIES |= {"h2_header_fuzzy": h2_header_fuzzy, "c9_model_extraction": c9_model_extraction}
+
+
 def _first_date(text: str, formats: tuple[str, ...]) -> str:
     return f"coalesce({', '.join(f'CAST(try_strptime({text}, {f!r}) AS DATE)' for f in formats)})"
 

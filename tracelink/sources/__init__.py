@@ -8,20 +8,27 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 FIRST = "'Rajesh Priya  Amit   Neha   Vikram Anita  Suresh Kavita Arjun  Meera  Rohan  Divya  Karan  Pooja  Nitin  Sunita Manish Rekha  Ashok  Geeta  '"
 LAST = "'Kumar  Sharma Verma  Singh  Patel  Gupta  Reddy  Nair   Iyer   Mehta  Joshi  Rao    Das    Bose   Khan   Shaikh Pillai Menon  Kapoor Malik  Saxena Bhatt  Chopra Sinha  Thakur '"
 
-# Spellings of a column's header and the field that each stands for.
-ALIASES = """
-    fir fir_id, fir no fir_id, fir number fir_id, case number fir_id, case no fir_id, case id fir_id, crime number fir_id, person id person_id,
-    name name, person name, person name name, suspect name name, suspect name, accused name, accused name name, full name name,
-    phone phone, phone number phone, mobile phone, mobile no phone, mobile number phone, contact phone, contact no phone, msisdn phone,
-    vehicle no vehicle_no, vehicle number vehicle_no, vehicle registration vehicle_no, registration no vehicle_no, registration number vehicle_no, reg no vehicle_no, vahan vehicle_no, vehicle vehicle_no,
-    bank account bank_account, account bank_account, account no bank_account, social social_id, handle social_id,
-    jurisdiction jurisdiction, district jurisdiction, ps jurisdiction, police station jurisdiction, home city home_city, city home_city,
-    location location, place location, scene location, incident location location,
-    date date, incident date date, event date date, fir date date, occurrence date date,
-    crime crime, offence crime, offense crime, ipc crime, charge crime, vehicle type vehicle_type, registered city registered_city,
-    risk group risk_group, risk risk_group, narrative narrative_text, text narrative_text, statement narrative_text,
-    source ref source_ref, source source_ref, document id source_ref"""
-_PAIRS = sorted({(a.rpartition(" ")[0].replace(" ", ""), a.rpartition(" ")[2]) for a in (x.strip() for x in ALIASES.split(","))})
+# Fields, their labels, and spellings of a column's header that stand for each.
+FIELDS = {
+    "fir_id": ("fir / case id", ["fir_id", "fir", "fir no", "fir no.", "fir number", "fir_number", "case number", "case no", "case no.", "case_id", "case id", "caseno", "crime number"]),
+    "person_id": ("person id", ["person_id", "person id", "accused_id", "suspect_id"]),
+    "name": ("person", ["name", "person", "person name", "suspect name", "suspect", "accused", "accused name", "full name"]),
+    "phone": ("phone", ["phone", "phone number", "mobile", "mobile no", "mobile no.", "mobile number", "contact", "contact no", "msisdn"]),
+    "vehicle_no": ("vehicle", ["vehicle_no", "vehicle no", "vehicle number", "vehicle registration", "registration no", "registration number", "reg no", "vahan", "vehicle"]),
+    "bank_account": ("bank account", ["bank_account", "bank account", "account", "account no", "a/c"]),
+    "social_id": ("social account", ["social_id", "social", "handle"]),
+    "jurisdiction": ("jurisdiction", ["jurisdiction", "district", "ps", "police station"]),
+    "home_city": ("home city", ["home_city", "home city", "city"]),
+    "location": ("location", ["location", "place", "scene", "incident location"]),
+    "date": ("event date", ["date", "incident date", "event date", "fir date", "occurrence date"]),
+    "crime": ("crime / offence", ["crime", "offence", "offense", "ipc", "charge"]),
+    "vehicle_type": ("vehicle type", ["vehicle_type", "vehicle type"]),
+    "registered_city": ("vehicle registered city", ["registered_city", "registered city"]),
+    "risk_group": ("risk group", ["risk_group", "risk group", "risk"]),
+    "narrative_text": ("narrative / notes", ["narrative_text", "narrative", "text", "statement"]),
+    "source_ref": ("source reference", ["source_ref", "source ref", "source", "document id"]),
+}
+_PAIRS = sorted({("".join(c for c in spelling if c.isalnum()), field) for field, (_, spellings) in FIELDS.items() for spelling in spellings})
 
 BINDINGS = {
     "persons": f"""
@@ -58,20 +65,17 @@ BINDINGS = {
           UNION ALL SELECT source, CAST(NULL AS STRING) FROM {edges} UNION ALL SELECT target, CAST(NULL AS STRING) FROM {edges}) n GROUP BY id""",
     "ends": "SELECT source AS id, target AS other, relationship, edge_id, seen_at, amount, duration FROM {edges} UNION ALL SELECT target, source, relationship, edge_id, seen_at, amount, duration FROM {edges}",
     "person_edges": "SELECT edge_id, source, target, relationship, seen_at FROM {edges} WHERE relationship IN ('CALLED', 'TRANSFERRED_MONEY') OR relationship LIKE 'SOCIAL_%'",
-    "activity": "SELECT id AS person_id, count_if(relationship = 'CALLED') AS communications, count_if(relationship = 'TRANSFERRED_MONEY') AS transfers, count_if(relationship LIKE 'SOCIAL_%') AS social, count_if(relationship = 'OBSERVED_AT') AS observations, count_if(relationship = 'INVOLVED_IN') AS cases FROM {ends} WHERE id LIKE 'P%' GROUP BY id",
+    "activity": "SELECT id AS person_id, count_if(relationship = 'CALLED') AS communications, count_if(relationship = 'TRANSFERRED_MONEY') AS transfers, count_if(relationship LIKE 'SOCIAL_%') AS social, count_if(relationship = 'OBSERVED_AT') AS observations, count_if(relationship = 'INVOLVED_IN') AS cases FROM (SELECT relationship, EXPLODE(<<array(source, target) ## list_value(source, target)>>) AS id FROM {edges}) e WHERE id LIKE 'P%' GROUP BY id",
     "mentions": """
-        SELECT source_ref, jurisdiction, event_date, entity_type, value FROM (
-          SELECT source_ref, jurisdiction, event_date, 'phone' AS entity_type, '+91' || regexp_replace(substr(v, 4, 12), '[^0-9]', '', 'g') AS value FROM (SELECT source_ref, jurisdiction, event_date, EXPLODE(regexp_extract_all(text, '([+]91-[0-9]{{5}}-[0-9]{{5}})', 1)) AS v FROM {narratives}) p
-          UNION ALL SELECT source_ref, jurisdiction, event_date, 'vehicle', EXPLODE(regexp_extract_all(text, '([A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) FROM {narratives}
-          UNION ALL SELECT source_ref, jurisdiction, event_date, 'bank_account', EXPLODE(regexp_extract_all(text, '(ACC[0-9]{{6,}})', 1)) FROM {narratives}
-          UNION ALL SELECT source_ref, jurisdiction, event_date, 'ifsc', EXPLODE(regexp_extract_all(text, '([A-Z]{{4}}0[A-Z0-9]{{6}})', 1)) FROM {narratives}) m
-        GROUP BY source_ref, jurisdiction, event_date, entity_type, value""",
+        SELECT DISTINCT source_ref, jurisdiction, event_date, kind AS entity_type, CASE WHEN kind = 'phone' THEN '+91' || regexp_replace(substr(v, 4, 12), '[^0-9]', '', 'g') ELSE v END AS value FROM (
+          SELECT source_ref, jurisdiction, event_date, v, CASE WHEN v LIKE '+91%' THEN 'phone' WHEN v LIKE 'ACC%' THEN 'bank_account' WHEN length(v) = 11 AND substr(v, 5, 1) = '0' AND substr(v, 3, 2) >= 'A' THEN 'ifsc' ELSE 'vehicle' END AS kind
+          FROM (SELECT source_ref, jurisdiction, event_date, EXPLODE(regexp_extract_all(text, '([+]91-[0-9]{{5}}-[0-9]{{5}}|ACC[0-9]{{6,}}|[A-Z]{{4}}0[A-Z0-9]{{6}}|[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) AS v FROM {narratives}) x) m""",
     "registry": "SELECT DISTINCT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, entity_id FROM {entity_mapping}",
     "resolved": "SELECT m.source_ref, m.jurisdiction, m.event_date, m.entity_type, m.value, r.owners, CASE WHEN m.entity_type = 'ifsc' OR r.owners IS NULL THEN 'unresolved' WHEN r.owners = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN r.owners = 1 THEN r.entity_id END AS entity_id, CASE WHEN r.owners IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM {mentions} m LEFT JOIN (SELECT entity_type, value, count(*) AS owners, min(entity_id) AS entity_id FROM {registry} GROUP BY entity_type, value) r ON m.entity_type = r.entity_type AND m.value = r.value",
     "anomaly": """
         SELECT person_id, communications, transfers, social, observations, s1, s2, s3, s4,
-               CAST(<<bround ## round_even>>(100 * (.25 * s1 + .30 * s2 + .20 * s3 + .25 * s4), 0) AS BIGINT) AS anomaly_score
-        FROM (SELECT a.*, round(CASE WHEN communications <= m1 THEN 0 WHEN d1 > 0 THEN least(1, .6745 * (communications - m1) / d1 / 3.5) ELSE (communications - m1) / (x1 - m1) END, 4) AS s1,
+               CAST(<<bround ## round_even>>(100 * coalesce((.25 * s1 + .30 * s2 + .20 * s3 + .25 * s4) / nullif(w, 0), 0), 0) AS BIGINT) AS anomaly_score
+        FROM (SELECT a.*, CASE WHEN x1 > 0 THEN .25 ELSE 0 END + CASE WHEN x2 > 0 THEN .30 ELSE 0 END + CASE WHEN x3 > 0 THEN .20 ELSE 0 END + CASE WHEN x4 > 0 THEN .25 ELSE 0 END AS w, round(CASE WHEN communications <= m1 THEN 0 WHEN d1 > 0 THEN least(1, .6745 * (communications - m1) / d1 / 3.5) ELSE (communications - m1) / (x1 - m1) END, 4) AS s1,
                      round(CASE WHEN transfers <= m2 THEN 0 WHEN d2 > 0 THEN least(1, .6745 * (transfers - m2) / d2 / 3.5) ELSE (transfers - m2) / (x2 - m2) END, 4) AS s2,
                      round(CASE WHEN social <= m3 THEN 0 WHEN d3 > 0 THEN least(1, .6745 * (social - m3) / d3 / 3.5) ELSE (social - m3) / (x3 - m3) END, 4) AS s3,
                      round(CASE WHEN observations <= m4 THEN 0 WHEN d4 > 0 THEN least(1, .6745 * (observations - m4) / d4 / 3.5) ELSE (observations - m4) / (x4 - m4) END, 4) AS s4
@@ -105,7 +109,8 @@ BINDINGS = {
         SELECT c_custkey AS file_id, 1 AS pos, CASE c_custkey % 4 WHEN 0 THEN 'FIR No.' WHEN 1 THEN ' Case-Number ' WHEN 2 THEN 'CaseNo' ELSE 'Ref & Page' END AS header FROM {customer}
         UNION ALL SELECT c_custkey, 2, CASE c_custkey % 3 WHEN 0 THEN 'Suspect Name' WHEN 1 THEN 'FULL_NAME' ELSE 'accused' END FROM {customer}
         UNION ALL SELECT c_custkey, 3, CASE c_custkey % 5 WHEN 0 THEN 'Mobile' WHEN 1 THEN 'Phone Number' WHEN 2 THEN 'contact no' WHEN 3 THEN 'Person' ELSE 'MSISDN' END FROM {customer}
-        UNION ALL SELECT c_custkey, 4, CASE c_custkey % 2 WHEN 0 THEN 'Police Station' ELSE c_mktsegment END FROM {customer}""",
+        UNION ALL SELECT c_custkey, 4, CASE c_custkey % 2 WHEN 0 THEN 'Police Station' ELSE c_mktsegment END FROM {customer}
+        UNION ALL SELECT c_custkey, 5, CASE c_custkey % 3 WHEN 0 THEN 'Vehicle Registraton' WHEN 1 THEN 'fir_id' ELSE 'Weapon' END FROM {customer}""",
     "header_fields": """
         SELECT file_id, pos, header, CASE WHEN k = 1 THEN field END AS field
         FROM (SELECT h.file_id, h.pos, h.header, a.field, row_number() OVER (PARTITION BY h.file_id, coalesce(a.field, h.header) ORDER BY h.pos) AS k
