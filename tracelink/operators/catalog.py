@@ -3,7 +3,12 @@
 _BAND = "CASE WHEN {0} >= 75 THEN '{1}' WHEN {0} >= 50 THEN '{2}' WHEN {0} >= 25 THEN '{3}' ELSE '{4}' END"
 RISK_BAND = _BAND.format("risk_score", "CRITICAL", "HIGH", "MEDIUM", "LOW")
 ANOMALY_BAND = _BAND.format("anomaly_score", "EXTREME", "HIGH", "ELEVATED", "NORMAL")
-RISK = "least(20, 2 * communications) + least(20, 4 * transfers) + least(15, 3 * social) + least(20, 10 * cases)"
+# caps of the seven parts of the risk score, in this order: communication, financial, social, case, surveillance, bridge, influence
+PARTS = {
+    "communication": ("least(20, 2 * communications)", 20), "financial": ("least(20, 4 * transfers)", 20), "social": ("least(15, 3 * social)", 15), "fir": ("least(20, 10 * cases)", 20),
+    "surveillance": ("least(10, 2 * surveillance)", 10), "bridge": ("least(10, round(100 * betweenness, 2))", 10), "influence": ("least(5, round(100 * pagerank, 2))", 5),
+}
+RISK = f"least(100, CAST(<<bround ## round_even>>({' + '.join(x for x, _ in PARTS.values())}, 0) AS BIGINT))"
 _TOP = "greatest(s1, s2, s3, s4)"
 # above the lowest band: every score of a half or more, else the strongest one
 REASONS = f"""CASE WHEN anomaly_score < 25 THEN ''
@@ -87,8 +92,8 @@ OPERATORS = {
     "f16_overview": "SELECT id, count(*) AS d FROM {ends} WHERE id LIKE 'P%' GROUP BY id ORDER BY d DESC, id LIMIT 28",
     # scores and findings
     "g1_risk_activity": "SELECT * FROM {activity}",
-    "g2_risk_score": f"SELECT person_id, risk_score, {RISK_BAND} AS band FROM (SELECT person_id, {RISK} AS risk_score FROM {{activity}}) r",
-    "g4_risk_signals": "SELECT person_id, round(least(20, 2 * communications) / 20, 2) AS communication, round(least(20, 4 * transfers) / 20, 2) AS financial, round(least(15, 3 * social) / 15, 2) AS social, round(least(20, 10 * cases) / 20, 2) AS fir, 'rule_based' AS scoring_method FROM {activity}",
+    "g2_risk_score": f"SELECT person_id, risk_score, {RISK_BAND} AS band FROM (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r",
+    "g4_risk_signals": f"SELECT person_id, {', '.join(f'round({x} / {cap}, 2) AS {name}' for name, (x, cap) in PARTS.items())}, {RISK} AS risk_score, 'rule_based' AS scoring_method FROM {{risk_inputs}}",
     "g5_anomaly_activity": "SELECT person_id, communications, transfers, social, observations FROM {activity}",
     "g6_robust_scores": "SELECT person_id, s1, s2, s3, s4 FROM {anomaly}",
     "g7_anomaly_profile": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band, {REASONS} AS reasons, 'Activity outlier; not a criminality classifier.' AS limits FROM {{anomaly}}",
@@ -98,7 +103,7 @@ OPERATORS = {
     "g11_recurrence_evidence": "SELECT r.entity_type, r.value, r.source_ref, r.jurisdiction, r.confidence FROM {resolved} r JOIN (SELECT entity_type, value FROM {mentions} GROUP BY entity_type, value HAVING count(DISTINCT source_ref) >= 3 AND count(DISTINCT jurisdiction) >= 2) f ON r.entity_type = f.entity_type AND r.value = f.value",
     "g12_findings": f"SELECT entity_type, value, count(DISTINCT source_ref) AS cases, min(confidence) AS confidence, min(event_date) AS valid_from, max(event_date) AS valid_to, {LIMITS} AS limits FROM {{resolved}} GROUP BY entity_type, value HAVING count(DISTINCT source_ref) >= 3 AND count(DISTINCT jurisdiction) >= 2",
     "g13_top_anomalies": "SELECT person_id, anomaly_score FROM {anomaly} ORDER BY anomaly_score DESC, person_id LIMIT 15",
-    "g15_signal_ranking": "SELECT person_id, signal, points, row_number() OVER (PARTITION BY person_id ORDER BY points DESC, signal) AS k FROM (SELECT person_id, 'communication' AS signal, least(20, 2 * communications) AS points FROM {activity} UNION ALL SELECT person_id, 'financial', least(20, 4 * transfers) FROM {activity} UNION ALL SELECT person_id, 'social', least(15, 3 * social) FROM {activity}) s",
+    "g15_signal_ranking": f"SELECT person_id, signal, points, row_number() OVER (PARTITION BY person_id ORDER BY points DESC, signal) AS k FROM ({' UNION ALL '.join(f"SELECT person_id, '{name}' AS signal, CAST({x} AS DOUBLE) AS points FROM {{risk_inputs}}" for name, (x, _) in PARTS.items())}) s WHERE points > 0",
     # imports
     "h4_row_split": "SELECT row_no, fir_id, name, phone_norm AS phone, jurisdiction, date AS unmapped_date FROM {clean_uploads}",
     "h5_row_validation": "SELECT row_no, status FROM {assessed}",
@@ -116,8 +121,8 @@ OPERATORS = {
     "i3_case_detail": "SELECT c.fir_id, c.crime, p.name FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id WHERE c.fir_id = 'FIR1'",
     "i4_case_search": "SELECT fir_id FROM {cases} WHERE contains(lower(concat_ws(' ', fir_id, crime, location)), 'cyber')",
     "i5_case_summary": "SELECT count(*) AS total, count(DISTINCT crime) AS crimes, count(DISTINCT location) AS locations, count(DISTINCT person_id) AS people FROM {cases}",
-    "i6_case_risk": f"SELECT c.fir_id, coalesce(r.risk_score, 0) AS risk_score FROM {{fir}} c LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{activity}}) r ON c.person_id = r.person_id",
-    "i7_roster": f"SELECT p.person_id, p.name, coalesce(r.risk_score, 0) AS risk_score, lower(concat_ws(' ', p.person_id, p.name, p.home_city)) AS haystack FROM {{persons}} p LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{activity}}) r ON p.person_id = r.person_id",
+    "i6_case_risk": f"SELECT c.fir_id, coalesce(r.risk_score, 0) AS risk_score FROM {{fir}} c LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON c.person_id = r.person_id",
+    "i7_roster": f"SELECT p.person_id, p.name, coalesce(r.risk_score, 0) AS risk_score, lower(concat_ws(' ', p.person_id, p.name, p.home_city)) AS haystack FROM {{persons}} p LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON p.person_id = r.person_id",
     "i8_roster_search": "SELECT person_id, name FROM {persons} WHERE contains(lower(concat_ws(' ', person_id, name, home_city)), 'kumar')",
     "i9_parallel_edges": "SELECT source, relationship, target, count(*) AS n FROM {edges} GROUP BY source, relationship, target",
     "i10_relationship_counts": "SELECT relationship, count(*) AS n FROM {edges} GROUP BY relationship",
@@ -150,7 +155,7 @@ OPERATORS = {
     "f21_path_edges": "SELECT p.sender_id AS source, p.receiver_id AS target, x.edge_id AS exact_edge, coalesce(x.edge_id, y.edge_id) AS edge_id FROM (SELECT DISTINCT sender_id, receiver_id FROM {finance}) p LEFT JOIN (SELECT source, target, min(edge_id) AS edge_id FROM {edges} WHERE relationship = 'CALLED' GROUP BY source, target) x ON x.source = p.sender_id AND x.target = p.receiver_id LEFT JOIN (SELECT id, other, min(edge_id) AS edge_id FROM {ends} GROUP BY id, other) y ON y.id = p.sender_id AND y.other = p.receiver_id",
     "h8_possible_duplicates": "SELECT u.row_no, min(p.person_id) AS person_id, count(*) AS owners FROM {clean_uploads} u JOIN (SELECT person_id, '+91' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone FROM {persons}) p ON u.phone_norm = p.phone GROUP BY u.row_no UNION ALL SELECT u.row_no, min('P' || CAST(c.c_custkey AS STRING)), count(*) FROM {clean_uploads} u JOIN {customer} c ON lower(u.name) = lower(c.c_name) GROUP BY u.row_no",
     "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND user_id = 'user7' ORDER BY ts DESC, event_id DESC",
-    "i24_report_analytics": f"SELECT section, person_id, score, k FROM (SELECT section, person_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, person_id) AS k FROM (SELECT 'risk' AS section, person_id, {RISK} AS score FROM {{activity}} UNION ALL SELECT 'anomaly', person_id, anomaly_score FROM {{anomaly}}) a) r WHERE k <= 50",
+    "i24_report_analytics": f"SELECT section, person_id, score, k FROM (SELECT section, person_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, person_id) AS k FROM (SELECT 'risk' AS section, person_id, {RISK} AS score FROM {{risk_inputs}} UNION ALL SELECT 'anomaly', person_id, anomaly_score FROM {{anomaly}}) a) r WHERE k <= 50",
     "i28_investigations": "SELECT fir_id, date, location FROM {cases} WHERE location IN ('NATION_1', 'NATION_2', 'NATION_3') ORDER BY date DESC, fir_id",
     # redaction, header matching, report rows
     "b17_metadata_redaction": "SELECT event_id, <<to_json(map_filter(map('user', user_id, 'result', result, CASE event_id % 3 WHEN 0 THEN ' Token ' WHEN 1 THEN 'PASSWORD' ELSE 'note' END, action), (k, v) -> lower(trim(k)) NOT IN ('password', 'password_hash', 'access_token', 'token', 'jwt', 'secret', 'authorization', 'credentials', 'bearer'))) ## '{{\"user\":\"' || user_id || '\",\"result\":\"' || result || '\"' || CASE WHEN event_id % 3 = 2 THEN ',\"note\":\"' || action || '\"' ELSE '' END || '}}'>> AS metadata FROM {audit}",
@@ -164,5 +169,5 @@ OPERATORS = {
         SELECT r.person_id, r.cases, r.case_refs, coalesce(a.score, 0) AS risk_score, {LIMITS} AS limits
         FROM (SELECT person_id, count(*) AS cases, <<array_join(transform(array_sort(collect_list(CASE WHEN k <= 80 THEN struct(k, fir_id) END)), x -> x.fir_id), ',') ## string_agg(fir_id, ',' ORDER BY k) FILTER (WHERE k <= 80)>> AS case_refs
               FROM (SELECT person_id, fir_id, row_number() OVER (PARTITION BY person_id ORDER BY date DESC, fir_id) AS k FROM {{cases}}) c GROUP BY person_id) r
-        LEFT JOIN (SELECT person_id, {RISK} AS score FROM {{activity}}) a ON r.person_id = a.person_id""",
+        LEFT JOIN (SELECT person_id, {RISK} AS score FROM {{risk_inputs}}) a ON r.person_id = a.person_id""",
 }

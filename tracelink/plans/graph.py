@@ -65,7 +65,7 @@ def _paths(spark: SparkSession, sf_dir: str, edges: str, seeds: list[str]) -> Da
 
 
 def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bound(spark, sf_dir, f"SELECT person_id, {RISK} AS base FROM {{activity}}")
+    return bound(spark, sf_dir, f"SELECT person_id, {RISK} AS base FROM {{risk_inputs}}")
 
 
 def f2_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,8 +188,8 @@ _TEMPLATES = {
     "f14_evidence_chains": paths_sql(TALKS, SEEDS) + f"SELECT p.seed, p.person_id, CASE WHEN hops = 0 THEN 'self' WHEN hops > 0 THEN 'path' ELSE 'missing' END AS kind, hops, path FROM (SELECT person_id, seed FROM {{persons}} CROSS JOIN ({_SEEDED}) s) p LEFT JOIN h ON h.seed = p.seed AND h.id = p.person_id",
     "f15_hop_expansion": _EXPANSION + " SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3",
     "f22_hop_distance": paths_sql(EITHER_WAY, SEEDS[:1]) + "SELECT id, hops FROM h",
-    "g3_propagated_risk": _PERSONAL + f"SELECT person_id, base, propagated, round(least(100.0, base + propagated), 2) AS risk_score FROM (SELECT person_id, base, coalesce(least(10.0, round(rank * 100, 2)), 0.0) AS propagated FROM (SELECT person_id, {RISK} AS base FROM {{activity}}) a LEFT JOIN r{ROUNDS} ON person_id = id) z",
-    "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{activity}}) a ON id = person_id",
+    "g3_propagated_risk": _PERSONAL + f"SELECT person_id, base, propagated, round(least(100.0, base + propagated), 2) AS risk_score FROM (SELECT person_id, base, coalesce(least(10.0, round(rank * 100, 2)), 0.0) AS propagated FROM (SELECT person_id, {RISK} AS base FROM {{risk_inputs}}) a LEFT JOIN r{ROUNDS} ON person_id = id) z",
+    "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{risk_inputs}}) a ON id = person_id",
 }
 
 QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f22_hop_distance, g3_propagated_risk, g14_priorities)}

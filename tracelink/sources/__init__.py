@@ -65,7 +65,10 @@ BINDINGS = {
           UNION ALL SELECT source, CAST(NULL AS STRING) FROM {edges} UNION ALL SELECT target, CAST(NULL AS STRING) FROM {edges}) n GROUP BY id""",
     "ends": "SELECT source AS id, target AS other, relationship, edge_id, seen_at, amount, duration FROM {edges} UNION ALL SELECT target, source, relationship, edge_id, seen_at, amount, duration FROM {edges}",
     "person_edges": "SELECT edge_id, source, target, relationship, seen_at FROM {edges} WHERE relationship IN ('CALLED', 'TRANSFERRED_MONEY') OR relationship LIKE 'SOCIAL_%'",
-    "activity": "SELECT id AS person_id, count_if(relationship = 'CALLED') AS communications, count_if(relationship = 'TRANSFERRED_MONEY') AS transfers, count_if(relationship LIKE 'SOCIAL_%') AS social, count_if(relationship = 'OBSERVED_AT') AS observations, count_if(relationship = 'INVOLVED_IN') AS cases FROM (SELECT relationship, EXPLODE(<<array(source, target) ## list_value(source, target)>>) AS id FROM {edges}) e WHERE id LIKE 'P%' GROUP BY id",
+    "activity": "SELECT id AS person_id, count_if(relationship = 'CALLED') AS communications, count_if(relationship = 'TRANSFERRED_MONEY') AS transfers, count_if(relationship LIKE 'SOCIAL_%') AS social, count_if(relationship = 'OBSERVED_AT') AS observations, count_if(relationship = 'INVOLVED_IN' AND target NOT LIKE 'S%') AS cases, count_if(relationship = 'INVOLVED_IN' AND target LIKE 'S%') AS surveillance FROM (SELECT relationship, target, EXPLODE(<<array(source, target) ## list_value(source, target)>>) AS id FROM {edges}) e WHERE id LIKE 'P%' GROUP BY id",
+    # a table of centralities for the risk score to join; stand-ins that any engine can compute: the share of a walk's steps, and of pairs of nodes, that a person joins
+    "centrality": "SELECT id AS person_id, CAST(k * (k - 1) AS DOUBLE) / greatest(1, n * (n - 1)) AS betweenness, CAST(d AS DOUBLE) / total AS pagerank FROM (SELECT id, count(DISTINCT other) AS k, count(*) AS d FROM {ends} WHERE id LIKE 'P%' GROUP BY id) p CROSS JOIN (SELECT count(DISTINCT id) AS n, count(*) AS total FROM {ends}) t",
+    "risk_inputs": "SELECT a.*, coalesce(c.betweenness, 0.0) AS betweenness, coalesce(c.pagerank, 0.0) AS pagerank FROM {activity} a LEFT JOIN {centrality} c ON a.person_id = c.person_id",
     "mentions": """
         SELECT DISTINCT source_ref, jurisdiction, event_date, kind AS entity_type, CASE WHEN kind = 'phone' THEN '+91' || regexp_replace(substr(v, 4, 12), '[^0-9]', '', 'g') ELSE v END AS value FROM (
           SELECT source_ref, jurisdiction, event_date, v, CASE WHEN v LIKE '+91%' THEN 'phone' WHEN v LIKE 'ACC%' THEN 'bank_account' WHEN length(v) = 11 AND substr(v, 5, 1) = '0' AND substr(v, 3, 2) >= 'A' THEN 'ifsc' ELSE 'vehicle' END AS kind
