@@ -96,3 +96,18 @@ def test_projected_communities(spark):
     assert early["a"] == 3 and early["d"] == 1
     with pytest.raises(ValueError):
         graph.projected_communities(nodes, edges, "2026-02-01", "2026-01-01")
+
+
+def test_parameters_and_risk(spark):
+    audit = spark.createDataFrame([(1, "J1"), (2, "J7"), (3, None)], "event_id long, jurisdiction string")
+    ids = lambda params: sorted(r.event_id for r in apply(spark, "i20_jurisdiction_filter", params, audit=audit).collect())
+    assert ids(None) == [1] and ids({"jurisdictions": ["J7", "J8"]}) == [2] and ids({"admin": True}) == [1, 2, 3]
+    cases = spark.createDataFrame([("FIR9", "Theft", "P1")], "fir_id string, crime string, person_id string")
+    persons = spark.createDataFrame([("P1", "A B")], "person_id string, name string")
+    assert [r.name for r in apply(spark, "i3_case_detail", {"case_id": "FIR9"}, cases=cases, persons=persons).collect()] == ["A B"]
+    with pytest.raises(ValueError):
+        apply(spark, "i3_case_detail", {"nothing": 1}, cases=cases, persons=persons)
+    rows = [("P1", 12, 6, 10, 3, 6, 0.5, 0.2), ("P2", 1, 0, 0, 1, 0, 0.0125, 0.0126), ("P3", 0, 0, 0, 0, 0, 0.0, 0.0)]
+    inputs = spark.createDataFrame(rows, "person_id string, communications long, transfers long, social long, cases long, surveillance long, betweenness double, pagerank double")
+    got = apply(spark, "g2_risk_score", risk_inputs=inputs).orderBy("person_id").collect()
+    assert [(r.risk_score, r.band) for r in got] == [(100, "CRITICAL"), (15, "LOW"), (0, "LOW")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,14 +14,28 @@ from pyspark.sql.types import DoubleType
 _OWN_FOLDER: list[str] = []
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; in a temporary one only where it is unset (tests)."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder of stored() in the shared one that spark.checkpoint.dir names; a temporary one only where that is unset on a single
+    machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="tracelink-"))
         root = _OWN_FOLDER[0]
-    return f"{root.rstrip('/')}/tracelink-graph/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tracelink-graph"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below scratch_root()."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes every table that stored() wrote; call it once results are kept elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Operators as SQL templates over named views, and how to run them.
 
 `apply(spark, "g10_recurrence", mentions=df)` runs one operator on a user's own DataFrames; names in braces are its inputs.
+`apply(spark, "i3_case_detail", {"case_id": "FIR7"}, cases=df, persons=df2)` gives a parameter a value.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from tracelink.operators.catalog import OPERATORS
 from tracelink.sources import BINDINGS, TABLES
 
 
+PARAMETER = r"\[\[(\w+): (.*?)\]\](?!\])"
 #: Views that others read several times or join after an explode: written once, so that their sizes are known.
 STORED = ("activity", "mentions")
 
@@ -23,18 +26,23 @@ def inputs(template: str) -> list[str]:
     return sorted({n for _, n, _, _ in Formatter().parse(template) if n})
 
 
-def dialect(text: str, spark: bool) -> str:
-    """A template in Spark's spelling or the oracle's."""
+def dialect(text: str, spark: bool, given: Iterable[str] = ()) -> str:
+    """A template in Spark's spelling or the oracle's; parameters in `given` become named markers, others their own value."""
     text = re.sub(r"<<(.*?) ## (.*?)>>", r"\1" if spark else r"\2", text, flags=re.S)
+    text = re.sub(PARAMETER, lambda m: f":{m[1]}" if m[1] in given else m[2], text, flags=re.S)
     if spark:
         text = re.sub(r"(regexp_replace\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*), 'g'\)", r"\1)", text)
     return text.replace("EXPLODE(", "explode(" if spark else "unnest(")
 
 
-def apply(spark: SparkSession, name: str, **views: DataFrame) -> DataFrame:
-    """One operator on DataFrames given for its inputs."""
+def apply(spark: SparkSession, name: str, params: dict | None = None, **views: DataFrame) -> DataFrame:
+    """One operator on DataFrames given for its inputs. params are values for the template's parameters; others keep their own."""
+    template, params = OPERATORS[name], params or {}
+    unknown = params.keys() - {m[1] for m in re.finditer(PARAMETER, template, flags=re.S)}
+    if unknown:
+        raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
     spark.udf.register("jaro_winkler", jaro_winkler)
-    return spark.sql(dialect(OPERATORS[name], True), **views)
+    return spark.sql(dialect(template, True, params), args=params or None, **views)
 
 
 def bound(spark: SparkSession, sf_dir: str, template: str, made: dict[str, DataFrame] | None = None) -> DataFrame:

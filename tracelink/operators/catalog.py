@@ -1,4 +1,5 @@
-"""One SQL template for each operator. Inputs stand in braces; `<<a ## b>>` is Spark's spelling and the oracle's."""
+"""One SQL template for each operator. Inputs stand in braces; `<<a ## b>>` is Spark's spelling and the oracle's;
+`[[name: value]]` is a parameter and its value where the caller gives none."""
 
 _BAND = "CASE WHEN {0} >= 75 THEN '{1}' WHEN {0} >= 50 THEN '{2}' WHEN {0} >= 25 THEN '{3}' ELSE '{4}' END"
 RISK_BAND = _BAND.format("risk_score", "CRITICAL", "HIGH", "MEDIUM", "LOW")
@@ -82,10 +83,10 @@ OPERATORS = {
     "e8_provenance_check": "SELECT edge_id FROM (SELECT edge_id, CASE WHEN edge_id % 101 = 0 THEN '' ELSE relationship END AS source_ref FROM {edges}) e WHERE source_ref = ''",
     "e9_uniqueness_check": "SELECT 'Phone' AS label, phone AS key_value, count(*) AS n FROM {persons} GROUP BY phone HAVING count(*) > 1",
     "e11_person_projection": "SELECT source AS a, target AS b, relationship FROM {person_edges} UNION ALL SELECT target, source, relationship FROM {person_edges}",
-    "e12_temporal_filter": "SELECT edge_id FROM {edges} WHERE seen_at IS NULL OR (seen_at >= TIMESTAMP '2024-01-05 00:00:00' AND seen_at <= TIMESTAMP '2024-01-20 00:00:00')",
+    "e12_temporal_filter": "SELECT edge_id FROM {edges} WHERE seen_at IS NULL OR (seen_at >= CAST([[begin: '2024-01-05 00:00:00']] AS TIMESTAMP) AND seen_at <= CAST([[end: '2024-01-20 00:00:00']] AS TIMESTAMP))",
     # graph analytics
     "f1_degree_centrality": "SELECT n.id, round(coalesce(d, 0) / ((SELECT count(*) FROM {nodes}) - 1), 4) AS degree FROM {nodes} n LEFT JOIN (SELECT id, count(*) AS d FROM {ends} GROUP BY id) e ON n.id = e.id",
-    "f12_two_hops": "SELECT DISTINCT id FROM (SELECT 'P1' AS id UNION ALL SELECT other FROM {ends} WHERE id = 'P1' UNION ALL SELECT b.other FROM {ends} a JOIN {ends} b ON a.other = b.id WHERE a.id = 'P1') h",
+    "f12_two_hops": "SELECT DISTINCT id FROM (SELECT [[seed: 'P1']] AS id UNION ALL SELECT other FROM {ends} WHERE id = [[seed: 'P1']] UNION ALL SELECT b.other FROM {ends} a JOIN {ends} b ON a.other = b.id WHERE a.id = [[seed: 'P1']]) h",
     "f18_satellites": "SELECT other AS id, min(id) AS owner FROM {ends} WHERE id LIKE 'P%' AND other NOT LIKE 'P%' GROUP BY other",
     "f19_distinct_neighbours": "SELECT id, count(DISTINCT other) AS neighbours FROM {ends} WHERE id <> other GROUP BY id",
     "f20_strongest_partner": "SELECT id, other AS partner, n FROM (SELECT id, other, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS k FROM (SELECT id, other, count(*) AS n FROM {ends} WHERE id LIKE 'P%' AND other LIKE 'P%' AND id <> other GROUP BY id, other) c) r WHERE k = 1",
@@ -110,16 +111,16 @@ OPERATORS = {
     "h6_in_file_duplicates": "SELECT row_no, n FROM (SELECT row_no, row_number() OVER (PARTITION BY coalesce(fir_id, ''), coalesce(name, ''), coalesce(phone_norm, '') ORDER BY row_no) AS n FROM {clean_uploads}) d WHERE n > 1",
     "h7_existing_keys": "SELECT u.row_no, u.fir_id FROM {clean_uploads} u JOIN (SELECT DISTINCT fir_id FROM {cases}) k ON u.fir_id = k.fir_id",
     "h9_disposition": "SELECT row_no, CASE status WHEN 'ready' THEN 'import' WHEN 'incomplete' THEN 'import' WHEN 'duplicate' THEN 'skipped' ELSE 'failed' END AS disposition, status IN ('ready', 'incomplete') AS importable FROM {assessed}",
-    "h10_redaction": "SELECT row_no, status, CASE WHEN jurisdiction IN ('NATION_1', 'NATION_2') THEN name END AS name, jurisdiction NOT IN ('NATION_1', 'NATION_2') AS redacted FROM {assessed}",
+    "h10_redaction": "SELECT row_no, status, CASE WHEN seen THEN name END AS name, CASE WHEN seen THEN phone END AS phone, NOT seen AS redacted, CASE WHEN NOT seen THEN 'outside your jurisdictions' END AS reason FROM (SELECT *, [[admin: false]] OR array_contains([[jurisdictions: <<array('NATION_1', 'NATION_2') ## ['NATION_1', 'NATION_2']>>]], jurisdiction) AS seen FROM {assessed}) a",
     "h11_validation_summary": "SELECT status, count(*) AS n FROM {assessed} GROUP BY status",
     "h12_person_key": "SELECT row_no, 'IMP-' || lpad(CAST(min(row_no) OVER (PARTITION BY coalesce(name, ''), coalesce(phone, '')) AS STRING), 8, '0') AS person_id FROM {assessed}",
     "h13_fan_out": "SELECT 'persons' AS target, coalesce(name, '') AS id, count(*) AS n FROM {assessed} WHERE status = 'ready' GROUP BY name UNION ALL SELECT 'fir', fir_id, count(*) FROM {assessed} WHERE status = 'ready' AND fir_id IS NOT NULL GROUP BY fir_id",
     "h14_outcome": "SELECT CASE WHEN count_if(status = 'ready') = 0 THEN 'failed' WHEN count_if(status = 'invalid') > 0 THEN 'partial' WHEN count_if(status = 'incomplete') > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS outcome, count(*) AS n FROM {assessed}",
     # lookups, rollups, reports
     "i1_locations": "SELECT DISTINCT home_city FROM {persons}",
-    "i2_case_list": "SELECT c.fir_id, c.crime, c.date, p.name FROM {cases} c LEFT JOIN {persons} p ON c.person_id = p.person_id WHERE lower(trim(c.crime)) = 'cyber crime'",
-    "i3_case_detail": "SELECT c.fir_id, c.crime, p.name FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id WHERE c.fir_id = 'FIR1'",
-    "i4_case_search": "SELECT fir_id FROM {cases} WHERE contains(lower(concat_ws(' ', fir_id, crime, location)), 'cyber')",
+    "i2_case_list": "SELECT c.fir_id, c.crime, c.date, p.name FROM {cases} c LEFT JOIN {persons} p ON c.person_id = p.person_id WHERE lower(trim(c.crime)) = lower(trim([[crime: 'cyber crime']]))",
+    "i3_case_detail": "SELECT c.fir_id, c.crime, p.name FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id WHERE c.fir_id = [[case_id: 'FIR1']]",
+    "i4_case_search": "SELECT fir_id FROM {cases} WHERE contains(lower(concat_ws(' ', fir_id, crime, location)), lower([[words: 'cyber']]))",
     "i5_case_summary": "SELECT count(*) AS total, count(DISTINCT crime) AS crimes, count(DISTINCT location) AS locations, count(DISTINCT person_id) AS people FROM {cases}",
     "i6_case_risk": f"SELECT c.fir_id, coalesce(r.risk_score, 0) AS risk_score FROM {{fir}} c LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON c.person_id = r.person_id",
     "i7_roster": f"SELECT p.person_id, p.name, coalesce(r.risk_score, 0) AS risk_score, lower(concat_ws(' ', p.person_id, p.name, p.home_city)) AS haystack FROM {{persons}} p LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON p.person_id = r.person_id",
@@ -133,12 +134,12 @@ OPERATORS = {
     "i15_connection_counts": "SELECT id, relationship, count(*) AS interactions, count(DISTINCT other) AS counterparts FROM {ends} WHERE id LIKE 'P%' GROUP BY id, relationship",
     "i16_timeline": "SELECT id, edge_id, relationship, seen_at, row_number() OVER (PARTITION BY id ORDER BY seen_at DESC, edge_id) AS k FROM {ends} WHERE seen_at IS NOT NULL AND id LIKE 'P%'",
     "i17_strongest_neighbours": "SELECT id, other, n FROM (SELECT id, other, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS k FROM (SELECT id, other, count(*) AS n FROM {ends} WHERE id LIKE 'P%' GROUP BY id, other) c) r WHERE k <= 12",
-    "i18_entity_search": "SELECT id, CASE WHEN lower(id) LIKE 'p1%' THEN 0 ELSE 1 END AS hit FROM {nodes} WHERE contains(lower(id), 'p1') ORDER BY 2, 1 LIMIT 30",
+    "i18_entity_search": "SELECT id, CASE WHEN left(lower(id), length([[words: 'p1']])) = lower([[words: 'p1']]) THEN 0 ELSE 1 END AS hit FROM {nodes} WHERE contains(lower(id), lower([[words: 'p1']])) ORDER BY 2, 1 LIMIT 30",
     "i19_type_filter": "SELECT e.edge_id FROM {edges} e JOIN {nodes} a ON e.source = a.id JOIN {nodes} b ON e.target = b.id WHERE a.entity_type = 'person' AND b.entity_type = 'person' AND e.relationship = 'CALLED'",
-    "i20_jurisdiction_filter": "SELECT event_id FROM {audit} WHERE jurisdiction IN ('J1', 'J2')",
-    "i21_audit_page": "SELECT event_id, user_id, action, result FROM (SELECT * FROM {audit} ORDER BY ts DESC, event_id DESC LIMIT 500) a WHERE (jurisdiction IS NULL OR jurisdiction IN ('J1', 'J2'))",
+    "i20_jurisdiction_filter": "SELECT event_id FROM {audit} WHERE [[admin: false]] OR array_contains([[jurisdictions: <<array('J1', 'J2') ## ['J1', 'J2']>>]], jurisdiction)",
+    "i21_audit_page": "SELECT event_id, user_id, action, result FROM (SELECT * FROM {audit} ORDER BY ts DESC, event_id DESC LIMIT 500) a WHERE [[admin: false]] OR jurisdiction IS NULL OR array_contains([[jurisdictions: <<array('J1', 'J2') ## ['J1', 'J2']>>]], jurisdiction)",
     "i22_report_scope": "SELECT DISTINCT c.fir_id, c.person_id FROM {fir} c JOIN (SELECT person_id FROM {persons} WHERE ord % 10 = 1) s ON c.person_id = s.person_id",
-    "i23_report_network": "SELECT edge_id, source, target FROM {edges} WHERE source = 'P1' OR target = 'P1' ORDER BY edge_id LIMIT 80",
+    "i23_report_network": "SELECT edge_id, source, target FROM {edges} WHERE source = [[person_id: 'P1']] OR target = [[person_id: 'P1']] ORDER BY edge_id LIMIT 80",
     "i25_relevant_reviews": "SELECT DISTINCT r.entity_type, r.value FROM {resolved} r JOIN {registry} g ON r.entity_type = g.entity_type AND r.value = g.value WHERE r.status = 'ambiguous'",
     "i26_evidence": "SELECT 'case' AS kind, fir_id AS ref FROM {fir} UNION ALL SELECT 'mapping', entity_id || ':' || source_id FROM {entity_mapping}",
     "i29_entry_options": "SELECT 'crime' AS kind, crime AS option FROM {cases} GROUP BY crime UNION ALL SELECT 'jurisdiction', location FROM {cases} GROUP BY location",
@@ -154,9 +155,9 @@ OPERATORS = {
     "f13_relationship_whitelist": "SELECT e.edge_id, e.relationship FROM {edges} e WHERE e.relationship IN ('CALLED', 'NO_SUCH_TYPE') OR NOT EXISTS (SELECT 1 FROM {edges} k WHERE k.relationship IN ('CALLED', 'NO_SUCH_TYPE'))",
     "f21_path_edges": "SELECT p.sender_id AS source, p.receiver_id AS target, x.edge_id AS exact_edge, coalesce(x.edge_id, y.edge_id) AS edge_id FROM (SELECT DISTINCT sender_id, receiver_id FROM {finance}) p LEFT JOIN (SELECT source, target, min(edge_id) AS edge_id FROM {edges} WHERE relationship = 'CALLED' GROUP BY source, target) x ON x.source = p.sender_id AND x.target = p.receiver_id LEFT JOIN (SELECT id, other, min(edge_id) AS edge_id FROM {ends} GROUP BY id, other) y ON y.id = p.sender_id AND y.other = p.receiver_id",
     "h8_possible_duplicates": "SELECT u.row_no, min(p.person_id) AS person_id, count(*) AS owners FROM {clean_uploads} u JOIN (SELECT person_id, '+91' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone FROM {persons}) p ON u.phone_norm = p.phone GROUP BY u.row_no UNION ALL SELECT u.row_no, min('P' || CAST(c.c_custkey AS STRING)), count(*) FROM {clean_uploads} u JOIN {customer} c ON lower(u.name) = lower(c.c_name) GROUP BY u.row_no",
-    "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND user_id = 'user7' ORDER BY ts DESC, event_id DESC",
+    "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND ([[admin: false]] OR user_id = [[user_id: 'user7']]) ORDER BY ts DESC, event_id DESC",
     "i24_report_analytics": f"SELECT section, person_id, score, k FROM (SELECT section, person_id, score, row_number() OVER (PARTITION BY section ORDER BY score DESC, person_id) AS k FROM (SELECT 'risk' AS section, person_id, {RISK} AS score FROM {{risk_inputs}} UNION ALL SELECT 'anomaly', person_id, anomaly_score FROM {{anomaly}}) a) r WHERE k <= 50",
-    "i28_investigations": "SELECT fir_id, date, location FROM {cases} WHERE location IN ('NATION_1', 'NATION_2', 'NATION_3') ORDER BY date DESC, fir_id",
+    "i28_investigations": "SELECT fir_id, date, location FROM {cases} WHERE [[admin: false]] OR array_contains([[jurisdictions: <<array('NATION_1', 'NATION_2', 'NATION_3') ## ['NATION_1', 'NATION_2', 'NATION_3']>>]], location) ORDER BY date DESC, fir_id",
     # redaction, header matching, report rows
     "b17_metadata_redaction": "SELECT event_id, <<to_json(map_filter(map('user', user_id, 'result', result, CASE event_id % 3 WHEN 0 THEN ' Token ' WHEN 1 THEN 'PASSWORD' ELSE 'note' END, action), (k, v) -> lower(trim(k)) NOT IN ('password', 'password_hash', 'access_token', 'token', 'jwt', 'secret', 'authorization', 'credentials', 'bearer'))) ## '{{\"user\":\"' || user_id || '\",\"result\":\"' || result || '\"' || CASE WHEN event_id % 3 = 2 THEN ',\"note\":\"' || action || '\"' ELSE '' END || '}}'>> AS metadata FROM {audit}",
     "h1_header_alias": "SELECT file_id, pos, header, field, field IS NOT NULL AS mapped FROM {header_fields}",
