@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from array import array
 
 import numpy as np
@@ -77,12 +78,35 @@ class RankQueue:
         return rank, bucket[0] if len(bucket) == 1 else np.unique(np.concatenate(bucket))
 
 
+def byte_level_alphabet() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, others from U+0100 on."""
+    own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks of tokens, which are also their ids: from a rank file, or from a .json file of byte-level BPE without its special tokens."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as file:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    special, vocabulary, byte = {t["content"] for t in rules["added_tokens"]}, rules["model"]["vocab"], byte_level_alphabet()
+    split = rules["pre_tokenizer"]
+    if rules["normalizer"] or split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"]:
+        raise ValueError(f"{path} is not plain byte-level BPE")
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in rules["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError(f"the merges of {path} are not in the order of its ids")
+    return {bytes(byte[c] for c in piece): i for piece, i in vocabulary.items() if piece not in special}
+
+
 class Codec:
     """Encodes and decodes by a rank file; parts of texts are cached packed (little-endian 32-bit ids)."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        with open(path, "rb") as file:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        self.ranks = read_ranks(path)
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         keys, merged = [], []
         for piece, rank in self.ranks.items():
