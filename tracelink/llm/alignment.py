@@ -28,10 +28,10 @@ from tracelink.llm.common import materialise, scratch_root, slices
 
 LEFT, RIGHT = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are encoded together, tokens that are joined together, bytes of text whose pairs are counted together.
-SLICE, SLICE_BYTES, JOINED, BLOCK = 4000, 1 << 23, 1 << 19, 1 << 23
+SLICE, SLICE_BYTES, JOINED, BLOCK = 4000, 1 << 22, 1 << 17, 1 << 22
 
 #: A worker remembers the ids of so many parts of texts of up to so many characters.
-CACHE_PARTS, CACHE_LENGTH = 400_000, 60
+CACHE_PARTS, CACHE_LENGTH = 250_000, 60
 
 #: White space, then other characters: a part of a text. No piece of a model that is cut by parts goes on where a part begins.
 _parts = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
@@ -134,19 +134,33 @@ def _written(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.nd
     return [b"".join(map(names.__getitem__, at[a:b]))[:-1] for a, b in zip(edges, edges[1:])]
 
 
-def aligned(texts: list[str], left: Side, right: Side) -> list[tuple[int, int, int, np.ndarray, bytes]]:
-    """For each text its left tokens, right tokens, groups, linked ids (left << 32 | right, one for each link) and written groups."""
+def aligned(texts: list[str], left: Side, right: Side):
+    """For each text its left tokens, right tokens, groups, linked ids (left << 32 | right, one for each link) and written groups.
+
+    Texts are encoded together and joined a bounded number of tokens at a time.
+    """
     spaced = [" " + t for t in texts]
     found = [side.ids(spaced) for side in (left, right)]
     kept = [(x, y) if t and x is not None and y is not None else (b"", b"") for t, x, y in zip(texts, *found)]
+    begin, size = 0, 0
+    for k, (x, y) in enumerate(kept):
+        if k > begin and size + len(x) + len(y) > 8 * JOINED:
+            yield from _joined(kept[begin:k], left, right)
+            begin, size = k, 0
+        size += len(x) + len(y)
+    yield from _joined(kept[begin:], left, right)
+
+
+def _joined(kept: list[tuple[bytes, bytes]], left: Side, right: Side) -> list[tuple[int, int, int, np.ndarray, bytes]]:
+    """aligned() from the packed ids of both sides."""
     ids = [np.frombuffer(b"".join(k), np.uint32).astype(np.int64) for k in zip(*kept)]
     stops = [np.cumsum([0, *[len(x) // 4 for x in k]]) for k in zip(*kept)]
-    docs = [np.repeat(np.arange(len(texts)), np.diff(s)) for s in stops]
+    docs = [np.repeat(np.arange(len(kept)), np.diff(s)) for s in stops]
     ends = [np.cumsum(s.sizes[i]) for s, i in zip((left, right), ids)]
     starts = [e - s.sizes[i] for e, s, i in zip(ends, (left, right), ids)]
     common = np.intersect1d(*ends, assume_unique=True)
     groups = [np.searchsorted(common, e) for e in ends]
-    # joined a bounded number of tokens at a time, cut where both sides end
+    # a long document is cut where both sides end
     pairs, begin = [], [0, 0]
     while begin[0] < len(ids[0]):
         stop = common[groups[0][min(begin[0] + JOINED, len(ids[0]) - 1)]]
@@ -157,11 +171,11 @@ def aligned(texts: list[str], left: Side, right: Side) -> list[tuple[int, int, i
     a, b = (np.concatenate([p[c].to_numpy(np.int64) for p in pairs]) if pairs else np.zeros(0, np.int64) for c in ("a", "b"))
     order = np.argsort(docs[0][a], kind="stable")
     keys = ids[0][a[order]] << 32 | ids[1][b[order]]
-    edges = np.searchsorted(docs[0][a[order]], np.arange(len(texts) + 1))
+    edges = np.searchsorted(docs[0][a[order]], np.arange(len(kept) + 1))
     before = np.append(0, ends[0])[stops[0]]
     counts = np.diff(np.searchsorted(common, before, side="right"))
     told = _written(tuple(ids), tuple(groups), stops, names(left, right), len(left.sizes))
-    return [(int(stops[0][k + 1] - stops[0][k]), int(stops[1][k + 1] - stops[1][k]), int(counts[k]), keys[edges[k] : edges[k + 1]], told[k]) for k in range(len(texts))]
+    return [(int(stops[0][k + 1] - stops[0][k]), int(stops[1][k + 1] - stops[1][k]), int(counts[k]), keys[edges[k] : edges[k + 1]], told[k]) for k in range(len(kept))]
 
 
 _NAMES: dict[tuple[int, int], list[bytes]] = {}
