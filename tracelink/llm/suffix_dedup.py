@@ -27,7 +27,8 @@ BLOCK, TABLE_BUCKET, ANCHOR_BUCKET = 1 << 22, 1 << 25, 1 << 24
 MOST_TABLE_BUCKETS = 100_000
 #: An anchor in this many blocks is hot: its suffixes are dealt one by one, by their own hashes.
 HOT_BLOCKS = 4096
-CHUNK = 1 << 19
+#: Window places of a text that are hashed together, bytes of suffixes that are sorted together.
+CHUNK, SORTED = 1 << 19, 1 << 22
 NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -381,15 +382,11 @@ def _segments(buckets: int):
     return run
 
 
-def _merged(sent: pa.Table) -> pa.Table:
-    """What blocks have sent for one bucket, sorted together: to each block the places that a smaller document has too."""
-    raw = {n: sent.column(n).to_pylist() for n in sent.column_names}
-    joined = lambda n, t: np.frombuffer(b"".join(raw[n]), t)
-    key, shift, windows, ids = joined("keys", np.uint64), joined("shifts", np.uint8).astype(np.int64), joined("windows", np.uint8).astype(np.int64), joined("ids", np.int64)
-    text = Suffixes(joined("bytes", np.uint8))
+def _spans_of_runs(text: Suffixes, at: np.ndarray, key: np.ndarray, shift: np.ndarray, windows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of runs of windows from several blocks, those windows that also stand in a run with a smaller id: (run, begin, end) of each
+    connected part, in bytes from the run's begin."""
     size = windows + LENGTH - 1
-    at = np.cumsum(size) - size
-    # runs of windows first, then the windows of anchors that have different runs
+    # whole runs first, then the windows of anchors that have different runs
     kind = text.classes(at, size, _numbered(key, shift, windows))
     least, one = _least(kind, ids)
     many = windows[one]
@@ -403,13 +400,34 @@ def _merged(sent: pa.Table) -> pa.Table:
     lowest = np.full(len(own), NO_ID)
     np.minimum.at(lowest, window, least[own])
     smallest[open_], run_begin = lowest[window], np.cumsum(many) - many
-    # by sent run: its windows that a smaller document has
     held = np.repeat(np.arange(len(key)), windows)
     step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     gone = np.flatnonzero(smallest[run_begin[kind][held] + step] < ids[held])
     cut = np.append(True, (np.diff(gone) != 1) | (np.diff(held[gone]) != 0)) if len(gone) else np.zeros(0, bool)
     first, last = gone[cut], gone[np.append(cut[1:], True)] if len(gone) else gone
-    span_of, span_from, span_to = held[first], step[first], step[last] + LENGTH
+    return held[first], step[first], step[last] + LENGTH
+
+
+def _merged(sent: pa.Table) -> pa.Table:
+    """What blocks have sent for one bucket, sorted together, some anchors at a time: to each block the places that a smaller document
+    has too."""
+    raw = {n: sent.column(n).to_pylist() for n in sent.column_names}
+    joined = lambda n, t: np.frombuffer(b"".join(raw[n]), t)
+    key, shift, windows, ids = joined("keys", np.uint64), joined("shifts", np.uint8).astype(np.int64), joined("windows", np.uint8).astype(np.int64), joined("ids", np.int64)
+    data = joined("bytes", np.uint8)
+    size = windows + LENGTH - 1
+    at = np.cumsum(size) - size
+    parts = len(data) // SORTED + 1
+    part = _mixed(key) % np.uint64(parts)
+    found = []
+    for p in range(parts):
+        some = np.flatnonzero(part == p)
+        text = Suffixes(_pieces(data, at[some], size[some]))
+        of, begin, end = _spans_of_runs(text, np.cumsum(size[some]) - size[some], key[some], shift[some], windows[some], ids[some])
+        found.append((some[of], begin, end))
+    span_of, span_from, span_to = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(span_of, kind="stable")
+    span_of, span_from, span_to = span_of[order], span_from[order], span_to[order]
     span_begin = np.searchsorted(span_of, np.arange(len(key) + 1))
     # by member: all of its run if its own block has it earlier, else those windows
     base = np.cumsum([0, *[len(x) // 8 for x in raw["keys"]]])
