@@ -6,10 +6,7 @@ import re
 import tempfile
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 _OWN_FOLDER: list[str] = []
 
@@ -43,27 +40,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _jaro_winkler(a: str, b: str) -> float:
-    """Jaro's share of matching characters within half the longer length, raised by a common prefix of up to four."""
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken, left = [False] * len(b), []
-    for i, x in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if not taken[j] and b[j] == x), None)
-        if j is not None:
-            taken[j] = True
-            left.append(x)
-    if not left:
-        return 1.0 if a == b else 0.0
-    swapped = sum(x != y for x, y in zip(left, (y for y, t in zip(b, taken) if t))) // 2
-    m = len(left)
-    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    prefix = next((i for i, (x, y) in enumerate(zip(a[:4], b[:4])) if x != y), min(4, len(a), len(b)))
-    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
-
-
-@F.pandas_udf(DoubleType())
-def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Jaro-Winkler similarity of two texts, 0 to 1; null if either is null."""
-    return pd.Series([None if x is None or y is None else _jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")

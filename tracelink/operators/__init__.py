@@ -12,14 +12,15 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelink.functions import jaro_winkler, stored
+from tracelink.functions import stored
+from tracelink.functions.similarity import jaro_winkler
 from tracelink.operators.catalog import OPERATORS
 from tracelink.sources import BINDINGS, TABLES
 
 
 PARAMETER = r"\[\[(\w+): (.*?)\]\](?!\])"
 #: Views that others read several times or join after an explode: written once, so that their sizes are known.
-STORED = ("activity", "mentions")
+STORED = ("activity", "mentions", "name_keys")
 
 
 def inputs(template: str) -> list[str]:

@@ -30,6 +30,13 @@ FIELDS = {
 }
 _PAIRS = sorted({("".join(c for c in spelling if c.isalnum()), field) for field, (_, spellings) in FIELDS.items() for spelling in spellings})
 
+_SECOND = "<<date_format({0}, 'yyyy-MM-dd HH:mm:ss') ## strftime({0}, '%Y-%m-%d %H:%M:%S')>>"
+# the sound of a word for an engine without the function: codes of the letters, none for h and w, runs of one code once, vowels left out
+_CODES = "CASE WHEN upper(left(word, 1)) IN ('H', 'W') THEN '7' ELSE '' END || translate(upper(word), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556000000')"
+for _digit in "123456":
+    _CODES = f"regexp_replace({_CODES}, '{_digit}+', '{_digit}', 'g')"
+_SOUNDEX = f"<<soundex(word) ## upper(left(word, 1)) || left(replace(substr({_CODES}, 2), '0', '') || '000', 3)>>"
+
 BINDINGS = {
     "persons": f"""
         SELECT 'P' || CAST(c_custkey AS STRING) AS person_id,
@@ -104,7 +111,14 @@ BINDINGS = {
     "identifier_spans": "SELECT source_ref, value, <<instr(text, value) ## strpos(text, value)>> - 1 AS starts, <<instr(text, value) ## strpos(text, value)>> - 1 + length(value) AS ends FROM (SELECT source_ref, text, EXPLODE(regexp_extract_all(text, '(ACC[0-9]{{6,}}|[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) AS value FROM {statements}) v",
     "confirmed": "SELECT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, max_by(entity_id, ord) AS entity_id FROM {entity_mapping} GROUP BY 1, 2",
     "name_mentions": "SELECT DISTINCT CASE ord % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, 'ee', 'i') ELSE substr(name, 1, length(name) - 1) END AS mention FROM {persons}",
-    "name_blocks": "SELECT DISTINCT m.mention, n.name FROM (SELECT mention, EXPLODE(split(mention, ' ')) AS token FROM {name_mentions}) m JOIN (SELECT name, EXPLODE(split(name, ' ')) AS token FROM {persons} GROUP BY name) n ON substr(m.token, 1, 3) = substr(n.token, 1, 3)",
+    "name_words": """
+        SELECT DISTINCT mention AS name, 'mention' AS side, EXPLODE(<<split(mention, ' ') ## string_split(mention, ' ')>>) AS word FROM {name_mentions}
+        UNION ALL SELECT DISTINCT name, 'name', EXPLODE(<<split(name, ' ') ## string_split(name, ' ')>>) FROM {persons}""",
+    "name_keys": f"""
+        SELECT DISTINCT name, side, 'w ' || lower(word) AS k FROM {{name_words}} WHERE word <> ''
+        UNION SELECT name, side, 'p ' || lower(substr(word, 1, 3)) FROM {{name_words}} WHERE word <> ''
+        UNION SELECT name, side, 's ' || {_SOUNDEX} FROM {{name_words}} WHERE word <> ''""",
+    "name_blocks": "SELECT DISTINCT m.name AS mention, n.name FROM {name_keys} m JOIN {name_keys} n ON m.k = n.k WHERE m.side = 'mention' AND n.side = 'name'",
     "name_scores": "SELECT mention, name, CASE WHEN mention = name OR contains(' ' || name || ' ', ' ' || mention || ' ') OR contains(' ' || mention || ' ', ' ' || name || ' ') THEN 100.0 ELSE round(100 * <<jaro_winkler(mention, name) ## jaro_winkler_similarity(mention, name)>>, 4) END AS score FROM {name_blocks}",
     "name_ranked": "SELECT mention, name, score, row_number() OVER (PARTITION BY mention ORDER BY score DESC, name) AS k, lead(score) OVER (PARTITION BY mention ORDER BY score DESC, name) AS next_score FROM {name_scores} WHERE score >= 85",
     "aliases": f"SELECT * FROM (VALUES {', '.join(map(str, _PAIRS))}) AS a(compact, field)",
@@ -119,6 +133,21 @@ BINDINGS = {
         FROM (SELECT h.file_id, h.pos, h.header, a.field, row_number() OVER (PARTITION BY h.file_id, coalesce(a.field, h.header) ORDER BY h.pos) AS k
               FROM (SELECT file_id, pos, header, regexp_replace(replace(lower(header), '&', 'and'), '[^a-z0-9]+', '', 'g') AS compact FROM {headers}) h LEFT JOIN {aliases} a ON h.compact = a.compact) r""",
     "header_choices": "SELECT file_id, pos, CASE file_id % 6 WHEN 0 THEN 'unmapped' WHEN 1 THEN 'location' WHEN 2 THEN 'no_such_field' ELSE 'phone' END AS choice FROM {headers} WHERE pos = 1 + file_id % 4 AND file_id % 6 < 4",
+    # the eight sources with all columns that the property graph reads, as text
+    "graph_persons": "SELECT person_id, name, phone, vehicle_no, bank_account, social_id, home_city, risk_group, ord FROM {persons}",
+    "graph_vehicles": "SELECT vehicle_no, person_id, registered_city, vehicle_type, CAST(substr(person_id, 2) AS BIGINT) AS ord FROM {vehicles}",
+    "graph_entity_mapping": "SELECT entity_id, entity_type, source, source_id, ord FROM {entity_mapping}",
+    "graph_cdr": f"""
+        SELECT c.event_id AS ord, c.caller_id, c.receiver_id, {_SECOND.format('c.timestamp')} AS timestamp, CAST(c.duration_sec AS STRING) AS duration_sec, c.call_type, a.phone AS caller_phone,
+               CASE WHEN c.event_id % 3 > 0 THEN b.phone END AS receiver_phone
+        FROM {{cdr}} c LEFT JOIN {{persons}} a ON c.caller_id = a.person_id LEFT JOIN {{persons}} b ON c.receiver_id = b.person_id""",
+    "graph_finance": """
+        SELECT f.event_id AS ord, f.sender_id, f.receiver_id, CAST(f.date AS STRING) AS date, CAST(CAST(floor(f.amount) AS BIGINT) AS STRING) AS amount, a.bank_account AS sender_account,
+               CASE WHEN f.event_id % 4 > 0 THEN b.bank_account END AS receiver_account
+        FROM {finance} f LEFT JOIN {persons} a ON f.sender_id = a.person_id LEFT JOIN {persons} b ON f.receiver_id = b.person_id""",
+    "graph_fir": "SELECT CASE WHEN ord % 41 > 0 THEN fir_id END AS fir_id, person_id, crime, CAST(date AS STRING) AS date, CASE WHEN ord % 17 > 0 THEN location ELSE ' ' END AS location, ord FROM {fir}",
+    "graph_social": "SELECT event_id AS ord, user_id, connected_user_id, interaction_type, CAST(date AS STRING) AS date, CASE WHEN event_id % 2 = 0 THEN 'user_' || substr(user_id, 2) END AS user_handle, CAST(NULL AS STRING) AS connected_handle FROM {social}",
+    "graph_surveillance": f"SELECT s.event_id, s.person_id, s.location, {_SECOND.format('s.timestamp')} AS timestamp, s.event_type, 'camera' AS source, CASE WHEN s.ord % 5 > 0 THEN p.vehicle_no END AS vehicle_no, s.ord FROM {{surveillance}} s LEFT JOIN {{persons}} p ON s.person_id = p.person_id",
     # spellings of values, so that the rules meet every form
     "phone_spellings": "SELECT c_custkey AS row_no, CASE c_custkey % 7 WHEN 0 THEN '+91 9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 1 THEN '9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 2 THEN '091-9' || lpad(CAST(c_custkey AS STRING), 9, '0') WHEN 3 THEN 'not-a-phone' WHEN 4 THEN '12' || lpad(CAST(c_custkey AS STRING), 10, '0') WHEN 5 THEN CAST(c_custkey AS STRING) ELSE '+91-9' || lpad(CAST(c_custkey AS STRING), 9, '0') || ' ext 2' END AS phone FROM {customer}",
     "place_spellings": "SELECT c_custkey AS row_no, CASE c_custkey % 9 WHEN 0 THEN ' New Delhi' WHEN 1 THEN 'BOMBAY' WHEN 2 THEN 'Ban-ga lore' WHEN 3 THEN 'pune ' WHEN 4 THEN '  ' WHEN 5 THEN 'goa' WHEN 6 THEN 'N.C.T.' WHEN 7 THEN 'None' ELSE n_name END AS place FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey",
