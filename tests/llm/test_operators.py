@@ -295,6 +295,15 @@ def test_genetic_rounds_beat_best_fit_and_lose_nothing():
         assert accepted > 0 and costs == sorted(costs, reverse=True) and len(population[0]) < len(fitted)
 
 
+def test_the_island_with_longest_first_is_never_worse_than_it():
+    rng = random.Random(7)
+    for low, high in ((1, 300), (500, 900), (300, 1200), (1000, 1100)):
+        lengths = [rng.randrange(low, high) for _ in range(500)]
+        fitted = packing.best_fit(lengths, packing.longest_first(lengths, range(500)), [], 2048)
+        population, _ = packing.evolve(lengths, [], 2048, 1, longest=True)
+        assert packing.cost(lengths, population[0], 2048) <= packing.cost(lengths, fitted, 2048)
+
+
 def test_islands_accept_crossovers_and_tails_meet(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD", 200)
     rng = random.Random(3)

@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -33,8 +34,10 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 END_ID = 0
 SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4000, 2, 2, 3, 6
-#: Bins filled less than this are opened again, and their pieces meet those of other shards.
-TAIL_FILL = 0.9
+#: Bins filled less than this (all that are not full) are opened again, and their pieces meet those of other shards.
+TAIL_FILL = 1.0
+#: Times that tails meet at most; each time they are a small part of what they were.
+LEVELS = 12
 CACHE_UNITS = 1_000_000
 
 
@@ -294,15 +297,18 @@ def mutate(lengths: list[int], bins: Bins, limit: int, rng: random.Random) -> Bi
     return best_fit(lengths, longest_first(lengths, loose), [list(b) for k, b in enumerate(bins) if k not in out], limit)
 
 
-def evolve(lengths: list[int], population: list[Bins], limit: int, seed: int) -> tuple[list[Bins], int]:
+def evolve(lengths: list[int], population: list[Bins], limit: int, seed: int, longest: bool = False) -> tuple[list[Bins], int]:
     """The population after GENERATIONS more, best first, and how many children of crossovers entered it.
 
-    A new population is best fit of the pieces in random orders, so what is good comes from crossover and selection.
+    A new population is best fit of the pieces in random orders. With longest it also holds best fit from the longest to the
+    shortest, so what comes out is never worse than that; without, it keeps more different solutions to cross.
     """
     rng = random.Random(seed)
     least = -(-sum(lengths) // limit)
     order = list(range(len(lengths)))
     population = list(population)
+    if longest and not population:
+        population.append(best_fit(lengths, longest_first(lengths, order), [], limit))
     while len(population) < POPULATION:
         rng.shuffle(order)
         population.append(best_fit(lengths, order, [], limit))
@@ -347,7 +353,7 @@ def _round(islands: DataFrame, number: int, limit: int) -> DataFrame:
             people, costs, fills, entered = [], [], [], []
             for shard, island, lengths, population, migrant, accepted in zip(x["shard"], x["island"], x["lengths"], x["population"], x["migrant"], x["accepted"]):
                 start = [_thaw(p) for p in [*population, *([migrant] if migrant is not None else [])]]
-                ranked, more = evolve(lengths, start, limit, shard * 1009 + island * 31 + number)
+                ranked, more = evolve(lengths, start, limit, shard * 1009 + island * 31 + number, island == 0)
                 people.append([_freeze(p, len(lengths)) for p in ranked])
                 n, fill = cost(lengths, ranked[0], limit)
                 costs.append(n)
@@ -405,11 +411,17 @@ def pack(table: DataFrame, limit: int = LIMIT) -> DataFrame:
     """table (a written one, with a column length of 1 to limit) with sequence_id and offset; an empty table stays empty."""
     numbered = materialise(table.withColumn("packed_row", F.monotonically_increasing_id()), "pieces")
     small = numbered.where(F.col("length") < limit)
-    first = _packed(small.select("packed_row", "length"), limit, "places")
-    again = _packed(first.where("tail").select("packed_row", "length"), limit, "tail-places")
-    told = lambda df, k: df.select("packed_row", (3 * F.col("sequence_id") + k).alias("sequence_id"), "offset")
-    places = told(first.where("not tail"), 0).union(told(again, 1))
-    full = numbered.where(F.col("length") >= limit).withColumn("sequence_id", 3 * F.col("packed_row") + 2).withColumn("offset", F.lit(0).cast("long"))
+    told = lambda df, k: df.select("packed_row", ((LEVELS + 1) * F.col("sequence_id") + k).alias("sequence_id"), "offset")
+    level, rest, places = 0, small.select("packed_row", "length"), []
+    while True:  # the tails of all shards meet, in ever fewer shards, until those of one shard are left
+        made = _packed(rest, limit, f"places-{level}")
+        last = level == LEVELS - 1 or rest.limit(SHARD + 1).count() <= SHARD
+        places.append(told(made if last else made.where("not tail"), level))
+        if last:
+            break
+        level, rest = level + 1, made.where("tail").select("packed_row", "length")
+    places = reduce(DataFrame.union, places)
+    full = numbered.where(F.col("length") >= limit).withColumn("sequence_id", (LEVELS + 1) * F.col("packed_row") + LEVELS).withColumn("offset", F.lit(0).cast("long"))
     return small.join(places.hint("merge"), "packed_row").unionByName(full).drop("packed_row")
 
 
