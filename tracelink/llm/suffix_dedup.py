@@ -28,7 +28,7 @@ MOST_TABLE_BUCKETS = 100_000
 #: An anchor in this many blocks is hot: its suffixes are dealt one by one, by their own hashes.
 HOT_BLOCKS = 4096
 #: Window places of a text that are hashed together, bytes of suffixes that are sorted together.
-CHUNK, SORTED = 1 << 19, 1 << 22
+CHUNK, SORTED = 1 << 18, 1 << 21
 NO_ID = (1 << 63) - 1
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
