@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tracelink.plans.graph as graph
-from tracelink.functions import extract, headers, rules
+from tracelink.functions import headers, rules
 from tracelink.operators import apply
 
 
@@ -55,25 +55,6 @@ def test_header_matching(spark):
     assert [(r.pos, r.header, r.field) for r in got] == [(p, h, x[2]) for p, h, x in zip(range(1, 10), golden, headers.match(golden))]
 
 
-def test_model_extraction_falls_back_to_rules(spark):
-    texts = spark.createDataFrame([("a", "Accused Ravi Rao met people of Northern Bank after a theft."), ("b", None), ("c", "bad")], "source_ref string, text string").coalesce(1)
-    want = {("person", "Ravi Rao", 8), ("organisation", "Northern Bank", 31), ("event", "theft", 53)}
-
-    def absent():
-        raise ImportError("no model")
-
-    def failing():
-        def model(text):
-            if text == "bad":
-                raise RuntimeError
-            return [("person", "X", 0, 1, 1.0)]
-
-        return model
-
-    by_rules = extract.extracted(texts, absent).collect()
-    assert {(r.kind, r.value, r.starts) for r in by_rules} == want and {r.method for r in by_rules} == {"rules"}
-    assert [(r.source_ref, r.method) for r in extract.extracted(texts, failing).orderBy("source_ref").collect()] == [("a", "model"), ("b", "model")]
-
 
 def test_anomaly_reasons_and_rejections(spark):
     rows = [("P1", 30, 0.4, 0.45, 0.0, 0.0), ("P2", 24, 0.9, 0.0, 0.0, 0.0), ("P3", 60, 0.6, 0.2, 0.5, 0.1)]

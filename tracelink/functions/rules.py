@@ -88,33 +88,45 @@ def temporal_bounds(metadata: Column, record: dict[str, Column], text: Column) -
 
 
 def places(text: Column, pattern: str) -> Column:
-    """array<struct<value, start>>: every match of a pattern and where it begins (from 0)."""
+    """array<struct<value, start>>: every match of a pattern and where it begins (from 0), by one running sum over the texts between."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    upto = lambda array, n: F.length(F.array_join(F.slice(array, F.lit(1), n), ""))
-    return F.transform(found, lambda x, i: F.struct(x.alias("value"), (upto(between, i + 1) + upto(found, i)).alias("start")))
+    steps = F.arrays_zip(found.alias("value"), F.slice(between, F.lit(1), F.size(found)).alias("gap"))
+    kind = "struct<at:int,out:array<struct<value:string,start:int>>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int>>").alias("out")).cast(kind)
+
+    def step(sofar: Column, x: Column) -> Column:
+        start = sofar["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(sofar["out"], F.array(F.struct(x["value"].alias("value"), start.alias("start")))).alias("out")).cast(kind)
+
+    return F.aggregate(steps, begin, step)["out"]
 
 
 def _before(text: Column, start: Column, n: int) -> Column:
     return F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(start, F.lit(n)))
 
 
-def phone_mentions(text: Column) -> Column:
-    """array<struct<value, start>> of phones in prose, +91 and ten digits; none after a word for a case, date or number within 32
-    characters, nor beside a further digit."""
+def is_phone(text: Column, x: Column) -> Column:
+    """Whether a phone of places() counts in prose: no word for a case, date or number within 32 characters before, no digit beside it."""
     digit = lambda at: F.substring(text, at, F.lit(1)).rlike("[0-9]")
+    beside = ((x["start"] > 0) & digit(x["start"])) | digit(x["start"] + F.length(x["value"]) + 1)
+    return ~_before(text, x["start"], 32).rlike(NOT_A_PHONE_AFTER) & ~beside
 
-    def is_phone(x: Column) -> Column:
-        beside = ((x["start"] > 0) & digit(x["start"])) | digit(x["start"] + F.length(x["value"]) + 1)
-        return ~_before(text, x["start"], 32).rlike(NOT_A_PHONE_AFTER) & ~beside
 
+def is_account(text: Column, x: Column) -> Column:
+    """Whether a number of places() is an account in prose: a word for one within 48 characters before."""
+    return _before(text, x["start"], 48).rlike(ACCOUNT_BEFORE)
+
+
+def phone_mentions(text: Column) -> Column:
+    """array<struct<value, start>> of phones in prose, +91 and ten digits."""
     named = lambda x: F.struct(F.concat(F.lit("+91"), F.right(F.regexp_replace(x["value"], "[^0-9]", ""), F.lit(10))).alias("value"), x["start"].alias("start"))
-    return F.transform(F.filter(places(text, PHONE), is_phone), named)
+    return F.transform(F.filter(places(text, PHONE), lambda x: is_phone(text, x)), named)
 
 
 def account_mentions(text: Column) -> Column:
-    """array<struct<value, start>> of accounts in prose: ACC numbers, and 9 to 18 digits after a word for an account within 48 characters."""
+    """array<struct<value, start>> of accounts in prose: ACC numbers, and 9 to 18 digits after a word for an account."""
     upper = lambda x: F.struct(F.upper(x["value"]).alias("value"), x["start"].alias("start"))
-    numeric = F.filter(places(text, NUMERIC_ACCOUNT), lambda x: _before(text, x["start"], 48).rlike(ACCOUNT_BEFORE))
+    numeric = F.filter(places(text, NUMERIC_ACCOUNT), lambda x: is_account(text, x))
     return F.concat(F.transform(places(text, ACCOUNT), upper), F.transform(numeric, upper))
 
 

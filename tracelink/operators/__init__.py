@@ -11,9 +11,11 @@ from collections.abc import Iterable
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelink.functions import stored
 from tracelink.functions.similarity import jaro_winkler
+from tracelink.operators import extraction
 from tracelink.operators.catalog import OPERATORS
 from tracelink.sources import BINDINGS, TABLES
 
@@ -23,6 +25,18 @@ PARAMETER = r"\[\[(\w+): (.*?)\]\](?!\])"
 STORED = ("activity", "mentions", "name_keys")
 
 
+def _entities(statements: DataFrame) -> DataFrame:
+    return statements.select("source_ref", F.inline(extraction.entity_spans(F.col("text")))).select("source_ref", F.col("entity_type").alias("kind"), "value", "starts", "ends").distinct()
+
+
+def _identifiers(statements: DataFrame) -> DataFrame:
+    return statements.select("source_ref", F.inline(extraction.identifier_spans(F.col("text")))).select("source_ref", F.col("raw").alias("value"), "starts", "ends")
+
+
+#: Views that Spark builds from others by a function; their SQL is the oracle's.
+BUILT = {"mentions": ("narratives", extraction.mentions), "ner_spans": ("statements", _entities), "identifier_spans": ("statements", _identifiers)}
+
+
 def inputs(template: str) -> list[str]:
     return sorted({n for _, n, _, _ in Formatter().parse(template) if n})
 
@@ -51,7 +65,13 @@ def bound(spark: SparkSession, sf_dir: str, template: str, made: dict[str, DataF
     made = {} if made is None else made
     for name in inputs(template):
         if name not in made:
-            made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet") if name in TABLES else bound(spark, sf_dir, BINDINGS[name], made)
+            if name in TABLES:
+                made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+            elif name in BUILT:
+                source, build = BUILT[name]
+                made[name] = build(bound(spark, sf_dir, f"SELECT * FROM {{{source}}}", made))
+            else:
+                made[name] = bound(spark, sf_dir, BINDINGS[name], made)
             if name in STORED:
                 made[name] = stored(made[name], name)
     if "jaro_winkler(" in template:

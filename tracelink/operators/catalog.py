@@ -44,24 +44,15 @@ OPERATORS = {
     "b4_duplicate_hashes": "SELECT h AS content_hash, count(*) AS n, min(person_id) AS first_record_id FROM (SELECT person_id, <<sha2(phone, 256) ## sha256(phone)>> AS h FROM {persons}) p GROUP BY h HAVING count(*) > 1",
     "b5_phone": "SELECT person_id, CASE WHEN length(d) >= 12 AND substr(d, 1, 2) = '91' THEN '+91' || right(d, 10) WHEN length(d) = 10 THEN '+91' || d ELSE phone END AS phone FROM (SELECT person_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM {persons}) p",
     "b6_upper_identifiers": "SELECT person_id, upper(regexp_replace(lower(vehicle_no), '[ ]+', '', 'g')) AS vehicle_no, upper(regexp_replace(bank_account, '[ ]+', '', 'g')) AS bank_account FROM {persons}",
-    "b7_phone_valid": "SELECT row_no, phone_norm IS NOT NULL AS valid FROM {clean_uploads}",
-    "b8_jurisdiction_code": "SELECT n_name, CASE WHEN length(n_name) <= 5 THEN upper(n_name) ELSE 'OTHER' END AS code FROM {nation}",
     "b9_crime_canonical": "SELECT match_key, min_by(crime, ord) AS spelling, count(*) AS n FROM (SELECT crime, ord, regexp_replace(lower(crime), '[^a-z0-9]', '', 'g') AS match_key FROM {cases}) c GROUP BY match_key",
-    "b10_import_date": "SELECT row_no, coalesce(CAST(date_parsed AS STRING), date) AS date, date_parsed IS NOT NULL AS parsed FROM {clean_uploads}",
-    "b11_finding_date": "SELECT source_ref, coalesce(event_date, 'undated') AS date FROM {narratives}",
-    "b12_case_timestamp": "SELECT fir_id, CAST(date AS TIMESTAMP) AS sort_ts FROM {cases}",
-    "b13_temporal_bounds": "SELECT source_ref, coalesce(event_date, CASE WHEN text LIKE '%dated%' THEN text END) AS valid_from FROM {narratives}",
     "b14_bands": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band FROM {{anomaly}}",
     "b15_review_fingerprint": "SELECT entity_type, value, <<sha2(entity_type || '|' || lower(trim(value)) || '|exact|' || upper(jurisdiction), 256) ## sha256(entity_type || '|' || lower(trim(value)) || '|exact|' || upper(jurisdiction))>> AS fingerprint FROM {resolved} WHERE status = 'ambiguous' GROUP BY entity_type, value, jurisdiction",
     "b16_identity_hash": "SELECT row_no, <<sha2('fir_id=' || coalesce(fir_id, '') || '|name=' || coalesce(name, '') || '|phone=' || coalesce(phone, ''), 256) ## sha256('fir_id=' || coalesce(fir_id, '') || '|name=' || coalesce(name, '') || '|phone=' || coalesce(phone, ''))>> AS identity FROM {clean_uploads}",
     "b18_entity_labels": "SELECT id, coalesce(entity_type, 'unknown') || ': ' || id AS label FROM {nodes}",
     # extraction
-    "c1_phone_mentions": "SELECT source_ref, value FROM {mentions} WHERE entity_type = 'phone'",
     "c2_vehicle_mentions": "SELECT source_ref, value FROM {mentions} WHERE entity_type = 'vehicle'",
-    "c3_account_mentions": "SELECT source_ref, value FROM {mentions} WHERE entity_type = 'bank_account'",
     "c4_ifsc_mentions": "SELECT source_ref, value FROM {mentions} WHERE entity_type = 'ifsc'",
     "c5_record_mentions": "SELECT entity_type, count(*) AS mentions, count(DISTINCT value) AS different FROM {mentions} GROUP BY entity_type",
-    "c7_span_confidence": "SELECT entity_type, value, CASE WHEN length(value) <= 3 THEN 0.98 ELSE 1.0 END AS confidence, length(value) > 0 AS eligible FROM {mentions}",
     # resolution
     "d1_registry": "SELECT entity_type, value, entity_id FROM {registry}",
     "d2_confirmed": "SELECT entity_type, source_id, max_by(entity_id, ord) AS entity_id FROM {entity_mapping} GROUP BY entity_type, source_id",
@@ -145,7 +136,6 @@ OPERATORS = {
     "i29_entry_options": "SELECT 'crime' AS kind, crime AS option FROM {cases} GROUP BY crime UNION ALL SELECT 'jurisdiction', location FROM {cases} GROUP BY location",
     # entity extractor, span fusion, fuzzy names, decisions
     "c6_rule_entities": "SELECT source_ref, kind, value, starts, ends FROM {ner_spans}",
-    "c8_span_fusion": "SELECT s.source_ref, s.kind, s.value FROM {ner_spans} s WHERE NOT EXISTS (SELECT 1 FROM {identifier_spans} i WHERE i.source_ref = s.source_ref AND i.starts < s.ends AND s.starts < i.ends)",
     "d4_name_scores": "SELECT mention, name, score FROM {name_scores}",
     "d5_name_decision": "SELECT m.mention, CASE WHEN r.score IS NULL OR r.score < 92 THEN 'unresolved' WHEN r.score - r.next_score < 3 THEN 'ambiguous' ELSE 'resolved' END AS status, r.score, CASE WHEN r.score >= 92 THEN r.name END AS name FROM {name_mentions} m LEFT JOIN (SELECT * FROM {name_ranked} WHERE k = 1) r ON m.mention = r.mention",
     "d7_cascade": "SELECT r.source_ref, r.entity_type, r.value, CASE WHEN r.value = '' THEN 'unresolved' WHEN c.entity_id IS NOT NULL THEN 'exact' WHEN r.entity_type IN ('location', 'organisation', 'event') THEN 'unresolved' ELSE r.status END AS status, coalesce(c.entity_id, r.entity_id) AS entity_id FROM {resolved} r LEFT JOIN {confirmed} c ON r.entity_type = c.entity_type AND r.value = c.value",

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.functions import rules
-from tracelink.functions.extract import extracted, transformer
 from tracelink.functions.headers import header_mapping
 from tracelink.operators import bound, oracle
+from tracelink.operators.extraction import fused, record_mentions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,12 +51,21 @@ def h2_header_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header_mapping(bound(spark, sf_dir, "SELECT * FROM {headers}"))
 
 
-def c9_model_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the installed pipeline, else by rules."""
-    return extracted(bound(spark, sf_dir, "SELECT source_ref, text FROM {statements}"), transformer)
+def c8_span_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities of statements that no identifier overlaps."""
+    statements: dict[str, DataFrame] = {}
+    entities = bound(spark, sf_dir, "SELECT * FROM {ner_spans}", statements)
+    return fused(entities, bound(spark, sf_dir, "SELECT * FROM {identifier_spans}", statements)).select("source_ref", "kind", "value", "starts")
 
 
-QUERIES |= {"h2_header_fuzzy": h2_header_fuzzy, "c9_model_extraction": c9_model_extraction}
+def c5_field_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers of every column of the persons and of the narratives' text."""
+    persons = bound(spark, sf_dir, "SELECT person_id AS record_id, name, phone, vehicle_no, bank_account, social_id, home_city, risk_group FROM {persons}")
+    prose = bound(spark, sf_dir, "SELECT source_ref AS record_id, text, jurisdiction FROM {narratives}")
+    return record_mentions(persons).unionAll(record_mentions(prose)).groupBy("field", "entity_type").agg(F.count("*").alias("mentions"), F.count_distinct("value").alias("different"))
+
+
+QUERIES |= {f.__name__: f for f in (h2_header_fuzzy, c8_span_fusion, c5_field_mentions)}
 
 
 def _first_date(text: str, formats: tuple[str, ...]) -> str:
@@ -89,6 +98,12 @@ _TEMPLATES = {
         FROM {{dated_notes}}""",
     "c1_phone_mentions": "SELECT source_ref, '+91' || right(regexp_replace(value, '[^0-9]', '', 'g'), 10) AS value, starts FROM (" + _SPANS.format(r"(?:\+91[-\s]?\d{{5}}[-\s]?\d{{5}}|\+91[-\s]?\d{{10}}|\b[6-9]\d{{9}}\b)").replace("{{prose}}", "{prose}") + r") s WHERE NOT regexp_matches(right(left(text, starts), 32), '(?i)\b(?:case|fir|crime|dated|date|no\.?|number|ref)\b') AND NOT regexp_matches(right(left(text, starts), 1) || '.' || substr(text, starts + length(value) + 1, 1), '[0-9]')",
     "c3_account_mentions": "SELECT source_ref, upper(value) AS value, starts FROM (" + _SPANS.format(r"(?i)\bACC\d{{6,}}\b").replace("{{prose}}", "{prose}") + ") s UNION ALL SELECT source_ref, value, starts FROM (" + _SPANS.format(r"\b\d{{9,18}}\b").replace("{{prose}}", "{prose}") + r") s WHERE regexp_matches(right(left(text, starts), 48), '(?i)\b(?:account|a/c|acct|bank\s+account)\b')",
+    "c5_field_mentions": """
+        SELECT field, entity_type, count(*) AS mentions, count(DISTINCT value) AS different FROM (
+          SELECT 'phone' AS field, 'phone' AS entity_type, replace(phone, '-', '') AS value FROM {persons}
+          UNION ALL SELECT 'vehicle_no', 'vehicle', vehicle_no FROM {persons} UNION ALL SELECT 'bank_account', 'bank_account', bank_account FROM {persons}
+          UNION ALL SELECT 'text', entity_type, value FROM {mentions}) m GROUP BY ALL""",
+    "c8_span_fusion": "SELECT s.source_ref, s.kind, s.value, s.starts FROM {ner_spans} s WHERE NOT EXISTS (SELECT 1 FROM {identifier_spans} i WHERE i.source_ref = s.source_ref AND i.starts < s.ends AND s.starts < i.ends)",
     "c7_span_confidence": """
         SELECT row_no, c AS confidence, c >= .85 AS eligible
         FROM (SELECT row_no, round(CASE label WHEN 'PERSON' THEN .97 WHEN 'ORG' THEN .93 WHEN 'GPE' THEN .91 WHEN 'LOC' THEN .91 WHEN 'FAC' THEN .88 WHEN 'EVENT' THEN .86 ELSE .85 END - CASE WHEN ends < starts + 4 THEN .02 ELSE 0 END, 4) AS c FROM {model_spans}) q""",

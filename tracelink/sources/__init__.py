@@ -30,6 +30,31 @@ FIELDS = {
 }
 _PAIRS = sorted({("".join(c for c in spelling if c.isalnum()), field) for field, (_, spellings) in FIELDS.items() for spelling in spellings})
 
+# What identifiers and entities look like in text (braces doubled for the templates), in the oracle's spelling.
+PHONE, NOT_A_PHONE = r"(?:\+91[-\s]?\d{{5}}[-\s]?\d{{5}}|\+91[-\s]?\d{{10}}|\b[6-9]\d{{9}}\b)", r"(?i)\b(?:case|fir|crime|dated|date|no\.?|number|ref)\b"
+VEHICLE, IFSC = r"(?i)\b[A-Z]{{2}}\d{{2}}[A-Z]{{1,3}}\d{{4}}\b", r"(?i)\b[A-Z]{{4}}0[A-Z0-9]{{6}}\b"
+ACCOUNT, NUMBER, ACCOUNT_BEFORE = r"(?i)\bACC\d{{6,}}\b", r"\b\d{{9,18}}\b", r"(?i)\b(?:account|a/c|acct|bank\s+account)\b"
+ENTITIES = (
+    ("person", r"\b(?:Complainant|Accused|Witness|Suspect|named|states\s+that)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"),
+    ("location", r"\b(?:in|at|near|from)\s+([A-Z][A-Za-z0-9][A-Za-z0-9\s\-]{{1,38}}[A-Za-z0-9])"),
+    ("organisation", r"\b([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Police|Logistics|Bank|Corporation|Ltd\.?|Limited))\b"),
+    ("event", r"(?i)\b(robbery(?:\s+event)?|cyber crime|organized crime|organised crime|theft|fraud|murder|assault|extortion)\b"),
+    ("event", r"(?i)\b(FIR(?:\sNO\.?|\s|/|-)\s*[A-Z]{{0,3}}[\s/\-]*\d{{4}}[\s/\-]*\d+|FIR\d{{5,}})\b"),
+)
+
+
+def spans(view: str, pattern: str, more: str = "") -> str:
+    """Oracle SQL: the matches of a pattern in a view's text with their places; texts between matches and the matches before add up."""
+    kept = f"source_ref, text{', ' + more if more else ''}"
+    return f"""
+        SELECT {kept}, found[k] AS value, CAST(coalesce(list_sum(list_transform(between[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k-1], lambda x: length(x))), 0) AS BIGINT) AS starts
+        FROM (SELECT {kept}, found, between, unnest(range(1, len(found) + 1)) AS k
+              FROM (SELECT {kept}, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS between FROM {{{view}}}) a) b"""
+
+
+# an import's date: ISO as it stands, else the first form that fits, with the day first
+_FORMS = (("d-M-yyyy", "%d-%m-%Y"), ("d/M/yyyy", "%d/%m/%Y"), ("d.M.yyyy", "%d.%m.%Y"), ("yyyy/M/d", "%Y/%m/%d"), ("M/d/yyyy", "%m/%d/%Y"), ("d MMM yyyy", "%d %b %Y"), ("d MMMM yyyy", "%d %B %Y"))
+_IMPORTED = "<<CASE WHEN {0} RLIKE '^[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}$' THEN try_to_date({0}, 'yyyy-MM-dd') ELSE coalesce(" + ", ".join(f"try_to_date({{0}}, '{a}')" for a, _ in _FORMS) + ") END ## CASE WHEN regexp_full_match({0}, '[0-9]{{{{4}}}}-[0-9]{{{{2}}}}-[0-9]{{{{2}}}}') THEN try_cast({0} AS DATE) ELSE coalesce(" + ", ".join(f"CAST(try_strptime({{0}}, '{b}') AS DATE)" for _, b in _FORMS) + ") END>>"
 _SECOND = "<<date_format({0}, 'yyyy-MM-dd HH:mm:ss') ## strftime({0}, '%Y-%m-%d %H:%M:%S')>>"
 # the sound of a word for an engine without the function: codes of the letters, none for h and w, runs of one code once, vowels left out
 _CODES = "CASE WHEN upper(left(word, 1)) IN ('H', 'W') THEN '7' ELSE '' END || translate(upper(word), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '111122222222334556000000')"
@@ -54,7 +79,16 @@ BINDINGS = {
     "surveillance": "SELECT 'S' || CAST(event_id AS STRING) AS event_id, a AS person_id, n_name AS location, ts AS timestamp, CASE event_id % 4 WHEN 0 THEN 'vehicle movement' WHEN 1 THEN 'meeting' WHEN 2 THEN 'atm visit' ELSE 'border crossing' END AS event_type, event_id AS ord FROM {calls_base} c JOIN {nation} n ON c.k % 25 = n.n_nationkey WHERE c.event_type = 'error'",
     "fir": "SELECT 'FIR' || CAST(event_id AS STRING) AS fir_id, a AS person_id, CASE k % 5 WHEN 0 THEN 'Fraud' WHEN 1 THEN 'Theft' WHEN 2 THEN 'Cyber Crime' WHEN 3 THEN 'Assault' ELSE 'Smuggling' END AS crime, CAST(ts AS DATE) AS date, n_name AS location, event_id AS ord FROM {calls_base} c JOIN {nation} n ON c.k % 25 = n.n_nationkey WHERE c.event_type = 'signup'",
     "cases": "SELECT 'FIR' || CAST(o_orderkey AS STRING) AS fir_id, 'P' || CAST(o_custkey AS STRING) AS person_id, CASE o_orderkey % 4 WHEN 0 THEN 'Cyber Crime' WHEN 1 THEN 'cyber-crime' WHEN 2 THEN 'cybercrime' ELSE lower(o_orderpriority) END AS crime, CAST(o_orderdate AS DATE) AS date, n_name AS location, o_orderkey AS ord FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
-    "narratives": "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, CAST(c.date AS STRING) AS event_date, c.ord, CASE WHEN c.ord % 7 = 0 THEN 'Case No. ' || substr(p.phone, 5, 5) || substr(p.phone, 11, 5) || ' was registered.' ELSE 'Suspect called from ' || p.phone || ' near the toll.' END || ' Vehicle ' || p.vehicle_no || ' was seen; paid via HDFC0001234 from account ' || p.bank_account || '.' AS text FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id",
+    # prose with +91 and bare numbers, numbers that are no phones, and accounts of both kinds
+    "narratives": """
+        SELECT c.fir_id AS source_ref, c.location AS jurisdiction, CAST(c.date AS STRING) AS event_date, c.ord,
+               CASE WHEN c.ord % 7 = 0 THEN 'Case No. ' || substr(p.phone, 5, 5) || substr(p.phone, 11, 5) || ' was registered.'
+                    WHEN c.ord % 7 = 1 THEN 'Suspect called from ' || substr(p.phone, 5, 5) || substr(p.phone, 11, 5) || ' near the toll.'
+                    ELSE 'Suspect called from ' || p.phone || ' near the toll.' END
+               || ' Vehicle ' || CASE WHEN c.ord % 4 = 0 THEN lower(p.vehicle_no) ELSE p.vehicle_no END || ' was seen; paid via HDFC0001234 from account '
+               || CASE WHEN c.ord % 6 = 2 THEN '1122' || substr(p.bank_account, 4) ELSE p.bank_account END || '.'
+               || CASE WHEN c.ord % 3 = 0 THEN ' The matter was dated ' || CAST(c.date AS STRING) || '.' ELSE '' END AS text
+        FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id""",
     "entity_mapping": "SELECT person_id AS entity_id, 'phone' AS entity_type, phone AS source_id, 'crm' AS source, ord FROM {persons} UNION ALL SELECT person_id, 'vehicle', vehicle_no, 'rto', ord FROM {persons} UNION ALL SELECT person_id, 'bank_account', bank_account, 'bank', ord FROM {persons} UNION ALL SELECT 'P' || CAST(ord + 1 AS STRING), 'phone', phone, 'crm', ord + 1000000000 FROM {persons} WHERE ord % 11 = 0",
     "edges": """
         SELECT src_rank * 1000000000000 + ord AS edge_id, source, target, relationship, seen_at, amount, duration FROM (
@@ -76,10 +110,15 @@ BINDINGS = {
     # a table of centralities for the risk score to join; stand-ins that any engine can compute: the share of a walk's steps, and of pairs of nodes, that a person joins
     "centrality": "SELECT id AS person_id, CAST(k * (k - 1) AS DOUBLE) / greatest(1, n * (n - 1)) AS betweenness, CAST(d AS DOUBLE) / total AS pagerank FROM (SELECT id, count(DISTINCT other) AS k, count(*) AS d FROM {ends} WHERE id LIKE 'P%' GROUP BY id) p CROSS JOIN (SELECT count(DISTINCT id) AS n, count(*) AS total FROM {ends}) t",
     "risk_inputs": "SELECT a.*, coalesce(c.betweenness, 0.0) AS betweenness, coalesce(c.pagerank, 0.0) AS pagerank FROM {activity} a LEFT JOIN {centrality} c ON a.person_id = c.person_id",
-    "mentions": """
-        SELECT DISTINCT source_ref, jurisdiction, event_date, kind AS entity_type, CASE WHEN kind = 'phone' THEN '+91' || regexp_replace(substr(v, 4, 12), '[^0-9]', '', 'g') ELSE v END AS value FROM (
-          SELECT source_ref, jurisdiction, event_date, v, CASE WHEN v LIKE '+91%' THEN 'phone' WHEN v LIKE 'ACC%' THEN 'bank_account' WHEN length(v) = 11 AND substr(v, 5, 1) = '0' AND substr(v, 3, 2) >= 'A' THEN 'ifsc' ELSE 'vehicle' END AS kind
-          FROM (SELECT source_ref, jurisdiction, event_date, EXPLODE(regexp_extract_all(text, '([+]91-[0-9]{{5}}-[0-9]{{5}}|ACC[0-9]{{6,}}|[A-Z]{{4}}0[A-Z0-9]{{6}}|[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) AS v FROM {narratives}) x) m""",
+    # for the oracle; Spark takes operators.extraction.mentions
+    "mentions": f"""
+        SELECT DISTINCT source_ref, jurisdiction, event_date, entity_type, value FROM (
+          SELECT source_ref, jurisdiction, event_date, 'phone' AS entity_type, '+91' || right(regexp_replace(value, '[^0-9]', '', 'g'), 10) AS value FROM ({spans('narratives', PHONE, 'jurisdiction, event_date')}) s
+          WHERE NOT regexp_matches(right(left(text, starts), 32), '{NOT_A_PHONE}') AND NOT regexp_matches(right(left(text, starts), 1) || '.' || substr(text, starts + length(value) + 1, 1), '[0-9]')
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'vehicle', upper(value) FROM ({spans('narratives', VEHICLE, 'jurisdiction, event_date')}) s
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'bank_account', upper(value) FROM ({spans('narratives', ACCOUNT, 'jurisdiction, event_date')}) s
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'bank_account', value FROM ({spans('narratives', NUMBER, 'jurisdiction, event_date')}) s WHERE regexp_matches(right(left(text, starts), 48), '{ACCOUNT_BEFORE}')
+          UNION ALL SELECT source_ref, jurisdiction, event_date, 'ifsc', upper(value) FROM ({spans('narratives', IFSC, 'jurisdiction, event_date')}) s) m""",
     "registry": "SELECT DISTINCT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, entity_id FROM {entity_mapping}",
     "resolved": "SELECT m.source_ref, m.jurisdiction, m.event_date, m.entity_type, m.value, r.owners, CASE WHEN m.entity_type = 'ifsc' OR r.owners IS NULL THEN 'unresolved' WHEN r.owners = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN r.owners = 1 THEN r.entity_id END AS entity_id, CASE WHEN r.owners IS NULL THEN 0.0 ELSE 1.0 END AS confidence FROM {mentions} m LEFT JOIN (SELECT entity_type, value, count(*) AS owners, min(entity_id) AS entity_id FROM {registry} GROUP BY entity_type, value) r ON m.entity_type = r.entity_type AND m.value = r.value",
     "anomaly": """
@@ -93,22 +132,22 @@ BINDINGS = {
                 SELECT max(m1) AS m1, max(m2) AS m2, max(m3) AS m3, max(m4) AS m4, max(communications) AS x1, max(transfers) AS x2, max(social) AS x3, max(observations) AS x4,
                        median(abs(communications - m1)) AS d1, median(abs(transfers - m2)) AS d2, median(abs(social - m3)) AS d3, median(abs(observations - m4)) AS d4
                 FROM {activity} CROSS JOIN (SELECT median(communications) AS m1, median(transfers) AS m2, median(social) AS m3, median(observations) AS m4 FROM {activity}) m) d) z""",
-    "uploads": "SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN 'FIR' || CAST(o_orderkey - 1 AS STRING) ELSE ' FIR-N' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) || ' ' END AS fir_id, CASE WHEN o_orderkey % 10 = 0 THEN 'nan' ELSE c_name END AS name, CASE WHEN o_orderkey % 8 = 0 THEN 'not-a-phone' ELSE '9' || lpad(CAST(o_custkey AS STRING), 9, '0') END AS phone, CASE o_orderkey % 3 WHEN 0 THEN <<date_format(o_orderdate, 'dd/MM/yyyy') ## strftime(o_orderdate, '%d/%m/%Y')>> WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE 'unknown' END AS date, n_name AS jurisdiction FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
-    "clean_uploads": "SELECT row_no, CASE WHEN lower(trim(fir_id)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(fir_id) END AS fir_id, CASE WHEN lower(trim(name)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(name) END AS name, CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) = 10 THEN '+91' || phone END AS phone_norm, phone, date, coalesce(<<try_to_date(date, 'yyyy-MM-dd') ## CAST(try_strptime(date, '%Y-%m-%d') AS DATE)>>, <<try_to_date(date, 'dd/MM/yyyy') ## CAST(try_strptime(date, '%d/%m/%Y') AS DATE)>>) AS date_parsed, jurisdiction FROM {uploads}",
+    "uploads": "SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN 'FIR' || CAST(o_orderkey - 1 AS STRING) ELSE ' FIR-N' || CAST(CAST(floor(o_orderkey / 2) AS BIGINT) AS STRING) || ' ' END AS fir_id, CASE WHEN o_orderkey % 10 = 0 THEN 'nan' ELSE c_name END AS name, CASE WHEN o_orderkey % 8 = 0 THEN 'not-a-phone' WHEN o_orderkey % 8 = 1 THEN '+91 9' || lpad(CAST(o_custkey AS STRING), 9, '0') WHEN o_orderkey % 8 = 2 THEN '9' || lpad(CAST(o_custkey AS STRING), 4, '0') || '-00000' ELSE '9' || lpad(CAST(o_custkey AS STRING), 9, '0') END AS phone, CASE o_orderkey % 3 WHEN 0 THEN <<date_format(o_orderdate, 'dd/MM/yyyy') ## strftime(o_orderdate, '%d/%m/%Y')>> WHEN 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'unknown' ELSE <<date_format(o_orderdate, 'dd.MM.yyyy') ## strftime(o_orderdate, '%d.%m.%Y')>> END END AS date, n_name AS jurisdiction FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey",
+    "clean_uploads": f"""
+        SELECT row_no, CASE WHEN lower(trim(fir_id)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(fir_id) END AS fir_id, CASE WHEN lower(trim(name)) IN ('', 'nan', 'none', 'null') THEN NULL ELSE trim(name) END AS name,
+               CASE WHEN length(digits) = 10 OR length(digits) >= 12 AND substr(digits, 1, 2) = '91' THEN '+91' || right(digits, 10) END AS phone_norm, phone, date, {_IMPORTED.format('trim(date)')} AS date_parsed, jurisdiction
+        FROM (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS digits FROM {{uploads}}) u""",
     "assessed": """
         SELECT u.row_no, u.fir_id, u.name, u.phone, u.jurisdiction, u.date_parsed,
                CASE WHEN u.fir_id IS NULL AND u.name IS NULL THEN 'invalid' WHEN u.phone_norm IS NULL THEN 'invalid' WHEN k.fir_id IS NOT NULL THEN 'duplicate' WHEN u.n > 1 THEN 'duplicate' WHEN u.date_parsed IS NULL OR u.name IS NULL THEN 'incomplete' ELSE 'ready' END AS status
         FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(fir_id, ''), coalesce(name, ''), coalesce(phone_norm, '') ORDER BY row_no) AS n FROM {clean_uploads}) u LEFT JOIN (SELECT DISTINCT fir_id FROM {cases}) k ON u.fir_id = k.fir_id""",
     "audit": "SELECT event_id, ts, 'user' || CAST(user_id AS STRING) AS user_id, event_type AS action, CASE event_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'denied' ELSE 'failure' END AS result, CASE WHEN k % 10 = 0 THEN NULL ELSE 'J' || CAST(k % 9 AS STRING) END AS jurisdiction FROM (SELECT event_id, ts, user_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {events}) e",
-    "statements": "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, 'Complainant ' || p.name || ' reported cyber crime near ' || p.home_city || '. Suspect sent money from ' || p.bank_account || ' to Northern Logistics. See ' || c.fir_id || ' and ' || p.vehicle_no || '.' AS text FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id",
-    "ner_values": """
-        SELECT source_ref, text, 'person' AS kind, EXPLODE(regexp_extract_all(text, '(?:Complainant|Accused|Witness|Suspect|named|states[ ]+that)[ ]+([A-Z][a-z]+(?:[ ]+[A-Z][a-z]+)+)', 1)) AS value FROM {statements}
-        UNION ALL SELECT source_ref, text, 'location', EXPLODE(regexp_extract_all(text, '(?:^|[^A-Za-z])(?:in|at|near|from)[ ]+([A-Z][A-Za-z0-9][A-Za-z0-9 -]{{1,38}}[A-Za-z0-9])', 1)) FROM {statements}
-        UNION ALL SELECT source_ref, text, 'organisation', EXPLODE(regexp_extract_all(text, '([A-Z][A-Za-z]+(?:[ ]+[A-Z][A-Za-z]+)*[ ]+(?:Police|Logistics|Bank|Corporation|Limited|Ltd[.]?))', 1)) FROM {statements}
-        UNION ALL SELECT source_ref, text, 'event', EXPLODE(regexp_extract_all(lower(text), '(robbery event|robbery|cyber crime|organized crime|organised crime|theft|fraud|murder|assault|extortion)', 1)) FROM {statements}
-        UNION ALL SELECT source_ref, text, 'case', EXPLODE(regexp_extract_all(text, '(FIR[0-9]{{5,}})', 1)) FROM {statements}""",
-    "ner_spans": "SELECT DISTINCT source_ref, kind, value, <<instr(lower(text), lower(value)) ## strpos(lower(text), lower(value))>> - 1 AS starts, <<instr(lower(text), lower(value)) ## strpos(lower(text), lower(value))>> - 1 + length(value) AS ends FROM {ner_values}",
-    "identifier_spans": "SELECT source_ref, value, <<instr(text, value) ## strpos(text, value)>> - 1 AS starts, <<instr(text, value) ## strpos(text, value)>> - 1 + length(value) AS ends FROM (SELECT source_ref, text, EXPLODE(regexp_extract_all(text, '(ACC[0-9]{{6,}}|[A-Z]{{2}}[0-9]{{2}}[A-Z]{{1,3}}[0-9]{{4}})', 1)) AS value FROM {statements}) v",
+    "statements": "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, 'Complainant ' || p.name || ' reported cyber crime near ' || p.home_city || '. Suspect sent money from ' || p.bank_account || ' to Northern Logistics after a Murderous fraud; the Fraud was seen by Northern Banking. See ' || c.fir_id || ' and ' || p.vehicle_no || '.' AS text FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id",
+    # for the oracle; Spark takes operators.extraction.entity_spans and identifier_spans
+    "ner_spans": "SELECT DISTINCT source_ref, kind, value, ends - length(value) AS starts, ends FROM (" + " UNION ALL ".join(
+        f"SELECT source_ref, '{kind}' AS kind, regexp_extract(value, '{pattern}', 1) AS value, starts + length(value) AS ends FROM ({spans('statements', pattern)}) s" for kind, pattern in ENTITIES
+    ) + ") n",
+    "identifier_spans": f"SELECT source_ref, value, starts, starts + length(value) AS ends FROM ({spans('statements', ACCOUNT)}) a UNION ALL SELECT source_ref, value, starts, starts + length(value) FROM ({spans('statements', VEHICLE)}) v",
     "confirmed": "SELECT entity_type, CASE WHEN entity_type = 'phone' THEN '+91' || regexp_replace(substr(source_id, 4, 12), '[^0-9]', '', 'g') ELSE upper(source_id) END AS value, max_by(entity_id, ord) AS entity_id FROM {entity_mapping} GROUP BY 1, 2",
     "name_mentions": "SELECT DISTINCT CASE ord % 3 WHEN 0 THEN name WHEN 1 THEN replace(name, 'ee', 'i') ELSE substr(name, 1, length(name) - 1) END AS mention FROM {persons}",
     "name_words": """
