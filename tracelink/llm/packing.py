@@ -34,10 +34,11 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 END_ID = 0
 SHARD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 4000, 2, 2, 3, 6
-#: Bins filled less than this (all that are not full) are opened again, and their pieces meet those of other shards.
-TAIL_FILL = 1.0
-#: Times that tails meet at most; each time they are a small part of what they were.
-LEVELS = 12
+#: Bins filled less than the first (all that are not full) are opened again, and their pieces meet those of other shards; where these
+#: are over half of all pieces, so that little would be left over for others, those filled less than the second.
+TAIL_FILLS = (1.0, 0.9)
+#: Times that tails meet at most; each time they are half of what they were or less.
+LEVELS = 40
 CACHE_UNITS = 1_000_000
 
 
@@ -367,7 +368,7 @@ def _round(islands: DataFrame, number: int, limit: int) -> DataFrame:
 
 
 def _places(best: DataFrame, limit: int) -> DataFrame:
-    """packed_row, sequence_id, offset, length, tail (whether its bin is filled less than TAIL_FILL) of every piece."""
+    """packed_row, sequence_id, offset, length, fill (of its bin, 0 to 1) of every piece."""
 
     def run(batches):
         for batch in batches:
@@ -380,10 +381,10 @@ def _places(best: DataFrame, limit: int) -> DataFrame:
                     offsets.append(used.get(b, 0))
                     used[b] = offsets[-1] + n
                 ids = np.frombuffer(bins, np.int32).astype(np.int64) + shard * (SHARD * 8)
-                tail = [used[b] < TAIL_FILL * limit for b in bins]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32()), pa.array(tail)], names=["packed_row", "sequence_id", "offset", "length", "tail"])
+                fill = [used[b] / limit for b in bins]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int32()), pa.array(fill, pa.float64())], names=["packed_row", "sequence_id", "offset", "length", "fill"])
 
-    return best.mapInArrow(run, "packed_row long, sequence_id long, offset long, length int, tail boolean")
+    return best.mapInArrow(run, "packed_row long, sequence_id long, offset long, length int, fill double")
 
 
 def evolved_islands(small: DataFrame, limit: int) -> DataFrame:
@@ -415,11 +416,13 @@ def pack(table: DataFrame, limit: int = LIMIT) -> DataFrame:
     level, rest, places = 0, small.select("packed_row", "length"), []
     while True:  # the tails of all shards meet, in ever fewer shards, until those of one shard are left
         made = _packed(rest, limit, f"places-{level}")
-        last = level == LEVELS - 1 or rest.limit(SHARD + 1).count() <= SHARD
-        places.append(told(made if last else made.where("not tail"), level))
-        if last:
+        counts = made.agg(F.count("*").alias("n"), *[F.count_if(F.col("fill") < t).alias(f"t{k}") for k, t in enumerate(TAIL_FILLS)]).head()
+        fill = next((t for k, t in enumerate(TAIL_FILLS) if 0 < counts[f"t{k}"] <= counts.n / 2), None)
+        if counts.n <= SHARD or fill is None or level == LEVELS - 1:
+            places.append(told(made, level))
             break
-        level, rest = level + 1, made.where("tail").select("packed_row", "length")
+        places.append(told(made.where(F.col("fill") >= fill), level))
+        level, rest = level + 1, made.where(F.col("fill") < fill).select("packed_row", "length")
     places = reduce(DataFrame.union, places)
     full = numbered.where(F.col("length") >= limit).withColumn("sequence_id", (LEVELS + 1) * F.col("packed_row") + LEVELS).withColumn("offset", F.lit(0).cast("long"))
     return small.join(places.hint("merge"), "packed_row").unionByName(full).drop("packed_row")
