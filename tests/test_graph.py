@@ -1,9 +1,12 @@
 """Iterative graph operators on hand-made graphs, and their queries against DuckDB."""
 
+import random
+
 import duckdb
 import pytest
 
 from tests.test_queries import SF, flat
+from tracelink.operators.exploration import overview, scope
 from tracelink.operators.graph import betweenness, communities, hop_paths, pagerank
 from tracelink.plans import ORACLE_SQL, QUERIES
 
@@ -58,3 +61,56 @@ def test_stream_and_entity_queries_match_oracle(spark, name):
     mine = QUERIES[name](spark, SF)
     columns = sorted(mine.columns)
     assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) q").fetchall())
+
+
+def brute_betweenness(n, pairs):
+    """Counts of shortest paths by breadth-first search from every node."""
+    out, total = {v: [] for v in range(n)}, [0.0] * n
+    for a, b in set(pairs):
+        if a != b:
+            out[a].append(b)
+    for s in range(n):
+        order, sigma, dist, delta = [s], {s: 1.0}, {s: 0}, {}
+        for v in order:
+            for w in out[v]:
+                if w not in dist:
+                    dist[w], sigma[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    sigma[w] += sigma[v]
+        for v in reversed(order):
+            delta[v] = sum(sigma[v] / sigma[w] * (1 + delta[w]) for w in out[v] if dist[w] == dist[v] + 1)
+            total[v] += delta[v] if v != s else 0
+    return [t / ((n - 1) * (n - 2)) for t in total]
+
+
+def test_sampled_betweenness_keeps_its_bound(spark):
+    rng = random.Random(11)
+    n = 1500
+    pairs = [(rng.randrange(n), rng.choice([0, 1, 2, rng.randrange(n)])) for _ in range(1200)] + [(rng.choice([0, 1, 2]), rng.randrange(n)) for _ in range(400)]
+    nodes = spark.createDataFrame([(str(i),) for i in range(n)], "id string")
+    edges = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "source string, target string")
+    want = brute_betweenness(n, pairs)
+    exact = {int(r.id): r.betweenness for r in betweenness(nodes, edges).collect()}
+    assert all(exact[i] == pytest.approx(want[i], abs=1e-9) for i in range(n))
+    near = {int(r.id): r.betweenness for r in betweenness(nodes, edges, error=0.15, exact_below=100, first=128).collect()}
+    assert max(abs(near[i] - want[i]) for i in range(n)) <= 0.15 and near != exact and max(want) > 0.05
+
+
+def test_overview_and_scope_on_a_small_graph(spark):
+    people = [(f"P{i}", "person") for i in range(60)]
+    things = [(f"V{i:02}", "vehicle") for i in range(60)]
+    nodes = spark.createDataFrame(people + things + [("X", None)], "id string, entity_type string")
+    pairs = [(f"P{i}", f"V{i:02}") for i in range(60)] + [(f"P{i}", f"P{j}") for i in range(40) for j in range(i)]
+    ends = spark.createDataFrame(pairs + [(b, a) for a, b in pairs], "id string, other string")
+    got = {r.id: r for r in overview(nodes, ends).collect()}
+    best = sorted((f"P{i}" for i in range(40)))[:28]
+    assert len(got) == 40 and {i for i, r in got.items() if r.role == "person"} == set(best)
+    assert {i for i, r in got.items() if r.role == "satellite"} == set(sorted(f"V{int(b[1:]):02}" for b in best)[:12])
+    few = nodes.where("id IN ('P1', 'V01', 'X', 'V50')")
+    assert {r.id: r.role for r in overview(nodes, ends, few).collect()} == {"P1": "person", "V01": "satellite", "X": "fill", "V50": "fill"}
+    ids = lambda d: {r.id for r in d.collect()}
+    assert ids(scope(nodes, ends, few, path=("P9", "none"))) == {"P1", "V01", "X", "V50", "P9"}
+    assert ids(scope(nodes, ends, nodes, selected="V50", hops=1)) == {"V50", "P50"} and ids(scope(nodes, ends, few, selected="P1", hops=3)) == {"P1", "V01"}
+    assert len(ids(scope(nodes, ends, nodes, selected="P1", hops=3))) == 1 + 40 + 24
+    assert ids(scope(nodes, ends, nodes, selected="none", community=few)) == {"P1", "V01", "X", "V50"} and len(ids(scope(nodes, ends, nodes, community=nodes))) == 40

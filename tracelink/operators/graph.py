@@ -6,6 +6,7 @@ shared folder, so no graph, rank vector or frontier passes through the driver; o
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -71,32 +72,30 @@ def hop_paths(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
     return reduce(DataFrame.unionAll, levels)
 
 
-def hop_expansion(ends: DataFrame, start: DataFrame, most: tuple[int, ...] = (48, 24, 16)) -> DataFrame:
-    """id, hop: from start (id), at each hop the `most` new neighbours of greatest degree, ties to the lesser id.
+def hop_expansion(ends: DataFrame, start: DataFrame, most: tuple[int, ...] = (48, 24, 16), degrees_of: DataFrame | None = None, total: int = 90) -> DataFrame:
+    """id, hop: from start (id), at each hop the `most` new neighbours of greatest degree, ties to the lesser id; at most total nodes.
 
-    ends has each edge both ways as (id, other); degree counts different neighbours. The frontier never exceeds most.
+    ends has each edge both ways as (id, other); degree counts different neighbours, in degrees_of where given. The frontier never
+    exceeds most.
     """
     pairs = stored(ends.where("id <> other").select("id", "other").distinct(), "neighbours")
-    degree = pairs.groupBy("id").agg(F.count("*").alias("d"))
+    degree = (pairs if degrees_of is None else degrees_of.where("id <> other").select("id", "other").distinct()).groupBy("id").agg(F.count("*").alias("d"))
     levels = [stored(start.select("id", F.lit(0).alias("hop")), "expansion")]
+    room = total - levels[0].count()
     for hop, cap in enumerate(most, 1):
+        if min(cap, room) <= 0:
+            break
         seen = reduce(DataFrame.unionAll, levels)
         new = pairs.join(levels[-1].select("id"), "id").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
-        new = new.join(degree, "id").orderBy(F.desc("d"), "id").limit(cap)
+        new = new.join(degree, "id").orderBy(F.desc("d"), "id").limit(min(cap, room))
         levels.append(stored(new.select("id", F.lit(hop).alias("hop")), "expansion"))
+        room -= levels[-1].count()
     return reduce(DataFrame.unionAll, levels)
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None) -> DataFrame:
-    """id, betweenness: directed, unweighted, divided by (n - 1)(n - 2); parallel edges count once.
-
-    With pivots, shortest paths start only from that many nodes (those with the least hash) and sums are scaled up:
-    an estimate whose error falls with the square root of pivots. Without, it is exact and costs nodes times edges.
-    """
-    n = nodes.count()
-    steps = stored(edges.where("source <> target").select("source", "target").distinct(), "steps")
-    starts = nodes.select("id") if pivots is None else nodes.select("id").orderBy(F.xxhash64("id"), "id").limit(pivots)
-    k = min(n, pivots or n)
+def _dependencies(starts: DataFrame, steps: DataFrame) -> DataFrame | None:
+    """(seed, id, delta): what share of the shortest paths from each start passes each node on the way, summed over their ends.
+    None if no path has a node on its way."""
     frontier = stored(starts.select(F.col("id").alias("seed"), "id", F.lit(1.0).alias("sigma")), "level-0")
     levels = [frontier]
     while True:
@@ -110,24 +109,63 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = None) -
     after = levels[-1].withColumn("delta", F.lit(0.0))
     sums = []
     for level in reversed(levels[:-1]):
-        sums.append(after.select("id", "delta"))
+        sums.append(after.select("seed", "id", "delta"))
         back = after.select(F.col("seed").alias("s"), F.col("id").alias("v"), ((1 + F.col("delta")) / F.col("sigma")).alias("part"))
         gains = back.join(steps, back.v == steps.target).groupBy("s", F.col("source").alias("u")).agg(F.sum("part").alias("part"))
         joined = level.join(gains, (level.seed == gains.s) & (level.id == gains.u), "left")
         after = stored(joined.select("seed", "id", "sigma", (F.col("sigma") * F.coalesce("part", F.lit(0.0))).alias("delta")), "deltas")
-    if not sums:
-        return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    scale = n / k / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    total = reduce(DataFrame.unionAll, sums).groupBy(F.col("id").alias("node")).agg(F.sum("delta").alias("delta"))
-    return nodes.join(total, nodes.id == total.node, "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
+    return reduce(DataFrame.unionAll, sums).where("delta > 0") if sums else None
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, error: float | None = None, risk: float = 0.05, exact_below: int = 2000, first: int = 256) -> DataFrame:
+    """id, betweenness: directed, unweighted, divided by (n - 1)(n - 2); parallel edges count once.
+
+    Exact, at a cost of nodes times edges, without an error or for less than exact_below nodes. Else shortest paths start from
+    `first` nodes (in the order of a hash), then from as many again and again, until the values of all nodes are within `error` of the
+    exact ones but for a chance of `risk` (an empirical Bernstein bound over all nodes and rounds), or all nodes have been starts.
+    Every start sees the whole graph. A start's contribution to a node is at most n - 2, so the bound needs no more starts on a
+    larger graph than its logarithm asks for.
+    """
+    n = nodes.count()
+    steps = stored(edges.where("source <> target").select("source", "target").distinct(), "steps")
+    zero = nodes.select("id", F.lit(0.0).alias("betweenness"))
+    if n <= 2:
+        return zero
+    sampled = error is not None and n >= exact_below
+    order = nodes.select("id", F.xxhash64("id").alias("h"))
+    used, size, sums = 0, first if sampled else n, None
+    most_rounds = math.ceil(math.log2(n / first + 1)) + 1
+    last = None
+    while used < n:
+        left = order if last is None else order.where((F.col("h") > last[0]) | ((F.col("h") == last[0]) & (F.col("id") > last[1])))
+        starts = stored(left.orderBy("h", "id").limit(size) if used + size < n else left, "starts")
+        deltas = _dependencies(starts.select("id"), steps)
+        if deltas is not None:
+            x = F.col("delta") / (n - 2)
+            part = deltas.where("seed <> id").groupBy("id").agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
+            sums = stored(part if sums is None else sums.unionAll(part).groupBy("id").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")), "dependencies")
+        used += starts.count()
+        if used >= n:
+            break
+        last = starts.agg(F.max(F.struct("h", "id")).alias("m")).head().m
+        odds = math.log(2 * n * most_rounds / risk)
+        spread = 0.0 if sums is None else (sums.agg(F.max((F.col("s2") - F.col("s1") * F.col("s1") / used) / (used - 1))).head()[0] or 0.0)
+        if math.sqrt(2 * max(spread, 0.0) * odds / used) + 7 * odds / (3 * (used - 1)) <= error * (n - 1) / n:
+            break
+        size = used
+    if sums is None:
+        return zero
+    scale = n / used / (n - 1)
+    return nodes.join(sums.withColumnRenamed("id", "node"), F.col("id") == F.col("node"), "left").select("id", (F.coalesce("s1", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 12, levels: int = 3) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 200, levels: int = 50) -> DataFrame:
     """id, community: Louvain on the undirected graph, an edge's weight being the number of parallel edges.
 
-    In each sweep one half of the nodes (by a hash that differs from sweep to sweep) moves to the neighbouring community of greatest
-    modularity gain, ties to the least name; then communities become nodes. Every node comes back once; a community is
-    named by its least id.
+    In each sweep a part of the nodes (by a hash that differs from sweep to sweep: a half at first, ever fewer later, so that
+    neighbours do not swap for ever) moves to the neighbouring community of greatest modularity gain, ties to the least name,
+    until no node wants to move; then communities become nodes, until nothing moves. Every node comes back once; a community is
+    named by its least id. An error if more sweeps or levels than allowed would be needed.
     """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionAll(edges.select("target", "source"))
     links = stored(both.groupBy("a", "b").agg(F.count("*").cast("double").alias("w")), "community-links")
@@ -147,13 +185,15 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 12, levels: in
                 F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("stay"), F.first("home").alias("home"), F.first("k").alias("k"),
             )
             ties = choice.join(best.select("v", "top"), "v").where("gain = top").groupBy("v").agg(F.min("c").alias("least"))
-            turn = F.pmod(F.xxhash64("v", F.lit(sweep)), F.lit(2)) == 0
+            turn = F.pmod(F.xxhash64("v", F.lit(sweep)), F.lit(2 + sweep // 6)) == 0
             new = best.join(ties, "v").select("v", "k", F.when(turn & (F.col("top") > F.col("stay")), F.col("least")).otherwise(F.col("home")).alias("c"), "home", (F.col("top") > F.col("stay")).alias("wants"))
             new = stored(new, "community-state")
             wanted, moved = new.agg(F.count_if("wants"), F.count_if(F.col("c") != F.col("home"))).first()
             state, moved_at_all = new.select("v", "k", "c"), moved_at_all or moved > 0
             if not wanted:
                 break
+        else:
+            raise RuntimeError(f"nodes still want to move after {sweeps} sweeps")
         if not moved_at_all:
             break
         step = state.select(F.col("v").alias("community"), F.col("c").alias("into"))
@@ -161,5 +201,8 @@ def communities(nodes: DataFrame, edges: DataFrame, sweeps: int = 12, levels: in
         ends = state.select(F.col("v").alias("a"), F.col("c").alias("ca"))
         other = state.select(F.col("v").alias("b"), F.col("c").alias("cb"))
         links = stored(links.join(ends, "a").join(other, "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "community-links")
+    else:
+        if m2:
+            raise RuntimeError(f"communities still join after {levels} levels")
     named = member.groupBy("community").agg(F.min("id").alias("name"))
     return member.join(named, "community").select("id", F.col("name").alias("community"))

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from tracelink.functions import stored
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS, RISK
+from tracelink.operators.exploration import overview, scope
 from tracelink.operators.graph import betweenness, communities, hop_expansion, hop_paths, pagerank
 
 ROUNDS, DAMPING, DEPTH = 20, 0.85, 6
-PIVOTS = 32
+#: Betweenness is exact below 2,000 nodes, else within this of the exact values (with a chance of 0.95 for all together).
+ERROR = 0.02
 SEEDS = ["P1", "P2", "P3"]
 ALL_NODES, ALL_EDGES = "SELECT id FROM {nodes}", "SELECT source, target FROM {edges}"
 PERSON_NODES, PERSON_EDGES = "SELECT person_id AS id FROM {persons}", OPERATORS["e11_person_projection"].replace("AS a, target AS b, relationship", "AS source, target AS target").replace("source, relationship FROM", "source FROM")
@@ -69,8 +71,8 @@ def _risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f2_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated from PIVOTS starting nodes; betweenness() without pivots is exact."""
-    out = betweenness(bound(spark, sf_dir, ALL_NODES), bound(spark, sf_dir, ALL_EDGES), PIVOTS)
+    """Exact for small graphs, else within ERROR."""
+    out = betweenness(bound(spark, sf_dir, ALL_NODES), bound(spark, sf_dir, ALL_EDGES), ERROR)
     return out.select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
@@ -154,6 +156,22 @@ def f15_hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hop_expansion(bound(spark, sf_dir, "SELECT id, other FROM {ends}"), _seeds(spark, SEEDS[:1]))
 
 
+def f16_overview_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made: dict[str, DataFrame] = {}
+    return overview(bound(spark, sf_dir, "SELECT * FROM {nodes}", made), bound(spark, sf_dir, "SELECT id, other FROM {ends}", made))
+
+
+def f17_exploration_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scopes of a selected node, of a community (those who live in one city) and of nothing chosen, a path shown in each."""
+    made: dict[str, DataFrame] = {}
+    nodes, ends = bound(spark, sf_dir, "SELECT * FROM {nodes}", made), bound(spark, sf_dir, "SELECT id, other FROM {ends}", made)
+    members = bound(spark, sf_dir, "SELECT person_id AS id FROM {persons} WHERE ord % 3 = 0", made)
+    path = ("P7", "P8", "no such node")
+    chosen = {"node": {"selected": "P1", "hops": 2}, "community": {"community": members}, "all": {}}
+    parts = [scope(nodes, ends, nodes, path=path, **how).select(F.lit(name).alias("scope"), "id") for name, how in chosen.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+
+
 def f22_hop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir, EITHER_WAY, SEEDS[:1]).select("id", "hops")
 
@@ -178,7 +196,27 @@ _HOPS = [f"h{k} AS MATERIALIZED (SELECT id, {k} AS hop FROM (SELECT DISTINCT e.o
 _EXPANSION = "WITH deg AS (SELECT id, count(DISTINCT other) AS d FROM {ends} WHERE id <> other GROUP BY id), h0 AS (SELECT 'P1' AS id, 0 AS hop), " + ", ".join(_HOPS)
 _SEEDED = " UNION ALL ".join(f"SELECT '{s}' AS seed" for s in SEEDS)
 
+_DEGREES = "SELECT n.id, n.entity_type, coalesce(d, 0) AS degree, CASE WHEN n.entity_type = 'person' THEN NULL ELSE o END AS owner FROM {nodes} n LEFT JOIN (SELECT e.id, count(DISTINCT e.other) AS d, min(CASE WHEN p.entity_type = 'person' THEN e.other END) AS o FROM {ends} e LEFT JOIN {nodes} p ON p.id = e.other WHERE e.id <> e.other GROUP BY e.id) x ON x.id = n.id"
+_BEST = "ORDER BY degree DESC, id"
+
+
+def _overview_sql(name: str, where: str) -> str:
+    """Common table expressions; the last is {name}(id, place, role)."""
+    return (
+        f"{name}_c AS (SELECT * FROM measured WHERE {where}), {name}_p AS (SELECT id, degree, 1 AS part FROM {name}_c WHERE entity_type = 'person' {_BEST} LIMIT 28), "
+        f"{name}_s AS (SELECT id, degree, 2 AS part FROM {name}_c WHERE owner IN (SELECT id FROM {name}_p) {_BEST} LIMIT 40), {name}_r AS (SELECT id, degree, 3 AS part FROM {name}_c {_BEST} LIMIT 200), "
+        f"{name} AS (SELECT * FROM (SELECT id, row_number() OVER (ORDER BY part, degree DESC, id) AS place, CASE part WHEN 1 THEN 'person' WHEN 2 THEN 'satellite' ELSE 'fill' END AS role FROM (SELECT id, min(part) AS part, max(degree) AS degree FROM (SELECT * FROM {name}_p UNION ALL SELECT * FROM {name}_s UNION ALL SELECT * FROM {name}_r) u GROUP BY id) g) w WHERE place <= CASE WHEN role = 'fill' THEN 30 ELSE 40 END)"
+    )
+
+
+_TWO_HOPS = _EXPANSION[: _EXPANSION.index(", h3 AS")]
+_PATH = "SELECT '{0}' AS scope, id FROM {{nodes}} WHERE id IN ('P7', 'P8')"
+
 _TEMPLATES = {
+    "f16_overview_nodes": f"WITH measured AS ({_DEGREES}), {_overview_sql('o', 'true')} SELECT * FROM o",
+    "f17_exploration_scope": f"{_TWO_HOPS}, measured AS ({_DEGREES}), members AS (SELECT id FROM measured WHERE id IN (SELECT person_id FROM {{persons}} WHERE ord % 3 = 0)), {_overview_sql('m', 'id IN (SELECT id FROM members)')}, {_overview_sql('o', 'true')} "
+    "SELECT DISTINCT scope, id FROM (SELECT 'node' AS scope, id FROM h0 UNION ALL SELECT 'node', id FROM h1 UNION ALL SELECT 'node', id FROM h2 UNION ALL SELECT 'community', id FROM members WHERE (SELECT count(*) FROM members) <= 50 "
+    f"UNION ALL SELECT 'community', id FROM m WHERE (SELECT count(*) FROM members) > 50 UNION ALL SELECT 'all', id FROM o UNION ALL {_PATH.format('node')} UNION ALL {_PATH.format('community')} UNION ALL {_PATH.format('all')}) s",
     "f3_pagerank": _GLOBAL + _LAST,
     "f5_key_persons": _GLOBAL + _TOP,
     "f7_projected_pagerank": pagerank_sql(PERSON_NODES, PERSON_EDGES, False) + _LAST,
@@ -192,5 +230,5 @@ _TEMPLATES = {
     "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{risk_inputs}}) a ON id = person_id",
 }
 
-QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f22_hop_distance, g3_propagated_risk, g14_priorities)}
+QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f16_overview_nodes, f17_exploration_scope, f22_hop_distance, g3_propagated_risk, g14_priorities)}
 ORACLE_SQL = {name: oracle(t) for name, t in _TEMPLATES.items()}
