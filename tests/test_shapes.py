@@ -82,3 +82,19 @@ def test_fusion_against_all_pairs(spark):
     entities, identifiers = [(*span(), f"e{i}") for i in range(80)], [span() for _ in range(25)]
     got = X.fused(spark.createDataFrame(entities, "source_ref string, starts int, ends int, value string"), spark.createDataFrame(identifiers, "source_ref string, starts int, ends int")).collect()
     assert sorted(map(tuple, got)) == sorted(e for e in entities if not any(i[0] == e[0] and i[1] < e[2] and e[1] < i[2] for i in identifiers))
+
+
+def test_findings(spark):
+    from tracelink.operators.findings import evidence, findings
+
+    rows = [("F1", "DEL", "call 9876543210 on 02-01-2026", {}), ("F1", "DEL", "call 9876543210 on 02-01-2026", {}), ("F2", "MUM", "call +91-98765-43210", {"event_date": "01/03/2026", "event_end": "soon"}), ("F3", "DEL", "98765 and 9876543210", None)]
+    rows += [("F4", " ", "9876543210", {}), ("", "DEL", "9876543210", {}), ("F5", "DEL", "DL11AB1234", {}), ("F6", "DEL", "dl11ab1234", {}), ("F7", "DEL", "DL11AB1234", {}), ("F8", "DEL", None, {})]
+    records = spark.createDataFrame(rows, "source_ref string, jurisdiction string, text string, metadata map<string,string>")
+    registry = spark.createDataFrame([("phone", "+919876543210", "P1")], "entity_type string, value string, entity_id string")
+    told = evidence(records, registry).cache()
+    assert told.count() == 6
+    (one,) = findings(told).collect()
+    assert (one.finding_id, one.cases, one.jurisdictions, one.observations, one.confidence, one.matched_entity_ids) == ("AN-2:phone:+919876543210", 3, 2, 3, 1.0, ["P1"])
+    assert (one.valid_from, one.valid_to, len(one.limits)) == ("2026-01-02", "soon", 3)
+    assert {r.value: r.confidence for r in findings(told, 3, 1).collect()} == {"+919876543210": 1.0, "DL11AB1234": 0.0}
+    assert findings(told.limit(0)).count() == 0

@@ -3,7 +3,7 @@
 from tracelink import streaming
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS
-from tracelink.plans import graph, names, property_graph, rules, shapes
+from tracelink.plans import findings, graph, names, property_graph, rules, shapes
 from tracelink.sources import files
 
 QUERIES = {name: (lambda spark, sf_dir, t=template: bound(spark, sf_dir, t)) for name, template in OPERATORS.items()} | graph.QUERIES
@@ -14,5 +14,5 @@ QUERIES |= files.QUERIES
 ORACLE_SQL |= {name: oracle(template) for name, template in files.ORACLE.items()}
 QUERIES |= rules.QUERIES
 ORACLE_SQL |= rules.ORACLE_SQL
-QUERIES |= names.QUERIES | property_graph.QUERIES | shapes.QUERIES
-ORACLE_SQL |= property_graph.ORACLE_SQL | shapes.ORACLE_SQL
+QUERIES |= names.QUERIES | property_graph.QUERIES | shapes.QUERIES | findings.QUERIES
+ORACLE_SQL |= property_graph.ORACLE_SQL | shapes.ORACLE_SQL | findings.ORACLE_SQL
