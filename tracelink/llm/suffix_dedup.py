@@ -10,20 +10,18 @@ that comes out is verified on the bytes of neighbours, so a collision of hashes
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelink.llm.common import materialise, scratch_root
 
 LENGTH, GRAM = 50, 25
-#: Bytes of text that a block holds (a longer text is a block of its own), that a bucket of the block table and of the anchors stand for.
-BLOCK, TABLE_BUCKET, ANCHOR_BUCKET = 1 << 22, 1 << 25, 1 << 24
+#: Bytes of text that a block holds at most (a longer text is a block of its own), that a bucket of the block table and of the anchors stand for.
+BLOCK, TABLE_BUCKET, ANCHOR_BUCKET = 1 << 23, 1 << 25, 1 << 24
 MOST_TABLE_BUCKETS = 100_000
 #: An anchor in this many blocks is hot: its suffixes are dealt one by one, by their own hashes.
 HOT_BLOCKS = 4096
@@ -219,37 +217,18 @@ def _pieces(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 # ---- blocks of documents
 
 
-def _blocks(block_bytes: int):
-    """Rows of (doc_id, data) with their block, their place in it and a digest."""
-
-    def run(batches):
-        number, part, rows, size = 0, TaskContext.get().partitionId(), [], 0
-
-        def flush():
-            nonlocal number, rows, size
-            block, number = part << 32 | number, number + 1
-            columns = [[block] * len(rows), list(range(len(rows))), [r[0] for r in rows], [r[1] for r in rows], [hashlib.sha256(r[1]).digest() for r in rows]]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-            rows, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["block", "seq", "doc_id", "data", "digest"])
-
-        for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if rows and size + len(data) > block_bytes:
-                    yield flush()
-                rows.append((i, data))
-                size += len(data)
-        if rows:
-            yield flush()
-
-    return run
-
-
 def _bucketed(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
-    """docs(doc_id, data) as a table of blocks, bucketed so that later groupings by block move no text."""
+    """docs(doc_id, data) as a table of blocks (block, seq, doc_id, data, digest), bucketed so that later groupings by block move no text.
+
+    A block holds texts of one size, up to a factor of two, from as many rows one after another as together stay below block_bytes;
+    a longer text is alone.
+    """
     spark = docs.sparkSession
     name = f"suffix_blocks_{uuid.uuid4().hex}"
-    made = docs.mapInArrow(_blocks(block_bytes), "block long, seq int, doc_id long, data binary, digest binary")
+    size = F.greatest(F.lit(8), F.floor(F.log2(F.length("data") + F.lit(1.0)))).cast("int")
+    placed = docs.withColumns({"seq": F.monotonically_increasing_id(), "size_of_row": size})
+    run = F.floor(F.col("seq") / F.greatest(F.lit(1.0), F.lit(float(block_bytes)) / F.pow(F.lit(2.0), F.col("size_of_row") + 1)))
+    made = placed.select(F.xxhash64("size_of_row", run, F.shiftright("seq", 33)).alias("block"), "seq", "doc_id", "data", F.unhex(F.sha2("data", 256)).alias("digest"))
     made.write.format("parquet").bucketBy(buckets, "block").option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
@@ -295,7 +274,7 @@ def _ask(buckets: int):
         order = np.lexsort((owner, hashes))
         hashes, owner = hashes[order], owner[order]
         begins = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
-        last = np.append(begins[1:], len(hashes)) - 1
+        last = np.append(begins[1:], len(hashes))[: len(begins)] - 1
         several = owner[begins] != owner[last]
         return _dealt(block.block, hashes[begins] % np.uint64(buckets), hashes[begins] | several.astype(np.uint64))
 
@@ -306,7 +285,7 @@ def _dealt(block: int, bucket: np.ndarray, values: np.ndarray) -> pa.Table:
     order = np.argsort(bucket, kind="stable")
     bucket, values = bucket[order], values[order]
     edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-    stops = np.append(edges[1:], len(bucket))
+    stops = np.append(edges[1:], len(bucket))[: len(edges)]
     packed = [values[a:b].tobytes() for a, b in zip(edges, stops)]
     return pa.table({"bucket": pa.array(bucket[edges].astype(np.int64)), "block": pa.array([block] * len(edges), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
@@ -340,16 +319,18 @@ def _segments(buckets: int):
     def run(rows: pa.Table, notes: pa.Table) -> pa.Table:
         names = SEGMENTS.replace(",", "").split()[::2]
         kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 9]
+        none = pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
         block = Block(rows, notes) if rows.num_rows else None
-        shared = np.frombuffer(b"".join(block.packed), np.uint64) if block else []
+        shared = np.sort(np.frombuffer(b"".join(block.packed), np.uint64)) if block else []
         if not len(shared):
-            return pa.table({n: pa.array([], t) for n, t in zip(names, kinds)})
-        shared = np.sort(shared)
+            return none
         key, place, begin, last = anchors(block.text, block.ends)
         key = key & ~np.uint64(1)
         at = np.searchsorted(shared, key)
         found = shared[np.minimum(at, len(shared) - 1)]
         some = np.flatnonzero((found | np.uint64(1)) == (key | np.uint64(1)))
+        if not len(some):
+            return none
         hot = found[some] != key[some]
         key, place, begin, last = key[some], place[some], begin[some], last[some]
         text = Suffixes(block.text)
