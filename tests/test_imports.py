@@ -119,3 +119,36 @@ def test_late_rows_leave_the_state(spark):
     rows = spark.createDataFrame([("FIR1", "2026-01-01"), ("FIR1", "2026-01-01"), ("FIR2", "2026-01-05")], "fir_id string, seen string").withColumn("seen", F.col("seen").cast("timestamp"))
     with pytest.raises(Exception, match="(?i)watermark|batch"):
         import_rows(rows, spark.createDataFrame([], "fir_id string"), seen_at="seen", late="2 days").collect()
+
+
+def test_recurrence_over_three_batches(spark, tmp_path):
+    """Counts after each batch equal those over all orders so far; a new stream goes on where the last has ended."""
+    from tracelink import streaming
+    from tracelink.operators import bound
+    from tracelink.operators.catalog import OPERATORS
+    from tracelink.sources import TABLES
+
+    sf = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    folder, mentions, found, log = (str(tmp_path / x) for x in ("orders", "mentions", "findings", "log"))
+    for k in range(3):
+        orders.where(f"o_orderkey % 3 = {k}").coalesce(1).write.mode("append").parquet(folder)
+        streaming.run_available(spark, folder, streaming.recurrence(sf, mentions, found), log)
+        given = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in TABLES} | {"orders": orders.where(f"o_orderkey % 3 <= {k}")}
+        want = {(r.entity_type, r.value, r.cases, r.jurisdictions) for r in bound(spark, sf, OPERATORS["g10_recurrence"], given).collect()}
+        last = spark.read.parquet(found).groupBy("entity_type", "value").agg(F.max_by(F.struct("cases", "jurisdictions"), "number").alias("c"))
+        assert {(r.entity_type, r.value, r.c.cases, r.c.jurisdictions) for r in last.where("c.cases >= 3 and c.jurisdictions >= 2").collect()} == want
+    assert want
+
+
+def test_rows_are_stored_once_over_three_files(spark, tmp_path):
+    from tracelink.streaming import store_new
+
+    folder, target, log = (str(tmp_path / x) for x in ("in", "out", "log"))
+    rows, stored_rows = [(i % 7, None if i % 5 == 0 else "x") for i in range(40)], set()
+    for k in range(3):
+        spark.createDataFrame(rows[10 * k : 10 * k + 20], "a long, b string").coalesce(1).write.mode("append").parquet(folder)
+        store_new(spark, folder, ["a", "b"], target, log)
+        stored_rows |= set(rows[10 * k : 10 * k + 20])
+        got = [(r.a, r.b) for r in spark.read.parquet(target).collect()]
+        assert len(got) == len(set(got)) and set(got) == stored_rows

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tracelink.functions import scratch
 from tracelink.operators import bound
-from tracelink.sources import BINDINGS, TABLES
+from tracelink.sources import TABLES
+from tracelink.streaming.imports import ROCKS
 
 KEY = ["entity_type", "value"]
 
@@ -30,16 +31,19 @@ def earlier(spark: SparkSession, target: str, number: int, schema: str) -> DataF
     return spark.read.schema(schema).parquet(*stored) if stored else spark.createDataFrame([], schema)
 
 
-def append_new(target: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
-    """Appends rows whose content hash was not stored before: existing rows are never overwritten."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]
-        rows = batch.select(*keys, F.sha2(F.concat_ws("|", *text), 256).alias("content_hash")).dropDuplicates(["content_hash"])
-        known = earlier(batch.sparkSession, target, number, schema).select("content_hash")
-        rows.join(known, "content_hash", "left_anti").write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return each
+def store_new(spark: SparkSession, path: str, keys: list[str], target: str, log: str, files_each: int = 4) -> None:
+    """Stores each different row of keys of the files that are new at path, then stops: hashes seen so far are state of the stream, so
+    rows that are stored are neither read again nor overwritten, and the file sink takes each micro-batch once."""
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_each).parquet(pattern)
+    text = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in keys]), {"ignoreNullFields": "false"})
+    once = files.select(*keys, F.sha2(text, 256).alias("content_hash")).dropDuplicates(["content_hash"])
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    try:
+        once.writeStream.format("parquet").option("path", target).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def recurrence(sf_dir: str, mentions_at: str, findings_at: str) -> Callable[[DataFrame, int], None]:
@@ -50,7 +54,7 @@ def recurrence(sf_dir: str, mentions_at: str, findings_at: str) -> Callable[[Dat
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         given = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES} | {"orders": batch}
-        bound(spark, sf_dir, BINDINGS["mentions"], given).select(*columns).write.mode("overwrite").parquet(f"{mentions_at}/batch={number}")
+        bound(spark, sf_dir, "SELECT * FROM {mentions}", given).select(*columns).write.mode("overwrite").parquet(f"{mentions_at}/batch={number}")
         new = spark.read.schema(schema).parquet(f"{mentions_at}/batch={number}")
         so_far = new.unionAll(earlier(spark, mentions_at, number, schema).select(*columns))
         touched = so_far.join(new.select(*KEY).distinct(), KEY, "left_semi")
@@ -63,9 +67,7 @@ def recurrence(sf_dir: str, mentions_at: str, findings_at: str) -> Callable[[Dat
 def j1_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Different calls (person, other person, kind) of the event stream, each stored once."""
     target, keys = scratch(spark, "ingest"), ["user_id", "props", "event_type"]
-    source = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    schema = "content_hash string, " + ", ".join(f"{k} {source[k].dataType.simpleString()}" for k in keys)
-    run_available(spark, f"{sf_dir}/events.parquet", append_new(target, keys, schema), scratch(spark, "ingest-log"))
+    store_new(spark, f"{sf_dir}/events.parquet", keys, target, scratch(spark, "ingest-log"))
     return spark.read.parquet(target).select(*keys)
 
 
