@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracelink.llm import byte_grams, ppm, quality_rules
+from tracelink.llm import byte_grams, ppm, quality_classifier, quality_rules
 from tracelink.llm.byte_grams import END, ORDER, START, SYMBOLS
 
 PROSE = "the quick brown fox jumps over the lazy dog and then it sleeps under a warm tree near the old river bank . "
@@ -184,3 +184,93 @@ def test_kneser_ney_and_bands_against_brute_force(spark, docs, rows, monkeypatch
 
 def test_quality_rules_of_nothing(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
+
+
+def brute_additive(x, y, n_bins, rounds, pair_rounds, n_pairs, rate, prior):
+    """Cyclic boosting with loops over rows and bins: (edges, base, tables by feature, tables by pair, log odds of the rows)."""
+    width, n = len(x[0]), len(y)
+
+    def quantile(column, q):
+        s = sorted(column)
+        at = q * (len(s) - 1)
+        low = int(at)
+        return s[low] + (at - low) * (s[min(low + 1, len(s) - 1)] - s[low])
+
+    edges = [sorted({quantile([r[f] for r in x], k / n_bins) for k in range(1, n_bins)}) for f in range(width)]
+    bin_of = lambda f, v: sum(e <= v for e in edges[f])
+    bins = [[bin_of(f, r[f]) for f in range(width)] for r in x]
+    base = math.log((sum(y) + 1) / (n + 2) / (1 - (sum(y) + 1) / (n + 2)))
+    at = [base] * n
+    part = lambda g, h: g * g / (h + prior)
+
+    def sums(key, keys):
+        g, h = dict.fromkeys(keys, 0.0), dict.fromkeys(keys, 0.0)
+        for i in range(n):
+            p = 1 / (1 + math.exp(-at[i]))
+            g[key(bins[i])] += y[i] - p
+            h[key(bins[i])] += p * (1 - p)
+        return g, h
+
+    tables = [[0.0] * (len(e) + 1) for e in edges]
+    for _ in range(rounds):
+        for f in range(width):
+            g, h = sums(lambda b: b[f], range(len(tables[f])))
+            total = lambda s, a, b: sum(s[k] for k in range(a, b))
+            leaves = [(0, len(tables[f]))]
+            for _ in range(3):
+                found = [(0.0, 0, k) for k in range(len(leaves))]
+                for k, (a, b) in enumerate(leaves):
+                    for c in range(a + 1, b):
+                        gain = part(total(g, a, c), total(h, a, c)) + part(total(g, c, b), total(h, c, b)) - part(total(g, a, b), total(h, a, b))
+                        if found[k][1] == 0 or gain > found[k][0] + 1e-12:
+                            found[k] = (gain, c - a, k)
+                gain, cut, k = max(found)
+                if gain <= 1e-9:
+                    break
+                a, b = leaves[k]
+                leaves[k : k + 1] = [(a, a + cut), (a + cut, b)]
+            step = [0.0] * len(tables[f])
+            for a, b in leaves:
+                for k in range(a, b):
+                    step[k] = rate * total(g, a, b) / (total(h, a, b) + prior)
+            tables[f] = [t + s for t, s in zip(tables[f], step)]
+            at = [v + step[bins[i][f]] for i, v in enumerate(at)]
+
+    def quadrants(a, b):
+        rows, columns = len(tables[a]), len(tables[b])
+        g, h = sums(lambda c: (c[a], c[b]), [(i, j) for i in range(rows) for j in range(columns)])
+        best = None
+        for i in range(rows):
+            for j in range(columns):
+                quarter = [[k for k in g if (k[0] <= i) == up and (k[1] <= j) == left] for up in (True, False) for left in (True, False)]
+                gs, hs = [sum(g[k] for k in q) for q in quarter], [sum(h[k] for k in q) for q in quarter]
+                gain = sum(map(part, gs, hs))
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, {k: v / (w + prior) for q, v, w in zip(quarter, gs, hs) for k in q}
+        return best
+
+    gains = sorted(((quadrants(a, b)[0], a, b) for a in range(width) for b in range(a)), reverse=True)
+    pairs = {(a, b): {} for _, a, b in gains[:n_pairs]}
+    for _ in range(pair_rounds):
+        for (a, b), table in pairs.items():
+            step = quadrants(a, b)[1]
+            for k, v in step.items():
+                table[k] = table.get(k, 0.0) + rate * v
+            at = [v + rate * step[bins[i][a], bins[i][b]] for i, v in enumerate(at)]
+    return edges, base, tables, pairs, at
+
+
+def test_additive_model_against_loops(monkeypatch):
+    rng = np.random.default_rng(4)
+    for name, value in (("BINS", 6), ("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2)):
+        monkeypatch.setattr(quality_classifier, name, value)
+    x = rng.normal(size=(160, 4))
+    x[:, 3] = np.round(x[:, 3])  # equal quantiles
+    y = (x[:, 0] * x[:, 1] + 0.7 * x[:, 2] * x[:, 3] + 0.3 * rng.normal(size=160) > 0).astype(float)  # no two pairs gain alike
+    model = quality_classifier.Additive(x, y)
+    edges, base, tables, pairs, at = brute_additive(x.tolist(), y.tolist(), 6, 4, 3, 2, quality_classifier.RATE, quality_classifier.PRIOR)
+    assert model.base == pytest.approx(base) and all(a.tolist() == pytest.approx(b) for a, b in zip(model.edges, edges))
+    assert all(a.tolist() == pytest.approx(b) for a, b in zip(model.tables, tables)) and list(model.pairs) == list(pairs)
+    for key, table in model.pairs.items():
+        assert all(table[k] == pytest.approx(v) for k, v in pairs[key].items())
+    assert model.score(x).tolist() == pytest.approx([1 / (1 + math.exp(-v)) for v in at])
