@@ -40,14 +40,19 @@ OPERATORS = {
     # normalisation
     "b1_clean_text": "SELECT row_no, fir_id, name FROM {clean_uploads}",
     "b2_stable_record_id": "SELECT row_no, CASE WHEN fir_id IS NOT NULL AND name IS NOT NULL THEN 'upload:' || fir_id || ':' || name ELSE 'upload:row:' || CAST(row_no AS STRING) END AS record_id FROM {clean_uploads}",
-    "b3_content_hash": "SELECT person_id, <<sha2(data, 256) ## sha256(data)>> AS content_hash FROM (SELECT person_id, '{{\"home_city\":\"' || home_city || '\",\"name\":\"' || name || '\",\"phone\":\"' || phone || '\"}}' AS data FROM {persons}) p",
+    "b3_content_hash": """
+        SELECT person_id, <<sha2(to_json(named_struct('data', named_struct('bank_account', bank_account, 'home_city', home_city, 'name', name, 'person_id', person_id, 'phone', phone, 'risk_group', risk_group, 'social_id', social_id, 'vehicle_no', vehicle_no), 'source', 'persons'), map('ignoreNullFields', 'false')), 256)
+                        ## sha256(CAST(to_json({{'data': {{'bank_account': bank_account, 'home_city': home_city, 'name': name, 'person_id': person_id, 'phone': phone, 'risk_group': risk_group, 'social_id': social_id, 'vehicle_no': vehicle_no}}, 'source': 'persons'}}) AS VARCHAR))>> AS content_hash
+        FROM {persons}""",
     "b4_duplicate_hashes": "SELECT h AS content_hash, count(*) AS n, min(person_id) AS first_record_id FROM (SELECT person_id, <<sha2(phone, 256) ## sha256(phone)>> AS h FROM {persons}) p GROUP BY h HAVING count(*) > 1",
     "b5_phone": "SELECT person_id, CASE WHEN length(d) >= 12 AND substr(d, 1, 2) = '91' THEN '+91' || right(d, 10) WHEN length(d) = 10 THEN '+91' || d ELSE phone END AS phone FROM (SELECT person_id, phone, regexp_replace(phone, '[^0-9]', '', 'g') AS d FROM {persons}) p",
     "b6_upper_identifiers": "SELECT person_id, upper(regexp_replace(lower(vehicle_no), '[ ]+', '', 'g')) AS vehicle_no, upper(regexp_replace(bank_account, '[ ]+', '', 'g')) AS bank_account FROM {persons}",
     "b9_crime_canonical": "SELECT match_key, min_by(crime, ord) AS spelling, count(*) AS n FROM (SELECT crime, ord, regexp_replace(lower(crime), '[^a-z0-9]', '', 'g') AS match_key FROM {cases}) c GROUP BY match_key",
     "b14_bands": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band FROM {{anomaly}}",
     "b15_review_fingerprint": "SELECT entity_type, value, <<sha2(entity_type || '|' || lower(trim(value)) || '|exact|' || upper(jurisdiction), 256) ## sha256(entity_type || '|' || lower(trim(value)) || '|exact|' || upper(jurisdiction))>> AS fingerprint FROM {resolved} WHERE status = 'ambiguous' GROUP BY entity_type, value, jurisdiction",
-    "b16_identity_hash": "SELECT row_no, <<sha2('fir_id=' || coalesce(fir_id, '') || '|name=' || coalesce(name, '') || '|phone=' || coalesce(phone, ''), 256) ## sha256('fir_id=' || coalesce(fir_id, '') || '|name=' || coalesce(name, '') || '|phone=' || coalesce(phone, ''))>> AS identity FROM {clean_uploads}",
+    "b16_identity_hash": """
+        SELECT row_no, <<sha2(told, 256) ## sha256(told)>> AS identity
+        FROM (SELECT row_no, 'crime=|date=' || coalesce(CAST(date_parsed AS STRING), '') || '|fir_id=' || coalesce(fir_id, '') || '|location=|name=' || coalesce(name, '') || '|person_id=|phone=' || coalesce(phone_norm, '') || '|vehicle_no=' AS told FROM {clean_uploads}) u""",
     "b18_entity_labels": "SELECT id, coalesce(entity_type, 'unknown') || ': ' || id AS label FROM {nodes}",
     # extraction
     "c2_vehicle_mentions": "SELECT source_ref, value FROM {mentions} WHERE entity_type = 'vehicle'",
@@ -60,7 +65,8 @@ OPERATORS = {
     "d6_rejection_guard": "SELECT r.source_ref, r.entity_type, r.value, CASE WHEN j.value IS NOT NULL AND r.status <> 'unresolved' THEN 'unresolved' ELSE r.status END AS status, CASE WHEN j.value IS NOT NULL AND r.status <> 'unresolved' THEN 'rejected by a reviewer' END AS note FROM {resolved} r LEFT JOIN (SELECT DISTINCT entity_type, value, jurisdiction FROM {reviews} WHERE status = 'rejected' AND method = 'exact') j ON r.entity_type = j.entity_type AND lower(trim(r.value)) = lower(trim(j.value)) AND upper(r.jurisdiction) = upper(j.jurisdiction)",
     "d8_status_summary": "SELECT entity_type, status, count(*) AS n FROM {resolved} GROUP BY entity_type, status",
     "d9_review_queue": "SELECT r.entity_type, r.value, r.jurisdiction, max(r.owners) AS proposed, count(*) AS mentions FROM {resolved} r LEFT JOIN (SELECT DISTINCT entity_type, value, jurisdiction FROM {reviews} WHERE status <> 'pending' AND method = 'exact') j ON r.entity_type = j.entity_type AND r.value = j.value AND r.jurisdiction = j.jurisdiction WHERE r.status = 'ambiguous' AND j.value IS NULL GROUP BY r.entity_type, r.value, r.jurisdiction",
-    "d10_pending": "SELECT entity_type, value, min(event_date) AS created_at FROM {resolved} WHERE status = 'ambiguous' GROUP BY entity_type, value",
+    "d10_pending": """
+        SELECT entity_type, value, min(event_date) AS created_at FROM {resolved} WHERE status = 'ambiguous' GROUP BY entity_type, value ORDER BY created_at, entity_type, value""",
     "d12_shared_identifiers": "SELECT kind, value, l, r, 0.95 AS confidence FROM (SELECT 'phone' AS kind, a.phone AS value, a.person_id AS l, b.person_id AS r FROM {persons} a JOIN {persons} b ON a.phone = b.phone AND a.ord < b.ord UNION ALL SELECT 'vehicle', a.vehicle_no, a.person_id, b.person_id FROM {persons} a JOIN {persons} b ON a.vehicle_no = b.vehicle_no AND a.ord < b.ord UNION ALL SELECT 'bank_account', a.bank_account, a.person_id, b.person_id FROM {persons} a JOIN {persons} b ON a.bank_account = b.bank_account AND a.ord < b.ord) s",
     "d14_mention_validation": "SELECT row_no, CASE WHEN fir_id IS NULL THEN 'fir_id ' ELSE '' END || CASE WHEN name IS NULL THEN 'name ' ELSE '' END AS missing FROM {clean_uploads} WHERE fir_id IS NULL OR name IS NULL",
     # graph construction
@@ -89,7 +95,13 @@ OPERATORS = {
     "g5_anomaly_activity": "SELECT person_id, communications, transfers, social, observations FROM {activity}",
     "g6_robust_scores": "SELECT person_id, s1, s2, s3, s4 FROM {anomaly}",
     "g7_anomaly_profile": f"SELECT person_id, anomaly_score, {ANOMALY_BAND} AS band, {REASONS} AS reasons, 'Activity outlier; not a criminality classifier.' AS limits FROM {{anomaly}}",
-    "g8_anomaly_distribution": f"SELECT b.band, coalesce(n, 0) AS n FROM (SELECT 'EXTREME' AS band UNION ALL SELECT 'HIGH' UNION ALL SELECT 'ELEVATED' UNION ALL SELECT 'NORMAL') b LEFT JOIN (SELECT {ANOMALY_BAND} AS band, count(*) AS n FROM {{anomaly}} GROUP BY 1) a ON a.band = b.band",
+    "g8_anomaly_distribution": f"""
+        SELECT b.kind, b.band, coalesce(n, 0) AS n, CASE WHEN total > 0 THEN round(CAST(100 AS DOUBLE) * coalesce(n, 0) / total, 4) ELSE CAST(0 AS DOUBLE) END AS percent
+        FROM (SELECT 'anomaly' AS kind, 'EXTREME' AS band UNION ALL SELECT 'anomaly', 'HIGH' UNION ALL SELECT 'anomaly', 'ELEVATED' UNION ALL SELECT 'anomaly', 'NORMAL'
+              UNION ALL SELECT 'risk', 'CRITICAL' UNION ALL SELECT 'risk', 'HIGH' UNION ALL SELECT 'risk', 'MEDIUM' UNION ALL SELECT 'risk', 'LOW') b
+        LEFT JOIN (SELECT 'anomaly' AS kind, {ANOMALY_BAND} AS band, count(*) AS n FROM {{anomaly}} GROUP BY 2
+                   UNION ALL SELECT 'risk', {RISK_BAND}, count(*) FROM (SELECT {RISK} AS risk_score FROM {{risk_inputs}}) r GROUP BY 2) a ON a.kind = b.kind AND a.band = b.band
+        LEFT JOIN (SELECT 'anomaly' AS kind, count(*) AS total FROM {{anomaly}} UNION ALL SELECT 'risk', count(*) FROM {{risk_inputs}}) t ON t.kind = b.kind""",
     "g9_composition": "SELECT coalesce(entity_type, 'untyped') AS entity_type, round(count(*) / (SELECT count(*) FROM {nodes}), 6) AS share FROM {nodes} GROUP BY entity_type",
     "g10_recurrence": "SELECT entity_type, value, count(DISTINCT source_ref) AS cases, count(DISTINCT jurisdiction) AS jurisdictions FROM {mentions} GROUP BY entity_type, value HAVING count(DISTINCT source_ref) >= 3 AND count(DISTINCT jurisdiction) >= 2",
     "g11_recurrence_evidence": "SELECT r.entity_type, r.value, r.source_ref, r.jurisdiction, r.confidence FROM {resolved} r JOIN (SELECT entity_type, value FROM {mentions} GROUP BY entity_type, value HAVING count(DISTINCT source_ref) >= 3 AND count(DISTINCT jurisdiction) >= 2) f ON r.entity_type = f.entity_type AND r.value = f.value",
@@ -108,25 +120,48 @@ OPERATORS = {
     "h13_fan_out": "SELECT 'persons' AS target, coalesce(name, '') AS id, count(*) AS n FROM {assessed} WHERE status = 'ready' GROUP BY name UNION ALL SELECT 'fir', fir_id, count(*) FROM {assessed} WHERE status = 'ready' AND fir_id IS NOT NULL GROUP BY fir_id",
     "h14_outcome": "SELECT CASE WHEN count_if(status = 'ready') = 0 THEN 'failed' WHEN count_if(status = 'invalid') > 0 THEN 'partial' WHEN count_if(status = 'incomplete') > 0 THEN 'complete_with_warnings' ELSE 'complete' END AS outcome, count(*) AS n FROM {assessed}",
     # lookups, rollups, reports
-    "i1_locations": "SELECT DISTINCT home_city FROM {persons}",
-    "i2_case_list": "SELECT c.fir_id, c.crime, c.date, p.name FROM {cases} c LEFT JOIN {persons} p ON c.person_id = p.person_id WHERE lower(trim(c.crime)) = lower(trim([[crime: 'cyber crime']]))",
+    "i1_locations": """
+        SELECT 'location' AS kind, home_city AS id FROM {persons} GROUP BY home_city
+        UNION ALL SELECT 'person', person_id FROM {persons}
+        UNION ALL SELECT 'vehicle', vehicle_no FROM {vehicles}
+        UNION ALL SELECT 'phone', source_id FROM {entity_mapping} WHERE entity_type = 'phone'""",
+    "i2_case_list": """
+        SELECT c.fir_id, c.crime, c.location, c.date, c.person_id, p.name
+        FROM {cases} c LEFT JOIN {persons} p ON c.person_id = p.person_id
+        WHERE ([[crime: 'cyber crime']] = '' OR lower(trim(c.crime)) = lower(trim([[crime: 'cyber crime']])))
+          AND ([[location: '']] = '' OR lower(trim(c.location)) = lower(trim([[location: '']])))
+          AND ([[person: '']] = '' OR lower(trim(c.person_id)) = lower(trim([[person: '']])))
+        ORDER BY c.date DESC NULLS LAST, c.fir_id DESC""",
     "i3_case_detail": "SELECT c.fir_id, c.crime, p.name FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id WHERE c.fir_id = [[case_id: 'FIR1']]",
-    "i4_case_search": "SELECT fir_id FROM {cases} WHERE contains(lower(concat_ws(' ', fir_id, crime, location)), lower([[words: 'cyber']]))",
+    "i4_case_search": """
+        SELECT c.fir_id FROM {cases} c LEFT JOIN {persons} p ON c.person_id = p.person_id
+        WHERE contains(lower(concat_ws(' ', c.fir_id, c.crime, c.location, CAST(c.date AS STRING), c.person_id, p.name)), lower([[words: 'cyber']]))
+          AND ([[crime: '']] = '' OR c.crime = [[crime: '']]) AND ([[location: '']] = '' OR c.location = [[location: '']])""",
     "i5_case_summary": "SELECT count(*) AS total, count(DISTINCT crime) AS crimes, count(DISTINCT location) AS locations, count(DISTINCT person_id) AS people FROM {cases}",
     "i6_case_risk": f"SELECT c.fir_id, coalesce(r.risk_score, 0) AS risk_score FROM {{fir}} c LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON c.person_id = r.person_id",
     "i7_roster": f"SELECT p.person_id, p.name, coalesce(r.risk_score, 0) AS risk_score, lower(concat_ws(' ', p.person_id, p.name, p.home_city)) AS haystack FROM {{persons}} p LEFT JOIN (SELECT person_id, {RISK} AS risk_score FROM {{risk_inputs}}) r ON p.person_id = r.person_id",
-    "i8_roster_search": "SELECT person_id, name FROM {persons} WHERE contains(lower(concat_ws(' ', person_id, name, home_city)), 'kumar')",
+    "i8_roster_search": """
+        SELECT person_id, name, home_city, risk_group FROM {persons}
+        WHERE contains(lower(concat_ws(' ', person_id, name, home_city)), lower([[words: 'kumar']]))
+        ORDER BY CASE [[sort: 'name']] WHEN 'name' THEN name WHEN 'city' THEN home_city WHEN 'group' THEN risk_group WHEN 'phone' THEN phone WHEN 'vehicle' THEN vehicle_no END NULLS LAST, person_id""",
     "i9_parallel_edges": "SELECT source, relationship, target, count(*) AS n FROM {edges} GROUP BY source, relationship, target",
-    "i10_relationship_counts": "SELECT relationship, count(*) AS n FROM {edges} GROUP BY relationship",
+    "i10_relationship_counts": """
+        SELECT 'relationship' AS kind, relationship AS name, count(*) AS n FROM {edges} GROUP BY relationship
+        UNION ALL SELECT 'node', coalesce(entity_type, 'untyped'), count(*) FROM {nodes} GROUP BY entity_type""",
     "i11_edge_rollup": "SELECT source, target, round(sum(amount), 2) AS amount, sum(duration) AS duration, min(seen_at) AS earliest, max(seen_at) AS latest FROM {edges} GROUP BY source, target",
     "i12_node_relationships": "SELECT id, relationship, count(DISTINCT other) AS links, count(*) AS interactions FROM {ends} GROUP BY id, relationship",
     "i13_associations": "SELECT id, other, relationship, row_number() OVER (PARTITION BY id, relationship ORDER BY n DESC, other) AS k FROM (SELECT id, other, relationship, count(*) AS n FROM {ends} WHERE id <> other AND id LIKE 'P%' GROUP BY id, other, relationship) a",
-    "i14_connected_people": "SELECT id, other, count(*) AS interactions, count(DISTINCT relationship) AS relationships FROM {ends} WHERE id LIKE 'P%' AND other LIKE 'P%' AND id <> other GROUP BY id, other",
+    "i14_connected_people": """
+        SELECT id, other, count(*) AS interactions, <<array_join(array_sort(collect_set(relationship)), ',') ## string_agg(DISTINCT relationship, ',' ORDER BY relationship)>> AS relationships
+        FROM {ends} WHERE id LIKE 'P%' AND other LIKE 'P%' AND id <> other GROUP BY id, other""",
     "i15_connection_counts": "SELECT id, relationship, count(*) AS interactions, count(DISTINCT other) AS counterparts FROM {ends} WHERE id LIKE 'P%' GROUP BY id, relationship",
     "i16_timeline": "SELECT id, edge_id, relationship, seen_at, row_number() OVER (PARTITION BY id ORDER BY seen_at DESC, edge_id) AS k FROM {ends} WHERE seen_at IS NOT NULL AND id LIKE 'P%'",
     "i17_strongest_neighbours": "SELECT id, other, n FROM (SELECT id, other, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, other) AS k FROM (SELECT id, other, count(*) AS n FROM {ends} WHERE id LIKE 'P%' GROUP BY id, other) c) r WHERE k <= 12",
     "i18_entity_search": "SELECT id, CASE WHEN left(lower(id), length([[words: 'p1']])) = lower([[words: 'p1']]) THEN 0 ELSE 1 END AS hit FROM {nodes} WHERE contains(lower(id), lower([[words: 'p1']])) ORDER BY 2, 1 LIMIT 30",
-    "i19_type_filter": "SELECT e.edge_id FROM {edges} e JOIN {nodes} a ON e.source = a.id JOIN {nodes} b ON e.target = b.id WHERE a.entity_type = 'person' AND b.entity_type = 'person' AND e.relationship = 'CALLED'",
+    "i19_type_filter": """
+        SELECT e.edge_id FROM {edges} e JOIN {nodes} a ON e.source = a.id JOIN {nodes} b ON e.target = b.id
+        WHERE array_contains([[types: <<array('person') ## ['person']>>]], a.entity_type) AND array_contains([[types: <<array('person') ## ['person']>>]], b.entity_type)
+          AND array_contains([[relationships: <<array('CALLED', 'SOCIAL_REPLY') ## ['CALLED', 'SOCIAL_REPLY']>>]], e.relationship)""",
     "i20_jurisdiction_filter": "SELECT event_id FROM {audit} WHERE [[admin: false]] OR array_contains([[jurisdictions: <<array('J1', 'J2') ## ['J1', 'J2']>>]], jurisdiction)",
     "i21_audit_page": "SELECT event_id, user_id, action, result FROM (SELECT * FROM {audit} ORDER BY ts DESC, event_id DESC LIMIT 500) a WHERE [[admin: false]] OR jurisdiction IS NULL OR array_contains([[jurisdictions: <<array('J1', 'J2') ## ['J1', 'J2']>>]], jurisdiction)",
     "i22_report_scope": "SELECT DISTINCT c.fir_id, c.person_id FROM {fir} c JOIN (SELECT person_id FROM {persons} WHERE ord % 10 = 1) s ON c.person_id = s.person_id",
@@ -142,7 +177,10 @@ OPERATORS = {
     "d11_apply_decisions": "SELECT d.entity_type, d.value, d.entity_id, CASE WHEN q.value IS NULL THEN 'not pending' WHEN g.entity_id IS NULL THEN 'not proposed' ELSE 'accepted' END AS outcome FROM {confirmed} d LEFT JOIN (SELECT DISTINCT entity_type, value FROM {resolved} WHERE status = 'ambiguous') q ON d.entity_type = q.entity_type AND d.value = q.value LEFT JOIN {registry} g ON d.entity_type = g.entity_type AND d.value = g.value AND d.entity_id = g.entity_id",
     "d13_candidate_list": "SELECT mention, name, score, k FROM {name_ranked} WHERE k <= 3",
     "e10_narrative_graph": "SELECT DISTINCT source, relationship, target FROM (SELECT entity_id AS source, CASE entity_type WHEN 'phone' THEN 'HAS_PHONE' WHEN 'vehicle' THEN 'OWNS' ELSE 'HAS_ACCOUNT' END AS relationship, value AS target FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT entity_id, 'INVOLVED_IN', source_ref FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT source_ref, 'USES', value FROM {resolved} WHERE status = 'resolved' UNION ALL SELECT entity_id, 'CO_ACCUSED_IN', source_ref FROM {resolved} WHERE status = 'resolved') e",
-    "f13_relationship_whitelist": "SELECT e.edge_id, e.relationship FROM {edges} e WHERE e.relationship IN ('CALLED', 'NO_SUCH_TYPE') OR NOT EXISTS (SELECT 1 FROM {edges} k WHERE k.relationship IN ('CALLED', 'NO_SUCH_TYPE'))",
+    "f13_relationship_whitelist": """
+        SELECT e.edge_id, e.relationship FROM {edges} e
+        LEFT JOIN (SELECT count(*) AS known FROM (SELECT DISTINCT relationship FROM {edges}) r WHERE array_contains([[types: <<array('CALLED', 'NO_SUCH_TYPE') ## ['CALLED', 'NO_SUCH_TYPE']>>]], relationship)) k ON true
+        WHERE k.known = 0 OR array_contains([[types: <<array('CALLED', 'NO_SUCH_TYPE') ## ['CALLED', 'NO_SUCH_TYPE']>>]], e.relationship)""",
     "f21_path_edges": "SELECT p.sender_id AS source, p.receiver_id AS target, x.edge_id AS exact_edge, coalesce(x.edge_id, y.edge_id) AS edge_id FROM (SELECT DISTINCT sender_id, receiver_id FROM {finance}) p LEFT JOIN (SELECT source, target, min(edge_id) AS edge_id FROM {edges} WHERE relationship = 'CALLED' GROUP BY source, target) x ON x.source = p.sender_id AND x.target = p.receiver_id LEFT JOIN (SELECT id, other, min(edge_id) AS edge_id FROM {ends} GROUP BY id, other) y ON y.id = p.sender_id AND y.other = p.receiver_id",
     "h8_possible_duplicates": "SELECT u.row_no, min(p.person_id) AS person_id, count(*) AS owners FROM {clean_uploads} u JOIN (SELECT person_id, '+91' || right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) AS phone FROM {persons}) p ON u.phone_norm = p.phone GROUP BY u.row_no UNION ALL SELECT u.row_no, min('P' || CAST(c.c_custkey AS STRING)), count(*) FROM {clean_uploads} u JOIN {customer} c ON lower(u.name) = lower(c.c_name) GROUP BY u.row_no",
     "h15_import_history": "SELECT event_id, user_id, ts FROM {audit} WHERE action = 'purchase' AND ([[admin: false]] OR user_id = [[user_id: 'user7']]) ORDER BY ts DESC, event_id DESC",

@@ -122,6 +122,7 @@ _TEMPLATES = {
     "e5_graph_nodes": f"SELECT label, key_property, key_value, count(*) AS told, count(DISTINCT source_ref) AS refs FROM ({_NODES}) n GROUP BY ALL",
     "e5_graph_relations": f"SELECT rel_type, from_label, from_value, to_label, to_value, source_ref, 'system' AS created_by FROM ({_RELATIONS}) r WHERE NOT (rel_type IN ({_LATER}) OR rel_type = 'CALLED' AND from_label = 'Phone')",
     "e6_canonical_relations": f"SELECT rel_type, from_label, from_value, to_label, to_value, source_ref, 'structured' AS extraction_method, CAST(1.0 AS DOUBLE) AS confidence, valid_from FROM ({_RELATIONS}) r WHERE rel_type IN ({_CANONICAL}) UNION ALL {_SHARED}",
+    "e8_faults": f"SELECT record_id, rel_type, 'source_ref' AS faults FROM ({_RELATIONS}) r WHERE rel_type IN ({_CANONICAL}) AND coalesce(trim(source_ref), '') = ''",
     "e9_constraints": f"SELECT c.label, c.property, count(DISTINCT n.key_value) AS nodes, 0 AS values_shared FROM ({_HELD}) c LEFT JOIN ({_NODES}) n ON n.label = c.label AND n.key_property = c.property GROUP BY ALL",
     "a14_graph_store": f"WITH n AS (SELECT DISTINCT label, key_property, key_value FROM ({_NODES}) x) SELECT DISTINCT {_COLUMNS} FROM ({_RELATIONS}) r JOIN n a ON a.label = from_label AND a.key_property = from_key AND a.key_value = from_value JOIN n b ON b.label = to_label AND b.key_property = to_key AND b.key_value = to_value",
     "a6_import_removal": f"SELECT person_id, name, _import_id, (SELECT count(*) FROM ({OVERLAY_ROWS}) a WHERE _import_id = 'batch1') AS removed FROM ({OVERLAY_ROWS}) o WHERE _import_id <> 'batch1'",
