@@ -148,3 +148,13 @@ def test_cascade(spark):
     got = {r.source_ref: r for r in N.resolve(mentions, index, persons, confirmed).collect()}
     assert all((got[x].status, got[x].entity_id, got[x].confidence) == ("resolved", "P5", 100.0) for x in "jk")
     assert N.resolve(mentions.limit(0), index, persons).count() == 0
+
+
+def test_review_queue_asks_once(spark):
+    rows = [(f"r{i}", "phone", v, "exact_phone", j, "ambiguous", 1.0, ["P2", "P1"]) for i, (v, j) in enumerate([("+911", "DEL"), (" +911", "del"), ("+912", "DEL"), ("+913", None)])]
+    rows.append(("r9", "phone", "+914", "exact_phone", "DEL", "resolved", 1.0, ["P1"]))
+    resolved = spark.createDataFrame(rows, "source_ref string, entity_type string, value string, method string, jurisdiction string, status string, confidence double, proposed array<string>")
+    queue = {r.value: r for r in N.review_queue(resolved).collect()}
+    assert set(queue) == {"+911", "+912", "+913"} and (queue["+911"].mentions, queue["+911"].first_ref) == (2, "r0")
+    decided = spark.createDataFrame([(queue["+912"].fingerprint, "rejected"), (queue["+913"].fingerprint, "pending")], "fingerprint string, status string")
+    assert {r.value for r in N.review_queue(resolved, decided).collect()} == {"+911", "+913"}

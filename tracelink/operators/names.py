@@ -132,3 +132,18 @@ def resolve(mentions: DataFrame, registry: DataFrame, persons: DataFrame, confir
     barred = guarded.join(rejected.select("fingerprint", F.lit(True).alias("barred")).distinct().hint("merge"), "fingerprint", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
     changed = {"status": F.lit("unresolved"), "entity_id": F.lit(None).cast("string"), "note": F.lit("rejected by a reviewer")}
     return barred.select(*own, *[F.when(F.col("barred"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in ("status", "method", "confidence", "entity_id", "proposed", "note")])
+
+
+def review_queue(resolved: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """What a reviewer has to look at: one row for each fingerprint of the ambiguous mentions of resolve(), with its proposed ids, score,
+    number of mentions and first reference. decided(fingerprint, status): reviews that are there; those that are not pending (confirmed
+    or rejected) are not asked again.
+    """
+    open_ = resolved.where("status = 'ambiguous'")
+    named = open_.withColumn("fingerprint", review_fingerprint(F.col("entity_type"), F.col("value"), F.col("method"), F.col("jurisdiction"), F.col("proposed")))
+    kept = F.struct("entity_type", F.trim("value").alias("value"), "method", "jurisdiction", "proposed")
+    queue = named.groupBy("fingerprint").agg(F.min_by(kept, "source_ref").alias("r"), F.max("confidence").alias("score"), F.count("*").alias("mentions"), F.min("source_ref").alias("first_ref"))
+    queue = queue.select("fingerprint", "r.*", "score", "mentions", "first_ref")
+    if decided is None:
+        return queue
+    return queue.join(decided.where("status <> 'pending'").select("fingerprint").distinct().hint("merge"), "fingerprint", "left_anti")

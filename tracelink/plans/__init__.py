@@ -15,4 +15,4 @@ ORACLE_SQL |= {name: oracle(template) for name, template in files.ORACLE.items()
 QUERIES |= rules.QUERIES
 ORACLE_SQL |= rules.ORACLE_SQL
 QUERIES |= names.QUERIES | property_graph.QUERIES | shapes.QUERIES | findings.QUERIES
-ORACLE_SQL |= property_graph.ORACLE_SQL | shapes.ORACLE_SQL | findings.ORACLE_SQL
+ORACLE_SQL |= property_graph.ORACLE_SQL | shapes.ORACLE_SQL | findings.ORACLE_SQL | names.ORACLE_SQL

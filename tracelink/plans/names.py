@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.operators import bound
-from tracelink.operators.names import name_decisions, name_scores, resolve, review_fingerprint
+from tracelink.operators import bound, oracle
+from tracelink.operators.names import name_decisions, name_scores, resolve, review_fingerprint, review_queue
 
 MENTIONED = "SELECT c.fir_id AS source_ref, c.location AS jurisdiction, CASE c.ord % 4 WHEN 0 THEN p.name WHEN 1 THEN replace(p.name, 'ee', 'i') WHEN 2 THEN substr(p.name, 1, length(p.name) - 1) ELSE 'Shri ' || p.name END AS value, c.ord FROM {cases} c JOIN {persons} p ON c.person_id = p.person_id"
 
@@ -41,4 +41,23 @@ def d7_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("own_confidence", "eligible").withColumn("confidence", F.round("confidence", 4)).withColumn("proposed", F.array_join("proposed", ","))
 
 
-QUERIES = {f.__name__: f for f in (d4_fuzzy_names, d5_fuzzy_decisions, d7_resolution)}
+def d9_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review queue of the narratives' identifiers; phones that end in 3 have been decided before."""
+    made: dict[str, DataFrame] = {}
+    mentions = bound(spark, sf_dir, "SELECT source_ref, jurisdiction, entity_type, value, true AS eligible, 1.0D AS own_confidence FROM {mentions}", made)
+    registry = bound(spark, sf_dir, "SELECT entity_type, value, entity_id FROM {registry}", made)
+    resolved = resolve(mentions, registry, bound(spark, sf_dir, "SELECT person_id, name FROM {persons}", made))
+    owners = registry.groupBy("entity_type", "value").agg(F.collect_set("entity_id").alias("ids"))
+    before = bound(spark, sf_dir, "SELECT DISTINCT entity_type, value, jurisdiction FROM {mentions} WHERE entity_type = 'phone' AND right(value, 1) = '3'", made)
+    decided = before.join(owners.hint("merge"), ["entity_type", "value"]).select(review_fingerprint(F.col("entity_type"), F.col("value"), F.lit("exact_phone"), F.col("jurisdiction"), F.col("ids")).alias("fingerprint"), F.lit("confirmed").alias("status"))
+    return review_queue(resolved, decided).withColumn("proposed", F.array_join("proposed", ","))
+
+
+QUERIES = {f.__name__: f for f in (d4_fuzzy_names, d5_fuzzy_decisions, d7_resolution, d9_reviews)}
+
+ORACLE_SQL = {
+    "d9_reviews": oracle("""
+        SELECT sha256(concat_ws('|', entity_type, lower(value), 'exact_' || entity_type, upper(jurisdiction), ids)) AS fingerprint, entity_type, value, 'exact_' || entity_type AS method, jurisdiction, ids AS proposed, CAST(1 AS DOUBLE) AS score, count(*) AS mentions, min(source_ref) AS first_ref
+        FROM (SELECT m.*, o.ids FROM {mentions} m JOIN (SELECT entity_type, value, string_agg(entity_id, ',' ORDER BY entity_id) AS ids FROM {registry} GROUP BY 1, 2 HAVING count(*) > 1) o ON m.entity_type = o.entity_type AND m.value = o.value) r
+        WHERE NOT (entity_type = 'phone' AND right(value, 1) = '3') GROUP BY entity_type, value, jurisdiction, ids""")
+}
