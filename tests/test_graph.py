@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 from tests.test_queries import SF, flat
-from tracelink.operators.exploration import overview, scope
+from pyspark.sql import functions as F
+
+from tracelink.operators.exploration import filtered, neighbourhood, overview, scope
 from tracelink.operators.graph import betweenness, communities, hop_paths, pagerank
 from tracelink.plans import ORACLE_SQL, QUERIES
 
@@ -114,3 +116,17 @@ def test_overview_and_scope_on_a_small_graph(spark):
     assert ids(scope(nodes, ends, nodes, selected="V50", hops=1)) == {"V50", "P50"} and ids(scope(nodes, ends, few, selected="P1", hops=3)) == {"P1", "V01"}
     assert len(ids(scope(nodes, ends, nodes, selected="P1", hops=3))) == 1 + 40 + 24
     assert ids(scope(nodes, ends, nodes, selected="none", community=few)) == {"P1", "V01", "X", "V50"} and len(ids(scope(nodes, ends, nodes, community=nodes))) == 40
+
+
+def test_neighbourhood_and_filters(spark):
+    rows = [(1, "a", "b", "X", "2024-01-01"), (2, "b", "c", "X", None), (3, "c", "d", "Y", "2024-02-01"), (4, "d", "e", "X", "2024-03-01"), (5, "c", "a", "Y", "2024-01-05"), (6, "b", "b", "X", None)]
+    edges = spark.createDataFrame(rows, "edge_id long, source string, target string, relationship string, seen string").withColumn("seen_at", F.col("seen").cast("timestamp")).drop("seen")
+    seeds = spark.createDataFrame([("a",), ("a",)], "id string")
+    nodes, inner = neighbourhood(edges, seeds, 1)
+    assert {r.id: r.hop for r in nodes.collect()} == {"a": 0, "b": 1, "c": 1} and {r.edge_id for r in inner.collect()} == {1, 2, 5, 6}
+    assert {r.id for r in neighbourhood(edges, seeds, 0)[0].collect()} == {"a", "b", "c", "d"} and neighbourhood(edges, seeds, 99)[0].count() == 5
+    ids = lambda d: {r.edge_id for r in d.collect()}
+    assert ids(filtered(edges, ("Y", "Z"))) == {3, 5} and ids(filtered(edges, ("Z",))) == {1, 2, 3, 4, 5, 6}
+    assert ids(filtered(edges, begin="2024-01-05", end="2024-02-01")) == {2, 3, 5, 6}
+    with pytest.raises(ValueError):
+        filtered(edges, begin="2024-02-01", end="2024-01-01")

@@ -66,3 +66,38 @@ def scope(nodes: DataFrame, ends: DataFrame, candidates: DataFrame, selected: st
         wanted = spark.createDataFrame([(p,) for p in path], "id string")
         shown = shown.unionAll(nodes.select("id").join(wanted.hint("merge"), "id", "left_semi"))
     return shown.distinct()
+
+
+# Hops of a neighbourhood where none are given, and at most.
+HOPS, MOST_HOPS = 2, 6
+
+
+def filtered(edges: DataFrame, types: tuple[str, ...] = (), begin: str | None = None, end: str | None = None) -> DataFrame:
+    """The edges(relationship, seen_at, ...) of some types within a window of time, both ends included. Types that no edge has are
+    ignored, and if none is left there is no such filter; edges without a time pass every window; begin after end is an error."""
+    if begin and end and begin > end:
+        raise ValueError("begin after end")
+    if types:
+        known = [r.relationship for r in edges.where(F.col("relationship").isin(*types)).select("relationship").distinct().collect()]  # at most those given
+        edges = edges.where(F.col("relationship").isin(*known)) if known else edges
+    for bound, keeps in ((begin, lambda t: F.col("seen_at") >= t), (end, lambda t: F.col("seen_at") <= t)):
+        if bound:
+            edges = edges.where(F.col("seen_at").isNull() | keeps(F.lit(bound).cast("timestamp")))
+    return edges
+
+
+def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = HOPS) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): id and hop of all nodes within `hops` of a seed (id) by edges(source, target, ...) of either direction, and all edges
+    among them. No hops or fewer mean HOPS, at most MOST_HOPS count. Nodes are joined, never collected."""
+    depth = HOPS if hops <= 0 else min(hops, MOST_HOPS)
+    both = edges.select(F.col("source").alias("id"), F.col("target").alias("other")).unionAll(edges.select("target", "source")).where("id <> other").distinct()
+    both = stored(both, "neighbourhood-pairs")
+    seen = stored(seeds.select("id", F.lit(0).alias("hop")).distinct(), "neighbourhood")
+    frontier = seen
+    for hop in range(1, depth + 1):
+        new = both.join(frontier.select("id").hint("merge"), "id", "left_semi").select(F.col("other").alias("id")).distinct().join(seen.hint("merge"), "id", "left_anti")
+        frontier = stored(new.select("id", F.lit(hop).alias("hop")), "neighbourhood")
+        seen = seen.unionAll(frontier)
+    ids = seen.select("id")
+    inner = edges.join(ids.select(F.col("id").alias("source")).hint("merge"), "source", "left_semi").join(ids.select(F.col("id").alias("target")).hint("merge"), "target", "left_semi")
+    return seen, inner.select(*edges.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracelink.functions import stored
 from tracelink.operators import bound, oracle
 from tracelink.operators.catalog import OPERATORS, RISK
-from tracelink.operators.exploration import overview, scope
+from tracelink.operators.exploration import filtered, neighbourhood, overview, scope
 from tracelink.operators.graph import betweenness, communities, hop_expansion, hop_paths, pagerank
 
 ROUNDS, DAMPING, DEPTH = 20, 0.85, 6
@@ -156,6 +156,13 @@ def f15_hop_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hop_expansion(bound(spark, sf_dir, "SELECT id, other FROM {ends}"), _seeds(spark, SEEDS[:1]))
 
 
+def f12_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All calls and transfers among the nodes within two hops of P1 by them."""
+    edges = filtered(bound(spark, sf_dir, "SELECT edge_id, source, target, relationship, seen_at FROM {edges}"), ("CALLED", "TRANSFERRED_MONEY", "NO_SUCH_TYPE"), "2024-01-03 00:00:00", "2024-01-25 00:00:00")
+    edges = stored(edges, "neighbourhood-edges")
+    return neighbourhood(edges, _seeds(spark, SEEDS[:1]))[1].select("edge_id", "source", "target", "relationship")
+
+
 def f16_overview_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made: dict[str, DataFrame] = {}
     return overview(bound(spark, sf_dir, "SELECT * FROM {nodes}", made), bound(spark, sf_dir, "SELECT id, other FROM {ends}", made))
@@ -213,6 +220,8 @@ _TWO_HOPS = _EXPANSION[: _EXPANSION.index(", h3 AS")]
 _PATH = "SELECT '{0}' AS scope, id FROM {{nodes}} WHERE id IN ('P7', 'P8')"
 
 _TEMPLATES = {
+    "f12_neighbourhood": "WITH e AS (SELECT * FROM {edges} WHERE relationship IN ('CALLED', 'TRANSFERRED_MONEY') AND (seen_at IS NULL OR seen_at BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00')), b AS (SELECT source AS id, target AS other FROM e UNION SELECT target, source FROM e), "
+    "h AS (SELECT 'P1' AS id UNION SELECT other FROM b WHERE id = 'P1' UNION SELECT c.other FROM b JOIN b c ON c.id = b.other WHERE b.id = 'P1') SELECT edge_id, source, target, relationship FROM e WHERE source IN (SELECT id FROM h) AND target IN (SELECT id FROM h)",
     "f16_overview_nodes": f"WITH measured AS ({_DEGREES}), {_overview_sql('o', 'true')} SELECT * FROM o",
     "f17_exploration_scope": f"{_TWO_HOPS}, measured AS ({_DEGREES}), members AS (SELECT id FROM measured WHERE id IN (SELECT person_id FROM {{persons}} WHERE ord % 3 = 0)), {_overview_sql('m', 'id IN (SELECT id FROM members)')}, {_overview_sql('o', 'true')} "
     "SELECT DISTINCT scope, id FROM (SELECT 'node' AS scope, id FROM h0 UNION ALL SELECT 'node', id FROM h1 UNION ALL SELECT 'node', id FROM h2 UNION ALL SELECT 'community', id FROM members WHERE (SELECT count(*) FROM members) <= 50 "
@@ -230,5 +239,5 @@ _TEMPLATES = {
     "g14_priorities": _GLOBAL + f"SELECT id, pagerank, base AS risk_score FROM ({_TOP}) t LEFT JOIN (SELECT person_id, {RISK} AS base FROM {{risk_inputs}}) a ON id = person_id",
 }
 
-QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f15_hop_expansion, f16_overview_nodes, f17_exploration_scope, f22_hop_distance, g3_propagated_risk, g14_priorities)}
+QUERIES = {f.__name__: f for f in (f2_betweenness, f3_pagerank, f4_centrality_table, f5_key_persons, f6_communities, f8_projected_louvain, f7_projected_pagerank, f9_personalised_pagerank, f10_shortest_paths, f11_bounded_paths, f14_evidence_chains, f12_neighbourhood, f15_hop_expansion, f16_overview_nodes, f17_exploration_scope, f22_hop_distance, g3_propagated_risk, g14_priorities)}
 ORACLE_SQL = {name: oracle(t) for name, t in _TEMPLATES.items()}
