@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracelink import functions
 from tracelink.functions import similarity as S
 from tracelink.operators import names as N
+from tracelink.plans import QUERIES
 
 FIRST = "Rajesh Priya Amit Neha Vikram Anita Suresh Rajech Pryia Anil Sunil Mohammed Muhammad".split()
 LAST = "Kumar Sharma Verma Singh Patel Kumarr Sinh Varma Shaikh Sheikh".split()
@@ -158,3 +160,39 @@ def test_review_queue_asks_once(spark):
     assert set(queue) == {"+911", "+912", "+913"} and (queue["+911"].mentions, queue["+911"].first_ref) == (2, "r0")
     decided = spark.createDataFrame([(queue["+912"].fingerprint, "rejected"), (queue["+913"].fingerprint, "pending")], "fingerprint string, status string")
     assert {r.value for r in N.review_queue(resolved, decided).collect()} == {"+911", "+913"}
+
+
+def test_owners_of_an_identifier_are_not_repeated_by_mention(spark):
+    told = [(f"r{i:02}", "phone", "+911", True, 1.0, "DEL" if i % 2 else None) for i in range(12)] + [("s1", "phone", "+912", True, 1.0, "DEL"), ("s2", "phone", None, True, 1.0, "DEL")]
+    mentions = spark.createDataFrame(told, "source_ref string, entity_type string, value string, eligible boolean, own_confidence double, jurisdiction string")
+    registry = spark.createDataFrame([("phone", "+911", f"P{i}") for i in range(9)] + [("phone", "+912", "P1")], "entity_type string, value string, entity_id string")
+    persons = spark.createDataFrame([("P1", "Anil Kumar")], "person_id string, name string")
+    narrow = {r.source_ref: r for r in N.resolve(mentions, registry, persons, lists=False).collect()}
+    assert all(narrow[f"r{i:02}"].proposed == [] and narrow[f"r{i:02}"].by_list and narrow[f"r{i:02}"].status == "ambiguous" for i in range(12))
+    assert narrow["s1"].proposed == ["P1"] and not narrow["s1"].by_list and not narrow["s2"].by_list
+    whole = {r.source_ref: r.proposed for r in N.resolve(mentions, registry, persons).collect()}
+    assert whole["r03"] == [f"P{i}" for i in range(9)] and whole["s1"] == ["P1"] and whole["s2"] == []
+    by = lambda queue: sorted(map(str, queue.select("fingerprint", "value", "jurisdiction", "proposed", "mentions", "first_ref").collect()))
+    assert by(N.review_queue(N.resolve(mentions, registry, persons, lists=False), None, N.owner_lists(registry))) == by(N.review_queue(N.resolve(mentions, registry, persons)))
+
+
+@pytest.mark.parametrize("frequent", [False, True])
+def test_rows_without_a_key_are_dealt(spark, frequent, monkeypatch):
+    monkeypatch.setattr(functions, "FREQUENT", 5)
+    left = spark.createDataFrame([(i, None if i % 2 else "a" if i % 4 else str(i)) for i in range(200)], "i int, k string")
+    right = spark.createDataFrame([("a", 1), ("4", 2), ("x", 3)], "k string, v int")
+    joined = functions.spread_join(left, right, ["k"], frequent)
+    assert sorted(map(tuple, joined.select("i", "v").collect()), key=str) == sorted(map(tuple, left.join(right, "k", "left").select("i", "v").collect()), key=str)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        least = functions.spread_join(left, right, ["k"], frequent).where("k is null").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(least) > 1
+
+
+def test_resolution_query_names_each_owner_once(spark):
+    rows = QUERIES["d7_resolution"](spark, "/root/testdata/sf0.001").persist()
+    asked = {r.proposed_as for r in rows.where("part = 'mention' AND proposed_as IS NOT NULL").collect()}
+    lists = rows.where("part = 'proposal'").collect()
+    assert asked and asked == {r.proposed_as for r in lists} and len({(r.proposed_as, r.proposed) for r in lists}) == len(lists)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.functions import stored
+from tracelink.functions import spread_join, stored
 from tracelink.functions.similarity import with_name_score, words
 
 # Least scores of a resolved and of a candidate name, and the least lead over the second.
@@ -87,7 +87,19 @@ def _outcome(status: str | Column, method: str | Column, confidence: Column, ent
     )
 
 
-def resolve(mentions: DataFrame, registry: DataFrame, persons: DataFrame, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, cell: int = CELL) -> DataFrame:
+def owner_lists(registry: DataFrame) -> DataFrame:
+    """(entity_type, value, owners): all owners of each identifier, in order; one row an identifier."""
+    return registry.where("entity_id is not null").groupBy("entity_type", "value").agg(F.array_sort(F.collect_set("entity_id")).alias("owners"))
+
+
+def with_owners(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """rows of resolve(..., lists=False) with all owners of an ambiguous identifier in `proposed`. The lists go to every row that asks for
+    one, so group rows first where that can be."""
+    found = spread_join(rows.withColumn("key_of_list", F.when(F.col("by_list"), F.col("value"))), lists.select("entity_type", F.col("value").alias("key_of_list"), "owners"), ["entity_type", "key_of_list"])
+    return found.select(*[F.when(F.col("by_list"), F.col("owners")).otherwise(F.col("proposed")).alias(c) if c == "proposed" else F.col(c) for c in rows.columns if c != "by_list"])
+
+
+def resolve(mentions: DataFrame, registry: DataFrame, persons: DataFrame, confirmed: DataFrame | None = None, rejected: DataFrame | None = None, cell: int = CELL, lists: bool = True) -> DataFrame:
     """mentions with status, method, confidence, entity_id, proposed and note: ineligible mentions stay unresolved; then the first
     that applies of a reviewer's confirmation, an exact identifier, and, for names, the fuzzy decision. Ambiguous ones are not merged.
 
@@ -96,54 +108,68 @@ def resolve(mentions: DataFrame, registry: DataFrame, persons: DataFrame, confir
     rejected(fingerprint).
     Identifiers have confidence 0 to 1, names 0 to 100. Null values resolve to nothing. Only names that no confirmation settles
     are compared.
+    The owners of an ambiguous identifier may be many, so no step carries them by mention; without lists they are left out and
+    by_list says that owner_lists() has them under the mention's type and value.
     """
     kind, value = F.col("entity_type"), F.col("value")
     is_name, is_identifier = kind.isin(*NAMES), kind.isin(*IDENTIFIERS)
     own = [c for c in mentions.columns]
     keyed = mentions.withColumn("key_of_mention", F.when(is_name, F.lower(F.trim(value))).otherwise(value))
+    keyed = stored(keyed, "mentions-keyed")
     spark = mentions.sparkSession
     confirmed = confirmed if confirmed is not None else spark.createDataFrame([], "entity_type string, value string, entity_id string")
     settled = confirmed.select("entity_type", F.when(is_name, F.lower(F.trim(value))).otherwise(value).alias("key_of_mention"), "entity_id").groupBy("entity_type", "key_of_mention").agg(F.max("entity_id").alias("confirmed_id"))
-    owners = registry.where("entity_id is not null").groupBy("entity_type", F.col("value").alias("key_of_mention")).agg(F.array_sort(F.collect_set("entity_id")).alias("owners"))
-    known = keyed.join(settled.hint("merge"), ["entity_type", "key_of_mention"], "left").join(owners.hint("merge"), ["entity_type", "key_of_mention"], "left")
-    known = stored(known, "mentions-known")
+    of_value = stored(owner_lists(registry), "owner-lists")
+    owners = of_value.select("entity_type", F.col("value").alias("key_of_mention"), F.size("owners").alias("n_owners"), F.col("owners")[0].alias("one_owner"))
+    told = settled.join(owners.hint("merge"), ["entity_type", "key_of_mention"], "full")
+    known = stored(spread_join(keyed, told, ["entity_type", "key_of_mention"], frequent=True), "mentions-known")
     open_ = known.where(F.col("eligible") & F.col("confirmed_id").isNull() & is_name).select(F.trim("value").alias("mention")).where("mention <> ''").distinct()
     open_ = stored(open_, "names-open")
     decided = stored(name_decisions(open_, name_scores(open_, persons.select("name"), cell), persons), "names-decided")
     fuzzy = decided.select(F.col("mention"), F.struct("status", "confidence", "entity_id", "proposed").alias("fuzzy"))
-    joined = known.withColumn("mention", F.when(is_name, F.trim("value"))).join(fuzzy.hint("merge"), "mention", "left")
-    n, none = F.size("owners"), F.lit(0.0)
+    joined = spread_join(known.withColumn("mention", F.when(is_name, F.trim("value"))), fuzzy, ["mention"])
+    n, none = F.col("n_owners"), F.lit(0.0)
     exact = F.concat(F.lit("exact_"), kind)
     method = F.when(is_identifier, exact).when(is_name, "fuzzy_name").otherwise("none")
     outcome = (
         F.when(~F.col("eligible"), _outcome("unresolved", "none", F.coalesce("own_confidence", none)))
         .when(F.col("confirmed_id").isNotNull(), _outcome("resolved", method, F.when(is_identifier, 1.0).otherwise(100.0), F.col("confirmed_id"), F.array("confirmed_id"), "confirmed by a reviewer"))
-        .when(is_identifier & (n == 1), _outcome("resolved", exact, F.lit(1.0), F.col("owners")[0], F.col("owners")))
-        .when(is_identifier & (n > 1), _outcome("ambiguous", exact, F.lit(1.0), None, F.col("owners")))
+        .when(is_identifier & (n == 1), _outcome("resolved", exact, F.lit(1.0), F.col("one_owner"), F.array("one_owner")))
+        .when(is_identifier & (n > 1), _outcome("ambiguous", exact, F.lit(1.0)))
         .when(kind.isin(*NEVER), _outcome("unresolved", "none", F.coalesce("own_confidence", none)))
         .when(is_name & F.col("fuzzy").isNotNull(), _outcome(F.col("fuzzy.status"), "fuzzy_name", F.col("fuzzy.confidence"), F.col("fuzzy.entity_id"), F.col("fuzzy.proposed")))
         .otherwise(_outcome("unresolved", "none", none))
     )
-    out = joined.select(*own, outcome.alias("o"), (F.col("confirmed_id").isNotNull() & F.col("eligible")).alias("by_reviewer")).select(*own, "o.*", "by_reviewer")
-    if rejected is None:
-        return out.drop("by_reviewer")
-    print_ = review_fingerprint(kind, value, F.col("method"), F.col("jurisdiction"), F.col("proposed"))
-    guarded = out.withColumn("fingerprint", F.when((F.col("status") != "unresolved") & ~F.col("by_reviewer"), print_))
-    barred = guarded.join(rejected.select("fingerprint", F.lit(True).alias("barred")).distinct().hint("merge"), "fingerprint", "left").withColumn("barred", F.coalesce("barred", F.lit(False)))
-    changed = {"status": F.lit("unresolved"), "entity_id": F.lit(None).cast("string"), "note": F.lit("rejected by a reviewer")}
-    return barred.select(*own, *[F.when(F.col("barred"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in ("status", "method", "confidence", "entity_id", "proposed", "note")])
-
-
-def review_queue(resolved: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    by_list = F.coalesce((F.col("status") == "ambiguous") & is_identifier, F.lit(False)).alias("by_list")
+    out = joined.select(*own, outcome.alias("o"), (F.col("confirmed_id").isNotNull() & F.col("eligible")).alias("by_reviewer")).select(*own, "o.*", "by_reviewer").select("*", by_list)
+    if rejected is not None:
+        # one fingerprint for all mentions that are asked about in the same words; its lists of owners stay there
+        asked = F.sha2(F.to_json(F.struct("entity_type", "value", "method", F.upper(F.trim(F.coalesce("jurisdiction", F.lit("")))).alias("place"), "proposed", "by_list")), 256)
+        out = stored(out.withColumn("asked", F.when((F.col("status") != "unresolved") & ~F.col("by_reviewer"), asked)), "mentions-resolved")
+        words_ = out.where("asked is not null").select("asked", "entity_type", "value", "method", "jurisdiction", "proposed", "by_list").dropDuplicates(["asked"])
+        print_ = review_fingerprint(kind, value, F.col("method"), F.col("jurisdiction"), F.col("proposed"))
+        prints = with_owners(words_, of_value).select("asked", print_.alias("fingerprint"))
+        barred = prints.join(rejected.select("fingerprint").distinct().hint("merge"), "fingerprint", "left_semi").select("asked", F.lit(True).alias("barred"))
+        out = spread_join(out, barred, ["asked"], frequent=True).withColumn("barred", F.coalesce("barred", F.lit(False)))
+        changed = {"status": F.lit("unresolved"), "entity_id": F.lit(None).cast("string"), "note": F.lit("rejected by a reviewer")}
+        out = out.select(*own, *[F.when(F.col("barred"), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in ("status", "method", "confidence", "entity_id", "proposed", "note", "by_list")])
+    out = out.drop("by_reviewer")
+    return with_owners(out, of_value).select(*own, "status", "method", "confidence", "entity_id", "proposed", "note") if lists else out
+
+
+def review_queue(resolved: DataFrame, decided: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
     """What a reviewer has to look at: one row for each fingerprint of the ambiguous mentions of resolve(), with its proposed ids, score,
     number of mentions and first reference. decided(fingerprint, status): reviews that are there; those that are not pending (confirmed
-    or rejected) are not asked again.
+    or rejected) are not asked again. lists: owner_lists(), for mentions resolved without them; they meet groups of mentions, not mentions.
     """
-    open_ = resolved.where("status = 'ambiguous'")
-    named = open_.withColumn("fingerprint", review_fingerprint(F.col("entity_type"), F.col("value"), F.col("method"), F.col("jurisdiction"), F.col("proposed")))
-    kept = F.struct("entity_type", F.trim("value").alias("value"), "method", "jurisdiction", "proposed")
-    queue = named.groupBy("fingerprint").agg(F.min_by(kept, "source_ref").alias("r"), F.max("confidence").alias("score"), F.count("*").alias("mentions"), F.min("source_ref").alias("first_ref"))
+    same = ["entity_type", "value", "method", "jurisdiction", "proposed", *(["by_list"] if lists is not None else [])]
+    asked = resolved.where("status = 'ambiguous'").groupBy(*same).agg(F.min("source_ref").alias("first_ref"), F.max("confidence").alias("score"), F.count("*").alias("mentions"))
+    asked = stored(asked, "reviews-asked")
+    whole = lambda rows: rows if lists is None else with_owners(rows, lists)
+    print_ = review_fingerprint(F.col("entity_type"), F.col("value"), F.col("method"), F.col("jurisdiction"), F.col("proposed")).alias("fingerprint")
+    named = whole(asked.withColumn("asked_as", F.struct(*same))).select(print_, "asked_as", "first_ref", "score", "mentions")
+    queue = named.groupBy("fingerprint").agg(F.min_by("asked_as", "first_ref").alias("r"), F.max("score").alias("score"), F.sum("mentions").alias("mentions"), F.min("first_ref").alias("first_ref"))
     queue = queue.select("fingerprint", "r.*", "score", "mentions", "first_ref")
-    if decided is None:
-        return queue
-    return queue.join(decided.where("status <> 'pending'").select("fingerprint").distinct().hint("merge"), "fingerprint", "left_anti")
+    if decided is not None:
+        queue = queue.join(decided.where("status <> 'pending'").select("fingerprint").distinct().hint("merge"), "fingerprint", "left_anti")
+    return whole(queue).withColumn("value", F.trim("value"))
