@@ -113,3 +113,11 @@ def test_an_import_can_be_taken_back(spark, tmp_path):
     assert S.remove_import(spark, root, "a/1", ("persons", "fir", "vehicles")) == {"persons": 2, "fir": 1, "vehicles": 0}
     assert [r.person_id for r in spark.read.parquet(f"{root}/persons").collect()] == ["P3"]
     assert S.remove_import(spark, root, "a/1", ("persons",)) == {"persons": 0}
+
+
+def test_merged_properties_need_no_references(rows):
+    names = tuple(dict.fromkeys(p for _, p in G.CONSTRAINTS))
+    whole = {tuple(r[:3]): {k: v for k, v in r.properties.items() if k in names} for r in G.merged_nodes(rows).collect()}
+    few = G.merged_properties(rows, only=names)
+    assert {tuple(r[:3]): r.properties for r in few.collect()} == {k: v for k, v in whole.items() if v} and "source_refs" not in few.columns
+    assert sorted(map(tuple, G.uniqueness_report(few).collect())) == sorted(map(tuple, G.uniqueness_report(G.merged_nodes(rows)).collect()))

@@ -225,19 +225,34 @@ def shared_identifier_rows(people: DataFrame) -> DataFrame:
     return pairs.select(F.lit("shared").alias("of_source"), F.col("ord").alias("record_ord"), place.alias("place"), "record_id", *[c.alias(n) for c, n in zip(own, _FIELDS[:-2])], F.create_map(F.lit("shared_type"), "kind", F.lit("shared_value"), "value").alias("properties"), *[v.alias(k) for k, v in values.items()])
 
 
-def merged_nodes(rows: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
-    """One row for each (label, key_property, key_value): properties where the last non-null value of each wins in plan order, and
-    the different source_refs in that order."""
+NODE = ["label", "key_property", "key_value"]
+
+
+def _placed_nodes(rows: DataFrame, ranks: dict[str, int] | None) -> DataFrame:
     ranks = ranks or {s: i for i, s in enumerate([*MAPPING, "shared"])}
     rank = F.create_map(*[x for s, i in ranks.items() for x in (F.lit(s), F.lit(i))])
     at = F.struct(F.try_element_at(rank, F.col("of_source")).alias("rank"), F.col("record_ord").cast("long").alias("o"), F.col("place").cast("long").alias("p"))
-    nodes = rows.where("kind = 'node'").withColumn("at", at)
-    key = ["label", "key_property", "key_value"]
-    props = nodes.select(*key, "at", F.explode(F.map_concat("properties", F.map_filter(F.create_map(*[x for c in PROVENANCE for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()), F.create_map("key_property", "key_value"))).alias("name", "value"))
-    last = props.groupBy(*key, "name").agg(F.max_by("value", "at").alias("value"))
-    wide = last.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
-    refs = nodes.where("source_ref is not null").groupBy(*key, "source_ref").agg(F.min("at").alias("at")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source_ref"))), lambda x: x["source_ref"]).alias("source_refs"))
-    return wide.join(refs.hint("merge"), key, "left")
+    return rows.where("kind = 'node'").withColumn("at", at)
+
+
+def merged_properties(rows: DataFrame, ranks: dict[str, int] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row for each (label, key_property, key_value): properties where the last non-null value of each wins in plan order. only: names of
+    those to keep; a node without any of them has no row."""
+    nodes = _placed_nodes(rows, ranks)
+    kept = [c for c in PROVENANCE if only is None or c in only]
+    parts = ["properties", F.create_map("key_property", "key_value")]
+    if kept:
+        parts.insert(1, F.map_filter(F.create_map(*[x for c in kept for x in (F.lit(c), F.col(c).cast("string"))]), lambda k, v: v.isNotNull()))
+    every = F.map_concat(*parts)
+    held = every if only is None else F.map_filter(every, lambda k, v: k.isin(*only))
+    last = nodes.select(*NODE, "at", F.explode(held).alias("name", "value")).groupBy(*NODE, "name").agg(F.max_by("value", "at").alias("value"))
+    return last.groupBy(*NODE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("properties"))
+
+
+def merged_nodes(rows: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
+    """merged_properties() with the different source_refs of each node in plan order. A node's references come together in one row."""
+    refs = _placed_nodes(rows, ranks).where("source_ref is not null").groupBy(*NODE, "source_ref").agg(F.min("at").alias("at")).groupBy(*NODE).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "source_ref"))), lambda x: x["source_ref"]).alias("source_refs"))
+    return merged_properties(rows, ranks).join(refs.hint("merge"), NODE, "left")
 
 
 def provenance_faults(rows: DataFrame) -> DataFrame:
