@@ -152,3 +152,9 @@ def test_rows_are_stored_once_over_three_files(spark, tmp_path):
         stored_rows |= set(rows[10 * k : 10 * k + 20])
         got = [(r.a, r.b) for r in spark.read.parquet(target).collect()]
         assert len(got) == len(set(got)) and set(got) == stored_rows
+
+
+def test_rows_without_a_key_are_dealt_in_every_join(tables):
+    rows, cases, persons = tables
+    plan = I.assess(rows, "n", cases, persons, jurisdictions=("DEL",))._jdf.queryExecution().optimizedPlan().toString()
+    assert all(any(k in line and "line_of_key" in line for line in plan.split("\n") if "Join LeftOuter" in line) for k in ("fir_id", "person_id", "phone", "name_key", "person_group"))

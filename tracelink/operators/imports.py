@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.functions import rules, stored
+from tracelink.functions import rules, spread_join, stored
 from tracelink.operators.names import resolve
 
 # Fields of an upload; those of which a row needs one; those whose values tell rows of a file apart.
@@ -98,12 +98,13 @@ def assess(rows: DataFrame, order: str, cases: DataFrame, persons: DataFrame, ad
     entity_id) names that no one has go through the cascade too. skipped(order): rows that the reader leaves out.
     """
     first = in_file_duplicates(checked(rows, admin, jurisdictions), order)
-    known = lambda d, c, name: d.where(F.col(c).isNotNull()).select(F.col(c)).distinct().withColumn(name, F.lit(True)).hint("merge")
+    known = lambda d, c, name: d.where(F.col(c).isNotNull()).select(F.col(c)).distinct().withColumn(name, F.lit(True))
     norm = F.concat(F.lit("+91"), F.right(F.regexp_replace("phone", "[^0-9]", ""), F.lit(10)))
     phones = persons.where("phone is not null").groupBy(norm.alias("phone")).agg(F.min("person_id").alias("phone_owner"))
     names = persons.where("name is not null").groupBy(F.lower(F.trim("name")).alias("name_key")).agg(F.min("person_id").alias("name_owner"))
-    out = first.withColumn("name_key", F.lower(F.trim("name"))).join(known(cases, "fir_id", "case_known"), "fir_id", "left").join(known(persons, "person_id", "person_known"), "person_id", "left")
-    out = out.join(phones.hint("merge"), "phone", "left").join(names.hint("merge"), "name_key", "left")
+    out = first.withColumn("name_key", F.lower(F.trim("name")))
+    for right, key in ((known(cases, "fir_id", "case_known"), "fir_id"), (known(persons, "person_id", "person_known"), "person_id"), (phones, "phone"), (names, "name_key")):
+        out = spread_join(out, right, [key])
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     case_twice = is_("case_known") & (F.col("status") != "unauthorized")
     repeated = F.col("earlier_row").isNotNull()
@@ -158,7 +159,7 @@ def with_person_key(rows: DataFrame, order: str) -> DataFrame:
     group = F.concat_ws("|", F.lower(empty("name")), empty("phone"), empty("vehicle_no"))
     keyed = rows.withColumn("person_group", F.when(F.col("person_id").isNull() & ~F.col("redacted") & (group != "||"), group))
     first = keyed.where("person_group is not null").groupBy("person_group").agg(F.min(order).alias("first_of_group"))
-    joined = keyed.join(first.hint("merge"), "person_group", "left")
+    joined = spread_join(keyed, first, ["person_group"])
     made = F.when(F.col("redacted"), F.lit(None)).otherwise(F.coalesce("person_id", F.when(F.col("first_of_group").isNotNull(), F.concat(F.lit("IMP-"), F.lpad(F.col("first_of_group").cast("string"), 4, "0")))))
     long = F.when(F.length(F.col("first_of_group").cast("string")) > 4, F.concat(F.lit("IMP-"), F.col("first_of_group").cast("string"))).otherwise(made)
     return joined.withColumn("person_key", F.when(F.col("person_id").isNull() & F.col("first_of_group").isNotNull() & ~F.col("redacted"), long).otherwise(made)).drop("person_group", "first_of_group")
