@@ -5,7 +5,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from tracelink.functions import rules
 from tracelink.operators import extraction as X
+from tracelink.operators.findings import evidence
+from tracelink.plans import QUERIES
 from tracelink.sources import columns as C
 
 
@@ -98,3 +101,24 @@ def test_findings(spark):
     assert (one.valid_from, one.valid_to, len(one.limits)) == ("2026-01-02", "soon", 3)
     assert {r.value: r.confidence for r in findings(told, 3, 1).collect()} == {"+919876543210": 1.0, "DL11AB1234": 0.0}
     assert findings(told.limit(0)).count() == 0
+
+
+def test_places_extract_once(spark):
+    texts = [None, "", "no number", "call 9876543210", "9876543210 9876543210, é 6123456789", "+91-90000-12345x+9190000123459876543210"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    pattern = r"(?:\+91[-\s]?\d{5}[-\s]?\d{5}|\b[6-9]\d{9}\b)"
+    at = rules.places(F.col("text"), pattern)
+    want = [None if t is None else [(m.group(), m.start()) for m in re.finditer(pattern, t)] for t in texts]
+    assert [None if r.x is None else [tuple(p) for p in r.x] for r in rows.select(at.alias("x")).collect()] == want
+    plan = rows.select(at.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_frequent_identifiers_are_dealt_and_reviews_meet_no_lists(spark):
+    records = spark.createDataFrame([(f"r{i}", "DEL", f"paid via HDFC0001234, plate DL01AB{i:04}", None) for i in range(30)], "source_ref string, jurisdiction string, text string, metadata map<string,string>")
+    registry = spark.createDataFrame([("vehicle", "DL01AB0003", "P1"), ("vehicle", "DL01AB0003", "P2"), ("ifsc", "HDFC0001234", "P1")], "entity_type string, value string, entity_id string")
+    rows = evidence(records, registry)
+    assert "line_of_key" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.status for r in rows.where("entity_type = 'ifsc'").collect()} == {"resolved"} and rows.where("status = 'ambiguous'").count() == 1 and rows.count() == 60
+    plan = QUERIES["i25_relevant_reviews"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in plan

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelink.functions import rules, stored
+from tracelink.functions import rules, spread_join, stored
 from tracelink.operators.extraction import identifier_spans
 from tracelink.operators.names import IDENTIFIERS
 
@@ -31,7 +31,7 @@ def evidence(records: DataFrame, registry: DataFrame) -> DataFrame:
     once = rows.groupBy("source_ref", "jurisdiction", "content_hash", *KEY).agg(F.min_by("raw", "starts").alias("raw"), F.min("dates").alias("dates"))
     once = stored(once, "finding-mentions")
     owners = registry.where(F.col("entity_type").isin(*IDENTIFIERS)).groupBy(*KEY).agg(F.count_distinct("entity_id").alias("owners"), F.min("entity_id").alias("one"))
-    known = once.join(owners.hint("merge"), list(KEY), "left")
+    known = spread_join(once, owners, list(KEY), frequent=True)
     status = F.when(F.col("owners") == 1, "resolved").when(F.col("owners") > 1, "ambiguous").otherwise("unresolved")
     return known.select(
         "source_ref", "jurisdiction", "content_hash", *KEY, "raw", status.alias("status"), F.when(F.col("owners") == 1, F.col("one")).alias("matched_entity_id"),
