@@ -41,6 +41,25 @@ def test_communities_of_two_triangles(spark):
     assert found == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
 
 
+def test_communities_settle_where_many_nodes_want_into_the_same_ones(spark):
+    rng = random.Random(5)
+    pairs = [(f"u{rng.randrange(400):03}", f"h{rng.randrange(30):02}") for _ in range(8000)]
+    nodes, edges = graph(spark, pairs)
+    found = dict(communities(nodes, edges, sweeps=45).collect())
+    assert len(found) == nodes.count() and all(found[name] == name and name <= i for i, name in found.items())
+    inside = sum(found[a] == found[b] for a, b in pairs) / len(pairs)
+    weight = dict.fromkeys(found.values(), 0)
+    for end in (e for pair in pairs for e in pair):
+        weight[found[end]] += 1 / (2 * len(pairs))
+    assert inside - sum(w * w for w in weight.values()) > 0.08
+
+
+def test_groups_dealt_to_lines_give_communities_too(spark, monkeypatch):
+    monkeypatch.setattr("tracelink.operators.graph.LINE", 1)
+    nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x")])
+    assert dict(communities(nodes, edges).collect()) == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x", "z": "x"}
+
+
 def test_paths_take_the_least_ids_and_stop_at_the_depth(spark):
     _, edges = graph(spark, [("a", "c"), ("a", "b"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a")])
     seeds = spark.createDataFrame([("a",)], "id string")
