@@ -121,3 +121,13 @@ def test_merged_properties_need_no_references(rows):
     few = G.merged_properties(rows, only=names)
     assert {tuple(r[:3]): r.properties for r in few.collect()} == {k: v for k, v in whole.items() if v} and "source_refs" not in few.columns
     assert sorted(map(tuple, G.uniqueness_report(few).collect())) == sorted(map(tuple, G.uniqueness_report(G.merged_nodes(rows)).collect()))
+
+
+def test_rows_of_one_kind_are_those_of_all(spark):
+    people = spark.createDataFrame([(i, f"P{i}", "98765 43210", "KA01AB1234", None) for i in range(5)], "ord long, person_id string, phone string, vehicle_no string, bank_account string")
+    told = lambda df: sorted(tuple(map(str, (r.label, r.key_value, r.rel_type, r.from_value, r.to_value, r.source_ref, r.properties))) for r in df.collect())
+    every = G.graph_rows(people, "persons")
+    for kind in ("node", "relation"):
+        own = told(G.graph_rows(people, "persons", kind=kind))
+        assert own and own == told(every.where(F.col("kind") == kind))
+    assert G.graph_rows(people, "vehicles", kind="node").columns == every.columns
