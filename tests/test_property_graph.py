@@ -131,3 +131,14 @@ def test_rows_of_one_kind_are_those_of_all(spark):
         own = told(G.graph_rows(people, "persons", kind=kind))
         assert own and own == told(every.where(F.col("kind") == kind))
     assert G.graph_rows(people, "vehicles", kind="node").columns == every.columns
+
+
+def test_a_load_writes_its_relations_once_and_without_other_columns(spark, tmp_path, monkeypatch):
+    wrote, write = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: wrote.append((name, df.columns)) or write(df, name))
+    store = S.GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    people = nodes_of(spark, [("Person", "person_id", p, {}, 1) for p in ("P1", "P2")])
+    links = relation(spark, [("P1", "P2", "r1", {}, 1), ("P8", "P2", "r2", {}, 2), ("P1", None, "r3", {}, 3), ("P1", "P2", None, {}, 4)]).withColumn("content_hash", F.lit("x"))
+    told = store.load(people, links, "at")["relations"]
+    assert (told["rows"], told["added"], told["without_ends"]) == (1, 1, 2)
+    assert [n for n, _ in wrote] == ["upsert-batch", "upsert-merged", "relations-batch", "upsert-merged"] and "content_hash" not in wrote[2][1]
