@@ -8,6 +8,7 @@ import pytest
 from tests.test_queries import SF, flat
 from pyspark.sql import functions as F
 
+from tracelink.functions import stored
 from tracelink.operators.exploration import filtered, neighbourhood, overview, scope
 from tracelink.operators.graph import betweenness, communities, hop_paths, pagerank
 from tracelink.plans import ORACLE_SQL, QUERIES
@@ -137,6 +138,22 @@ def test_overview_and_scope_on_a_small_graph(spark):
     assert ids(scope(nodes, ends, nodes, selected="none", community=few)) == {"P1", "V01", "X", "V50"} and len(ids(scope(nodes, ends, nodes, community=nodes))) == 40
 
 
+def test_scope_joins_no_branch_of_its_ends_with_all_candidates(spark, monkeypatch):
+    from tracelink.operators import exploration, graph
+
+    plans = []
+    monkeypatch.setattr(graph, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
+    monkeypatch.setattr(exploration, "stored", graph.stored)
+    nodes = spark.createDataFrame([(f"P{i}", "person") for i in range(9)], "id string, entity_type string")
+    parts = [spark.createDataFrame([(f"P{i}", f"P{i + 1}"), (f"P{i + 1}", f"P{i}")], "id string, other string") for i in range(8)]
+    ends = parts[0]
+    for p in parts[1:]:
+        ends = ends.unionAll(p)
+    allowed = nodes.where("id <> 'P6'")
+    assert {r.id for r in scope(nodes, ends, allowed, selected="P5", hops=3).collect()} == {"P2", "P3", "P4", "P5"}
+    assert not [p for p in plans if "Union" in p and p.count("LeftSemi") > 1]
+
+
 def test_neighbourhood_and_filters(spark):
     rows = [(1, "a", "b", "X", "2024-01-01"), (2, "b", "c", "X", None), (3, "c", "d", "Y", "2024-02-01"), (4, "d", "e", "X", "2024-03-01"), (5, "c", "a", "Y", "2024-01-05"), (6, "b", "b", "X", None)]
     edges = spark.createDataFrame(rows, "edge_id long, source string, target string, relationship string, seen string").withColumn("seen_at", F.col("seen").cast("timestamp")).drop("seen")

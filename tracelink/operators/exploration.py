@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelink.functions import stored
-from tracelink.operators.graph import hop_expansion
+from tracelink.operators.graph import hop_expansion, neighbours
 
 # People of an overview, its nodes, the nodes it is filled up to, members over which a community is shown by an overview,
 # and all nodes of a neighbourhood.
@@ -15,7 +15,7 @@ PEOPLE, TARGET, FILL, SHOWN, NEIGHBOURHOOD = 28, 40, 30, 50, 90
 
 def _measured(nodes: DataFrame, ends: DataFrame) -> DataFrame:
     """nodes(id, entity_type) with degree (different neighbours) and owner (the least person next to a node that is none)."""
-    pairs = ends.where("id <> other").select("id", "other").distinct()
+    pairs = neighbours(ends)
     people = nodes.where("entity_type = 'person'").select(F.col("id").alias("other"), F.lit(True).alias("is_person"))
     near = pairs.join(people.hint("merge"), "other", "left")
     told = near.groupBy("id").agg(F.count("*").alias("degree"), F.min(F.when(F.col("is_person"), F.col("other"))).alias("owner"))
@@ -54,9 +54,8 @@ def scope(nodes: DataFrame, ends: DataFrame, candidates: DataFrame, selected: st
     allowed = candidates.select("id").distinct()
     if not one.isEmpty():
         may = stored(allowed.unionAll(one).distinct(), "scope-candidates")
-        inner = ends.join(may.hint("merge"), "id", "left_semi").join(may.select(F.col("id").alias("other")).hint("merge"), "other", "left_semi").select("id", "other")
         most = (48, 24, 16)[: max(1, min(3, hops))]
-        shown = hop_expansion(inner, one, most, ends, NEIGHBOURHOOD).select("id")
+        shown = hop_expansion(ends, one, most, NEIGHBOURHOOD, may).select("id")
     elif community is not None and not community.isEmpty():
         members = stored(community.select("id").distinct().join(allowed.hint("merge"), "id", "left_semi"), "scope-members")
         shown = overview(nodes, ends, members).select("id") if members.limit(SHOWN + 1).count() > SHOWN else members
