@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelink.functions import rules, stored
+from tracelink.functions import rules
 
 
 def with_overlay(base: DataFrame, overlay: DataFrame) -> DataFrame:
@@ -75,22 +75,23 @@ def narrative_records(docs: DataFrame, column: str = "doc") -> DataFrame:
     """
     entries = F.map_entries(F.from_json(F.col(column), "map<string,string>"))
     lower = F.transform(entries, lambda e: F.struct(F.lower(F.trim(e["key"])).alias("low"), e["key"].alias("key"), e["value"].alias("value")))
-    last = F.filter(lower, lambda e, i: ~F.exists(F.slice(lower, i + 2, F.size(lower)), lambda o: o["low"] == e["low"]))
     own = [c for c in docs.columns if c != column]
-    held = stored(docs.select(*own, last.alias("entries_of_doc")), "narrative-records")
-    pairs = F.col("entries_of_doc")
-    record = F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["low"], e["value"])))
+    held = docs.select(*own, lower.alias("entries_of_doc"))
+    # each step is a column that the next ones name: an expression would be worked out anew wherever it stands, in lambdas for each entry
+    pairs, record, inner, named = map(F.col, ("entries_of_doc", "record_of_doc", "inner_of_doc", "named_of_doc"))
+    held = held.select(*own, F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["low"] == e["low"])).alias("entries_of_doc"))
+    held = held.withColumn("record_of_doc", F.map_from_entries(F.transform(pairs, lambda e: F.struct(e["low"], e["value"]))))
     filled = lambda k: F.when(F.trim(F.try_element_at(record, F.lit(k))) != "", F.trim(F.try_element_at(record, F.lit(k))))
     field = {f: F.coalesce(*map(filled, names)) for f, names in ALIASES.items()}
     text = F.coalesce(*[F.when(F.trim(F.try_element_at(record, F.lit(k))) != "", F.try_element_at(record, F.lit(k))) for k in ALIASES["text"]])
     given = F.try_element_at(record, F.lit("metadata"))
-    inner = F.coalesce(F.from_json(given, "map<string,string>"), F.expr("map()").cast("map<string,string>"))
-    inner = F.map_filter(inner, lambda k, v: v.isNotNull())
+    meant = F.coalesce(F.from_json(given, "map<string,string>"), F.expr("map()").cast("map<string,string>"))
+    held = held.withColumn("inner_of_doc", F.map_filter(meant, lambda k, v: v.isNotNull()))
     known = [n for names in ALIASES.values() for n in names] + list(DATES) + ["metadata"]
     dates = F.filter(pairs, lambda e: e["low"].isin(*DATES) & (F.trim(e["value"]) != "") & (F.coalesce(F.try_element_at(inner, e["low"]), F.lit("")) == ""))
     rest = F.filter(pairs, lambda e: ~e["low"].isin(*known) & (e["value"] != "") & ~F.map_contains_key(inner, e["low"]))
     own_pairs = F.filter(F.map_entries(inner), lambda e: ~(e["key"].isin(*DATES) & (e["value"] == "")))
-    named = F.concat(own_pairs, F.transform(dates, lambda e: F.struct(e["low"].alias("key"), F.trim(e["value"]).alias("value"))), F.transform(rest, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    held = held.withColumn("named_of_doc", F.concat(own_pairs, F.transform(dates, lambda e: F.struct(e["low"].alias("key"), F.trim(e["value"]).alias("value"))), F.transform(rest, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))))
     one = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda o: o["key"] == e["key"]))
     odd = F.coalesce(F.trim(given) != "", F.lit(False)) & ~F.coalesce(F.trim(given).startswith("{"), F.lit(False))
     reason = F.when(pairs.isNull(), "not a record").when(field["source_ref"].isNull(), "no reference").when(text.isNull(), "no text").when(odd, "metadata is no object")
