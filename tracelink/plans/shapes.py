@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelink.functions import scratch
+from tracelink.functions import scratch, stored
 from tracelink.operators import bound, oracle
 from tracelink.operators.imports import assess, fan_out, split_row, summary
 from tracelink.sources import _IMPORTED
@@ -83,8 +83,8 @@ def j1_import_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The uploads as three files that a stream takes one by one, each different row stored once; the last comes
     after the stream has ended and begun anew, and one of its files has come before."""
     folder, target, log = scratch(spark, "uploads"), scratch(spark, "imported"), scratch(spark, "imports-log")
-    rows = bound(spark, sf_dir, "SELECT fir_id, name, phone, date, jurisdiction, row_no % 3 AS part FROM {uploads}")
-    existing = bound(spark, sf_dir, "SELECT DISTINCT fir_id FROM {cases}")
+    rows = stored(bound(spark, sf_dir, "SELECT fir_id, name, phone, date, jurisdiction, row_no % 3 AS part FROM {uploads}"), "uploads-told")
+    existing = stored(bound(spark, sf_dir, "SELECT DISTINCT fir_id FROM {cases}"), "cases-stored")
     schema = "fir_id string, name string, phone string, date string, jurisdiction string"
     for parts in ((0, 1), (2, 0)):
         for part in parts:

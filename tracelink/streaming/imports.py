@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelink.functions import spread_join
 from tracelink.operators.imports import TARGETS, checked, identity_hash, split_row
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,7 +31,7 @@ def import_rows(files: DataFrame, existing: DataFrame, fields: dict[str, str] |
     once = hashed.dropDuplicatesWithinWatermark([ROW]) if late else hashed.dropDuplicates([ROW])
     told = checked(split_row(once.select(ROW, *own), fields or {c: c for c in own if c in TARGETS}, ROW), admin, jurisdictions)
     keys = existing.where("fir_id is not null").select("fir_id", F.lit(True).alias("stored_before")).distinct()
-    joined = told.join(keys, "fir_id", "left")
+    joined = spread_join(told, keys, ["fir_id"])
     known = F.coalesce("stored_before", F.lit(False)) & (F.col("status") != "unauthorized")
     status = F.when(known, "duplicate").otherwise(F.col("status"))
     disposition = F.when(status == "ready", "import").otherwise("unresolved")
