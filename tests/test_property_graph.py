@@ -1,9 +1,15 @@
 """The declarative graph on small sources, its checks, and the stored graph that takes batches by key."""
 
+from functools import reduce
+
+import duckdb
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tests.test_queries import SF, flat
 from tracelink.operators import property_graph as G
+from tracelink.plans import property_graph as plans
 from tracelink.sources import graph_store as S
 from tracelink.sources.files import append_overlay
 
@@ -142,3 +148,19 @@ def test_a_load_writes_its_relations_once_and_without_other_columns(spark, tmp_p
     told = store.load(people, links, "at")["relations"]
     assert (told["rows"], told["added"], told["without_ends"]) == (1, 1, 2)
     assert [n for n, _ in wrote] == ["upsert-batch", "upsert-merged", "relations-batch", "upsert-merged"] and "content_hash" not in wrote[2][1]
+
+
+def test_canonical_relations_are_made_alone_and_not_written(spark, rows, sources, monkeypatch):
+    some = [G.graph_rows(d, s, ingested_at="now", types=G.CANONICAL_RELATIONS) for s, d in sources.items()]
+    told = lambda df: sorted(tuple(map(str, (r.rel_type, r.from_value, r.to_value, r.source_ref, r.valid_from, r.properties))) for r in df.collect())
+    want = rows.where((F.col("kind") == "relation") & F.col("rel_type").isin(*G.CANONICAL_RELATIONS) & (F.col("of_source") != "shared"))
+    assert told(reduce(DataFrame.unionByName, some)) == told(want) != []
+    wrote = []
+    monkeypatch.setattr(plans, "stored", lambda df, name: wrote.append(name) or df)
+    db = duckdb.connect()
+    for t in ("customer", "nation", "events"):
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    mine = plans.e6_canonical_relations(spark, SF)
+    columns = sorted(mine.columns)
+    assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({plans.ORACLE_SQL['e6_canonical_relations']}) q").fetchall())
+    assert wrote == []
