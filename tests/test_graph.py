@@ -29,6 +29,15 @@ def test_query_matches_oracle(spark, name):
     assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) q").fetchall())
 
 
+def test_paths_of_betweenness_go_on_by_inner_steps_only(spark, monkeypatch):
+    wrote = {}
+    monkeypatch.setattr("tracelink.operators.graph.stored", lambda df, name: wrote.setdefault(name, []).append(stored(df, name)) or wrote[name][-1])
+    nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("u", "b"), ("u", "d"), ("v", "c")])
+    found = {k: round(v * 20, 9) for k, v in betweenness(nodes, edges).collect()}
+    assert found == {"a": 0.0, "b": 3.0, "c": 3.0, "d": 0.0, "u": 0.0, "v": 0.0}
+    assert {(r.source, r.target) for r in wrote["inner-steps"][0].collect()} == {("b", "c"), ("c", "d")} and len(wrote["nodes"]) == 1 and len(wrote["deltas"]) == 2
+
+
 def test_betweenness_of_a_chain_and_a_diamond(spark):
     nodes, edges = graph(spark, [("a", "b"), ("a", "b"), ("b", "c")])
     assert dict(betweenness(nodes, edges).collect()) == {"a": 0.0, "b": 0.5, "c": 0.0}
