@@ -29,6 +29,34 @@ def test_query_matches_oracle(spark, name):
     assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({ORACLE_SQL[name]}) q").fetchall())
 
 
+@pytest.mark.parametrize("name", ["f3_pagerank", "g14_priorities"])
+def test_ranks_match_oracle_and_sources_are_read_once(spark, monkeypatch, name):
+    wrote = []
+    monkeypatch.setattr("tracelink.plans.graph.stored", lambda df, to: wrote.append(to) or stored(df, to))
+    test_query_matches_oracle(spark, name)
+    assert wrote == ["edges"]
+
+
+def test_only_nodes_that_take_and_send_are_ranked_in_each_round(spark, monkeypatch):
+    wrote = {}
+    monkeypatch.setattr("tracelink.operators.graph.stored", lambda df, name: wrote.setdefault(name, []).append(stored(df, name)) or wrote[name][-1])
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("u", "a"), ("u", "e"), ("v", "b"), ("v", "b"), ("c", "e"), ("e2", "e2"), ("b", "f")]
+    nodes, edges = graph(spark, [*pairs, ("alone", "f")])
+    links = {p: pairs.count(p) / sum(q[0] == p[0] for q in pairs) for p in pairs} | {("alone", "f"): 1.0}
+    ids = [r.id for r in nodes.collect()]
+    for normalised, seeds in ((True, None), (False, None), (True, ["u", "c", "f"]), (False, ["u", "c"])):
+        unit = 1 / len(ids) if normalised else 1.0
+        restart = {i: 0.15 * unit * (seeds is None or i in seeds) for i in ids}
+        want = dict(restart) if seeds or not normalised else dict.fromkeys(ids, unit)
+        for _ in range(7):
+            lost = sum(want[i] for i in ids if not any(a == i for a, _ in links)) / len(ids) if normalised else 0.0
+            want = {i: restart[i] + 0.85 * (lost + sum(s * want[a] for (a, b), s in links.items() if b == i)) for i in ids}
+        chosen = None if seeds is None else spark.createDataFrame([(i,) for i in seeds], "id string")
+        assert dict(pagerank(nodes, edges, 7, 0.85, None, chosen, normalised).collect()) == pytest.approx(want, abs=1e-12)
+        assert dict(pagerank(nodes, edges, 7, 0.85, 0.0, chosen, normalised).collect()) == pytest.approx(want, abs=1e-12)
+    assert {r.id for r in wrote["core-nodes"][0].collect()} == {"a", "b", "c", "e2"}
+
+
 def test_paths_of_betweenness_go_on_by_inner_steps_only(spark, monkeypatch):
     wrote = {}
     monkeypatch.setattr("tracelink.operators.graph.stored", lambda df, name: wrote.setdefault(name, []).append(stored(df, name)) or wrote[name][-1])
