@@ -158,3 +158,29 @@ def test_rows_without_a_key_are_dealt_in_every_join(tables):
     rows, cases, persons = tables
     plan = I.assess(rows, "n", cases, persons, jurisdictions=("DEL",))._jdf.queryExecution().optimizedPlan().toString()
     assert all(any(k in line and "line_of_key" in line for line in plan.split("\n") if "Join LeftOuter" in line) for k in ("fir_id", "person_id", "phone", "name_key", "person_group"))
+
+
+def test_an_import_carries_only_what_its_sources_take(tables, monkeypatch):
+    """The rows that fan out are written without reasons and hashes, and what leads to them does not make them either."""
+    wrote, write = {}, I.stored
+    monkeypatch.setattr(I, "stored", lambda df, name: wrote.update({name: df}) or write(df, name))
+    rows, cases, persons = tables
+    assessed = I.assess(rows, "n", cases, persons, jurisdictions=("DEL",))
+    assert [r.identity for r in assessed.orderBy("n").collect()] == [r.i for r in I.checked(rows, jurisdictions=("DEL",)).orderBy("n").select(I.identity_hash().alias("i")).collect()]
+    I.fan_out(assessed, "n", "abcdefghij", with_warnings=True)
+    taken = wrote["import-taken"]
+    assert set(wrote) == {"import-rows", "import-taken", "import-persons"} and not {"reasons", "unmapped", "identity"} & set(taken.columns)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert "Exact duplicate of row" not in plan
+
+
+def test_dates_are_tried_only_in_formats_whose_sign_they_hold(spark):
+    from tracelink.functions import rules
+
+    told = ["3-4-2026", "31/12/2025", "12/31/2025", "3.4.2026", "2026/4/3", "3 Apr 2026", "3 April 2026", "2026-04-03", "2026-02-30", "unknown", "", " 3/4/2026 "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(told)], "n int, t string")
+    plain = F.when(F.trim("t").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_to_date(trim(t), 'yyyy-MM-dd')")).otherwise(F.coalesce(*[F.expr(f"try_to_date(trim(t), '{f}')") for f in rules.IMPORT_DATES]))
+    got = rows.select("n", rules.import_date(F.col("t")).alias("a"), plain.alias("b")).orderBy("n").collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a is not None for r in got) == 9
+    plan = rows.select(rules.import_date(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") >= len(rules.IMPORT_DATES)

@@ -41,13 +41,14 @@ def checked(rows: DataFrame, admin: bool = False, jurisdictions: tuple[str, ...]
     one), invalid (a phone that is none), unauthorized (a jurisdiction that the reader does not have; no other reason is then told).
     """
     here = lambda c: F.col(c).isNotNull()
-    code = rules.jurisdiction_code(F.col("jurisdiction"))
-    date = rules.import_date(F.col("date"))
+    # columns of their own: as expressions they would be worked out anew wherever they are named
+    read = {"code_read": rules.jurisdiction_code(F.col("jurisdiction")), "date_read": rules.import_date(F.col("date")), "no_phone": here("phone") & ~rules.phone_valid(F.col("phone"))}
+    rows, code, date = rows.withColumns(read), F.col("code_read"), F.col("date_read")
     identity = here(IDENTITY[0])
     for c in IDENTITY[1:]:
         identity |= here(c)
     told = here("narrative_text")
-    bad_phone, bad_date = here("phone") & ~rules.phone_valid(F.col("phone")), here("date") & date.isNull()
+    bad_phone, bad_date = F.col("no_phone"), here("date") & date.isNull()
     nothing, outside = ~identity & ~told, here("jurisdiction") & F.lit(not admin) & ~F.coalesce(code.isin(*jurisdictions), F.lit(False))
     unscoped = ~here("jurisdiction") & told
     hidden = ~here("jurisdiction") & ~told & F.lit(not admin) & identity
@@ -66,7 +67,7 @@ def checked(rows: DataFrame, admin: bool = False, jurisdictions: tuple[str, ...]
         "unmapped": F.map_concat(F.map_filter("unmapped", lambda k, v: ~k.isin("phone_original", "date_original")), kept),
         "phone": phone, "date": F.date_format(date, "yyyy-MM-dd"), "jurisdiction": code, "vehicle_no": tight("vehicle_no"), "bank_account": tight("bank_account"),
     }
-    return rows.withColumns(made)
+    return rows.withColumns(made).drop(*read)
 
 
 def in_file_duplicates(rows: DataFrame, order: str) -> DataFrame:
@@ -74,10 +75,11 @@ def in_file_duplicates(rows: DataFrame, order: str) -> DataFrame:
     not itself taken for a duplicate (the first, or one that is invalid or not allowed).
 
     The rows of an identity are numbered in runs of RUN places, each in a task of its own; what runs before it hold comes from one
-    row a run, so that an identity of a third of all rows (all the empty ones) is no single task.
+    row a run, so that an identity of a third of all rows (all the empty ones) is no single task. rows are read twice, each time only
+    what is asked for, and should rest on a table.
     """
-    keyed = rows.withColumns({"identity": identity_hash(), "run_of_rows": F.floor(F.col(order) / RUN)})
-    keyed = stored(keyed, "import-keyed")
+    # the hash's 32 bytes travel, not its 64 digits; never null, so that no filter makes it twice
+    keyed = rows.withColumns({"identity": F.coalesce(F.unhex(identity_hash()), F.lit(b"")), "run_of_rows": F.floor(F.col(order) / RUN)})
     stays = F.when(~F.col("status").isin(*OPEN), F.col(order))
     runs = keyed.groupBy("identity", "run_of_rows").agg(F.min(order).alias("least"), F.max(stays).alias("last"))
     before = Window.partitionBy("identity").orderBy("run_of_rows").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,7 +88,7 @@ def in_file_duplicates(rows: DataFrame, order: str) -> DataFrame:
     near = keyed.withColumn("near", F.max(stays).over(inside))
     joined = near.join(runs.hint("merge"), ["identity", "run_of_rows"])
     earlier = F.when((F.col(order) > F.col("first")) & F.col("status").isin(*OPEN), F.greatest("first", "carried", "near"))
-    return joined.withColumn("earlier_row", earlier).drop("run_of_rows", "near", "first", "carried")
+    return joined.withColumns({"earlier_row": earlier, "identity": F.lower(F.hex("identity"))}).drop("run_of_rows", "near", "first", "carried")
 
 
 def assess(rows: DataFrame, order: str, cases: DataFrame, persons: DataFrame, admin: bool = False, jurisdictions: tuple[str, ...] = (), registry: DataFrame | None = None, skipped: DataFrame | None = None) -> DataFrame:
@@ -95,16 +97,18 @@ def assess(rows: DataFrame, order: str, cases: DataFrame, persons: DataFrame, ad
 
     cases(fir_id) and persons(person_id, name, phone) are what is stored. A row with a stored case or person is a duplicate; one that
     is open, has no person_id and the phone or name of a stored person is possible_duplicate. With a registry (entity_type, value,
-    entity_id) names that no one has go through the cascade too. skipped(order): rows that the reader leaves out.
+    entity_id) names that no one has go through the cascade too. skipped(order): rows that the reader leaves out. Only the
+    checked rows are written; what is worked out from them is made where it is asked for.
     """
-    first = in_file_duplicates(checked(rows, admin, jurisdictions), order)
+    sound = stored(checked(rows, admin, jurisdictions), "import-rows")
+    first = in_file_duplicates(sound, order)
     known = lambda d, c, name: d.where(F.col(c).isNotNull()).select(F.col(c)).distinct().withColumn(name, F.lit(True))
     norm = F.concat(F.lit("+91"), F.right(F.regexp_replace("phone", "[^0-9]", ""), F.lit(10)))
     phones = persons.where("phone is not null").groupBy(norm.alias("phone")).agg(F.min("person_id").alias("phone_owner"))
     names = persons.where("name is not null").groupBy(F.lower(F.trim("name")).alias("name_key")).agg(F.min("person_id").alias("name_owner"))
     out = first.withColumn("name_key", F.lower(F.trim("name")))
     for right, key in ((known(cases, "fir_id", "case_known"), "fir_id"), (known(persons, "person_id", "person_known"), "person_id"), (phones, "phone"), (names, "name_key")):
-        out = spread_join(out, right, [key])
+        out = spread_join(out, right, [key], by=order)
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     case_twice = is_("case_known") & (F.col("status") != "unauthorized")
     repeated = F.col("earlier_row").isNotNull()
@@ -144,22 +148,24 @@ def assess(rows: DataFrame, order: str, cases: DataFrame, persons: DataFrame, ad
         has |= F.col(c).isNotNull()
     usable, scoped = has | F.col("has_narrative"), F.lit(admin) | F.col("jurisdiction").isNotNull()
     importable = F.when(left_out, False).when(F.col("status").isin("ready", "possible_duplicate"), True).when(F.col("status") == "incomplete", usable & scoped & ~(F.col("has_narrative") & F.col("jurisdiction").isNull())).when(F.col("status") == "invalid", usable).otherwise(False)
-    redacted = (F.col("status") == "unauthorized") & F.lit(not admin)
+    redacted = (F.col("status") == "unauthorized") & F.lit(not admin)  # nothing above makes a row unauthorized or takes it back
     done = out.withColumns({
         "importable": importable, "redacted": redacted, "disposition": F.when(left_out, "skipped").when(F.col("status").isin("ready", "possible_duplicate"), "import").otherwise("unresolved"),
         "status": F.when(left_out, "skipped").otherwise(F.col("status")), "reasons": F.when(left_out, F.array_append("reasons", F.lit("Investigator chose to skip this record."))).otherwise(F.col("reasons")),
     })
     own = [order, *TARGETS, "unmapped", "status", "reasons", "earlier_row", "possible_match", "match_method", "match_confidence", "importable", "disposition", "redacted", "has_narrative", "identity"]
-    return with_person_key(done.select(*own), order)
+    return with_person_key(done.select(*own), order, sound.withColumn("redacted", redacted))
 
 
-def with_person_key(rows: DataFrame, order: str) -> DataFrame:
-    """rows with person_key: the person_id, else IMP- and the first row of the same name, phone and vehicle; none if all three are empty."""
+def with_person_key(rows: DataFrame, order: str, plain: DataFrame | None = None) -> DataFrame:
+    """rows with person_key: the person_id, else IMP- and the first row of the same name, phone and vehicle; none if all three are empty.
+    plain: the same rows with these columns and `redacted` alone, where they cost less than rows."""
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     group = F.concat_ws("|", F.lower(empty("name")), empty("phone"), empty("vehicle_no"))
-    keyed = rows.withColumn("person_group", F.when(F.col("person_id").isNull() & ~F.col("redacted") & (group != "||"), group))
-    first = keyed.where("person_group is not null").groupBy("person_group").agg(F.min(order).alias("first_of_group"))
-    joined = spread_join(keyed, first, ["person_group"])
+    in_group = lambda d: d.withColumn("person_group", F.when(F.col("person_id").isNull() & ~F.col("redacted") & (group != "||"), group))
+    keyed = in_group(rows)
+    first = in_group(rows if plain is None else plain).where("person_group is not null").groupBy("person_group").agg(F.min(order).alias("first_of_group"))
+    joined = spread_join(keyed, first, ["person_group"], by=order)
     made = F.when(F.col("redacted"), F.lit(None)).otherwise(F.coalesce("person_id", F.when(F.col("first_of_group").isNotNull(), F.concat(F.lit("IMP-"), F.lpad(F.col("first_of_group").cast("string"), 4, "0")))))
     long = F.when(F.length(F.col("first_of_group").cast("string")) > 4, F.concat(F.lit("IMP-"), F.col("first_of_group").cast("string"))).otherwise(made)
     return joined.withColumn("person_key", F.when(F.col("person_id").isNull() & F.col("first_of_group").isNotNull() & ~F.col("redacted"), long).otherwise(made)).drop("person_group", "first_of_group")
@@ -191,9 +197,10 @@ def fan_out(assessed: DataFrame, order: str, import_id: str, ingested_at: str |
     short = import_id[:8]
     numbered = F.lpad(F.col(order).cast("string"), 4, "0")
     key = F.coalesce("person_id", F.when(F.col("person_key").startswith("IMP-"), F.concat(F.lit(f"IMP-{short}-"), F.regexp_extract("person_key", "([^-]*)$", 1))), F.col("person_key"), F.concat(F.lit(f"IMP-{short}-"), numbered))
-    rows = stored(assessed.where(taken).withColumn("of_person", key), "import-taken")
     stamp = [F.lit(import_id).alias("_import_id"), F.lit(ingested_at).cast("string").alias("_ingested_at")]
     fields = ("name", "phone", "vehicle_no", "bank_account", "social_id", "home_city", "risk_group")
+    rows = assessed.where(taken).select(order, key.alias("of_person"), "fir_id", "crime", "date", "location", *fields, "registered_city", "vehicle_type")
+    rows = stored(rows, "import-taken")
     firsts = rows.groupBy("of_person").agg(F.min_by(F.struct(*fields), order).alias("first"))
     persons = firsts.select(F.col("of_person").alias("person_id"), F.coalesce("first.name", "of_person").alias("name"), *[F.col(f"first.{c}").alias(c) for c in fields[1:]], *stamp)
     persons = stored(persons, "import-persons")
