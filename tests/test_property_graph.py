@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tests.test_queries import SF, flat
+from tracelink import functions
 from tracelink.operators import property_graph as G
 from tracelink.plans import property_graph as plans
 from tracelink.sources import graph_store as S
@@ -164,3 +165,21 @@ def test_canonical_relations_are_made_alone_and_not_written(spark, rows, sources
     columns = sorted(mine.columns)
     assert flat(mine.select(*columns).collect()) == flat(db.execute(f"select {', '.join(columns)} from ({plans.ORACLE_SQL['e6_canonical_relations']}) q").fetchall())
     assert wrote == []
+
+
+def test_a_store_keeps_only_what_counts_and_explodes_only_what_differs(spark, tmp_path, monkeypatch):
+    wrote, write = {}, S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name: wrote.setdefault(name, []).append(df) or write(df, name))
+    store = S.GraphStore(spark, str(tmp_path / "g"), buckets=4)
+    before = set(spark._jvm.java.io.File(functions.scratch_root(spark)).list() or [])
+    people = [("Person", "person_id", f"P{i % 5}", {"city": "Delhi"}, i) for i in range(40)] + [("Person", "person_id", "P1", {"name": "Asha"}, 7), ("Person", "person_id", "P2", {"city": "Pune"}, 3), ("Person", "person_id", "P2", {"city": "Agra"}, 99)]
+    links = relation(spark, [("P0", f"P{i}", "r", {"n": "1"}, i) for i in range(9)])
+    told = store.load(nodes_of(spark, people), links, "at")
+    assert (told["nodes"]["rows"], told["nodes"]["added"], told["relations"]["rows"], told["relations"]["without_ends"]) == (43, 5, 5, 4)
+    assert wrote["upsert-batch"][0].count() == 8  # rows that tell the same have become one
+    assert {r.key_value: r.properties for r in store.nodes.read().collect()} == {f"P{i}": {"city": "Agra" if i == 2 else "Delhi"} | ({"name": "Asha"} if i == 1 else {}) for i in range(5)}
+    # what a load writes on its way is gone, and relations meet the missing ends and not all nodes
+    assert set(spark._jvm.java.io.File(functions.scratch_root(spark)).list() or []) == before
+    monkeypatch.setattr(S, "FEW", 0)
+    again = store.load(nodes_of(spark, people), links, "at")
+    assert again["relations"]["without_ends"] == 4 and again["nodes"]["buckets"] == again["relations"]["buckets"] == 0
