@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelink.functions import stored
 from tracelink.operators.exploration import filtered, neighbourhood, overview, scope
+from tracelink.operators import graph as G
 from tracelink.operators.graph import betweenness, communities, hop_paths, pagerank
 from tracelink.plans import ORACLE_SQL, QUERIES
 
@@ -92,6 +93,19 @@ def test_communities_settle_where_many_nodes_want_into_the_same_ones(spark):
     assert inside - sum(w * w for w in weight.values()) > 0.08
 
 
+def test_weights_kept_from_sweep_to_sweep_give_the_same_communities(spark, monkeypatch):
+    rng = random.Random(8)
+    nodes, edges = graph(spark, [(f"u{rng.randrange(60):02}", f"h{rng.randrange(9)}") for _ in range(500)] + [("h1", "h1"), ("u01", "u02")])
+    ways, weigh = [], G._weights
+    monkeypatch.setattr(G, "_weights", lambda links, state, before, moved: ways.append(before is not None) or weigh(links, state, before, moved))
+    monkeypatch.setattr(G, "FEW", -1)  # all links in every sweep, and no broadcast
+    found = dict(communities(nodes, edges).collect())
+    assert not any(ways)
+    monkeypatch.setattr(G, "FEW", 100_000)
+    monkeypatch.setattr(G, "MANY", 0)
+    assert dict(communities(nodes, edges).collect()) == found and sum(ways) > 3
+
+
 def test_groups_dealt_to_lines_give_communities_too(spark, monkeypatch):
     monkeypatch.setattr("tracelink.operators.graph.LINE", 1)
     nodes, edges = graph(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x")])
